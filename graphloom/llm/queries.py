@@ -10,13 +10,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from graphloom.llm.repair import tokenised
+
+    return tokenised(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), end_id=2)
+
+
+def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from graphloom.llm.separators import counted
+
+    return counted(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op5_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.zipwarc import round_trip
 
     return round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op5_zip_warc": op5_zip_warc}
+QUERIES = {
+    "op1_repair_tokens": op1_repair_tokens,
+    "op3_separator_scan": op3_separator_scan,
+    "op5_zip_warc": op5_zip_warc,
+}
 
 ORACLES = {
     "op5_zip_warc": """
