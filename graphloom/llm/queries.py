@@ -18,6 +18,18 @@ def op1_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenised(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), end_id=2)
 
 
+def remainder(n: int):
+    """crc32 of doc_id as text, modulo ``n``: which rows may teach."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.language import fit, predict
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(remainder(4) == 2, F.lit(False)))
+    return predict(docs, fit(docs.where("NOT held_out")), "held_out")
+
+
 def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,10 +44,28 @@ def op5_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.quality import scored
+
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    out = scored(table(spark, sf_dir, "documents"), labels)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.htmltext import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_repair_tokens": op1_repair_tokens,
+    "op2_language": op2_language,
     "op3_separator_scan": op3_separator_scan,
     "op5_zip_warc": op5_zip_warc,
+    "op8_quality": op8_quality,
+    "op9_main_text": op9_main_text,
 }
 
 ORACLES = {
