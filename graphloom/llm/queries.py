@@ -44,6 +44,12 @@ def op5_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.quality import scored
 
@@ -64,6 +70,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_separator_scan": op3_separator_scan,
     "op5_zip_warc": op5_zip_warc,
+    "op6_near_duplicates": op6_near_duplicates,
     "op8_quality": op8_quality,
     "op9_main_text": op9_main_text,
 }
