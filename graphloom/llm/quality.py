@@ -1,7 +1,7 @@
 """Quality scores by a regularised quadratic discriminant over document statistics.
 
 Each text becomes a short vector of transformed statistics (log sizes, logit shares of
-kinds of characters, repeated lines).  Per class, mean and covariance come from sums and
+kinds of characters, repeated lines, echoed words).  Per class, mean and covariance come from sums and
 products that Spark adds up over all training rows; covariances shrink towards the pooled
 one and its diagonal.  A score is the logistic of the Mahalanobis log-density difference,
 from Cholesky factors computed once.
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import staged
 from graphloom.llm.encode import blocks
+from graphloom.llm.shingles import word_hashes
 
-FEATURES = ("size", "word_size", "line_size", "upper", "digit", "plain_mark", "odd_mark", "bar", "bang", "space", "odd_lines", "same_lines")
+FEATURES = ("size", "word_size", "line_size", "upper", "digit", "plain_mark", "odd_mark", "bar", "bang", "space", "odd_lines", "same_lines", "same_words")
 
 
 def _kinds() -> np.ndarray:
@@ -80,6 +81,11 @@ def statistics(texts: pa.Array) -> np.ndarray:
     line_at = np.searchsorted(ends, at[1:], "right")
     odd_bytes = bad_bytes[line_at] - bad_bytes[np.concatenate(([0], line_at[:-1]))]
 
+    hashes, word_at = word_hashes(texts)
+    again = np.concatenate(([0], np.cumsum(hashes[1:] == hashes[:-1], dtype=np.int64), [0]))[: len(hashes) + 1] if len(hashes) else np.zeros(1, np.int64)
+    inner = np.maximum(word_at[1:] - 1, word_at[:-1])
+    echoed = (again[np.minimum(inner, len(again) - 1)] - again[np.minimum(word_at[:-1], len(again) - 1)]).astype(float)
+
     def logit(part, whole):
         p = (part + 0.5) / (whole + 1)
         return np.log(p / (1 - p + 1e-9) + 1e-9)
@@ -87,7 +93,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     letters = upper + lower
     return np.column_stack((
         np.log1p(n), np.log1p(n / np.maximum(words, 1)), np.log1p(n / lines), logit(upper, letters), logit(digit, n), logit(plain, n),
-        logit(odd, n), logit(bar, n), logit(bang, n), logit(space, n), logit(odd_bytes, n), logit(lines - distinct, lines),
+        logit(odd, n), logit(bar, n), logit(bang, n), logit(space, n), logit(odd_bytes, n), logit(lines - distinct, lines), logit(echoed, words),
     ))
 
 
