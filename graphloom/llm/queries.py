@@ -65,6 +65,12 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
 
 
+def op10_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.vectors import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 QUERIES = {
     "op1_repair_tokens": op1_repair_tokens,
     "op2_language": op2_language,
@@ -73,6 +79,7 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op8_quality": op8_quality,
     "op9_main_text": op9_main_text,
+    "op10_embedding_duplicates": op10_embedding_duplicates,
 }
 
 ORACLES = {
