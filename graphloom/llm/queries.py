@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.decontaminate import SQL as DECONTAMINATION_SQL
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,6 +40,12 @@ def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.zipwarc import round_trip
 
@@ -75,6 +83,7 @@ QUERIES = {
     "op1_repair_tokens": op1_repair_tokens,
     "op2_language": op2_language,
     "op3_separator_scan": op3_separator_scan,
+    "op4_decontamination": op4_decontamination,
     "op5_zip_warc": op5_zip_warc,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_quality": op8_quality,
@@ -83,6 +92,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_decontamination": DECONTAMINATION_SQL,
     "op5_zip_warc": """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS h FROM pages
