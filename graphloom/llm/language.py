@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.encode import blocks
 
@@ -103,11 +104,17 @@ def fit(rows: DataFrame, max_gram: int = 5, train_docs: int = TRAIN_DOCS) -> Mod
 _seen: dict = {}
 
 
-def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """``doc_id``, the columns ``keep``, ``lang_pred, score`` of every document."""
+def predict(docs: DataFrame, model: Model, *keep: str, text: str = "text", posterior: bool = False) -> DataFrame:
+    """The columns ``keep``, and ``lang_pred, score`` of column ``text`` of every document.
+
+    With ``posterior`` also ``n_words`` and ``posterior``, in the order of the model's
+    languages (flat for a text without letters).
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    schema = docs.select("doc_id", *keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    if posterior:
+        schema = schema.add("n_words", "long").add("posterior", T.ArrayType(T.DoubleType()))
 
     def work(batches):
         m = shared.value
@@ -115,9 +122,9 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
         if _seen.get("of") != m.key:
             _seen.update(of=m.key, cache={}, rows=np.zeros((1 << 16, max(k, 1))))
         cache = _seen["cache"]
-        for part in blocks(batches):
-            text = pc.fill_null(part["_text"].combine_chunks(), "")
-            split = pc.split_pattern_regex(pc.utf8_lower(text), r"[^\p{L}]+")
+        for part in blocks(batches, held):
+            whole = pc.fill_null(part[held].combine_chunks(), "")
+            split = pc.split_pattern_regex(pc.utf8_lower(whole), r"[^\p{L}]+")
             n = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
             coded = pc.list_flatten(split).dictionary_encode()
             uniq = coded.dictionary.to_pylist()
@@ -151,8 +158,16 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 share = np.where(letters > 0, share, 0.0)
             else:
                 lang, share = [UNKNOWN] * len(n), np.zeros(len(n))
-            out = part.drop_columns(["_text"])
+            if posterior:
+                p = np.exp(scores - scores.max(axis=1, keepdims=True)) if k else scores
+                p = np.where((letters > 0)[:, None], p / p.sum(axis=1, keepdims=True), 1 / k) if k else p
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, k, dtype=np.int32)) if k else pa.array(np.zeros(len(n) + 1, np.int32)), pa.array(p.reshape(-1)))
+                extra = {"n_words": pa.array(letters.astype(np.int64)), "posterior": lists}
+            out = part if text in keep else part.drop_columns([held])
             out = out.append_column("lang_pred", pa.array(lang, pa.string())).append_column("score", pa.array(share, pa.float64()))
+            for name, column in extra.items() if posterior else ():
+                out = out.append_column(name, column)
             yield from out.to_batches()
 
-    return docs.select("doc_id", *keep, F.col("text").cast("string").alias("_text")).mapInArrow(work, schema)
+    held = text if text in keep else "_text"
+    return docs.select(*keep, *([] if text in keep else [F.col(text).cast("string").alias(held)])).mapInArrow(work, schema)

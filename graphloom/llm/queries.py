@@ -29,7 +29,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.language import fit, predict
 
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(remainder(4) == 2, F.lit(False)))
-    return predict(docs, fit(docs.where("NOT held_out")), "held_out")
+    return predict(docs, fit(docs.where("NOT held_out")), "doc_id", "held_out")
 
 
 def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,13 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.mixing import TARGETS, mixed
+
+    docs = table(spark, sf_dir, "documents")
+    return mixed(docs, docs.where("lang IS NOT NULL"), TARGETS)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.quality import scored
 
@@ -86,6 +93,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_zip_warc": op5_zip_warc,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_main_text": op9_main_text,
     "op10_embedding_duplicates": op10_embedding_duplicates,
