@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from graphloom.plans import aggregates, patterns  # noqa: F401  (importing registers)
+from graphloom.plans.base import QUERIES, SQL
+
 
 def flagship(spark, sf_dir):
-    return queries()["bgp_chain"](spark, sf_dir)
+    """Customers, urgent orders and revenue by region, over the triples."""
+    return QUERIES["bgp_chain"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
