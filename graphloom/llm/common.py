@@ -69,7 +69,7 @@ def components(vertices: DataFrame, edges: DataFrame, rounds: int = 100) -> Data
         both = live.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             live.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = (
             both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         )

@@ -9,12 +9,14 @@
    hold them.  Two classes with ``MATCHES`` tokens in common share one among the first
    ``COORDINATES - MATCHES + 1`` of either (prefix filter), so only these are posted.
    Boilerplate that thousands of texts share stays at the end of the order.
-4. A short posting list gives its pairs.  Of a long one, each member meets one member
-   drawn by hash (another for each token); members that the confirmed links already put
-   into one component need not meet.  What is left of the list, members outside its largest
-   component, meets all members of other components; where that is much, the list is cut
-   by a second and a third shared token first (the prefix grows by one with each).
-5. Collisions are counted on the signatures, and links are confirmed on the full sets.
+4. Of each class with posted tokens Spark counts the shingles that no other such class has.
+   The others bound every intersection: where even they do not suffice for the similarity,
+   a class, or a pair, is skipped without a look at the sets.
+5. In each posting list every member meets two others, the one whose tokens are the most
+   common and one drawn by hash: this joins groups of copies at the price of two pairs a
+   posting.  Collisions are counted on the signatures, links are confirmed on the full sets.
+6. Members that confirmed links put into one component need not meet.  What is left of a
+   list, members outside its largest component, meets the members of other components.
 
 Every link between different texts is found, or lies within a component that other
 confirmed links already join.
@@ -37,11 +39,6 @@ from graphloom.llm.encode import blocks
 from graphloom.llm.shingles import fingerprints, shingle_sets, signatures
 
 COORDINATES, MATCHES = 32, 14
-#: Lists up to this length give all their pairs.
-SHORT_LIST = 48
-#: Rest of a long list that may meet its whole list at once; more is cut by a further token.
-SMALL_REST = 64
-LEVELS = 3
 
 
 def described(docs: DataFrame, coordinates: int = COORDINATES, width: int = 5) -> DataFrame:
@@ -94,10 +91,10 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def shared_tokens(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """``id, n, spare, tokens`` of the classes that can have a partner.
+    """``id, n, spare, tokens, weight`` of the classes that can have a partner.
 
     ``tokens`` are those that other classes have too, the rarest first; ``spare`` is how
-    many of them the prefix of the first level holds.
+    many of them are posted; ``weight`` grows with how common they are.
     """
     tokens = classes.select(
         "id", "n", F.explode(F.expr("transform(sig, (v, i) -> shiftleft(cast(i as bigint), 32) | (cast(v as bigint) & 4294967295L))")).alias("t")
@@ -106,74 +103,69 @@ def shared_tokens(classes: DataFrame, coordinates: int, matches: int) -> DataFra
     rows = (
         tokens.join(held, "t")
         .groupBy("id", "n")
-        .agg(F.expr("transform(array_sort(collect_list(struct(c, t))), x -> x.t)").alias("tokens"))
+        .agg(F.expr("transform(array_sort(collect_list(struct(c, t))), x -> x.t)").alias("tokens"), F.sum(F.log("c")).alias("weight"))
         .withColumn("spare", F.size("tokens") - (matches - 1))
     )
     return rows.where("spare > 0")
 
 
+def unshared(sets: DataFrame) -> DataFrame:
+    """``id, alone``: how many shingles of a set no other set has."""
+
+    def work(batches):
+        for batch in batches:
+            size = [len(x.as_buffer()) // 8 for x in batch.column(1)]
+            flat = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in batch.column(1)]) if size else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(flat)], ["id", "shingle"])
+
+    one = sets.mapInArrow(work, "id long, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+    return one.groupBy("id").agg(F.count("*").alias("alone"))
+
+
 def links(classes: DataFrame, docs: DataFrame, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES, width: int = 5) -> DataFrame:
     """Confirmed links ``(a, b)`` that span the components of ``classes`` (``id, n, sig``)."""
     able = staged(shared_tokens(classes, coordinates, matches), "able")
-    n_able = able.count()
-    sets = staged(full_sets(docs, able, n_able, width), "sets")
-    ids = able.select("id").distinct()
+    sets = staged(full_sets(docs, able, able.count(), width), "sets")
+    alone = staged(unshared(sets), "alone")
+    able = able.join(alone, "id", "left").withColumn("m", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    able = staged(able.where(100 * F.col("m") >= percent * F.col("n")), "able")
+
+    def may_link(n1, m1, n2, m2):
+        """Whether sizes and shared shingles leave room for the similarity."""
+        return ((100 + percent) * F.least(m1, m2) >= percent * (n1 + n2)) & (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2))
 
     def retained(pairs: DataFrame) -> DataFrame:
-        """Pairs that agree on enough coordinates and whose sizes allow a link."""
-        left = able.select(F.col("id").alias("a"), F.col("tokens").alias("s"), F.col("n").alias("p"))
-        right = able.select(F.col("id").alias("b"), F.col("tokens").alias("t"), F.col("n").alias("q"))
-        return (
-            pairs.join(left, "a")
-            .join(right, "b")
-            .where((F.size(F.array_intersect("s", "t")) >= matches) & (100 * F.least("p", "q") >= percent * F.greatest("p", "q")))
-            .select("a", "b")
-            .distinct()
-        )
-
-    def ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
-        return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
-
-    # key, id, at: a list, a member, and how many of the member's tokens lie before the list's last token
-    lists = staged(able.select(F.posexplode(F.slice("tokens", F.lit(1), F.col("spare"))).alias("at", "key"), "id"), "posted")
-    found, level = None, 1
-    while True:
-        sizes = staged(
-            lists.groupBy("key").agg(F.count("*").alias("size"), F.min_by("id", F.xxhash64("id", "key")).alias("hub")).where("size > 1"), "sizes"
-        )
-        short = lists.join(sizes.where(F.col("size") <= SHORT_LIST).select("key"), "key")
-        pairs = short.select("key", F.col("id").alias("x")).join(short.select("key", F.col("id").alias("y")), "key").where("x < y")
-        met = lists.join(sizes.where(F.col("size") > SHORT_LIST).select("key", "hub"), "key")
-        candidates = ordered(pairs.select("x", "y").unionByName(met.select(F.col("id").alias("x"), F.col("hub").alias("y"))), "x", "y")
-        new = confirm(retained(candidates), sets, percent)
-        found = staged(new if found is None else found.unionByName(new).distinct(), "links")
-        long = lists.join(sizes.where(F.col("size") > SHORT_LIST).select("key"), "key")
-        if not long.take(1):
-            return found
-        group = staged(components(ids, found), "groups")
-        long = staged(long.join(group, "id"), "long")
-        parts = long.groupBy("key", "component").agg(F.count("*").alias("m"))
-        main = staged(
-            parts.groupBy("key").agg(F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("top"))
-            .select("key", F.col("top.component").alias("main"), (F.col("all") - F.col("top.m")).alias("rest")).where("rest > 0"),
-            "main",
-        )
-        last = level == LEVELS
-        few = main if last else main.where(F.col("rest") <= SMALL_REST)
-        outside = long.join(few, "key").where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("c"))
-        inside = long.join(few.select("key"), "key").select("key", F.col("id").alias("y"), F.col("component").alias("d"))
-        candidates = ordered(outside.join(inside, (outside["key"] == inside["key"]) & (F.col("c") != F.col("d"))).select("x", "y"), "x", "y")
-        found = staged(found.unionByName(confirm(retained(candidates), sets, percent)).distinct(), "links")
-        if last:
-            return found
-        level += 1
-        more = long.join(main.where(F.col("rest") > SMALL_REST).select("key"), "key").select("key", "id", "at")
-        lists = staged(
-            more.join(able, "id")
-            .select("id", "key", "at", F.posexplode(F.expr(f"slice(tokens, at + 2, greatest(spare + {level - 1} - at - 1, 0))")).alias("i", "t"))
-            .select((F.col("at") + 1 + F.col("i")).alias("at"), F.xxhash64("key", "t").alias("key"), "id"),
-            "posted",
-        )
+        """Distinct pairs, from ``x, y``, that agree on enough coordinates."""
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
+        left = able.select(F.col("id").alias("a"), F.col("tokens").alias("s"))
+        right = able.select(F.col("id").alias("b"), F.col("tokens").alias("t"))
+        return pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("s", "t")) >= matches).select("a", "b")
+
+    lists = staged(able.select(F.explode(F.slice("tokens", F.lit(1), F.col("spare"))).alias("key"), "id", "n", "m", "weight"), "posted")
+    member = F.struct("id", "n", "m")
+    hubs = staged(
+        lists.groupBy("key")
+        .agg(F.count("*").alias("size"), F.max_by(member, F.struct("weight", "id")).alias("h"), F.min_by(member, F.xxhash64("id")).alias("g"))
+        .where("size > 1")
+        .select("key", F.explode(F.array_distinct(F.array("h", "g"))).alias("hub"))
+        .select("key", F.col("hub.id").alias("y"), F.col("hub.n").alias("n2"), F.col("hub.m").alias("m2")),
+        "hubs",
+    )
+    met = lists.join(hubs, "key").where((F.col("id") != F.col("y")) & may_link(F.col("n"), F.col("m"), F.col("n2"), F.col("m2")))
+    found = staged(confirm(retained(met.select(F.col("id").alias("x"), "y")), sets, percent), "links")
+    group = staged(components(able.select("id").distinct(), found), "groups")
+    members = staged(lists.drop("weight").join(group, "id"), "lists")
+    main = staged(
+        members.groupBy("key", "component").agg(F.count("*").alias("c"))
+        .groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+        .select("key", F.col("top.component").alias("main")),
+        "main",
+    )
+    split = staged(members.join(main, "key"), "split")
+    outside = split.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("c"), F.col("n").alias("n1"), F.col("m").alias("m1"))
+    inside = split.select("key", F.col("id").alias("y"), F.col("component").alias("d"), F.col("n").alias("n2"), F.col("m").alias("m2"))
+    rest = outside.join(inside, "key").where((F.col("c") != F.col("d")) & may_link(F.col("n1"), F.col("m1"), F.col("n2"), F.col("m2")))
+    return found.unionByName(confirm(retained(rest.select("x", "y")), sets, percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES, width: int = 5) -> DataFrame:
