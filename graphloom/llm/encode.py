@@ -19,7 +19,7 @@ TAIL = ".,!?;:#$%&*|)"
 #: Words that a worker remembers; past it, it starts anew.
 CACHE_WORDS = 1_000_000
 #: Bytes of text that are encoded at once (a longer text is a block of its own).
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 
 
 @dataclass
@@ -136,14 +136,21 @@ class Encoder:
         return Block(pieces, offsets, flat, starts, lengths)
 
 
-_encoders: dict[str, Encoder] = {}
+_held: dict = {}
+
+
+def worker_cache(key, make):
+    """What a worker process keeps between tasks: one thing at a time, so that the caches of
+    several operators never add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
 
 
 def encoder(path: str) -> Encoder:
     """The worker's own encoder of a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return worker_cache(("encoder", path), lambda: Encoder(path))
 
 
 def blocks(batches, text: str = "text", size: int = BLOCK_BYTES):

@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.encode import blocks
+from graphloom.llm.encode import blocks, worker_cache
 
 #: Bounds of the sample and the model.
-TRAIN_DOCS, MAX_WORDS, MAX_GRAMS = 4_000, 150_000, 150_000
+TRAIN_DOCS, MAX_WORDS, MAX_GRAMS = 4_000, 100_000, 60_000
 UNKNOWN = "und"
 #: Words that a worker remembers the scores of.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 
 def sample_by_hash(rows: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
@@ -101,9 +101,6 @@ def fit(rows: DataFrame, max_gram: int = 5, train_docs: int = TRAIN_DOCS) -> Mod
     return Model(langs, prior, words, logs(n), gram_words, logs(m), max_gram)
 
 
-_seen: dict = {}
-
-
 def predict(docs: DataFrame, model: Model, *keep: str, text: str = "text", posterior: bool = False) -> DataFrame:
     """The columns ``keep``, and ``lang_pred, score`` of column ``text`` of every document.
 
@@ -119,10 +116,9 @@ def predict(docs: DataFrame, model: Model, *keep: str, text: str = "text", poste
     def work(batches):
         m = shared.value
         k = len(m.langs)
-        if _seen.get("of") != m.key:
-            _seen.update(of=m.key, cache={}, rows=np.zeros((1 << 16, max(k, 1))))
-        cache = _seen["cache"]
-        for part in blocks(batches, held):
+        seen = worker_cache(("language", m.key), lambda: {"words": {}, "rows": np.zeros((1 << 16, max(k, 1)))})
+        cache = seen["words"]
+        for part in blocks(batches, held, 2 << 20):
             whole = pc.fill_null(part[held].combine_chunks(), "")
             split = pc.split_pattern_regex(pc.utf8_lower(whole), r"[^\p{L}]+")
             n = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -130,13 +126,13 @@ def predict(docs: DataFrame, model: Model, *keep: str, text: str = "text", poste
             uniq = coded.dictionary.to_pylist()
             if len(cache) > CACHE_WORDS:
                 cache.clear()
-            rows = _seen["rows"]
+            rows = seen["rows"]
             at = np.zeros(len(uniq), np.int64)
             for i, w in enumerate(uniq):
                 if (j := cache.get(w)) is None:
                     j = cache[w] = len(cache)
                     if j >= len(rows):
-                        rows = _seen["rows"] = np.concatenate((rows, np.zeros_like(rows)))
+                        rows = seen["rows"] = np.concatenate((rows, np.zeros_like(rows)))
                     if w and k:
                         rows[j] = m.row(w)
                     else:
