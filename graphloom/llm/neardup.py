@@ -45,7 +45,7 @@ def described(docs: DataFrame, coordinates: int = COORDINATES, width: int = 5) -
     """``doc_id, n, f, g, sig``: size, fingerprint and signature of each document's set."""
 
     def work(batches):
-        for part in blocks(batches):
+        for part in blocks(batches, size=2 << 20):
             flat, at = shingle_sets(part["text"].combine_chunks(), width)
             sig = signatures(flat, at, coordinates).astype(np.uint32).view(np.int32)
             f, g = fingerprints(flat, at)
@@ -63,7 +63,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, n_ids: int, width: int = 5) -> Da
     """``id, set`` (sorted 64-bit hashes) of the documents in ``ids``."""
 
     def work(batches):
-        for part in blocks(batches):
+        for part in blocks(batches, size=2 << 20):
             flat, at = shingle_sets(part["text"].combine_chunks(), width)
             raw = flat.astype("<u8").tobytes()
             sets = pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())

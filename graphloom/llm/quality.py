@@ -102,7 +102,7 @@ def describe(docs: DataFrame) -> DataFrame:
     names = [f"x{i}" for i in range(len(FEATURES))]
 
     def work(batches):
-        for part in blocks(batches):
+        for part in blocks(batches, size=2 << 20):
             x = statistics(part["text"].combine_chunks())
             yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks(), *(pa.array(x[:, i]) for i in range(x.shape[1]))], ["doc_id", *names])
 
