@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.plans import aggregates, audits, graphs, patterns  # noqa: F401  (importing registers)
+from graphloom.plans import aggregates, audits, graphs, patterns, streams  # noqa: F401  (importing registers)
 from graphloom.plans.base import QUERIES, SQL
 
 
