@@ -85,7 +85,7 @@ def scan(files: DataFrame, end_id: int, width: int = 2) -> DataFrame:
         found.withColumn("base", F.coalesce(F.sum("n").over(past), F.lit(0)))
         .withColumn("at", F.expr("transform(at, x -> x + base)"))
         .withColumn("seen", F.coalesce(F.sum(F.size("at")).over(past), F.lit(0)))
-        .withColumn("carry", F.coalesce(F.max(F.expr("element_at(at, -1)")).over(past), F.lit(-1)))
+        .withColumn("carry", F.coalesce(F.max(F.expr("try_element_at(at, -1)")).over(past), F.lit(-1)))
         .withColumn("tail", F.lead("block").over(order).isNull())
     )
     ends = placed.select(
