@@ -141,7 +141,7 @@ def links(classes: DataFrame, docs: DataFrame, percent: int = 75, coordinates: i
         right = able.select(F.col("id").alias("b"), F.col("tokens").alias("t"))
         return pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("s", "t")) >= matches).select("a", "b")
 
-    lists = staged(able.select(F.explode(F.slice("tokens", F.lit(1), F.col("spare"))).alias("key"), "id", "n", "m", "weight"), "posted")
+    lists = staged(able.select(F.posexplode(F.slice("tokens", F.lit(1), F.col("spare"))).alias("at", "key"), "id", "n", "m", "weight"), "posted")
     member = F.struct("id", "n", "m")
     hubs = staged(
         lists.groupBy("key")
@@ -161,11 +161,18 @@ def links(classes: DataFrame, docs: DataFrame, percent: int = 75, coordinates: i
         .select("key", F.col("top.component").alias("main")),
         "main",
     )
-    split = staged(members.join(main, "key"), "split")
-    outside = split.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("c"), F.col("n").alias("n1"), F.col("m").alias("m1"))
-    inside = split.select("key", F.col("id").alias("y"), F.col("component").alias("d"), F.col("n").alias("n2"), F.col("m").alias("m2"))
-    rest = outside.join(inside, "key").where((F.col("c") != F.col("d")) & may_link(F.col("n1"), F.col("m1"), F.col("n2"), F.col("m2")))
-    return found.unionByName(confirm(retained(rest.select("x", "y")), sets, percent))
+    split = staged(members.join(main, "key").join(able.select("id", "tokens"), "id").withColumn("past", F.expr("slice(tokens, 1, at)")), "split")
+    outside = split.where("component <> main").select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "component", "main", "n", "m", "past", "tokens")])
+    inside = split.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "component", "n", "m", "past", "tokens")])
+    rest = outside.join(inside, "key").where(
+        (F.col("component1") != F.col("component2"))
+        & ((F.col("id1") < F.col("id2")) | (F.col("component2") == F.col("main1")))  # two members outside meet once
+        & may_link(F.col("n1"), F.col("m1"), F.col("n2"), F.col("m2"))
+        & ~F.arrays_overlap("past1", "past2")  # in the first list that both are in
+        & (F.size(F.array_intersect("tokens1", "tokens2")) >= matches)
+    )
+    pairs = rest.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+    return found.unionByName(confirm(pairs, sets, percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES, width: int = 5) -> DataFrame:
