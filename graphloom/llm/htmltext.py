@@ -31,7 +31,7 @@ from graphloom.llm.language import sample_by_hash
 
 TRAIN_PAGES = 400
 #: Starting counts (inside, outside) of the kinds of tokens, as if seen on earlier pages.
-PRIOR_WORD, PRIOR_TAG = (4.0, 1.0), (1.0, 3.0)
+PRIOR_WORD, PRIOR_TAG = (4.0, 1.0), (3.0, 1.0)
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe|select|option|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -159,7 +159,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     found = list(tokens(page or ""))
     gain = np.zeros(len(found) + 1)
     for i, (kind, text, _, dropped, _) in enumerate(found, 1):
-        if kind == " " or (dropped and kind[0] == "w"):
+        if kind == " " or dropped:  # an element that is never main text weighs no more than its end tag
             continue
         w = weights[kind] if kind in weights else weight(kind)
         gain[i] = w * len(text.split()) if kind[0] == "w" else w

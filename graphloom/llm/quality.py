@@ -61,7 +61,8 @@ def statistics(texts: pa.Array) -> np.ndarray:
     n = np.diff(at).astype(float)
     space, upper, digit, plain, odd, bar, bang = (counts(kind & b > 0) for b in (1, 2, 4, 8, 16, 32, 64))
     lower = counts(kind & 128 > 0)
-    words = counts((kind & 1 == 0) & np.concatenate(([True], kind[:-1] & 1 > 0))) if len(raw) else np.zeros(len(n))
+    hashes, word_at = word_hashes(texts)
+    words = np.diff(word_at).astype(float)
     lines = counts(raw == 10) + 1
     split = pc.split_pattern(texts, "\n")
     of_line = np.repeat(np.arange(len(n)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
@@ -81,7 +82,6 @@ def statistics(texts: pa.Array) -> np.ndarray:
     line_at = np.searchsorted(ends, at[1:], "right")
     odd_bytes = bad_bytes[line_at] - bad_bytes[np.concatenate(([0], line_at[:-1]))]
 
-    hashes, word_at = word_hashes(texts)
     again = np.concatenate(([0], np.cumsum(hashes[1:] == hashes[:-1], dtype=np.int64), [0]))[: len(hashes) + 1] if len(hashes) else np.zeros(1, np.int64)
     inner = np.maximum(word_at[1:] - 1, word_at[:-1])
     echoed = (again[np.minimum(inner, len(again) - 1)] - again[np.minimum(word_at[:-1], len(again) - 1)]).astype(float)
