@@ -120,7 +120,55 @@ def to_hours(ms: Column) -> Column:
     return F.round(ms / 3_600_000.0, 2)
 
 
+# --- terms as structs ``(kind, value, dt, lang, dir)`` -------------------------------------------------
+
+
+def term(kind: str, value: Column, dt: Column | None = None, lang_tag: Column | None = None, direction: Column | None = None) -> Column:
+    """A term; language tags are in lower case, a direction is ``ltr`` or ``rtl``, and one needs a language."""
+    null = F.lit(None).cast("string")
+    tag = null if lang_tag is None else F.lower(lang_tag)
+    way = null if direction is None else F.when(direction.isin("ltr", "rtl") & tag.isNotNull(), direction)
+    return F.struct(F.lit(kind).alias("kind"), value.alias("value"), (null if dt is None else dt).alias("dt"), tag.alias("lang"), way.alias("dir"))
+
+
+def iri(value: Column) -> Column:
+    """Null where the text is no IRI: it needs a scheme and has no white space."""
+    return F.when(F.rlike(value, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:\S+$")), term("iri", value))
+
+
+def bnode(label: Column) -> Column:
+    return term("bnode", F.concat(F.lit("_:"), label))
+
+
+def strdt(value: Column, dt: str) -> Column:
+    """``xsd:string`` is the plain literal."""
+    return term("lit", value, None if dt == "xsd:string" else F.lit(dt))
+
+
+def strlang(value: Column, tag: Column, direction: Column | None = None) -> Column:
+    return term("lit", value, None, tag, direction)
+
+
+def is_kind(t: Column, kind: str) -> Column:
+    return t["kind"] == kind
+
+
+def langdir(t: Column) -> Column:
+    return F.coalesce(t["dir"], F.lit(""))
+
+
+def has_langdir(t: Column) -> Column:
+    return t["dir"].isNotNull()
+
+
+def uuid_iri() -> Column:
+    return F.concat(F.lit("urn:uuid:"), F.uuid())
+
+
 REGISTRY = {
+    "iri": iri, "uri": iri, "bnode": bnode, "strdt": strdt, "strlang": strlang, "strlangdir": strlang, "langdir": langdir, "haslangdir": has_langdir,
+    "isiri": lambda t: is_kind(t, "iri"), "isuri": lambda t: is_kind(t, "iri"), "isblank": lambda t: is_kind(t, "bnode"), "isliteral": lambda t: is_kind(t, "lit"),
+    "uuid": uuid_iri, "struuid": F.uuid, "rand": F.rand, "now": F.current_timestamp, "contains": F.contains, "strstarts": F.startswith, "strends": F.endswith,
     "lang": lang, "langmatches": langmatches, "datatype": datatype, "isnumeric": is_numeric, "substr": substr, "strbefore": strbefore,
     "strafter": strafter, "regex": regex, "replace": replace, "encode_for_uri": encode_for_uri, "fold": fold, "normalize": normalize,
     "round": round_half_up, "strlen": F.length, "ucase": F.upper, "lcase": F.lower, "concat": F.concat, "abs": F.abs, "ceil": F.ceil,

@@ -76,13 +76,12 @@ def seconds_of(text: Column) -> Column:
 def duration_text(seconds: Column) -> Column:
     """``P1DT2H3M4S`` of a number of seconds; whole seconds only, zero is ``PT0S``."""
     n = F.abs(seconds).cast("long")
-    d, h, m, s = F.expr("0"), None, None, None
     d, h = F.floor(n / 86400), F.floor(n % 86400 / 3600)
     m, s = F.floor(n % 3600 / 60), n % 60
     piece = lambda v, u: F.when(v > 0, F.concat(v.cast("string"), F.lit(u))).otherwise("")
     time = F.concat(piece(h, "H"), piece(m, "M"), piece(s, "S"))
     body = F.concat(F.lit("P"), piece(d, "D"), F.when(time != "", F.concat(F.lit("T"), time)).otherwise(""))
-    return F.when(n == 0, "PT0S").otherwise(F.concat(F.when(seconds < 0, "-").otherwise(""), body))
+    return F.when(n.isNull(), None).when(n == 0, "PT0S").otherwise(F.concat(F.when(seconds < 0, "-").otherwise(""), body))
 
 
 def months_of(text: Column) -> Column:
@@ -104,3 +103,42 @@ def plus_seconds(ts: Column, seconds: Column) -> Column:
 def adjust(ts: Column, zone_name: str) -> Column:
     """Clock time of a UTC instant in another zone."""
     return F.convert_timezone(F.lit("UTC"), F.lit(zone_name), ts.cast("timestamp_ntz"))
+
+
+def component(text: Column, unit: str) -> Column:
+    """Days, hours, minutes or seconds as they stand in a normal form: 90 minutes are 1 hour and 30 minutes."""
+    n = seconds_of(text)
+    whole = F.abs(n)
+    value = {
+        "days": F.floor(whole / 86400), "hours": F.floor(whole % 86400 / 3600), "minutes": F.floor(whole % 3600 / 60), "seconds": whole % 60,
+    }[unit]
+    return F.when(n < 0, -value).otherwise(value)
+
+
+def in_units(text: Column, unit: str) -> Column:
+    """The whole duration in days, hours, minutes or seconds."""
+    return seconds_of(text) / F.lit({"days": 86400.0, "hours": 3600.0, "minutes": 60.0, "seconds": 1.0}[unit])
+
+
+def add(a: Column, b: Column) -> Column:
+    return duration_text(seconds_of(a) + seconds_of(b))
+
+
+def subtract(a: Column, b: Column) -> Column:
+    return duration_text(seconds_of(a) - seconds_of(b))
+
+
+def scale(a: Column, factor: Column) -> Column:
+    return duration_text(seconds_of(a) * factor)
+
+
+def divide(a: Column, by: Column) -> Column:
+    """Null for a division by zero."""
+    return duration_text(F.try_divide(seconds_of(a), by))
+
+
+def timezone_duration(text: Column) -> Column:
+    """``PT2H`` for ``+02:00``, ``PT0S`` for ``Z``, null without a zone."""
+    z = zone(text)
+    minutes = F.regexp_extract(z, r"(\d\d):", 1).try_cast("int") * 60 + F.regexp_extract(z, r":(\d\d)", 1).try_cast("int")
+    return F.when(z == "Z", "PT0S").when(z != "", duration_text(F.when(z.startswith("-"), -minutes).otherwise(minutes) * 60))

@@ -247,6 +247,16 @@ scalar("fn_date_arith", "orders", "o_orderkey", {
 }, "o_orderdate + INTERVAL 93784 SECOND AS later, o_orderdate + INTERVAL 1 MONTH AS month, o_orderdate - INTERVAL 13 MONTH AS ago, CASE WHEN date_diff('second', o_orderdate, TIMESTAMP '1998-12-01') = 0 THEN 'PT0S' ELSE (CASE WHEN o_orderdate > TIMESTAMP '1998-12-01' THEN '-' ELSE '' END) || 'P' || abs(date_diff('second', o_orderdate, TIMESTAMP '1998-12-01')) // 86400 || 'D' END AS gap")
 
 
+scalar("fn_term_build", "documents", "doc_id", {
+    "tag": lambda: T.strlang(C("source"), F.upper("lang"), F.lit("rtl"))["lang"], "way": lambda: T.langdir(T.strlang(C("source"), C("lang"), F.lit("rtl"))), "has": lambda: T.has_langdir(T.strlang(C("source"), C("lang"), F.lit("up"))),
+    "dt": lambda: T.strdt(C("source"), "xsd:token")["dt"], "ok": lambda: T.call("isIRI", T.iri(F.concat(F.lit("x:"), "source"))), "bad": lambda: T.iri(F.concat("source", F.lit(" y")))["value"], "b": lambda: T.bnode(C("source"))["value"],
+}, "lang AS tag, 'rtl' AS way, FALSE AS has, 'xsd:token' AS dt, TRUE AS ok, CAST(NULL AS VARCHAR) AS bad, '_:' || source AS b")
+scalar("fn_duration_arith", "part", "p_partkey", {
+    "sum": lambda: D.add(F.concat(F.lit("PT"), "p_size", F.lit("M")), F.lit("PT1H")), "diff": lambda: D.in_units(D.subtract(F.lit("PT1M"), F.concat(F.lit("PT"), "p_size", F.lit("M"))), "minutes"), "twice": lambda: D.component(D.scale(F.concat(F.lit("PT"), "p_size", F.lit("H")), F.lit(2)), "days"),
+    "hours": lambda: D.component(F.concat(F.lit("PT"), "p_size", F.lit("H")), "hours"), "none": lambda: D.divide(F.lit("PT1H"), F.lit(0)), "zone": lambda: D.timezone_duration(F.lit("2024-01-01T00:00:00-02:30")),
+}, "'PT' || ((60 + p_size) // 60) || 'H' || CASE WHEN p_size % 60 > 0 THEN (p_size % 60) || 'M' ELSE '' END AS sum, CAST(1 - p_size AS DOUBLE) AS diff, CAST(2 * p_size // 24 AS BIGINT) AS twice, CAST(p_size % 24 AS BIGINT) AS hours, CAST(NULL AS VARCHAR) AS none, '-PT2H30M' AS zone")
+
+
 @query("host_predicate", "SELECT c_custkey, c_acctbal < 0 AS hit FROM customer")
 def host_predicate(spark, d):
     T.register("owes", lambda x: x < 0)
