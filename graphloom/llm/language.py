@@ -32,7 +32,7 @@ from graphloom.llm.encode import blocks, worker_cache
 TRAIN_DOCS, MAX_WORDS, MAX_GRAMS = 4_000, 100_000, 60_000
 UNKNOWN = "und"
 #: Words that a worker remembers the scores of.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 250_000
 
 
 def sample_by_hash(rows: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
@@ -55,15 +55,35 @@ class Model:
         self.grams = {g: i for i, g in enumerate(grams)}
         self.word_rows, self.gram_rows = word_rows, gram_rows
 
-    def row(self, word: str):
-        if (i := self.words.get(word)) is not None:
-            return self.word_rows[i]
-        padded = f"<{word}>"
-        for n in range(min(self.max_gram, len(padded)), 0, -1):
-            found = [i for k in range(len(padded) - n + 1) if (i := self.grams.get(padded[k : k + n])) is not None]
-            if found:
-                return self.gram_rows[found].mean(axis=0)
-        return np.zeros(len(self.langs))
+    def row(self, word: str) -> np.ndarray:
+        return self.rows([word])[0]
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Log frequencies by language of each word: its own, or the mean of its longest known n-grams."""
+        out = np.zeros((len(words), len(self.langs)))
+        known, known_at, backed, flat, starts = [], [], [], [], []
+        get, gram = self.words.get, self.grams.get
+        for i, word in enumerate(words):
+            if not word:
+                continue
+            if (j := get(word)) is not None:
+                known.append(i)
+                known_at.append(j)
+                continue
+            padded = f"<{word}>"
+            size = len(padded)
+            for n in range(min(self.max_gram, size), 0, -1):
+                found = [g for g in map(gram, [padded[k : k + n] for k in range(size - n + 1)]) if g is not None]
+                if found:
+                    backed.append(i)
+                    starts.append(len(flat))
+                    flat += found
+                    break
+        if known:
+            out[known] = self.word_rows[known_at]
+        if backed:
+            out[backed] = np.add.reduceat(self.gram_rows[flat], starts, axis=0) / np.diff([*starts, len(flat)])[:, None]
+        return out
 
 
 def fit(rows: DataFrame, max_gram: int = 5, train_docs: int = TRAIN_DOCS) -> Model:
@@ -127,17 +147,16 @@ def predict(docs: DataFrame, model: Model, *keep: str, text: str = "text", poste
             if len(cache) > CACHE_WORDS:
                 cache.clear()
             rows = seen["rows"]
-            at = np.zeros(len(uniq), np.int64)
+            at, new, old = np.zeros(len(uniq), np.int64), [], len(cache)
             for i, w in enumerate(uniq):
                 if (j := cache.get(w)) is None:
                     j = cache[w] = len(cache)
-                    if j >= len(rows):
-                        rows = seen["rows"] = np.concatenate((rows, np.zeros_like(rows)))
-                    if w and k:
-                        rows[j] = m.row(w)
-                    else:
-                        rows[j] = 0
+                    new.append(w)
                 at[i] = j
+            while len(cache) > len(rows):
+                rows = seen["rows"] = np.concatenate((rows, np.zeros_like(rows)))
+            if new and k:
+                rows[old : len(cache)] = m.rows(new)
             codes = coded.indices.to_numpy(zero_copy_only=False)
             ends = np.cumsum(n)
             doc_of = np.repeat(np.arange(len(n)), n)

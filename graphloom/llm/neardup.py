@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import components, small_side, staged
-from graphloom.llm.encode import blocks
+from graphloom.llm.encode import blocks, release
 from graphloom.llm.shingles import fingerprints, shingle_sets, signatures
 
 COORDINATES, MATCHES = 32, 14
@@ -45,6 +45,7 @@ def described(docs: DataFrame, coordinates: int = COORDINATES, width: int = 5) -
     """``doc_id, n, f, g, sig``: size, fingerprint and signature of each document's set."""
 
     def work(batches):
+        release()
         for part in blocks(batches, size=2 << 20):
             flat, at = shingle_sets(part["text"].combine_chunks(), width)
             sig = signatures(flat, at, coordinates).astype(np.uint32).view(np.int32)
@@ -63,6 +64,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, n_ids: int, width: int = 5) -> Da
     """``id, set`` (sorted 64-bit hashes) of the documents in ``ids``."""
 
     def work(batches):
+        release()
         for part in blocks(batches, size=2 << 20):
             flat, at = shingle_sets(part["text"].combine_chunks(), width)
             raw = flat.astype("<u8").tobytes()
@@ -77,6 +79,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
     """Of ``pairs`` (``a, b``), those whose sets share at least ``percent`` of their union."""
 
     def work(batches):
+        release()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import staged
-from graphloom.llm.encode import blocks
+from graphloom.llm.encode import blocks, release
 from graphloom.llm.shingles import word_hashes
 
 FEATURES = ("size", "word_size", "line_size", "upper", "digit", "plain_mark", "odd_mark", "bar", "bang", "space", "odd_lines", "same_lines", "same_words")
@@ -102,6 +102,7 @@ def describe(docs: DataFrame) -> DataFrame:
     names = [f"x{i}" for i in range(len(FEATURES))]
 
     def work(batches):
+        release()
         for part in blocks(batches, size=2 << 20):
             x = statistics(part["text"].combine_chunks())
             yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks(), *(pa.array(x[:, i]) for i in range(x.shape[1]))], ["doc_id", *names])

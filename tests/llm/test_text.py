@@ -40,10 +40,8 @@ def test_language_words_backoff_and_und(spark):
 
 def test_language_model_rows():
     m = language.Model(["a", "b"], np.zeros(2), ["yes"], np.array([[1.0, 2.0]]), ["<n", "o"], np.array([[3.0, 0.0], [0.0, 5.0]]), 3)
-    assert m.row("yes").tolist() == [1, 2]
-    assert m.row("nx").tolist() == [3, 0]  # a known 2-gram
-    assert m.row("oo").tolist() == [0, 5]  # 1-grams only
-    assert m.row("zz").tolist() == [0, 0]
+    # known; a known 2-gram; 1-grams only; nothing known
+    assert m.rows(["yes", "nx", "oo", "zz"]).tolist() == [[1, 2], [3, 0], [0, 5], [0, 0]]
 
 
 def test_language_without_labels(spark):
