@@ -16,7 +16,9 @@
    common and one drawn by hash: this joins groups of copies at the price of two pairs a
    posting.  Collisions are counted on the signatures, links are confirmed on the full sets.
 6. Members that confirmed links put into one component need not meet.  What is left of a
-   list, members outside its largest component, meets the members of other components.
+   list, members outside its largest component, meets the members of other components, each
+   pair once; what either shares with the central member, and apart from it with others,
+   bounds what they can share.
 
 Every link between different texts is found, or lies within a component that other
 confirmed links already join.
@@ -75,22 +77,23 @@ def full_sets(docs: DataFrame, ids: DataFrame, n_ids: int, width: int = 5) -> Da
     return rows.join(small_side(ids.select("id"), n_ids), "id", "left_semi").mapInArrow(work, "id long, set binary")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
-    """Of ``pairs`` (``a, b``), those whose sets share at least ``percent`` of their union."""
+def measured(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
+    """``a, b, both, linked`` of ``pairs`` (``a, b``): the size of the intersection of their sets, and
+    whether it is at least ``percent`` of the union."""
 
     def work(batches):
         release()
         for batch in batches:
-            keep = []
+            both, linked = [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                both.append(len(np.intersect1d(x, y, assume_unique=True)))
+                linked.append(100 * both[-1] >= percent * (len(x) + len(y) - both[-1]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(both, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "both", "linked"])
 
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long, both long, linked boolean")
 
 
 def shared_tokens(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
@@ -150,12 +153,13 @@ def links(classes: DataFrame, docs: DataFrame, percent: int = 75, coordinates: i
         lists.groupBy("key")
         .agg(F.count("*").alias("size"), F.max_by(member, F.struct("weight", "id")).alias("h"), F.min_by(member, F.xxhash64("id")).alias("g"))
         .where("size > 1")
-        .select("key", F.explode(F.array_distinct(F.array("h", "g"))).alias("hub"))
-        .select("key", F.col("hub.id").alias("y"), F.col("hub.n").alias("n2"), F.col("hub.m").alias("m2")),
+        .select("key", F.explode(F.array(F.struct("h.*", F.lit(True).alias("central")), F.struct("g.*", F.lit(False).alias("central")))).alias("hub"))
+        .select("key", F.col("hub.id").alias("y"), F.col("hub.n").alias("n2"), F.col("hub.m").alias("m2"), F.col("hub.central").alias("central")),
         "hubs",
     )
-    met = lists.join(hubs, "key").where((F.col("id") != F.col("y")) & may_link(F.col("n"), F.col("m"), F.col("n2"), F.col("m2")))
-    found = staged(confirm(retained(met.select(F.col("id").alias("x"), "y")), sets, percent), "links")
+    met = lists.join(hubs, "key").where((F.col("id") != F.col("y")) & (F.col("central") | may_link(F.col("n"), F.col("m"), F.col("n2"), F.col("m2"))))
+    seen = staged(measured(retained(met.select(F.col("id").alias("x"), "y")), sets, percent), "measured")
+    found = seen.where("linked").select("a", "b")
     group = staged(components(able.select("id").distinct(), found), "groups")
     members = staged(lists.drop("weight").join(group, "id"), "lists")
     main = staged(
@@ -164,18 +168,26 @@ def links(classes: DataFrame, docs: DataFrame, percent: int = 75, coordinates: i
         .select("key", F.col("top.component").alias("main")),
         "main",
     )
-    split = staged(members.join(main, "key").join(able.select("id", "tokens"), "id").withColumn("past", F.expr("slice(tokens, 1, at)")), "split")
-    outside = split.where("component <> main").select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "component", "main", "n", "m", "past", "tokens")])
-    inside = split.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "component", "n", "m", "past", "tokens")])
+    # with: what a member shares with the list's central member, where that was measured
+    central = hubs.where("central").select("key", F.col("y").alias("hub"))
+    split = members.join(main, "key").join(central, "key").withColumn("a", F.least("id", "hub")).withColumn("b", F.greatest("id", "hub"))
+    split = split.join(seen.drop("linked"), ["a", "b"], "left").withColumn("with", F.when(F.col("id") == F.col("hub"), F.col("n")).otherwise(F.col("both")))
+    split = staged(split.join(able.select("id", "tokens"), "id").withColumn("past", F.expr("slice(tokens, 1, at)")), "split")
+    columns = ("id", "component", "n", "m", "with", "past", "tokens")
+    outside = split.where("component <> main").select("key", F.col("main").alias("main1"), *[F.col(c).alias(f"{c}1") for c in columns])
+    inside = split.select("key", *[F.col(c).alias(f"{c}2") for c in columns])
+    apart = F.least(F.greatest(F.col("m1") - F.col("with1"), F.lit(0)), F.greatest(F.col("m2") - F.col("with2"), F.lit(0)))
+    most = F.when(F.col("with1").isNotNull() & F.col("with2").isNotNull(), F.least("with1", "with2") + apart).otherwise(F.least("m1", "m2"))
     rest = outside.join(inside, "key").where(
         (F.col("component1") != F.col("component2"))
         & ((F.col("id1") < F.col("id2")) | (F.col("component2") == F.col("main1")))  # two members outside meet once
         & may_link(F.col("n1"), F.col("m1"), F.col("n2"), F.col("m2"))
+        & ((100 + percent) * most >= percent * (F.col("n1") + F.col("n2")))
         & ~F.arrays_overlap("past1", "past2")  # in the first list that both are in
         & (F.size(F.array_intersect("tokens1", "tokens2")) >= matches)
     )
     pairs = rest.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
-    return found.unionByName(confirm(pairs, sets, percent))
+    return found.unionByName(measured(pairs, sets, percent).where("linked").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES, width: int = 5) -> DataFrame:
