@@ -1,20 +1,22 @@
-"""Embedding near-duplicates over a robust-pruned flat graph.
+"""Embedding near-duplicates: every pair of a label at or above a cosine, by blocks of cells.
 
 1. Equal vectors of one label become one node that remembers how many they are.
-2. Each label has centroids, fitted on a bounded sample (``SAMPLE`` vectors, by hash), and
-   every node joins the shards of its nearest ``overlap`` centroids.  A shard beyond
-   ``MAX_SHARD`` nodes is dealt into parts by hash.
-3. Each part builds a graph of its own: candidates are pruned robustly (an edge goes where
-   no kept neighbour is nearer by the factor ``ALPHA``), so that few edges stay and long
-   ones among them.  The adjacency lists of a node are united over its shards.
-4. In each shard every node is a query: a greedy beam walks from the part's medoid to it,
-   then the search spreads from it over all nodes in range and their neighbours until nothing new
-   is in range.  Nodes of other parts of the shard come as queries too.
-5. Every cosine at or above the threshold is taken in double precision.  Tasks give counts
-   and the local component of each node, never pairs; a pair that two shards have in
-   common counts in the first only.
-6. Recall is audited: a hashed sample of queries is compared with all vectors.  Below
-   ``RECALL`` the overlap grows by one and the search is repeated.
+2. Each label has centroids, fitted on a bounded sample (``SAMPLE`` vectors, by hash); a
+   node's home is the cell of its nearest centroid.
+3. A node is a guest in each later cell that can hold a link of it.  The members of cell
+   ``j`` lie on the side of ``c_j`` of the plane between ``c_j`` and the node's own centroid
+   ``c_h``, so none is within the angle of the threshold if ``x.c_h - x.c_j`` exceeds
+   ``sin(angle) * |c_h - c_j|``.  No other cell is left out, so no link is.
+4. Members and guests of a cell are dealt by hash into blocks of about ``BLOCK_NODES``; each
+   task compares two blocks.  Every unordered pair of nodes meets at most once: in their
+   common home, or in the later home of the two.
+5. Cosines are taken in double precision.  Tasks give counts and the local component of each
+   node, never pairs.
+
+The cells decide the cost only: where vectors are so spread out that a node can have links in
+most cells, or one group fills many blocks, the work is quadratic in the nodes concerned.
+``prune`` and ``in_range`` search one part by a robust-pruned graph; ``near_duplicates``, which
+counts every link, does without them.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components,
 and vectors with a null label, link with nothing; so do vectors of different lengths;
@@ -31,9 +33,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import components, n_partitions, staged
 
-SAMPLE, SHARD_NODES, MAX_SHARD = 20_000, 700, 2_048
+SAMPLE, CELL_NODES, BLOCK_NODES = 20_000, 4_096, 4_096
 DEGREE, CANDIDATES, ALPHA, BEAM = 24, 64, 1.2, 32
-AUDIT_QUERIES, RECALL, MOST_OVERLAP = 200, 0.98, 6
 
 
 # --- graph of one part ---------------------------------------------------------------------------
@@ -182,7 +183,7 @@ def centroids(nodes: DataFrame, rounds: int = 6) -> dict[tuple[str, int], np.nda
     out = {}
     for key, own in some.groupby(["label", "d"]):
         x = unit(own.sort_values("id")["v"])
-        k = min(-(-counts[key] // SHARD_NODES), max(len(x) // 8, 1))
+        k = min(-(-counts[key] // CELL_NODES), max(len(x) // 8, 1))
         c = x[np.random.default_rng(k).choice(len(x), k, replace=False)]
         for _ in range(rounds):
             near = np.argmax(x @ c.T, axis=1)
@@ -194,8 +195,19 @@ def centroids(nodes: DataFrame, rounds: int = 6) -> dict[tuple[str, int], np.nda
     return out
 
 
-def assigned(nodes: DataFrame, centres: dict, overlap: int) -> DataFrame:
-    """``shard, shards, id, v, copies``: a row for each of a node's shards, the nearest ``overlap``."""
+def reachable(sims: np.ndarray, centres: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Home cell of each row, and which cells can hold a vector with a cosine of ``least`` or more to it."""
+    home = np.argmax(sims, axis=1)
+    square = (centres * centres).sum(axis=1)
+    apart = np.sqrt(np.maximum(square[:, None] + square - 2 * centres @ centres.T, 0))
+    sine = np.sqrt(1 - least * least) if 0 < least <= 1 else np.inf if least <= 0 else 0.0
+    with np.errstate(invalid="ignore"):  # the own cell, at an infinite sine
+        far = sims[np.arange(len(sims)), home][:, None] - sims > sine * apart[home] + 1e-7
+    return home, ~far
+
+
+def assigned(nodes: DataFrame, centres: dict, least: float) -> DataFrame:
+    """``cell, guest, id, v, copies``: a row for each node's home, and for each later cell it must be compared with."""
     shared = nodes.sparkSession.sparkContext.broadcast(centres)
 
     def work(batches):
@@ -203,95 +215,77 @@ def assigned(nodes: DataFrame, centres: dict, overlap: int) -> DataFrame:
             batch["d"] = batch["v"].map(len)
             for (label, d), own in batch.groupby(["label", "d"]):
                 c = shared.value.get((label, d), np.zeros((1, d)))
-                sims = unit(own["v"]) @ c.T
-                k = min(overlap, len(c))
-                near = np.sort(np.argsort(-sims, axis=1, kind="stable")[:, :k], axis=1)
-                names = [[f"{label}/{d}/{j}" for j in row] for row in near]
-                yield pd.DataFrame({"shards": names, "id": own["id"], "v": own["v"], "copies": own["copies"]})
-
-    rows = nodes.select("label", "id", "v", "copies").mapInPandas(work, "shards array<string>, id long, v array<double>, copies long")
-    return rows.withColumn("shard", F.explode("shards"))
+                for at in range(0, len(own), 1_024):
+                    some = own.iloc[at : at + 1_024]
+                    home, near = reachable(unit(some["v"]) @ c.T, c, least)
+                    i, j = np.nonzero(near & (np.arange(len(c)) >= home[:, None]))
+                    for k in range(0, len(i), 4_096):
+                        q, cell = i[k : k + 4_096], j[k : k + 4_096]
+                        held = some.iloc[q]
+                        yield pd.DataFrame(
+                            {"cell": [f"{label}/{d}/{x}" for x in cell], "guest": cell != home[q], "id": held["id"].to_numpy(), "v": held["v"].to_numpy(), "copies": held["copies"].to_numpy()}
+                        )
+
+    return nodes.select("label", "id", "v", "copies").mapInPandas(work, "cell string, guest boolean, id long, v array<double>, copies long")
+
+
+def compared(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, held: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each node (with copies) and the smallest id joined to it: ``held`` nodes against the others, or among themselves if there is no other."""
+    left, right = np.flatnonzero(held), np.flatnonzero(~held)
+    alone = not len(right)
+    right = left if alone else right
+    n, joined = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    for at in range(0, len(left), 256):
+        q = left[at : at + 256]
+        i, j = np.nonzero(x[q] @ x[right].T >= least)
+        i, j = q[i], right[j]
+        other = ids[i] != ids[j]
+        i, j = i[other], j[other]
+        if not len(i):
+            continue
+        n += np.bincount(i, copies[j], minlength=len(ids)).astype(np.int64)
+        if not alone:
+            n += np.bincount(j, copies[i], minlength=len(ids)).astype(np.int64)
+        a, b = joined[i], joined[j]
+        a, b = np.divmod(np.unique((a * len(ids) + b)[a != b]), len(ids))
+        if len(a):
+            joined = local_components(np.arange(len(ids)), a, b)[joined]
+    low = ids.copy()
+    np.minimum.at(low, joined, ids)
+    return n, low[joined]
 
 
 def linked(rows: DataFrame, least: float) -> DataFrame:
-    """``id, n, low``: links that each shard finds for its nodes, and the smallest id joined to them there."""
+    """``id, n, low``: links that the blocks of each cell find for its nodes, and the smallest id joined to them there."""
     n_parts = n_partitions(rows.sparkSession)
-    sizes = staged(rows.groupBy("shard").agg(F.count("*").alias("m")).select("shard", F.ceil(F.col("m") / MAX_SHARD).cast("int").alias("parts")), "sizes")
-    rows = staged(rows.join(F.broadcast(sizes) if sizes.count() < 100_000 else sizes, "shard").withColumn("part", F.expr("pmod(xxhash64(id), parts)").cast("int")), "shards")
-
-    def build(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("id")
-        x, ids = unit(own["v"]).astype(np.float32), own["id"].to_numpy()
-        return pd.DataFrame({"id": ids, "to": [ids[e].tolist() for e in prune(x @ x.T)]})
-
-    def search(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        shard = key[0]
-        own = own.sort_values(["role", "id"])
-        held = own["role"].to_numpy() == 0
-        ids, x, copies = own["id"].to_numpy(), unit(own["v"]), own["copies"].to_numpy()
-        shards = [set(s) for s in own["shards"]]
-        nodes = np.flatnonzero(held)
-        place = {int(i): k for k, i in enumerate(ids[nodes])}
-        adjacent = [np.array([place[j] for j in to if j in place], np.int64) for to in own["to"].to_numpy()[nodes]]
-        itself = np.full(len(ids), -1)
-        itself[nodes] = np.arange(len(nodes))
-        pairs = in_range(x, x[nodes], adjacent, least, itself)
-        q, k = pairs[:, 0], nodes[pairs[:, 1]]
-        back = held[q]  # what a node finds, finds it
-        q, k = np.divmod(np.unique(np.concatenate((q * len(ids) + k, k[back] * len(ids) + q[back]))), len(ids))
-        other = ids[q] != ids[k]
-        q, k = q[other], k[other]
-        first = np.array([min(shards[a] & shards[b]) == shard for a, b in zip(q, k, strict=True)], bool) if len(q) else np.zeros(0, bool)
-        n = np.bincount(q[first], copies[k[first]], minlength=len(ids)).astype(np.int64)
-        return pd.DataFrame({"id": ids, "n": n, "low": local_components(ids, q, k)})
-
-    graph = rows.select("shard", "part", "id", "v").groupBy("shard", "part").applyInPandas(build, "id long, to array<long>")
-    united = staged(graph.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to")), "graph")
-    nodes = rows.withColumn("role", F.lit(0)).join(united, "id")
-    guests = rows.where("parts > 1").withColumn("own", F.col("part")).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).where("part <> own")
-    guests = guests.drop("own").withColumn("role", F.lit(1)).withColumn("to", F.lit(None).cast("array<long>"))
-    every = nodes.select("shard", "part", "role", "id", "v", "copies", "shards", "to").unionByName(
-        guests.select("shard", "part", "role", "id", "v", "copies", "shards", "to")
+    blocks = lambda guest: F.ceil(F.count(F.when(F.col("guest") == guest, 1)) / BLOCK_NODES).cast("int")
+    sizes = staged(rows.groupBy("cell").agg(blocks(False).alias("own"), blocks(True).alias("guests")), "sizes")
+    rows = rows.join(F.broadcast(sizes) if sizes.count() < 100_000 else sizes, "cell").where("own > 0")
+    # blocks 0 to own - 1 are the members', the guests' follow; a task is a members' block and itself or a later one
+    rows = rows.withColumn("block", F.expr("IF(guest, own + pmod(xxhash64(id), guests), pmod(xxhash64(id), own))").cast("int"))
+    tasks = F.expr(
+        "transform(sequence(0, IF(guest, own, own + guests) - 1), o -> named_struct('a', least(o, block), 'b', greatest(o, block), 'held', o >= block))"
     )
-    return every.repartition(n_parts, "shard", "part").groupBy("shard", "part").applyInPandas(search, "id long, n long, low long")
-
-
-def audit(nodes: DataFrame, found: DataFrame, least: float, queries: int = AUDIT_QUERIES) -> float:
-    """Share of the links of a hashed sample of nodes, counted against all vectors, that ``found`` has."""
-    from graphloom.llm.language import sample_by_hash
-
-    some = sample_by_hash(nodes, queries, "id").toPandas()
-    if not len(some):
-        return 1.0
-    some["d"] = some["v"].map(len)
-    parts = {k: (own["id"].to_numpy(), unit(own["v"])) for k, own in some.groupby(["label", "d"])}
-    shared = nodes.sparkSession.sparkContext.broadcast(parts)
+    rows = rows.withColumn("task", F.explode(tasks)).select("cell", "task.a", "task.b", "task.held", "id", "v", "copies")
 
-    def work(batches):
-        for batch in batches:
-            batch["d"] = batch["v"].map(len)
-            for key, own in batch.groupby(["label", "d"]):
-                if key in shared.value:
-                    ids, x = shared.value[key]
-                    near = (x @ unit(own["v"]).T >= least) & (ids[:, None] != own["id"].to_numpy()[None, :])
-                    yield pd.DataFrame({"id": ids, "n": near @ own["copies"].to_numpy()})
+    def search(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("id")
+        ids, held = own["id"].to_numpy(), own["held"].to_numpy()
+        if key[1] != key[2] and held.all() or not held.any():  # the hash left one of the two blocks empty
+            n, low = np.zeros(len(ids), np.int64), ids
+        else:
+            n, low = compared(ids, unit(own["v"]), own["copies"].to_numpy(), held, least)
+        return pd.DataFrame({"id": ids, "n": n, "low": low})[n > 0]
 
-    true = nodes.select("label", "id", "v", "copies").mapInPandas(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("t"))
-    row = true.join(found, "id", "left").agg(F.sum("t").alias("t"), F.sum(F.least(F.coalesce("n", F.lit(0)), "t")).alias("f")).first()
-    return row["f"] / row["t"] if row["t"] else 1.0
+    return rows.repartition(n_parts, "cell", "a", "b").groupBy("cell", "a", "b").applyInPandas(search, "id long, n long, low long")
 
 
 def near_duplicates(table: DataFrame, least: float = 0.98) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every vector of ``table`` (``vec_id, embedding, label``)."""
     nodes = staged(usable(table), "nodes")
     centres = centroids(nodes)
-    overlap = 2
-    while True:
-        rows = staged(linked(assigned(nodes, centres, overlap), least), "found")
-        counts = staged(rows.groupBy("id").agg(F.sum("n").alias("n")), "counts")
-        if overlap >= MOST_OVERLAP or audit(nodes, counts, least) >= RECALL:
-            break
-        overlap += 1
+    rows = staged(linked(staged(assigned(nodes, centres, least), "cells"), least), "found")
+    counts = staged(rows.groupBy("id").agg(F.sum("n").alias("n")), "counts")
     group = components(nodes.select("id").distinct(), rows.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
     whole = staged(nodes.join(counts, "id", "left").join(group, "id").select("label", "v", "copies", "n", "component"), "whole")
     v = F.col("embedding").cast("array<double>")

@@ -117,6 +117,41 @@ def test_vectors_that_link_with_nothing(spark):
     assert vectors.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_vectors_of_a_tight_group_link_all_with_all(spark):
+    r = np.random.default_rng(5)
+    x = np.concatenate((r.normal(size=64) + 0.08 * r.normal(size=(9000, 64)), r.normal(size=(500, 64))))
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = vectors.near_duplicates(frame).toPandas().sort_values("vec_id")
+    u = vectors.unit(x)
+    near = u @ u.T >= 0.98
+    assert (near[:9000].sum(axis=1) > 8900).all()
+    assert (got["n_links"].to_numpy() == near.sum(axis=1) - 1).all()
+    assert (got["component_id"].to_numpy()[:9000] == 0).all()
+
+
+@pytest.mark.parametrize("least", [0.98, 0.6, 0.0, -0.5])
+def test_cells_left_out_hold_no_link(least):
+    r = np.random.default_rng(6)
+    x = vectors.unit(np.concatenate((r.normal(size=(600, 4)), r.normal(size=4) + 0.05 * r.normal(size=(200, 4)))))
+    c = x[r.choice(len(x), 25, replace=False)]
+    home, near = vectors.reachable(x @ c.T, c, least)
+    i, j = np.nonzero(x @ x.T >= least)
+    assert near[i, home[j]].all() and (least < 0.9 or not near.all())
+
+
+def test_blocks_give_counts_and_components(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_NODES", 20)
+    monkeypatch.setattr(vectors, "BLOCK_NODES", 7)
+    rows = vector_rows(4)
+    got = {x["vec_id"]: x for x in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    x = vectors.unit(np.array([v for _, v, _ in rows], np.float32))
+    label = np.array([b for *_, b in rows])
+    near = (x @ x.T >= 0.98) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    low = classes(range(len(rows)), list(zip(*np.nonzero(near), strict=True)))
+    assert {i: (g["n_links"], g["component_id"]) for i, g in got.items()} == {i: (near[i].sum(), low[i]) for i in range(len(rows))}
+
+
 def test_graph_search_in_one_part():
     x = vectors.unit(np.random.default_rng(1).normal(size=(400, 8)))
     found = vectors.in_range(x, x, vectors.prune(x @ x.T), 0.9, np.arange(400))
