@@ -89,8 +89,8 @@ class Encoder:
         self.ends[self.n : self.n + len(new)] = start + np.cumsum(counts)
         self.n += len(new)
 
-    def encode(self, texts: pa.Array) -> Block:
-        """A block of texts; null counts as empty."""
+    def encode(self, texts: pa.Array, special_as_text: bool = False) -> Block:
+        """A block of texts; null counts as empty.  ``special_as_text``: special tokens in a text are but text."""
         if self.n > CACHE_WORDS:
             self._clear()
         texts = pc.fill_null(texts, "")
@@ -128,7 +128,9 @@ class Encoder:
         flat, starts, lengths = self.flat[: ends[-1]], np.concatenate(([0], ends[:-1])), np.diff(ends, prepend=0)
         if special.any():
             for d in np.flatnonzero(special):
+                self.tokenizer.encode_special_tokens = special_as_text
                 ids = np.array(self.tokenizer.encode(texts[int(d)].as_py(), add_special_tokens=False).ids, np.uint32)
+                self.tokenizer.encode_special_tokens = False
                 pieces = np.insert(pieces, offsets[d], len(starts))
                 offsets[d + 1 :] += 1
                 starts, lengths = np.append(starts, len(flat)), np.append(lengths, len(ids))

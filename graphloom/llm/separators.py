@@ -9,6 +9,10 @@ number of ids and its separators' places) takes part in the scan.
 ``scan`` takes any table ``(file, block, payload)``: blocks written by ``write_flat``, or
 raw files through Spark's ``binaryFile`` source with block 0.
 
+A special token that a text spells out (``<|endoftext|>`` in a web page, say) is encoded as
+plain text, so that the end id stands at the ends of documents only; writing checks that,
+and ``counted`` that each file closes as many documents as went into it.
+
 Defined cases: ids after the last separator of a file are a last, open document
 (``closed`` false); a null text is empty; an empty document has its separator alone;
 an empty payload or table gives no documents; a payload that ends inside an id is an error.
@@ -40,8 +44,10 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end_token: str, ids_p
         end = enc.tokenizer.token_to_id(end_token)
         rest, number, seen = np.zeros(0, np.uint16), 0, 0
         for part in blocks(batches):
-            block = enc.encode(part["text"].combine_chunks())
+            block = enc.encode(part["text"].combine_chunks(), special_as_text=True)
             ids, lengths = block.ids()
+            if (ids == end).any():
+                raise ValueError(f"file {file}: a text is encoded to the end id {end}")
             rest = np.concatenate((rest, np.insert(ids, np.cumsum(lengths), end).astype("<u2")))
             rows = [{"kind": "order", "file": file, "block": seen, "payload": None, "doc_ids": part["doc_id"].to_pylist()}]
             seen += part.num_rows
@@ -117,4 +123,7 @@ def counted(docs: DataFrame, tokenizer: str, end_token: str = "<|endoftext|>", p
     )
     order = order.select("file", (F.col("first") + F.col("i")).alias("ordinal"), "doc_id")
     found = scan(rows.where("kind = 'ids'").select("file", "block", "payload"), end_id)
-    return found.join(order, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+    both = found.join(order.withColumn("ordered", F.lit(True)), ["file", "ordinal"], "full")
+    agree = F.coalesce(F.col("closed") & F.col("ordered"), F.lit(False))
+    n_tokens = F.when(agree, F.col("n_tokens")).otherwise(F.raise_error(F.lit("a file's closed documents and ordered ids differ")).cast("long"))
+    return both.select("doc_id", "file", "ordinal", "start", n_tokens.alias("n_tokens"))

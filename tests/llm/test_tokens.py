@@ -112,6 +112,31 @@ def test_counts_equal_plain_encoding(spark):
     assert separators.counted(docs(spark, []), PATH).count() == 0
 
 
+def test_special_tokens_in_texts_are_counted_as_text(spark):
+    texts = [*TEXTS, "a<|endoftext|>b <|endoftext|>", "after", None, "<|endoftext|>", "last one"]
+    tokenizer = encoder(PATH).tokenizer
+    tokenizer.encode_special_tokens = True
+    want = [len(plain(t)) + 1 for t in texts]
+    tokenizer.encode_special_tokens = False
+    rows = [(i, t, "", 0) for i, t in enumerate(texts)]
+    got = separators.counted(docs(spark, rows).coalesce(1), PATH).orderBy("ordinal").collect()
+    assert [(r["doc_id"], r["n_tokens"]) for r in got] == list(enumerate(want))
+    assert [r["start"] for r in got] == [sum(want[:i]) for i in range(len(want))]
+
+
+def test_files_and_their_order_must_agree(spark, monkeypatch):
+    whole = separators.write_flat
+
+    def short(frame, path, *rest):
+        whole(frame.where("doc_id > 0"), path, *rest)
+        extra = [("order", 99, 0, None, [7])]
+        spark.createDataFrame(extra, "kind string, file long, block long, payload binary, doc_ids array<long>").write.mode("append").partitionBy("kind").parquet(path)
+
+    monkeypatch.setattr(separators, "write_flat", short)
+    with pytest.raises(Exception, match="closed documents and ordered ids differ"):
+        separators.counted(docs(spark, [(i, "a b", "", 0) for i in range(5)]), PATH).collect()
+
+
 def test_raw_files(spark, tmp_path):
     np.array([4, 4, 0, 5, 0], "<u4").tofile(tmp_path / "a.bin")
     raw = spark.read.format("binaryFile").load(f"file://{tmp_path}/*.bin").select(F.col("path").alias("file"), F.lit(0).alias("block"), F.col("content").alias("payload"))
