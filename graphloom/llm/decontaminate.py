@@ -1,75 +1,95 @@
-"""Benchmark decontamination by spaced-seed hashing, with DataFrame functions alone.
-
-A mask such as ``1101100111`` slides over the words of a text; only the words under its
-ones are hashed, so a substituted word under a zero does no harm.  The seeds of the
-benchmark and of the documents meet in a join on the hash.  Each hit fixes a diagonal
-(place in the document less place in the item); along it all words of the item are
-compared, and the overlap counts if at least ``MIN_WORDS`` words, or for a short item
-``MIN_SHARE`` of its words, are equal.
-
-The benchmark's seeds are broadcast if there are at most ``common.BROADCAST_ROWS`` of them,
+"""Benchmark decontamination by pairs of near words, with DataFrame functions alone.
+
+An overlap puts an item on a diagonal (place in the document less place in the item) and
+counts if at least ``MIN_WORDS`` words, or for a short item ``MIN_SHARE`` of its words, are
+equal there, wherever they stand.  If ``t`` of ``n`` words are equal, the ``t - 1`` steps from
+one to the next span ``n - 1`` places at most, so at most ``(n - 1) / (g + 1)`` are longer
+than ``g``.  An item's ``g`` is the least that leaves ``HITS`` steps of at most ``g``: the
+pairs of its words at most ``g`` apart meet those of the documents in a join, a diagonal
+with that many hits is a candidate, and along it all words of the item are compared.  No
+pattern of substitutions that the rule accepts is missed.  A document gives as many pairs
+a word as the largest ``g`` (2 for items of 24 words, 5 for 59, about ``n / 10`` beyond).
+
+The benchmark's pairs are broadcast if there are at most ``common.BROADCAST_ROWS`` of them,
 by count; else the join shuffles.  Hits are grouped by (document, item, diagonal), with
 partial sums, before anything else.
 
 Defined cases: words are runs of letters or digits, in lower case; a null text has none;
-an item or a document shorter than a mask has no seeds and is never matched; repeated
+an item of fewer than ``LEAST`` words is never matched (the SQL has it so); repeated
 items each give their rows; rows that share a ``doc_id`` are compared as one document's
 texts (each row's words are checked); null ids take no part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import small_side, staged
 
-#: Of one length; each has seven words to hash.
+#: Of the SQL, which looks only at diagonals that share a seed of seven words.
 MASKS = ("1101100111", "1110010111")
 MIN_WORDS, MIN_SHARE = 13, 0.75
+#: Words of the shortest item that is matched; hits that a candidate needs, if the rule asks for as many.
+LEAST, HITS = len(MASKS[0]), 3
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def seeds(rows: DataFrame, *keys: str, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """``keys, pos, seed`` of ``rows`` (``keys, words``), a row for each mask and place."""
-    span = len(masks[0])
-    hashed = rows.select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") >= span)
-    places = F.sequence(F.lit(0), F.size("h") - span)
+def needed(n: Column, min_words: int, min_share: float) -> Column:
+    return F.least(F.lit(min_words), F.ceil(F.lit(min_share) * n).cast("int"))
 
-    def under(number: int, mask: str) -> Column:
-        return F.transform(places, lambda i: F.xxhash64(F.lit(number), *[F.get("h", i + k) for k, c in enumerate(mask) if c == "1"]))
 
-    all_seeds = F.concat(*[under(n, m) for n, m in enumerate(masks)])
-    return hashed.select(*keys, (F.size("h") - span + 1).alias("places"), F.posexplode(all_seeds).alias("i", "seed")).select(
-        *keys, (F.col("i") % F.col("places")).alias("pos"), "seed"
-    )
+def hashed(text_words: Column) -> Column:
+    return F.transform(text_words, lambda w: F.xxhash64(w))
+
+
+def pairs_at(h: Column, far: int) -> Column:
+    """For each word, the hashes of its pairs with the words 1 to ``far`` places on; ``h`` is a column
+    that is already there, as it is looked up for each word."""
+    return F.transform(h, lambda x, i: F.array(*[F.xxhash64(F.lit(d), x, F.get(h, i + d)) for d in range(1, far + 1)]))
+
+
+def item_pairs(items: DataFrame, min_words: int, min_share: float) -> tuple[DataFrame, int]:
+    """``seed, item_id, at, need``: each item's pairs and the hits that a candidate needs; and the widest pair."""
+    n, must = F.size("words"), needed(F.size("words"), min_words, min_share)
+    own = items.where(n >= LEAST).distinct().withColumn("need", F.least(F.lit(HITS), must - 1))
+    own = own.withColumn("h", hashed(F.col("words"))).withColumn("gap", F.greatest(F.lit(1), F.floor((n - 1) / (must - F.col("need")))).cast("int"))
+    far = own.agg(F.max("gap").alias("far")).first()["far"] or 1
+    placed = own.select("item_id", "gap", n.alias("n"), F.min("need").over(Window.partitionBy("item_id")).alias("need"), F.posexplode(pairs_at(F.col("h"), far)).alias("at", "seeds"))
+    each = placed.select("item_id", "gap", "n", "need", "at", F.posexplode("seeds").alias("d", "seed"))
+    return each.where("d < gap AND at + d + 1 < n").select("seed", "item_id", "at", "need").distinct(), far
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
     """``doc_id, item_id, n_equal, item_words, start`` of every overlap: the best diagonal of each pair."""
+    if min_words < 2 or min_share * LEAST <= 1:
+        raise ValueError("an overlap has two equal words at least")
     items = staged(benchmark.where("item_id IS NOT NULL").select("item_id", words(F.col("text")).alias("words")), "items")
-    item_seeds = staged(
-        seeds(items, "item_id").groupBy("seed", "item_id", F.col("pos").alias("at")).agg(F.count("*").alias("same")).drop("same"), "item_seeds"
-    )
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    doc_seeds = seeds(texts.select("doc_id", words(F.col("text")).alias("words")), "doc_id")
+    item_seeds, far = item_pairs(items, min_words, min_share)
+    item_seeds = staged(item_seeds, "item_seeds")
+    doc_words = texts.select("doc_id", hashed(words(F.col("text"))).alias("h"))
+    doc_seeds = doc_words.select("doc_id", F.posexplode(pairs_at(F.col("h"), far)).alias("pos", "seeds")).select("doc_id", "pos", F.explode("seeds").alias("seed"))
     hits = staged(
         doc_seeds.join(small_side(item_seeds, item_seeds.count()), "seed")
-        .groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal"))
-        .agg(F.count("*").alias("hits")),
+        .groupBy("doc_id", "item_id", "need", (F.col("pos") - F.col("at")).alias("diagonal"))
+        .agg(F.count("*").alias("hits"))
+        .where("hits >= need")
+        .drop("need"),
         "hits",
     )
     some = staged(hits.select("doc_id").distinct(), "hit_docs")
     held = texts.join(small_side(some, some.count()), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("d"))
-    pairs = hits.join(items.withColumnRenamed("words", "w"), "item_id").join(held, "doc_id")
+    long_items = items.where(F.size("words") >= LEAST).withColumnRenamed("words", "w")
+    pairs = hits.join(long_items, "item_id").join(held, "doc_id")
     equal = F.size(
         F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda k: F.get("w", k) == F.get("d", k + F.col("diagonal")))
     )
     checked = pairs.select("doc_id", "item_id", F.size("w").alias("item_words"), F.col("diagonal").alias("start"), equal.alias("n_equal"))
-    enough = F.least(F.lit(min_words).cast("double"), F.ceil(F.lit(min_share) * F.col("item_words")).cast("double"))
+    enough = needed(F.col("item_words"), min_words, min_share)
     best = F.max(F.struct("n_equal", (-F.col("start")).alias("late"))).alias("best")
     return (
         checked.where(F.col("n_equal") >= enough)

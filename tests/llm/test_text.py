@@ -114,6 +114,25 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.contaminated(d.limit(0), b).count() == 0 and decontaminate.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_finds_every_pattern_that_the_rule_accepts(spark):
+    r = random.Random(8)
+    items = {i: made_text(r, n) for i, n in enumerate([10, 11, 13, 16, 17, 20, 30, 60, 150])}
+    docs, want = [], {}
+    for i, item in items.items():
+        n = len(item)
+        must = min(13, -(-3 * n // 4))
+        kept = [set(r.sample(range(n), must - k % 2)) for k in range(12)] + [{k for k in range(n) if k % 5 != 4}, set(range(0, n, max(n // 13, 1)))]
+        for at in kept:
+            words = made_text(r, 9) + [w if k in at else "swapped" for k, w in enumerate(item)]
+            if len(at) >= must:
+                want[len(docs), i] = len(at)
+            docs.append((len(docs), " ".join(words)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["n_equal"] for x in decontaminate.contaminated(d, b).collect()}
+    assert got == want and len(want) > 60
+
+
 # --- quality ---------------------------------------------------------------------------------------------
 
 
