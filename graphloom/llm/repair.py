@@ -1,9 +1,11 @@
 """Token-ID output under a Re-Pair grammar, with random-access decoding.
 
-Documents in ascending ``doc_id`` order are range-partitioned into shards, encoded, ended
-by ``end_id`` and written as a Parquet table with one row per block of a shard:
+Documents in ascending ``doc_id`` order are range-partitioned into parts, encoded and ended
+by ``end_id``.  A shard is a run of a part's documents with about ``encode.BLOCK_BYTES`` of
+text (a longer text is a shard of its own); it has a grammar of its own, so that one task
+holds no more than one shard.  The file is a Parquet table with one row per shard:
 
-    shard, block            place in the order
+    part, shard             place in the order
     doc_ids                 int64 little-endian, ``id_null`` one byte each (1: the id was null)
     doc_tokens              uint32 each: ids of the document, end id included
     symbol_starts           uint32, one more than documents: where each one's symbols start
@@ -11,13 +13,16 @@ by ``end_id`` and written as a Parquet table with one row per block of a shard:
     rule_lengths            uint32: ids to which each rule expands
     symbols                 uint32: the text after replacement
 
-Re-Pair replaces frequent neighbour pairs by new symbols, round by round; a round takes
-many pairs at once of which none can overlap another.  Pairs within words come first, on
-the block's distinct words weighted by their counts (their counts are the same there, at a
-fraction of the work), then pairs across words.  No rule crosses a document's end.
+Re-Pair replaces frequent neighbour pairs by new symbols, round by round, until no pair
+occurs ``MIN_COUNT`` times in the shard; a round takes many pairs at once, the most
+frequent first, of which none can overlap another.  Pairs within words come first, on the
+shard's distinct words weighted by their counts (their counts are the same there, at a
+fraction of the work), then all pairs of the text.  No rule crosses a document's end.
 
 Defined cases: a null text is empty and yields the end id alone; null ids come first;
-rows with equal ids stay next to each other; an empty table gives an empty table.
+rows with equal ids stay next to each other, by text; a text of any length is encoded as a
+whole (one shard must fit into a task's memory); other columns of the input are ignored,
+whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,19 +36,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import n_partitions, scratch
-from graphloom.llm.encode import Block, blocks, encoder, spread
+from graphloom.llm.encode import Block, blocks, encoder, release, spread
 
 FILE_SCHEMA = (
-    "shard int, block int, tokens long, terminals int, doc_ids binary, id_null binary, doc_tokens binary, "
+    "part int, shard int, tokens long, terminals int, doc_ids binary, id_null binary, doc_tokens binary, "
     "symbol_starts binary, rules binary, rule_lengths binary, symbols binary"
 )
 
 
+#: A pair is frequent from this count on: a rule takes 12 bytes, each use of it saves a symbol of 4.
+MIN_COUNT = 4
+
+
 class Grammar:
-    """Rules of one block, grown round by round."""
+    """Rules of one shard, grown round by round until no pair is frequent."""
 
-    def __init__(self, terminals: int, min_count: int = 4, per_round: int = 8192):
-        self.terminals, self.min_count, self.per_round = terminals, min_count, per_round
+    def __init__(self, terminals: int, min_count: int = MIN_COUNT):
+        self.terminals, self.min_count = terminals, min_count
         self.left, self.right = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
 
@@ -53,81 +62,90 @@ class Grammar:
         out[high] = self.lengths[symbols[high] - self.terminals]
         return out
 
-    def round(self, seq: np.ndarray, last: np.ndarray, weights: np.ndarray | None = None):
-        """One round: ``(seq, last, weights)`` after it, or None if no pair is frequent.
-
-        ``last`` marks symbols after which nothing may be joined.
-        """
-        at = np.flatnonzero(~last[:-1])
-        codes, keys = pd.factorize((seq[at] << 32) | seq[at + 1])
-        counts = np.bincount(codes, None if weights is None else weights[at], minlength=len(keys))
-        often = np.flatnonzero(counts >= self.min_count)
-        if not len(often):
-            return None
-        often = often[np.lexsort((keys[often], -counts[often]))][: self.per_round]
+    def _take(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Places of the frequent pairs that become rules now: the most frequent first, none that can overlap one taken before."""
+        order = np.lexsort((keys, -counts))
         lefts: set[int] = set()
         rights: set[int] = set()
         taken = []
-        for k, a, b in zip(often.tolist(), (keys[often] >> 32).tolist(), (keys[often] & 0xFFFFFFFF).tolist(), strict=True):
+        for k, a, b in zip(order.tolist(), (keys[order] >> 32).tolist(), (keys[order] & 0xFFFFFFFF).tolist(), strict=True):
             if a not in rights and b not in lefts and (a != b or (a not in lefts and b not in rights)):
                 lefts.add(a)
                 rights.add(b)
                 taken.append(k)
-        rule = np.full(len(keys), -1, np.int64)
-        rule[taken] = self.terminals + len(self.left) + np.arange(len(taken))
-        new = keys[taken]
-        a, b = new >> 32, new & 0xFFFFFFFF
-        self.lengths = np.concatenate((self.lengths, self.length_of(a) + self.length_of(b)))
-        self.left, self.right = np.concatenate((self.left, a)), np.concatenate((self.right, b))
-        symbol = rule[codes]
-        hit = symbol >= 0
-        at, symbol = at[hit], symbol[hit]
-        twin = seq[at] == seq[at + 1]
-        if twin.any():  # a run of one symbol: every other of its pairs
-            q = at[twin]
-            head = np.concatenate(([True], np.diff(q) != 1))
-            place = np.arange(len(q)) - np.maximum.accumulate(np.where(head, np.arange(len(q)), 0))
-            keep = np.ones(len(at), bool)
-            keep[np.flatnonzero(twin)[place % 2 == 1]] = False
-            at, symbol = at[keep], symbol[keep]
-        seq, last = seq.copy(), last.copy()
-        seq[at], last[at] = symbol, last[at + 1]
-        stays = np.ones(len(seq), bool)
-        stays[at + 1] = False
-        return seq[stays], last[stays], None if weights is None else weights[stays]
-
-
-def compress(block: Block, terminals: int, word_rounds: int = 6, text_rounds: int = 2) -> tuple[Grammar, np.ndarray, np.ndarray]:
+        return np.array(taken, np.int64)
+
+    def replace(self, seq: np.ndarray, last: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """``seq`` and ``last`` after all rounds; ``last`` marks symbols after which nothing may be joined.
+
+        ``weights`` says how often each place of ``seq`` counts.  A pair that is not frequent
+        never becomes so, unless a new symbol is part of it: after the first round only pairs
+        that were frequent, and those beside a replaced one, are counted again.
+        """
+        live = ~last
+        if len(live):
+            live[-1] = False
+        while True:
+            at = np.flatnonzero(live)
+            codes, keys = pd.factorize((seq[at] << 32) | seq[at + 1])
+            counts = np.bincount(codes, None if weights is None else weights[at], minlength=len(keys))
+            often = np.flatnonzero(counts >= self.min_count)
+            if not len(often):
+                return seq, last
+            taken = often[self._take(keys[often], counts[often])]
+            rule = np.full(len(keys), -1, np.int64)
+            rule[taken] = self.terminals + len(self.left) + np.arange(len(taken))
+            a, b = keys[taken] >> 32, keys[taken] & 0xFFFFFFFF
+            self.lengths = np.concatenate((self.lengths, self.length_of(a) + self.length_of(b)))
+            self.left, self.right = np.concatenate((self.left, a)), np.concatenate((self.right, b))
+            live[at] = (counts >= self.min_count)[codes]
+            symbol = rule[codes]
+            hit = symbol >= 0
+            at, symbol = at[hit], symbol[hit]
+            twin = np.flatnonzero(seq[at] == seq[at + 1])
+            if len(twin):  # a run of one symbol: every other of its pairs
+                q = at[twin]
+                head = np.concatenate(([True], np.diff(q) != 1))
+                place = np.arange(len(q)) - np.maximum.accumulate(np.where(head, np.arange(len(q)), 0))
+                keep = np.ones(len(at), bool)
+                keep[twin[place % 2 == 1]] = False
+                at, symbol = at[keep], symbol[keep]
+            seq[at], last[at] = symbol, last[at + 1]
+            live[at] = True
+            live[at - 1] = True  # place -1 is the end, which joins nothing
+            stays = np.ones(len(seq), bool)
+            stays[at + 1] = False
+            seq, last, live = seq[stays], last[stays], live[stays]
+            weights = None if weights is None else weights[stays]
+            live &= ~last
+            live[-1] = False
+
+
+def compress(block: Block, terminals: int, min_count: int = MIN_COUNT) -> tuple[Grammar, np.ndarray, np.ndarray]:
     """Grammar, symbols, and where each document's symbols start."""
-    grammar = Grammar(terminals)
-    used, codes = np.unique(block.pieces, return_inverse=True)
-    lengths = block.lengths[used]
-    used, full = used[lengths > 0], lengths > 0
-    seq = spread(block.flat, block.starts[used], block.lengths[used]).astype(np.int64)
-    counts = np.bincount(codes, minlength=len(full))[full]
-    weights = np.repeat(counts, block.lengths[used])
+    grammar = Grammar(terminals, min_count)
+    counts = np.bincount(block.pieces, minlength=len(block.starts))
+    used = np.flatnonzero((counts > 0) & (block.lengths > 0))
+    n = block.lengths[used]
+    seq = spread(block.flat, block.starts[used], n).astype(np.int64)
+    weights = np.repeat(counts[used], n)
     last = np.zeros(len(seq), bool)
-    if len(seq):
-        last[np.cumsum(block.lengths[used]) - 1] = True
-    for _ in range(word_rounds):
-        if not len(seq) or (after := grammar.round(seq, last, weights)) is None:
-            break
-        seq, last, weights = after
-    ends = np.zeros(len(full), np.int64)
-    ends[full] = np.flatnonzero(last) + 1
-    starts = np.zeros(len(full), np.int64)
-    starts[full] = np.concatenate(([0], np.flatnonzero(last)[:-1] + 1)) if full.any() else 0
-    n = (ends - starts)[codes]
-    text = spread(seq, starts[codes], n)
+    last[np.cumsum(n) - 1] = True
+    seq, last = grammar.replace(seq, last, weights)
+    ends = np.flatnonzero(last) + 1
+    size, start = np.zeros(len(block.starts), np.int64), np.zeros(len(block.starts), np.int64)
+    size[used] = np.diff(ends, prepend=0)
+    start[used] = ends - size[used]
+    n = size[block.pieces]
+    text = spread(seq, start[block.pieces], n)
     docs = np.concatenate(([0], np.cumsum(n)))[block.offsets]
     last = np.zeros(len(text), bool)
-    last[docs[1:][np.diff(docs) > 0] - 1] = True
-    mark = np.repeat(np.arange(len(docs) - 1), np.diff(docs))
-    for _ in range(text_rounds):
-        if not len(text) or (after := grammar.round(text, last, mark)) is None:
-            break
-        text, last, mark = after
-    return grammar, text, np.searchsorted(mark, np.arange(len(docs)), "left")
+    full = np.diff(docs) > 0
+    last[docs[1:][full] - 1] = True
+    text, last = grammar.replace(text, last)
+    sizes = np.zeros(len(docs) - 1, np.int64)
+    sizes[full] = np.diff(np.flatnonzero(last) + 1, prepend=0)
+    return grammar, text, np.concatenate(([0], np.cumsum(sizes)))
 
 
 def expansions(terminals: int, left: np.ndarray, right: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +216,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
     def work(batches):
         from pyspark import TaskContext
 
-        shard, enc = TaskContext.get().partitionId(), encoder(tokenizer)
+        release(keep="encoder")
+        order, enc = TaskContext.get().partitionId(), encoder(tokenizer)
         terminals = max(enc.tokenizer.get_vocab_size(), end_id + 1)
         for number, part in enumerate(blocks(batches)):
             block = enc.encode(part["text"].combine_chunks())
@@ -217,7 +236,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
             pairs = np.empty(2 * len(grammar.left), "<u4")
             pairs[0::2], pairs[1::2] = grammar.left, grammar.right
             row = {
-                "shard": shard, "block": number, "tokens": int(before[-1]), "terminals": terminals,
+                "part": order, "shard": number, "tokens": int(before[-1]), "terminals": terminals,
                 "doc_ids": ids.fill_null(0).to_numpy().astype("<i8").tobytes(),
                 "id_null": ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(),
                 "doc_tokens": np.diff(before).astype("<u4").tobytes(), "symbol_starts": starts.astype("<u4").tobytes(),
@@ -234,14 +253,15 @@ ARROW = pa.schema(
 
 
 def read_documents(spark, path: str) -> DataFrame:
-    """Per document of a token file: ``doc_id, start, n_tokens, ids_crc32, shard, block, symbols``.
+    """Per document of a token file: ``doc_id, start, n_tokens, ids_crc32, part, shard, symbols``.
 
-    ``start`` is the number of ids before the document, from a running sum over the blocks'
-    totals (one small row per block).
+    ``start`` is the number of ids before the document: sums over the parts before its own,
+    over its part's shards before its own, and within its shard.
     """
     rows = spark.read.schema(FILE_SCHEMA).parquet(path)
 
     def work(batches):
+        release()
         for batch in batches:
             for row in batch.to_pylist():
                 r = Reader(row)
@@ -249,19 +269,22 @@ def read_documents(spark, path: str) -> DataFrame:
                 n = len(r.doc_tokens)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([row["shard"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()),
+                        pa.array([row["part"]] * n, pa.int32()), pa.array([row["shard"]] * n, pa.int32()),
                         pa.array(r.doc_ids, pa.int64()), pa.array(ends[:-1], pa.int64()), pa.array(r.doc_tokens, pa.int64()),
                         pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.int64()),
                         pa.array(np.diff(r.symbol_starts), pa.int64()),
                     ],
-                    ["shard", "block", "doc_id", "inner", "n_tokens", "ids_crc32", "symbols"],
+                    ["part", "shard", "doc_id", "inner", "n_tokens", "ids_crc32", "symbols"],
                 )
 
-    docs = rows.mapInArrow(work, "shard int, block int, doc_id long, inner long, n_tokens long, ids_crc32 long, symbols long")
-    before = Window.orderBy("shard", "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.select("shard", "block", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    return docs.join(starts, ["shard", "block"]).select(
-        "doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", "shard", "block", "symbols"
+    docs = rows.mapInArrow(work, "part int, shard int, doc_id long, inner long, n_tokens long, ids_crc32 long, symbols long")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    of_part = rows.groupBy("part").agg(F.sum("tokens").alias("tokens"))  # a row for each task that wrote
+    of_part = of_part.select("part", F.coalesce(F.sum("tokens").over(before(Window.orderBy("part"))), F.lit(0)).alias("base"))
+    of_shard = F.coalesce(F.sum("tokens").over(before(Window.partitionBy("part").orderBy("shard"))), F.lit(0))
+    starts = rows.select("part", "shard", of_shard.alias("past")).join(of_part, "part")
+    return docs.join(starts, ["part", "shard"]).select(
+        "doc_id", (F.col("base") + F.col("past") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", "part", "shard", "symbols"
     )
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import repair, separators
-from graphloom.llm.encode import Block, encoder, spread
+from graphloom.llm.encode import Block, Encoder, encoder, spread
 
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
 TEXTS = [
@@ -29,6 +30,35 @@ def test_encoding_by_words_equals_encoding_whole_texts():
         assert ids[a:b].tolist() == plain(t), t
 
 
+def test_every_character_before_and_after_punctuation():
+    encode, tokenizer = encoder(PATH).encode, encoder(PATH).tokenizer
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    chars = chars[:0x3000] + chars[0x3000::37]
+    for at in range(0, len(chars), 20_000):
+        texts = [f"x{c}. {c}!{c}" for c in chars[at : at + 20_000]]
+        ids, n = encode(pa.array(texts)).ids()
+        cut = np.split(ids, np.cumsum(n)[:-1])
+        for t, own, whole in zip(texts, cut, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert own.tolist() == whole.ids, t
+
+
+def test_letters_that_normalise_to_more_than_one():
+    words = ["TATLISES\u0130", "\u0958\u0959", "\u09dc\u09df", "\u0a33", "\u0b5c", "\ufb2a", "stra\u00dfe", "I\u0307", "e\u0301"]
+    texts = [w + t for w in words for t in ("", ".", "!)", ".x", "' s")]
+    ids, n = encoder(PATH).encode(pa.array(texts)).ids()
+    for t, own in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert own.tolist() == plain(t), t
+
+
+def test_other_tokenizers_encode_whole_texts():
+    enc = Encoder(str(public_tokenizers.path("byte_bpe_50k.json")))
+    assert encoder(PATH).by_words and not enc.by_words
+    texts = ["Hello,  world. x", "", "tab\tand\n lines", "É!"]
+    ids, n = enc.encode(pa.array(texts)).ids()
+    for t, own in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert own.tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_spread():
     flat = np.arange(10)
     assert spread(flat, np.array([3, 5, 0]), np.array([2, 0, 3])).tolist() == [3, 4, 0, 1, 2]
@@ -64,6 +94,40 @@ def test_grammar_round_trip_and_windows(seed):
             assert (reader.window(d, 2, 3) == own[2:3]).all()
 
 
+def plain_repair(ids, least):
+    """Replaces the most frequent pair, one at a time, until none occurs ``least`` times."""
+    ids, top = list(ids), max(ids) + 1
+    while True:
+        counts, k = Counter(), 0
+        while k + 1 < len(ids):  # a run of one symbol holds half as many pairs
+            counts[ids[k], ids[k + 1]] += 1
+            k += 1 + (k + 2 < len(ids) and ids[k] == ids[k + 1] == ids[k + 2])
+        if not counts or max(counts.values()) < least:
+            return ids
+        pair = max(counts, key=counts.get)
+        out, k = [], 0
+        while k < len(ids):
+            hit = tuple(ids[k : k + 2]) == pair
+            out.append(top if hit else ids[k])
+            k += 1 + hit
+        ids, top = out, top + 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_grammar_ends_without_a_frequent_pair_and_near_plain_repair(seed):
+    r = np.random.default_rng(seed)
+    phrases = [r.integers(0, 40, 12) for _ in range(30)]
+    ids = np.concatenate([phrases[k] if k < 30 else r.integers(0, 40, 12) for k in r.integers(0, 40, 200)])
+    block = Block(np.arange(len(ids)), np.array([0, len(ids)]), ids.astype(np.uint32), np.arange(len(ids)), np.ones(len(ids), np.int64))
+    grammar, symbols, _ = repair.compress(block, 40, min_count=4)
+    assert max(Counter(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True)).values()) < 4 + 2
+    whole = plain_repair(ids.tolist(), 4)
+    assert len(symbols) <= 1.15 * len(whole)
+    copies = np.tile(phrases[0], 400)  # a passage that repeats shrinks to next to nothing
+    one = Block(np.zeros(400, np.int64), np.array([0, 400]), phrases[0].astype(np.uint32), np.array([0]), np.array([12]))
+    assert len(repair.compress(one, 40)[1]) < 12 and (one.ids()[0] == copies).all()
+
+
 def docs(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, symbols string, start int")
 
