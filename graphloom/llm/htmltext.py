@@ -141,7 +141,7 @@ def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> dict[str, float]:
                 total.update(tally(page))
             yield pd.DataFrame([(k, bool(i), float(n)) for (k, i), n in total.items()], columns=["kind", "inside", "n"])
 
-    some = sample_by_hash(pages.where("html IS NOT NULL").select("page_id", F.col("html").cast("string").alias("html")), train_pages, "page_id")
+    some = sample_by_hash(pages.where("html IS NOT NULL").select("page_id", F.col("html").cast("string").alias("html")), train_pages, "page_id", "html")
     counts = some.select("html").mapInPandas(work, "kind string, inside boolean, n double")
     got = counts.groupBy("kind").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0.0)).alias("i"), F.sum("n").alias("n")).collect()
     return {r["kind"]: weight(r["kind"], r["i"], r["n"] - r["i"]) for r in got}

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,52 @@ def test_language_words_backoff_and_und(spark):
 
 def test_language_model_rows():
     m = language.Model(["a", "b"], np.zeros(2), ["yes"], np.array([[1.0, 2.0]]), ["<n", "o"], np.array([[3.0, 0.0], [0.0, 5.0]]), 3)
-    # known; a known 2-gram; 1-grams only; nothing known
-    assert m.rows(["yes", "nx", "oo", "zz"]).tolist() == [[1, 2], [3, 0], [0, 5], [0, 0]]
+    # known; a known 2-gram; 1-grams only; nothing known; no word
+    assert m.rows(["yes", "nx", "oo", "zz", ""]).tolist() == [[1, 2], [3, 0], [0, 5], [0, 0], [0, 0]]
+    assert m.rows([]).shape == (0, 2) and language.Model([], np.zeros(0), [], np.zeros((0, 0)), [], np.zeros((0, 0)), 3).rows(["a"]).shape == (1, 0)
+
+
+def test_language_against_a_plain_model(spark):
+    rows = corpus(40, 3) + [(900 + i, "".join(random.Random(i).choice("thedrün") for _ in range(7)), ("en", "de")[i % 2], 0.5, "") for i in range(40)]
+    model = language.fit(spark.createDataFrame(rows, SCHEMA))
+    counts = {x: Counter() for x in ("de", "en")}
+    for _, text, lang, *_ in rows:
+        counts[lang].update(re.findall(r"[^\W\d_]+", text.lower()))
+    grams = {x: Counter() for x in counts}
+    for lang, c in counts.items():
+        for w, n in c.items():
+            p = f"<{w}>"
+            for k in range(1, 6):
+                for i in range(len(p) - k + 1):
+                    grams[lang][p[i : i + k]] += n
+
+    def table(c):
+        keep = [w for w in set(c["de"]) | set(c["en"]) if c["de"][w] + c["en"][w] >= 2]
+        total = {x: sum(c[x][w] for w in keep) + 1 for x in c}
+        return {w: np.array([np.log((c[x][w] + 0.5) / 0.5) for x in ("de", "en")]) for w in keep}, total
+
+    words, _ = table(counts)
+    known, _ = table(grams)
+
+    def row(w):
+        if w in words:
+            return words[w]
+        p = f"<{w}>"
+        for k in range(5, 0, -1):
+            found = [known[g] for g in (p[i : i + k] for i in range(len(p) - k + 1)) if g in known]
+            if found:
+                return np.mean(found, axis=0)
+        return np.zeros(2)
+
+    some = ["the", "und", "thedr", "xxthe", "q", "ünd", "richtig", "a"]
+    assert np.allclose(model.rows(some), [row(w) for w in some])
+
+
+def test_samples_are_bounded_by_distinct_rows(spark):
+    rows = spark.createDataFrame([(None, "same")] * 500 + [(7, "same")] * 500 + [(i, f"t{i}") for i in range(100)], "doc_id long, text string")
+    assert language.sample_by_hash(rows, 50, "doc_id", "text").count() == 50
+    assert language.sample_by_hash(rows, 5000, "doc_id", "text").count() == 102
+    assert language.sample_by_hash(rows.limit(0), 5, "doc_id").count() == 0
 
 
 def test_language_without_labels(spark):
@@ -67,13 +113,52 @@ def test_mixing_meets_targets(spark):
     assert (abs(got["copies"] - got["rate"]) < 1).all()
 
 
-def test_rates_are_clipped_and_converge(spark):
-    p = np.random.default_rng(3).dirichlet([0.3, 0.3, 0.3], 200)
-    members = spark.createDataFrame([(i, 10 + i % 7, [float(v) for v in x]) for i, x in enumerate(p)], "doc_id long, n_tokens long, p array<double>")
-    steps = mixing.fit_rates(members, ["a", "b", "c"], {"a": 0.9, "b": 0.1})
-    got = members.withColumn("rate", mixing.rate_column(steps)).toPandas()
-    totals = (np.stack(got["p"]) * (got["n_tokens"] * got["rate"]).to_numpy()[:, None]).sum(axis=0)
-    assert got["rate"].min() == 0 and totals[0] / totals.sum() > 0.8
+def plain_rates(a, goal):
+    """Non-negative least squares by an active set, one document at a time."""
+    x, used = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    for _ in range(4 * a.shape[1]):
+        slope = a.T @ (goal - a @ x)
+        if used.all() or slope[~used].max() <= 1e-9 * abs(goal).max() * abs(a).max():
+            break
+        used[np.argmax(np.where(used, -np.inf, slope))] = True
+        while True:
+            s = np.zeros(len(x))
+            s[used] = np.linalg.lstsq(a[:, used], goal, rcond=None)[0]
+            if s[used].min() > 0:
+                break
+            bad = used & (s <= 0)
+            x = x + (x[bad] / (x[bad] - s[bad])).min() * (s - x)
+            used &= x > 1e-12
+        x = s
+    return x
+
+
+@pytest.mark.parametrize(
+    ("p", "n", "share"),
+    [
+        (np.array([[0.6, 0.4], [0.3, 0.7], [0.9, 0.1]])[np.arange(223) % 3], np.full(223, 10), [0.1, 0.9]),  # can't be met
+        (np.random.default_rng(3).dirichlet([0.3] * 3, 200), 10 + np.arange(200) % 7, [0.9, 0.1, 0.0]),
+        ((np.eye(4)[np.random.default_rng(3).choice(4, 300, p=[0.9, 0.08, 0.01, 0.01])] + 0.02) / 1.08, np.full(300, 300), [0.25] * 4),
+        (np.full((50, 3), 1 / 3), np.full(50, 30), [0.8, 0.1, 0.1]),
+    ],
+)
+def test_rates_come_as_near_as_plain_least_squares(spark, p, n, share):
+    members = spark.createDataFrame([(i, int(m), [float(v) for v in x]) for i, (x, m) in enumerate(zip(p, n, strict=True))], "doc_id long, n_tokens long, p array<double>").coalesce(1).cache()
+    names = [str(k) for k in range(p.shape[1])]
+    fit = mixing.fit_rates(members, names, dict(zip(names, share, strict=True)), near=0.04)
+    rate = mixing.with_rates(members, fit.steps).orderBy("doc_id").toPandas()["rate"].to_numpy()
+    a = (p * n[:, None]).T
+    assert rate.min() >= 0 and np.allclose(a @ rate, fit.totals) and np.isclose(fit.gap, np.linalg.norm(a @ rate - fit.goal))
+    best = np.linalg.norm(a @ plain_rates(a, fit.goal) - fit.goal)
+    assert fit.gap <= best + 0.04 * n.sum() + 1e-6
+
+
+def test_targets_of_absent_domains_stay_short_and_bounds_raise(spark):
+    members = spark.createDataFrame([(i, 10, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(100)], "doc_id long, n_tokens long, p array<double>")
+    fit = mixing.fit_rates(members, ["a", "b"], {"a": 0.3, "b": 0.3, "c": 0.4})
+    assert np.allclose(fit.totals, [300, 300], rtol=1e-3)
+    with pytest.raises(RuntimeError, match="not converged"):
+        mixing.fit_rates(members, ["a", "b"], {"a": 1.0}, rounds=0)
 
 
 def test_mixing_edges(spark):
