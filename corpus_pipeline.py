@@ -20,8 +20,22 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(small_side(ids, ids.count()), "doc_id", "left_anti").select(*docs.columns)
 
 
+def clear_of(columns: list[str], name: str) -> str:
+    """A column name like ``name`` that is none of ``columns``, without case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language; a null ``lang`` becomes the predicted one."""
+    """Drops documents without a language (``und``: null texts, empty ones, texts without letters); a null
+    ``lang`` becomes the predicted one.
+
+    Texts of any length count whole; equal scores go to the first language by name; repeated
+    rows and rows with a null id are judged like others; an empty table stays empty; columns
+    named like those of the prediction are kept as they are.
+    """
     model = language.fit(docs)
     names = [f"c{i}" for i in range(len(docs.columns))]  # no clash with the columns that prediction adds
     at = {c: n for c, n in zip(docs.columns, names, strict=True)}
@@ -30,26 +44,43 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: that with the smallest id."""
+    """Keeps one document of each group of near copies: that with the smallest id.
+
+    Rows that share the id that is kept stay, all of them, as do rows with a null id; texts of
+    any length count whole; a text without words has no copies; an empty table stays empty.
+    """
     return without(docs, neardup.near_duplicates(docs).where("NOT kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
+    """Drops documents that hold a passage of the benchmark.
+
+    All rows of an id go if one of them holds a passage; rows with a null id stay; texts of any
+    length are searched whole; an empty table, or an empty benchmark, drops nothing.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return without(docs, decontaminate.contaminated(docs, benchmark))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as its fitted rate gives; rows that share an id take its largest."""
+    """As many copies of each document as its fitted rate gives; rows that share an id take its largest.
+
+    Rows with a null id, and documents that the fit says nothing about, stay once; without
+    labelled rows every document stays once; long texts, ties and empty tables as in ``mixing``.
+    """
+    many, number = clear_of(docs.columns, "_copies"), clear_of(docs.columns, "_copy")
     copies = mixing.mixed(docs, docs.where("lang IS NOT NULL"), mixing.TARGETS)
-    copies = staged(copies.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("_copies")), "copies")
-    out = docs.join(copies, "doc_id", "left").where("_copies IS NULL OR _copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1))))).select(*docs.columns)
+    copies = staged(copies.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias(many)), "copies")
+    out = docs.join(copies, "doc_id", "left").where(F.col(many).isNull() | (F.col(many) > 0))
+    return out.withColumn(number, F.explode(F.sequence(F.lit(1), F.coalesce(many, F.lit(1))))).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token file and returns what it holds: ``doc_id, start, n_tokens, ids_crc32`` and more."""
+    """Writes the token file and returns what it holds: ``doc_id, start, n_tokens, ids_crc32`` and more.
+
+    Every row has its ids, copies and rows with a null id too (null ids come first); a null
+    text has the end id alone; an empty table gives no rows.
+    """
     import public_tokenizers
 
     return repair.tokenised(docs, str(public_tokenizers.path("word_bpe_49k.json")), end_id=2)
