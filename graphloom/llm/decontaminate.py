@@ -1,110 +1,131 @@
-"""Benchmark decontamination by pairs of near words, with DataFrame functions alone.
-
-An overlap puts an item on a diagonal (place in the document less place in the item) and
-counts if at least ``MIN_WORDS`` words, or for a short item ``MIN_SHARE`` of its words, are
-equal there, wherever they stand.  If ``t`` of ``n`` words are equal, the ``t - 1`` steps from
-one to the next span ``n - 1`` places at most, so at most ``(n - 1) / (g + 1)`` are longer
-than ``g``.  An item's ``g`` is the least that leaves ``HITS`` steps of at most ``g``: the
-pairs of its words at most ``g`` apart meet those of the documents in a join, a diagonal
-with that many hits is a candidate, and along it all words of the item are compared.  No
-pattern of substitutions that the rule accepts is missed.  A document gives as many pairs
-a word as the largest ``g`` (2 for items of 24 words, 5 for 59, about ``n / 10`` beyond).
-
-The benchmark's pairs are broadcast if there are at most ``common.BROADCAST_ROWS`` of them,
-by count; else the join shuffles.  Hits are grouped by (document, item, diagonal), with
-partial sums, before anything else.
+"""Benchmark decontamination by spaced seeds, with DataFrame functions alone.
+
+An overlap puts an item on a diagonal (place in the document less place in the item).  It
+counts if some ``WINDOW`` places of the item in a row hold ``MIN_WORDS`` equal words; an item
+of ``LEAST`` to ``WINDOW`` words needs the share ``MIN_SHARE`` of its words, a shorter one all
+of them.  Equal words that are strewn over a long item are no overlap.
+
+1. A seed hashes the words under the ones of a fixed mask and ignores those under its zeros.
+   ``MASKS`` leave out no pattern of substitutions that the rule accepts (``lossless`` tries
+   them all, so other parameters with which they would are refused); a shorter item is a
+   seed of its own, as a whole.
+2. The documents' seeds meet the distinct seeds of the benchmark in a semi join, inside the
+   scan's stage; the hits, few as a rule, are gathered by document and seed, so that a word
+   that a document repeats ten thousand times gives no more rows than it has places.
+3. The diagonals of the hits are verified on the words: word by word over the item, then
+   window by window.
+
+The benchmark's seeds are broadcast if there are at most ``common.BROADCAST_ROWS`` of them,
+by count; else the join shuffles (Spark splits its hot keys).
 
 Defined cases: words are runs of letters or digits, in lower case; a null text has none;
-an item of fewer than ``LEAST`` words is never matched (the SQL has it so); repeated
-items each give their rows; rows that share a ``doc_id`` are compared as one document's
-texts (each row's words are checked); null ids take no part.
+an item of fewer than ``min_item`` words is no evidence and never matched; the rows of an
+``item_id`` are texts of their own, repeated ones count once; rows that share a ``doc_id``
+are compared as one document's texts; null ids take no part; of equally good diagonals the
+first is told; a text of any length is searched whole (its words are one array); tables may
+be empty; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import cache
+from itertools import combinations
+from math import ceil
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import small_side, staged
 
-#: Of the SQL, which looks only at diagonals that share a seed of seven words.
-MASKS = ("1101100111", "1110010111")
-MIN_WORDS, MIN_SHARE = 13, 0.75
-#: Words of the shortest item that is matched; hits that a candidate needs, if the rule asks for as many.
-LEAST, HITS = len(MASKS[0]), 3
-
-
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+MASKS = ("110111", "1101000011", "11001011", "1111001", "11111")
+MIN_WORDS, WINDOW, MIN_SHARE = 13, 17, 0.75
+#: Words of the shortest item that may have substitutions, and of the shortest that is matched.
+LEAST, MIN_ITEM = 10, 3
 
 
-def needed(n: Column, min_words: int, min_share: float) -> Column:
-    return F.least(F.lit(min_words), F.ceil(F.lit(min_share) * n).cast("int"))
+@cache
+def lossless(min_words: int, window: int, min_share: float) -> bool:
+    """Whether each pattern of equal words that the rule accepts has all words under some mask."""
+    masks = [(sum(1 << k for k, c in enumerate(m) if c == "1"), len(m)) for m in MASKS]
+    for n in range(LEAST, window + 1):
+        for gone in combinations(range(n), n - (min_words if n == window else ceil(min_share * n))):
+            equal = (1 << n) - 1 - sum(1 << k for k in gone)
+            if not any((equal >> k) & m == m for m, span in masks for k in range(n - span + 1)):
+                return False
+    return True
 
 
-def hashed(text_words: Column) -> Column:
-    return F.transform(text_words, lambda w: F.xxhash64(w))
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def pairs_at(h: Column, far: int) -> Column:
-    """For each word, the hashes of its pairs with the words 1 to ``far`` places on; ``h`` is a column
-    that is already there, as it is looked up for each word."""
-    return F.transform(h, lambda x, i: F.array(*[F.xxhash64(F.lit(d), x, F.get(h, i + d)) for d in range(1, far + 1)]))
+def hashed(text: Column) -> Column:
+    return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def item_pairs(items: DataFrame, min_words: int, min_share: float) -> tuple[DataFrame, int]:
-    """``seed, item_id, at, need``: each item's pairs and the hits that a candidate needs; and the widest pair."""
-    n, must = F.size("words"), needed(F.size("words"), min_words, min_share)
-    own = items.where(n >= LEAST).distinct().withColumn("need", F.least(F.lit(HITS), must - 1))
-    own = own.withColumn("h", hashed(F.col("words"))).withColumn("gap", F.greatest(F.lit(1), F.floor((n - 1) / (must - F.col("need")))).cast("int"))
-    far = own.agg(F.max("gap").alias("far")).first()["far"] or 1
-    placed = own.select("item_id", "gap", n.alias("n"), F.min("need").over(Window.partitionBy("item_id")).alias("need"), F.posexplode(pairs_at(F.col("h"), far)).alias("at", "seeds"))
-    each = placed.select("item_id", "gap", "n", "need", "at", F.posexplode("seeds").alias("d", "seed"))
-    return each.where("d < gap AND at + d + 1 < n").select("seed", "item_id", "at", "need").distinct(), far
+def seeds(h: Column, at: Column, masks: list[str]) -> Column:
+    """The seed of each mask at place ``at`` of the word hashes ``h``; null where it does not fit."""
+    return F.array(
+        *[F.when(at + len(m) <= F.size(h), F.xxhash64(F.lit(m), *[F.get(h, at + k) for k, c in enumerate(m) if c == "1"])) for m in masks]
+    )
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW, min_share: float = MIN_SHARE, min_item: int = MIN_ITEM
+) -> DataFrame:
     """``doc_id, item_id, n_equal, item_words, start`` of every overlap: the best diagonal of each pair."""
-    if min_words < 2 or min_share * LEAST <= 1:
-        raise ValueError("an overlap has two equal words at least")
-    items = staged(benchmark.where("item_id IS NOT NULL").select("item_id", words(F.col("text")).alias("words")), "items")
+    if not lossless(min_words, window, min_share):
+        raise ValueError("the masks would miss overlaps under this rule")
+    items = benchmark.where("item_id IS NOT NULL").select("item_id", hashed(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    items = staged(items.where(F.col("n") >= min_item).distinct().withColumn("item", F.xxhash64("item_id", "w")), "items")
+    short = sorted(r["n"] for r in items.where(F.col("n") < LEAST).select("n").distinct().collect())  # fewer than LEAST values
+    whole = ["1" * n for n in short]
+    masks = [*MASKS, *(m for m in whole if m not in MASKS)]
+    placed = items.select("item", "n", "w", F.posexplode("w").alias("at", "_w"))
+    placed = placed.select("item", "n", "at", F.posexplode(seeds(F.col("w"), F.col("at"), masks)).alias("mask", "seed"))
+    is_whole = F.array(*[F.lit(len(m) if m in whole else 0) for m in masks])
+    own = F.when(F.col("n") < LEAST, F.get(is_whole, "mask") == F.col("n")).otherwise(F.col("mask") < len(MASKS))
+    item_seeds = staged(placed.where(F.col("seed").isNotNull() & own).groupBy("seed", "item", "n").agg(F.collect_set("at").alias("ats")), "item_seeds")
+    n_seeds = item_seeds.count()
+
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    item_seeds, far = item_pairs(items, min_words, min_share)
-    item_seeds = staged(item_seeds, "item_seeds")
-    doc_words = texts.select("doc_id", hashed(words(F.col("text"))).alias("h"))
-    doc_seeds = doc_words.select("doc_id", F.posexplode(pairs_at(F.col("h"), far)).alias("pos", "seeds")).select("doc_id", "pos", F.explode("seeds").alias("seed"))
-    hits = staged(
-        doc_seeds.join(small_side(item_seeds, item_seeds.count()), "seed")
-        .groupBy("doc_id", "item_id", "need", (F.col("pos") - F.col("at")).alias("diagonal"))
-        .agg(F.count("*").alias("hits"))
-        .where("hits >= need")
-        .drop("need"),
-        "hits",
+    places = texts.select("doc_id", hashed(F.col("text")).alias("h")).select("doc_id", "h", F.posexplode("h").alias("pos", "_w"))
+    found = places.select("doc_id", "pos", F.explode(seeds(F.col("h"), F.col("pos"), masks)).alias("seed")).where("seed IS NOT NULL")
+    found = found.join(small_side(item_seeds.select("seed").distinct(), n_seeds), "seed", "left_semi")
+    hits = staged(found.groupBy("doc_id", "seed").agg(F.collect_set("pos").alias("places")), "hits")
+    diagonals = F.array_distinct(F.flatten(F.transform("places", lambda p: F.transform("ats", lambda a: p - a))))
+    lines = staged(
+        hits.join(small_side(item_seeds, n_seeds), "seed").select("doc_id", "item", "n", F.explode(diagonals).alias("start")).distinct(), "lines"
     )
-    some = staged(hits.select("doc_id").distinct(), "hit_docs")
-    held = texts.join(small_side(some, some.count()), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("d"))
-    long_items = items.where(F.size("words") >= LEAST).withColumnRenamed("words", "w")
-    pairs = hits.join(long_items, "item_id").join(held, "doc_id")
-    equal = F.size(
-        F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda k: F.get("w", k) == F.get("d", k + F.col("diagonal")))
+    some = staged(lines.select("doc_id").distinct(), "hit_docs")
+    held = texts.join(small_side(some, some.count()), "doc_id", "left_semi").select("doc_id", hashed(F.col("text")).alias("h"))
+    inside = F.slice("h", F.greatest("start", F.lit(0)) + 1, F.col("n") + F.least("start", F.lit(0)))
+    part = F.when(F.col("start") < 0, F.concat(F.array_repeat(F.lit(None).cast("long"), -F.col("start")), inside)).otherwise(inside)
+    laid = lines.join(held, "doc_id").select("doc_id", "item", "start", part.alias("d"))
+    laid = laid.join(small_side(items, items.count()), "item")
+    marks = F.array_join(F.zip_with("w", "d", lambda a, b: F.when(a == b, F.lit("1")).otherwise(F.lit("0"))), "")
+    equal = lambda flags: F.length(F.replace(flags, F.lit("0"), F.lit("")))
+    checked = laid.select("doc_id", "item_id", "n", "start", marks.alias("flags")).withColumn("n_equal", equal(F.col("flags")))
+    dense = F.exists(F.sequence(F.lit(1), F.greatest(F.col("n") - (window - 1), F.lit(1))), lambda s: equal(F.substring("flags", s, F.lit(window))) >= min_words)
+    accepted = (
+        F.when(F.col("n") < LEAST, F.col("n_equal") == F.col("n"))
+        .when(F.col("n") < window, F.col("n_equal") >= F.ceil(F.lit(min_share) * F.col("n")))
+        .otherwise((F.col("n_equal") >= min_words) & dense)
     )
-    checked = pairs.select("doc_id", "item_id", F.size("w").alias("item_words"), F.col("diagonal").alias("start"), equal.alias("n_equal"))
-    enough = needed(F.col("item_words"), min_words, min_share)
     best = F.max(F.struct("n_equal", (-F.col("start")).alias("late"))).alias("best")
     return (
-        checked.where(F.col("n_equal") >= enough)
-        .groupBy("doc_id", "item_id", "item_words")
+        checked.where(accepted)
+        .groupBy("doc_id", "item_id", "n")
         .agg(best)
-        .select("doc_id", "item_id", F.col("best.n_equal").alias("n_equal"), "item_words", (-F.col("best.late")).alias("start"))
+        .select("doc_id", "item_id", F.col("best.n_equal").alias("n_equal"), F.col("n").alias("item_words"), (-F.col("best.late")).alias("start"))
     )
 
 
 def _seed_sql(name: str, key: str) -> str:
     """DuckDB SQL for the seeds of table ``name``: the words under each mask, joined."""
-    span = len(MASKS[0])
     parts = [
         f"SELECT {key}, p, '{n}' || " + " || chr(1) || ".join(f"w[p + {k + 1}]" for k, c in enumerate(m) if c == "1")
-        + f" AS seed FROM (SELECT {key}, w, unnest(range(0, len(w) - {span} + 1)) AS p FROM {name} WHERE len(w) >= {span})"
+        + f" AS seed FROM (SELECT {key}, w, unnest(range(0, len(w) - {len(m)} + 1)) AS p FROM {name} WHERE len(w) >= {len(m)})"
         for n, m in enumerate(MASKS)
     ]
     return " UNION ALL ".join(parts)
@@ -115,16 +136,30 @@ SQL = f"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE doc_id IS NOT NULL
 ), b AS (
-  SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark WHERE item_id IS NOT NULL
-), ds AS ({_seed_sql("d", "doc_id")}), bs AS ({_seed_sql("b", "item_id")}),
-h AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS diagonal FROM ds JOIN bs USING (seed)),
+  SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark WHERE item_id IS NOT NULL
+), long_b AS (SELECT * FROM b WHERE len(w) >= {LEAST}), short_b AS (SELECT * FROM b WHERE len(w) BETWEEN {MIN_ITEM} AND {LEAST - 1}),
+ds AS ({_seed_sql("d", "doc_id")}), bs AS ({_seed_sql("long_b", "item_id")}),
+first_words AS (
+  SELECT doc_id, p, w[p + 1] AS f FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS p FROM d WHERE EXISTS (SELECT 1 FROM short_b))
+),
+h AS (
+  SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS diagonal FROM ds JOIN bs USING (seed)
+  UNION
+  SELECT DISTINCT f.doc_id, s.item_id, f.p AS diagonal FROM first_words f JOIN short_b s ON f.f = s.w[1]
+),
 c AS (
-  SELECT h.doc_id, h.item_id, len(b.w) AS item_words, h.diagonal,
-         len(list_filter(range(0, len(b.w)), lambda k: k + h.diagonal >= 0 AND b.w[k + 1] = d.w[CAST(k + h.diagonal + 1 AS BIGINT)])) AS n_equal
-  FROM h JOIN b USING (item_id) JOIN d USING (doc_id)
-)
-SELECT doc_id, item_id, CAST(max(n_equal) AS INTEGER) AS n_equal, CAST(item_words AS INTEGER) AS item_words,
+  SELECT h.doc_id, h.item_id, len(b.w) AS n, h.diagonal,
+         array_to_string(list_transform(range(0, len(b.w)), lambda k:
+           CASE WHEN k + h.diagonal >= 0 AND b.w[k + 1] = d.w[CAST(k + h.diagonal + 1 AS BIGINT)] THEN '1' ELSE '0' END), '') AS flags
+  FROM h JOIN b USING (item_id) JOIN d USING (doc_id) WHERE len(b.w) >= {MIN_ITEM}
+),
+e AS (SELECT *, length(replace(flags, '0', '')) AS n_equal FROM c)
+SELECT doc_id, item_id, CAST(max(n_equal) AS INTEGER) AS n_equal, CAST(n AS INTEGER) AS item_words,
        CAST(arg_min(diagonal, diagonal - 1000000000 * n_equal) AS INTEGER) AS start
-FROM c WHERE n_equal >= least({MIN_WORDS}, ceil({MIN_SHARE} * item_words))
-GROUP BY doc_id, item_id, item_words
+FROM e
+WHERE CASE WHEN n < {LEAST} THEN n_equal = n
+           WHEN n < {WINDOW} THEN n_equal >= ceil({MIN_SHARE} * n)
+           ELSE n_equal >= {MIN_WORDS} AND len(list_filter(range(1, n - {WINDOW} + 2), lambda s:
+                  length(replace(substr(flags, CAST(s AS BIGINT), {WINDOW}), '0', '')) >= {MIN_WORDS})) > 0 END
+GROUP BY doc_id, item_id, n
 """
