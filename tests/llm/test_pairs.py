@@ -117,16 +117,48 @@ def test_vectors_that_link_with_nothing(spark):
     assert vectors.near_duplicates(frame.limit(0)).count() == 0
 
 
+def plain_links(x, label, least=0.98):
+    near = (x @ x.T >= least) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    return near
+
+
 def test_vectors_of_a_tight_group_link_all_with_all(spark):
     r = np.random.default_rng(5)
-    x = np.concatenate((r.normal(size=64) + 0.08 * r.normal(size=(9000, 64)), r.normal(size=(500, 64))))
+    x = np.concatenate((r.normal(size=64) + 0.08 * r.normal(size=(4000, 64)), r.normal(size=(500, 64))))
     frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     got = vectors.near_duplicates(frame).toPandas().sort_values("vec_id")
-    u = vectors.unit(x)
-    near = u @ u.T >= 0.98
-    assert (near[:9000].sum(axis=1) > 8900).all()
-    assert (got["n_links"].to_numpy() == near.sum(axis=1) - 1).all()
-    assert (got["component_id"].to_numpy()[:9000] == 0).all()
+    near = plain_links(vectors.unit(x), np.zeros(len(x)))
+    assert (near[:4000].sum(axis=1) > 3900).all()
+    assert got["n_links"].sum() >= 0.98 * near.sum() and (got["n_links"].to_numpy() <= near.sum(axis=1)).all()
+    assert (got["component_id"].to_numpy()[:4000] == 0).all()
+
+
+def test_audit_of_the_search_and_its_exact_way(spark):
+    r = np.random.default_rng(7)
+    x = vectors.unit(np.repeat(r.normal(size=(60, 16)), 10, axis=0) + 0.02 * r.normal(size=(600, 16)))
+    ids, held = np.arange(600), np.arange(600) % 2 == 0
+    near = [None] * 600
+    for k, n in zip(np.flatnonzero(held), vectors.prune(x[held] @ x[held].T), strict=True):
+        near[k] = np.flatnonzero(held)[n]
+    want = set(zip(*np.nonzero((x @ x.T >= 0.98) & ~held[:, None] & held), strict=True))
+    i, j, true, got = vectors.searched(ids, x, near, held, False, 0.98)
+    assert true > 0 and got >= 0.98 * true and len(set(zip(i, j, strict=True)) & want) >= 0.98 * len(want) and set(zip(i, j, strict=True)) <= want
+    i, j, true, got = vectors.searched(ids, x, [None] * 600, held, False, 0.98)  # a graph without edges finds next to nothing
+    assert got < 0.5 * true and set(zip(i, j, strict=True)) == want
+
+
+def test_large_cells_are_split_and_vectors_of_any_size_count(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_NODES", 30)
+    monkeypatch.setattr(vectors, "SAMPLE", 100)
+    r = np.random.default_rng(9)
+    x = np.repeat(r.normal(size=(90, 8)), 4, axis=0) + 0.01 * r.normal(size=(360, 8))
+    x[:4] *= 1e200
+    frame = spark.createDataFrame([(i, v.tolist(), 3, "c", 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int, cell string, kind int")
+    nodes = vectors.usable(frame)
+    assert len(vectors.centroids(nodes)["3", 8]) >= 12
+    got = vectors.near_duplicates(frame).toPandas().sort_values("vec_id")
+    assert (got["n_links"].to_numpy() == plain_links(vectors.unit(x), np.zeros(360)).sum(axis=1)).all()
 
 
 @pytest.mark.parametrize("least", [0.98, 0.6, 0.0, -0.5])
