@@ -3,17 +3,26 @@
 A page is a sequence of words and tags.  A word scores positive, by how often words in its
 setting (nearest block tag, inside a link or not) are main text on the labelled pages; a
 tag scores negative, by how often its kind lies outside it.  One linear scan finds the
-run with the largest sum; the blocks that it touches, without those in settings that are
-never main text (menus, headers, footers, asides, notices, adverts, forms, comments,
-scripts and the like), are the text.
+run with the largest sum; the blocks that it touches are the text.
+
+Elements that are beside the text wherever they stand (menus, footers, asides, notices,
+adverts, forms, reader comments and the like) score nothing and are left out of the run.
+They are told by their name or by a word of their class, id or role, whose weight is
+learnt: the share of the words under it that are main text on the labelled pages, from a
+starting count that leans against the words of ``SIDE_WORDS`` and towards all others.  No
+mark hides the text itself: an element that holds an article, a main part or a headline is
+no such element, and where marks hide nearly all of the page's score (``HIDDEN``), the one that
+hides the most is set aside, of those by class words first, until they do so no more.
 
 Labelled pages: those that mark one ``article`` or ``main`` element; the weights are fitted
-on a bounded sample of them (``TRAIN_PAGES``), added up by Spark.  Where a page set has
-none, fixed starting weights hold.
+on a bounded sample of them (``TRAIN_PAGES``), added up by Spark.  Pages without such an
+element teach nothing; where a page set has none that do, the starting counts hold.
 
 Defined cases: a null or empty page, and a page without words, give an empty text;
 unclosed tags, comments and raw elements run to the end of what holds them; ``br`` is
-white space inside a block; repeated rows each get a row.
+white space inside a block; of equally good runs the first is taken; a page of any length
+is read whole; repeated rows, and rows with null ids, each get a row; an empty table gives
+an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +30,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -44,95 +54,155 @@ BLOCKS = frozenset(
     "header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements, and words of a class, an id or a role, that mark what is never main text.
-NOT_MAIN = frozenset("nav header footer aside form button menu dialog label".split())
-NOT_MAIN_WORDS = frozenset(
+#: Elements that are beside the text, and words of a class, an id or a role that lean against it.
+SIDE_NAMES = frozenset("nav footer aside form menu dialog".split())
+SIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar aside header masthead footer notice notices cookie cookies consent gdpr popup modal overlay alert comment comments reply replies "
     "disqus related recommended share sharing social newsletter subscribe signup login search toolbar pagination pager widget "
     "complementary contentinfo".split()
 )
+#: Starting counts (inside, outside) of a class word that leans against the text, and of any other; and the
+#: share of the score that marks may hide before they count as wrong.
+PRIOR_SIDE, PRIOR_OTHER, HIDDEN = (2.0, 18.0), (18.0, 2.0), 0.8
+
+
+def class_words(attributes: str) -> list[str]:
+    return [w for _, *v in ATTRIBUTE.findall(attributes) for w in re.split(r"[^a-z0-9]+", "".join(v).lower()) if w]
+
+
+class Element:
+    """An open element: ``side`` says whether its name (2) or a class word (1) sets it beside the text."""
+
+    __slots__ = ("name", "words", "side", "article", "link", "holder", "paragraph")
+
+    def __init__(self, name: str, words: list[str], side: int, above: Element | None):
+        self.name, self.words, self.side = name, words, side
+        self.article = name in ("article", "main") or bool(above and above.article)
+        self.paragraph = name == "p" or bool(above and above.paragraph)
+        self.link = name == "a" or bool(above and above.link and name not in BLOCKS)
+        self.holder = name if name in BLOCKS else above.holder if above else "body"
+
+
+@dataclass
+class Token:
+    kind: str  # ``w <setting>``: a run of words; ``t <tag>``: a tag; " ": white space
+    text: str
+    block: int
+    within: tuple[Element, ...]  # elements beside the text that hold it
+    article: bool
+    words: tuple[str, ...] = ()  # class words of the elements that hold it, for fitting
+
 
+def side_of(name: str, words: list[str], above: Element | None, weights: dict[str, float]) -> int:
+    if name in ("html", "body", "article", "main"):
+        return 0
+    if name in SIDE_NAMES or name == "header" and not (above and above.article) or name in ("button", "label") and not (above and above.paragraph):
+        return 2
+    return int(any(class_share(w, weights) < 0.5 for w in words))
 
-def never_main(name: str, attributes: str) -> bool:
-    if name in NOT_MAIN:
-        return True
-    for _, *values in ATTRIBUTE.findall(attributes):
-        if not NOT_MAIN_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", "".join(values).lower())):
-            return name not in ("html", "body", "article", "main")
-    return False
 
+def class_share(word: str, weights: dict[str, float]) -> float:
+    """Share of the words under a class word that are main text."""
+    if (known := weights.get(f"c {word}")) is not None:
+        return known
+    a, b = PRIOR_SIDE if word in SIDE_WORDS else PRIOR_OTHER
+    return a / (a + b)
 
-def tokens(page: str):
-    """``(kind, text, block, dropped, labelled)`` of each token.
 
-    kind: ``w <setting>`` for a run of words, ``t <tag>`` for a tag; block counts the
-    blocks; dropped: within what is never main text; labelled: within article or main.
-    """
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, labelled
-    block, at = 0, 0
+def tokens(page: str, weights: dict[str, float] | None = None) -> list[Token]:
+    """The words and tags of a page, with what holds them."""
+    weights = weights or {}
+    stack: list[Element] = []
+    out: list[Token] = []
+    block, at, within, words = 0, 0, (), ()
 
-    def text(piece: str):
-        words = html_lib.unescape(piece)
-        if not words.strip():
-            return (" ", words, block, False, False) if words else None
-        holder = next((n for n, _, _ in reversed(stack) if n in BLOCKS), "body")
-        link = any(n == "a" for n, _, _ in stack[-4:])
-        top = stack[-1] if stack else ("", False, False)
-        return (f"w {holder}{' a' if link else ''}", words, block, top[1], top[2])
+    def text(piece: str) -> None:
+        piece = html_lib.unescape(piece)
+        top = stack[-1] if stack else None
+        if piece.strip():
+            kind = f"w {top.holder if top else 'body'}{' a' if top and top.link else ''}"
+            out.append(Token(kind, piece, block, within, bool(top and top.article), words))
+        elif piece:
+            out.append(Token(" ", piece, block, within, False))
+
+    def closed_to(k: int) -> None:
+        nonlocal within, words
+        del stack[k:]
+        within = tuple(e for e in stack if e.side)
+        words = tuple(w for e in stack for w in e.words)
 
     for m in TOKEN.finditer(page):
-        if m.start() > at and (t := text(page[at : m.start()])):
-            yield t
+        if m.start() > at:
+            text(page[at : m.start()])
         at = m.end()
         if m[1]:  # a raw element
-            yield (f"t {m[1].lower()}", "", block, False, bool(stack and stack[-1][2]))
+            out.append(Token(f"t {m[1].lower()}", "", block, within, bool(stack and stack[-1].article)))
             continue
         if not m[3]:
             if m[0].startswith("<![CDATA["):
-                if t := text(m[0][9:].removesuffix("]]>")):
-                    yield t
+                text(m[0][9:].removesuffix("]]>"))
             continue
         name = m[3].lower()
         if name == "br":
-            yield (" ", " ", block, False, False)
+            out.append(Token(" ", " ", block, within, False))
         if name in BLOCKS:
             block += 1
         if m[2]:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+                if stack[k].name == name:
+                    closed_to(k)
                     break
         else:
             if name in BLOCKS and name not in ("td", "th", "tr"):  # an open paragraph ends where a block begins
                 for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        del stack[k:]
+                    if stack[k].name == "p":
+                        closed_to(k)
                         break
-                    if stack[k][0] in BLOCKS:
+                    if stack[k].name in BLOCKS:
                         break
             if name not in VOID and not m[4].endswith("/"):
-                top = stack[-1] if stack else ("", False, False)
-                stack.append((name, top[1] or never_main(name, m[4]), top[2] or name in ("article", "main")))
-        yield (f"t {name}", "", block, bool(stack and stack[-1][1]), bool(stack and stack[-1][2]))
-    if at < len(page) and (t := text(page[at:])):
-        yield t
+                own = class_words(m[4]) if m[4] else []
+                above = stack[-1] if stack else None
+                e = Element(name, own, side_of(name, own, above, weights), above)
+                if name in ("article", "main", "h1") and not any(class_share(w, weights) < 0.5 for w in own):
+                    for x in stack:  # what holds the text is not beside it
+                        x.side = 0
+                    within = ()
+                stack.append(e)
+                if e.side:
+                    within = (*within, e)
+                if own:
+                    words = (*words, *own)
+        out.append(Token(f"t {name}", "", block, within, bool(stack and stack[-1].article)))
+    if at < len(page):
+        text(page[at:])
+    return out
 
 
 def tally(page: str | None) -> Counter:
     """Of a labelled page: ``(kind, inside)`` counts; nothing where no single element is marked."""
-    found = list(tokens(page or ""))
-    if sum(k in ("t article", "t main") for k, *_ in found) not in (1, 2):
+    found = tokens(page or "")
+    if sum(t.kind in ("t article", "t main") for t in found) not in (1, 2):
         return Counter()
     out: Counter = Counter()
-    for kind, text, _, dropped, labelled in found:
-        if kind != " " and not (dropped and kind[0] == "w"):
-            out[kind, labelled and not dropped] += len(text.split()) if kind[0] == "w" else 1
+    for t in found:
+        side = any(e.side for e in t.within)
+        inside = t.article and not side
+        if t.kind[0] == "w":
+            n = len(t.text.split())
+            if not side:
+                out[t.kind, inside] += n
+            if not (t.article and side):  # what stands beside the text within an article teaches nothing about its words
+                for w in set(t.words):
+                    out[f"c {w}", t.article] += n
+        elif t.kind != " ":
+            out[t.kind, inside] += 1
     return out
 
 
 def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> dict[str, float]:
-    """Weight of each kind of token, from the labelled pages among a bounded sample."""
+    """Weight of each kind of token and share of each class word, from the labelled pages among a bounded sample."""
 
     def work(batches):
         for batch in batches:
@@ -148,32 +218,53 @@ def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> dict[str, float]:
 
 
 def weight(kind: str, inside: float = 0.0, outside: float = 0.0) -> float:
-    """Positive for words, negative for tags."""
-    a, b = PRIOR_WORD if kind[0] == "w" else PRIOR_TAG
+    """Positive for words, negative for tags; of a class word, the share that is main text."""
+    if kind[0] == "c":
+        a, b = PRIOR_SIDE if kind[2:] in SIDE_WORDS else PRIOR_OTHER
+    else:
+        a, b = PRIOR_WORD if kind[0] == "w" else PRIOR_TAG
     share = (inside + a) / (inside + outside + a + b)
-    return share if kind[0] == "w" else share - 1
+    return share - 1 if kind[0] == "t" else share
 
 
-def extract(page: str | None, weights: dict[str, float]) -> str:
-    """The main text of one page."""
-    found = list(tokens(page or ""))
-    gain = np.zeros(len(found) + 1)
-    for i, (kind, text, _, dropped, _) in enumerate(found, 1):
-        if kind == " " or dropped:  # an element that is never main text weighs no more than its end tag
-            continue
-        w = weights[kind] if kind in weights else weight(kind)
-        gain[i] = w * len(text.split()) if kind[0] == "w" else w
-    total = np.cumsum(gain)
+def best_run(gain: np.ndarray) -> tuple[int, int, float]:
+    """``gain[i:j]`` with the largest sum (the first such), and that sum; empty where none is positive."""
+    total = np.concatenate(([0.0], np.cumsum(gain)))
     low = np.minimum.accumulate(total)
     j = int(np.argmax(total - low))
-    if total[j] - low[j] <= 0:
-        return ""
-    i = int(np.argmax(total[: j + 1] == low[j]))
-    touched = {b for kind, _, b, dropped, _ in found[i:j] if kind[0] == "w" and not dropped}
+    most = float(total[j] - low[j])
+    return (int(np.argmax(total[: j + 1] == low[j])), j, most) if most > 0 else (0, 0, 0.0)
+
+
+def extract(page: str | None, weights: dict[str, float]) -> str:
+    """The main text of one page."""
+    found = tokens(page or "", weights)
+    plain = np.zeros(len(found))
+    for i, t in enumerate(found):
+        if t.kind != " ":
+            w = weights[t.kind] if t.kind in weights else weight(t.kind)
+            plain[i] = w * len(t.text.split()) if t.kind[0] == "w" else w
+    while True:
+        side = np.array([max((e.side for e in t.within), default=0) for t in found], np.int64)
+        shown = side == 0
+        i, j, most = best_run(np.where(shown, plain, 0.0))
+        kind = next((k for k in (1, 2) if most < (1 - HIDDEN) * best_run(np.where(side <= k, plain, 0.0))[2]), 0)
+        if not kind:
+            break
+        held: dict[Element, float] = {}  # score under each element whose mark may be wrong
+        for t, g in zip(found, plain, strict=True):
+            if g > 0 and max((e.side for e in t.within), default=3) <= kind:
+                for e in t.within:
+                    held[e] = held.get(e, 0.0) + g
+        largest = max(held.values())
+        for e, g in held.items():
+            if g >= largest:  # what holds the most, and what holds just that
+                e.side = 0
+    touched = {t.block for t, s in zip(found[i:j], shown[i:j], strict=True) if t.kind[0] == "w" and s}
     parts: dict[int, list[str]] = {}
-    for kind, text, b, dropped, _ in found:
-        if b in touched and kind[0] in "w " and not dropped:
-            parts.setdefault(b, []).append(text)
+    for t, s in zip(found, shown, strict=True):
+        if s and t.block in touched and t.kind[0] in "w ":
+            parts.setdefault(t.block, []).append(t.text)
     lines = (" ".join("".join(parts[b]).split()) for b in sorted(parts))
     return "\n".join(x for x in lines if x)
 

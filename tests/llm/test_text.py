@@ -176,46 +176,76 @@ def made_text(r, n):
     return [f"{r.choice('bcdfgh')}{r.choice('aeiou')}{r.randrange(400)}" for _ in range(n)]
 
 
-def test_decontamination_tolerates_substitutions(spark):
-    r = random.Random(4)
-    items = [(i, made_text(r, n)) for i, n in enumerate([15, 20, 40, 59, 5])]
+def plain_overlaps(docs, items):
+    """Every diagonal of every pair, word by word."""
+    out = {}
+    for d, text in docs:
+        dw = re.findall(r"[^\W_]+", (text or "").lower())
+        for i, item in items:
+            w = re.findall(r"[^\W_]+", (item or "").lower())
+            n = len(w)
+            if n < 3:
+                continue
+            for at in range(1 - n, len(dw)):
+                f = [0 <= k + at < len(dw) and w[k] == dw[k + at] for k in range(n)]
+                if n < 10:
+                    good = all(f)
+                elif n < 17:
+                    good = sum(f) >= -(-3 * n // 4)
+                else:
+                    good = any(sum(f[s : s + 17]) >= 13 for s in range(n - 16))
+                if good and (d, i) not in out or good and sum(f) > out[d, i][0]:
+                    out[d, i] = (sum(f), n, at)
+    return out
+
+
+def overlaps(frame):
+    return {(x["doc_id"], x["item_id"]): (x["n_equal"], x["item_words"], x["start"]) for x in frame.collect()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_decontamination_against_all_diagonals(spark, seed):
+    r = random.Random(seed)
+    vocabulary = made_text(r, 60)
+    text = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [(i, text(n)) for i, n in enumerate([1, 2, 3, 5, 9, 10, 11, 13, 16, 17, 20, 33, 60])]
+    items += [(20, ["ha"] * 25), (21, ["a", "b"] * 12)]
     docs = []
-    for k in range(40):
-        words, item = made_text(r, 60), items[k % 5][1]
-        if k < 30:
-            passage = list(item)
-            for _ in range(0 if k < 10 else 1 + len(item) // 20):
-                passage[r.randrange(len(passage))] = "swapped"
-            words[7:7] = passage
-        docs.append((k, " ".join(words).upper() + "."))
-    docs += [(90, None), (91, ""), (92, "one"), (None, " ".join(items[0][1]))]
-    d = spark.createDataFrame(docs, "doc_id long, text string")
-    b = spark.createDataFrame([(i, ", ".join(w)) for i, w in items] + [(7, None)], "item_id long, text string")
-    got = {(x["doc_id"], x["item_id"]): x for x in decontaminate.contaminated(d, b).collect()}
-    whole = {(k, k % 5) for k in range(10) if k % 5 != 4}
-    touched = {(k, k % 5) for k in range(30) if k % 5 != 4}
-    assert whole <= set(got) <= touched and len(got) >= 0.85 * len(touched)
-    assert all(got[p]["n_equal"] == got[p]["item_words"] and got[p]["start"] == 7 for p in whole)
+    for _ in range(120):
+        item = r.choice(items)[1]
+        a = r.randrange(max(1, len(item) - 12))
+        passage = item[a : a + r.choice([9, 13, 17, 60])]
+        passage = [w if r.random() > 0.2 else r.choice(vocabulary) for w in passage]
+        docs.append((len(docs), " ".join(text(r.randrange(20)) + passage + text(r.randrange(20))).upper()))
+    docs += [(500, "ha " * 400), (501, "a b " * 90), (502, None), (503, ""), (504, "one")]
+    told = [(i, ", ".join(w)) for i, w in items] + [(7, ", ".join(items[7][1])), (99, None)]
+    d = spark.createDataFrame([(*x, 1, "y") for x in docs], "doc_id long, text string, item long, h string")
+    b = spark.createDataFrame([(*x, 1) for x in told], "item_id long, text string, seed int")
+    want = plain_overlaps(docs, told)
+    assert overlaps(decontaminate.contaminated(d, b)) == want and len(want) > 30
     assert decontaminate.contaminated(d.limit(0), b).count() == 0 and decontaminate.contaminated(d, b.limit(0)).count() == 0
 
 
-def test_decontamination_finds_every_pattern_that_the_rule_accepts(spark):
+def test_decontamination_finds_every_pattern_that_the_rule_accepts():
+    assert decontaminate.lossless(13, 17, 0.75) and not decontaminate.lossless(9, 17, 0.75)
+
+
+def test_decontamination_wants_dense_overlaps(spark):
     r = random.Random(8)
-    items = {i: made_text(r, n) for i, n in enumerate([10, 11, 13, 16, 17, 20, 30, 60, 150])}
-    docs, want = [], {}
-    for i, item in items.items():
-        n = len(item)
-        must = min(13, -(-3 * n // 4))
-        kept = [set(r.sample(range(n), must - k % 2)) for k in range(12)] + [{k for k in range(n) if k % 5 != 4}, set(range(0, n, max(n // 13, 1)))]
-        for at in kept:
-            words = made_text(r, 9) + [w if k in at else "swapped" for k, w in enumerate(item)]
-            if len(at) >= must:
-                want[len(docs), i] = len(at)
-            docs.append((len(docs), " ".join(words)))
-    d = spark.createDataFrame(docs, "doc_id long, text string")
-    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
-    got = {(x["doc_id"], x["item_id"]): x["n_equal"] for x in decontaminate.contaminated(d, b).collect()}
-    assert got == want and len(want) > 60
+    long_item, phrase = made_text(r, 400), made_text(r, 10)
+    long_item[100:110] = phrase
+    strewn = [w if k % 20 == 0 else f"x{k}" for k, w in enumerate(long_item)]
+    strewn[100:110] = phrase
+    docs = [(1, " ".join(strewn)), (2, " ".join(w if k % 5 else "x" for k, w in enumerate(long_item))), (None, " ".join(long_item))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontaminate.contaminated(frame, spark.createDataFrame([(3, " ".join(long_item)), (None, " ".join(long_item))], "item_id long, text string"))
+    assert set(overlaps(got)) == {(2, 3)}
+
+
+def test_decontamination_of_repeated_words_makes_few_rows(spark):
+    frame = spark.createDataFrame([(1, "ha " * 30_000)], "doc_id long, text string")
+    got = decontaminate.contaminated(frame, spark.createDataFrame([(1, "ha " * 60)], "item_id long, text string"))
+    assert overlaps(got) == {(1, 1): (60, 60, 0)}
 
 
 # --- quality ---------------------------------------------------------------------------------------------
@@ -257,6 +287,41 @@ def test_extraction_of_one_page():
     assert htmltext.extract(PAGE, {}) == "Main & title\nFirst paragraph with some linked words, <ok>. More words.\nSecond one."
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_best_run_against_all_runs(seed):
+    r = random.Random(seed)
+    for n in (0, 1, 2, 9, 30):
+        gain = [r.choice([-2, -1, -0.5, 0, 0.5, 1, 2]) for _ in range(n)]
+        runs = [(sum(gain[i:j]), i, j) for i in range(n) for j in range(i + 1, n + 1)]
+        i, j, most = htmltext.best_run(np.array(gain, float))
+        assert most == max([0, *(x for x, *_ in runs)]) and sum(gain[i:j]) == most
+        if most:
+            assert (j, i) == min((b, a) for x, a, b in runs if x == most)
+
+
+@pytest.mark.parametrize("wrapper", ["content has-sidebar", "post no-comments", "layout-sidebar-right", "article search-results", "main-with-banner", "related-content"])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<h1>Head line</h1>{}", "<div>{}</div>"])
+def test_marks_around_the_text_do_not_hide_it(wrapper, inner):
+    body = "<p>" + "some words of the text. " * 12 + "</p><p>And a second paragraph of it.</p>"
+    page = f'<nav><a href="/">Home</a></nav><div class="{wrapper}">{inner.format(body)}</div><div class="share">Tell a friend</div><footer>Copyright 2020</footer>'
+    text = htmltext.extract(page, {})
+    assert "some words of the text." in text and text.endswith("And a second paragraph of it.") and not {"Home", "friend", "Copyright"} & set(text.split())
+
+
+def test_headlines_buttons_and_labels_in_the_text_stay():
+    page = "<header>Site <nav>Menu</nav></header><article><header><h1>Head</h1><p>By someone</p></header><p>Press <button>OK</button> or <label>Cancel</label> now.</p><button>Send</button></article>"
+    assert htmltext.extract(page, {}) == "Head\nBy someone\nPress OK or Cancel now."
+
+
+def test_class_words_are_learnt_from_labelled_pages(spark):
+    made = lambda k: f'<div class="toprow">Words beside the text number {k} here</div><article><div class="related">' + f"<p>Text of page {k} runs on and on.</p>" * 3 + "</div></article>"
+    pages = spark.createDataFrame([(k, "u", made(k)) for k in range(30)], "page_id long, url string, html string")
+    weights = htmltext.fit(pages)
+    assert weights["c toprow"] < 0.5 and htmltext.class_share("related", {}) < 0.5
+    page = '<div class="toprow">Beside it</div>' + "<p>The text of this page has no article mark.</p>" * 2
+    assert htmltext.extract(page, weights) == "\n".join(["The text of this page has no article mark."] * 2)
+
+
 @pytest.mark.parametrize("page", [None, "", "<p>", "<<<>>><", "plain words only", "<div>" * 3000 + "deep" + "</p>" * 3000, "<a href='x\" >q", "<script>alert(1)", "&#x41;&bogus;&am", "<!-- open"])
 def test_extraction_of_odd_pages(page):
     text = htmltext.extract(page, {})
@@ -270,7 +335,7 @@ def test_extraction_of_odd_pages(page):
 def test_extraction_weights_and_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     weights = htmltext.fit(pages)
-    assert all(w > 0 for k, w in weights.items() if k[0] == "w") and all(w < 0 for k, w in weights.items() if k[0] == "t")
+    assert all(w > 0 for k, w in weights.items() if k[0] in "wc") and all(w < 0 for k, w in weights.items() if k[0] == "t")
     got = htmltext.extracted(pages, weights).toPandas()
     assert len(got) == pages.count() and (got["text"].map(len) == got["n_chars"]).all() and (got["n_chars"] > 0).all()
     odd = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<article><p>hi there</article>", "y"), (1, None, None, "x")], "page_id long, url string, html string, text string")
