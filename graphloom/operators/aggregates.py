@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,29 +39,55 @@ def regression(y: str, x: str) -> tuple[Column, Column]:
     return F.coalesce(F.regr_slope(F.col(y), F.col(x)), nan), F.coalesce(F.regr_intercept(F.col(y), F.col(x)), nan)
 
 
-def custom(name: str, arity: int, finish):
-    """A user's aggregate as a grouped pandas UDF of ``arity`` columns; a wrong arity is an error."""
-    if arity not in (1, 2):
-        raise ValueError(f"{name}: one or two columns, not {arity}")
-    if arity == 1:
-
-        @F.pandas_udf("double")
-        def one(x: pd.Series) -> float:
-            return float(finish(x.dropna()))
-
-        return one
-
-    @F.pandas_udf("double")
-    def two(x: pd.Series, y: pd.Series) -> float:
-        both = x.notna() & y.notna()
-        return float(finish(x[both], y[both]))
-
-    return two
+class Custom:
+    """A user's aggregate over one or two columns: ``partial`` gives a short list of numbers for some rows (as
+    pandas Series without nulls), ``merge`` puts two such lists together, ``finish`` makes the value."""
+
+    def __init__(self, arity: int, partial, merge, finish):
+        if arity not in (1, 2):
+            raise ValueError(f"one or two columns, not {arity}")
+        self.arity, self.partial, self.merge, self.finish = arity, partial, merge, finish
+
+
+def custom(rows: DataFrame, by: str, wanted: dict[str, tuple[Custom, list[str]]]) -> DataFrame:
+    """``by`` and a double for each of ``wanted`` (name -> aggregate and its columns), null where a group has no rows for it.
+
+    Each task keeps one partial result a group; only those meet, so no group is gathered whole.
+    """
+    for name, (agg, columns) in wanted.items():
+        if len(columns) != agg.arity:
+            raise ValueError(f"{name}: {agg.arity} columns, not {len(columns)}")
+    needed = sorted({c for _, cs in wanted.values() for c in cs})
+    key = rows.schema[by].dataType.simpleString()
+
+    def gather(batches):
+        states: dict = {}
+        for batch in batches:
+            for g, part in batch.groupby(by, dropna=False, sort=False):
+                for name, (agg, columns) in wanted.items():
+                    some = part[columns].dropna()
+                    new = agg.partial(*(some[c] for c in columns)) if len(some) else None
+                    old = states.get((g, name))
+                    states[g, name] = new if old is None else old if new is None else agg.merge(old, new)
+        for (g, name), s in states.items():
+            yield pd.DataFrame({by: [None if pd.isna(g) else g], "_name": [name], "_state": [None if s is None else [float(x) for x in s]]})
+
+    def finish(group: pd.DataFrame) -> pd.DataFrame:
+        out = {by: [group[by].iloc[0]]}
+        for name, (agg, _) in wanted.items():
+            state = None
+            for s in group.loc[group["_name"] == name, "_state"]:
+                state = s if state is None else state if s is None else agg.merge(state, s)
+            out[name] = [None if state is None else float(agg.finish(state))]
+        return pd.DataFrame(out)
+
+    partials = rows.select(by, *needed).mapInPandas(gather, f"`{by}` {key}, _name string, _state array<double>")
+    return partials.groupBy(by).applyInPandas(finish, f"`{by}` {key}, " + ", ".join(f"`{n}` double" for n in wanted))
 
 
 def top_groups(rows: DataFrame, group: str, n: int, other: str = "Other") -> DataFrame:
     """Counts of the ``n - 1`` largest groups; the rest falls together as ``other``."""
     counts = rows.groupBy(group).agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("_k", F.row_number().over(Window.orderBy(F.desc("n"), group)))
-    label = F.when(F.col("_k") <= n - 1, F.col(group)).otherwise(other)
-    return ranked.groupBy(label.alias(group)).agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), group).limit(n - 1).select(F.col(group).alias("_g"), F.lit(True).alias("_top"))
+    label = F.when(F.col("_top"), F.col(group)).otherwise(other)
+    return counts.join(F.broadcast(top), F.col(group).eqNullSafe(F.col("_g")), "left").groupBy(label.alias(group)).agg(F.sum("n").alias("n"))

@@ -1,29 +1,56 @@
 """Property paths and graph analytics over ``edges(src, dst)``.
 
-``plus`` is the one fixpoint.  Its rounds keep only pairs not found before, each written to
-the shared folder; the driver sees one flag per round.
+``plus`` steps from node to node and keeps the nearest depth of each pair; ``reach`` doubles
+its paths and needs log n rounds.  Both run until nothing new is found, whatever the length
+of the paths; only ``depth``, where a caller gives it, bounds them.  Each round's new pairs
+are written once to the shared folder; the driver sees one count per round.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a table written to the session's shared folder (``spark.checkpoint.dir``) and read
-    again, which ends its lineage; a temporary folder where none is set."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a session on one machine gets a temporary folder; on a cluster, whose
+    executors would not see one, that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def written(df: DataFrame) -> str:
+    """``df`` as a table in the session's shared folder: its path."""
+    path = f"{shared_root(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written and read again, which ends its lineage."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df))
+
+
+#: Most rows of a side that is marked for broadcast, after a count.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` as a table, marked for broadcast if its count allows it."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def pairs(edges: DataFrame) -> DataFrame:
@@ -57,40 +84,50 @@ def maybe(edges: DataFrame) -> DataFrame:
     return alt(identity(edges), edges)
 
 
-def plus(edges: DataFrame, start: DataFrame | None = None, depth: int | None = None, rounds: int = 100) -> DataFrame:
+def plus(edges: DataFrame, start: DataFrame | None = None, depth: int | None = None) -> DataFrame:
     """``a+``: ``(src, dst, depth)``, the nearest depth of each pair; cycles end.
 
     ``start`` (column ``src``) binds where paths begin; ``depth`` bounds their length.
     """
+    spark = edges.sparkSession
     step = cut(pairs(edges))
     first = step if start is None else step.join(start.select("src").distinct(), "src", "left_semi")
-    found = cut(first.withColumn("depth", F.lit(1)))
-    frontier = found
-    for k in range(2, min(depth or rounds, rounds) + 1):
-        reach = frontier.select("src", F.col("dst").alias("_m")).join(step.select(F.col("src").alias("_m"), "dst"), "_m").select("src", "dst").distinct()
-        frontier = cut(reach.join(found.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(k)))
+    frontier = first.withColumn("depth", F.lit(1))
+    schema = frontier.schema
+    paths = [written(frontier)]
+    found = frontier = spark.read.schema(schema).parquet(*paths)
+    k = 1
+    while depth is None or k < depth:
+        k += 1
+        reached = frontier.select("src", F.col("dst").alias("_m")).join(step.select(F.col("src").alias("_m"), "dst"), "_m").select("src", "dst").distinct()
+        path = written(reached.join(found.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(k)))
+        frontier = spark.read.schema(schema).parquet(path)
         if not frontier.take(1):
             break
-        found = cut(found.unionByName(frontier))
+        paths.append(path)
+        found = spark.read.schema(schema).parquet(*paths)
     return found
 
 
-def plus_by_doubling(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """``a+`` on long chains: each round joins the pairs found so far with themselves, so a path of
-    length n needs log n rounds."""
-    found = cut(pairs(edges))
-    n = found.count()
-    for _ in range(rounds):
-        found = cut(alt(found, seq(found, found)))
-        n, before = found.count(), n
-        if n == before:
-            break
-    return found
+def reach(edges: DataFrame) -> DataFrame:
+    """``a+`` as ``(src, dst)``: each round joins the new pairs with all, so a path of length n needs log n rounds."""
+    spark = edges.sparkSession
+    start = pairs(edges)
+    paths = [written(start)]
+    found = new = spark.read.schema(start.schema).parquet(*paths)
+    while True:
+        longer = seq(new, found) if len(paths) == 1 else alt(seq(new, found), seq(found, new))
+        path = written(longer.join(found, ["src", "dst"], "left_anti"))
+        new = spark.read.schema(start.schema).parquet(path)
+        if not new.take(1):
+            return found
+        paths.append(path)
+        found = spark.read.schema(start.schema).parquet(*paths)
 
 
 def star(edges: DataFrame) -> DataFrame:
     """``a*``: ``a+`` and zero steps."""
-    return alt(identity(edges), plus(edges))
+    return alt(identity(edges), reach(edges))
 
 
 # --- analytics -----------------------------------------------------------------------------------
@@ -109,8 +146,8 @@ def scc(edges: DataFrame) -> DataFrame:
         n, before = live.count(), n
         if n == before:
             break
-    reach = plus(live).select("src", "dst")
-    mutual = reach.join(inverse(reach), ["src", "dst"])
+    there = reach(live)
+    mutual = there.join(inverse(there), ["src", "dst"])
     low = mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low"))
     nodes = identity(edges).select(F.col("src").alias("node"))
     return nodes.join(low, "node", "left").select("node", F.least("node", F.coalesce("low", "node")).alias("component"))
@@ -125,7 +162,7 @@ def condense(edges: DataFrame, members: DataFrame) -> DataFrame:
 def reduction(edges: DataFrame) -> DataFrame:
     """Transitive reduction of an acyclic graph: an edge goes if another successor of its source reaches its end."""
     e = pairs(edges).where("src <> dst")
-    longer = seq(e, plus(e))
+    longer = seq(e, reach(e))
     return e.join(longer, ["src", "dst"], "left_anti")
 
 
@@ -140,13 +177,15 @@ def khop(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return plus(alt(edges, inverse(edges)), start, depth).where("src <> dst")
 
 
-def tree(edges: DataFrame, roots: DataFrame, label: DataFrame, depth: int = 20) -> DataFrame:
-    """``node, depth, path``: children under their parents (``src`` is the child), ``path`` orders by label."""
+def tree(edges: DataFrame, roots: DataFrame, label: DataFrame, depth: int | None = None) -> DataFrame:
+    """``node, depth, path``: children under their parents (``src`` is the child), ``path`` orders by label; cycles end."""
     names = cut(label.select("node", "label"))
     level = cut(roots.select("node").join(names, "node").select("node", F.lit(0).alias("depth"), F.col("label").alias("path"), F.array("node").alias("seen")))
     out = level
     children = edges.select(F.col("dst").alias("node"), F.col("src").alias("child"))
-    for k in range(1, depth + 1):
+    k = 0
+    while depth is None or k < depth:
+        k += 1
         step = level.join(children, "node").where(~F.array_contains("seen", F.col("child")))
         step = step.select(F.col("child").alias("node"), "path", "seen").join(names, "node")
         level = cut(step.select("node", F.lit(k).alias("depth"), F.concat_ws(" / ", "path", "label").alias("path"), F.array_append("seen", F.col("node")).alias("seen")))

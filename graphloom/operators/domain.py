@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.closure import cut
+
 
 def preconditions(rows: DataFrame, flags: dict[str, Column], trees: dict[str, tuple]) -> DataFrame:
     """One boolean column for each flag, and one for each tree ``(and|or|not, ...)`` over them, in Kleene logic."""
@@ -39,6 +41,18 @@ def top_places(rows: DataFrame, keys: list, n: int) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(*keys)))
 
 
+def places(rows: DataFrame, keys: list) -> DataFrame:
+    """All rows with their ``place`` in the order of ``keys``, from one: ranges of the order are sorted apart,
+    and each starts where the ranges before it end (one small row a range)."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(rows.repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id()))
+    before = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    past = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    before = before.select("_range", F.coalesce(past, F.lit(0)).alias("_past"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
+    return dealt.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn("place", F.col("_past") + F.col("_own")).select(*rows.columns, "place")
+
+
 def in_day(columns: list[str], day: str) -> Column:
     """Any of the timestamps lies in the day."""
     a = F.lit(day).cast("timestamp")

@@ -5,30 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.closure import plus
+from graphloom.operators.closure import plus, reach, small
 
 TYPE = "rdf:type"
 
 
 def infer_types(types: DataFrame, superclass: DataFrame) -> DataFrame:
     """New ``(s, cls)``: instances (``s, cls``) get all ancestors of their classes (``src`` below ``dst``)."""
-    up = plus(superclass).select(F.col("src").alias("cls"), F.col("dst").alias("up"))
-    new = types.join(up, "cls").select("s", F.col("up").alias("cls")).distinct()
+    up = reach(superclass).select(F.col("src").alias("cls"), F.col("dst").alias("up"))
+    new = types.join(small(up), "cls").select("s", F.col("up").alias("cls")).distinct()
     return new.join(types.select("s", "cls"), ["s", "cls"], "left_anti")
 
 
 def map_vocabulary(triples: DataFrame, mapping: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
     """Triples and their mirrors under mapped predicates (``p, q``), with fixed hierarchy triples; a set."""
     core = triples.select("s", "p", "o")
-    out = core.unionByName(core.join(F.broadcast(mapping), "p").select("s", F.col("q").alias("p"), "o"))
+    out = core.unionByName(core.join(small(mapping), "p").select("s", F.col("q").alias("p"), "o"))
     return (out if fixed is None else out.unionByName(fixed)).distinct()
 
 
 def match_subproperty(triples: DataFrame, subproperty: DataFrame, p: str) -> DataFrame:
     """``(s, o)`` of ``p`` and its sub-properties (``src`` below ``dst``), each value once."""
-    below = plus(subproperty).where(F.col("dst") == p).select(F.col("src").alias("p"))
+    below = reach(subproperty).where(F.col("dst") == p).select(F.col("src").alias("p"))
     wanted = below.unionByName(below.sparkSession.createDataFrame([(p,)], "p string")).distinct()
-    return triples.join(F.broadcast(wanted), "p", "left_semi").select("s", "o").distinct()
+    return triples.join(small(wanted), "p", "left_semi").select("s", "o").distinct()
 
 
 def resolve_alias(rows: DataFrame, column: str, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:

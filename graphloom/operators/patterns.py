@@ -80,20 +80,30 @@ def optional(left: DataFrame, right: DataFrame, condition: Column | None = None)
     return left.join(renamed, on, "left").drop(*[f"_{c}" for c in shared])
 
 
-def minus(left: DataFrame, right: DataFrame) -> DataFrame:
+def minus(left: DataFrame, right: DataFrame, nullable: list[str] | None = None) -> DataFrame:
     """Solutions without a compatible one on the right that shares a bound variable.
 
-    Where no shared variable is null this is an anti join on them.
+    The left rows are split by which ``nullable`` variables (all shared ones, if not given)
+    are bound, and the right ones by which of those are bound too, so that every part is an
+    anti join on equality.
     """
     shared = [c for c in left.columns if c in right.columns]
     if not shared:
         return left
-    r = right.select(*[F.col(c).alias(f"_{c}") for c in shared]).distinct()
-    if len(shared) == 1:
-        return left.join(r, F.col(shared[0]) == F.col(f"_{shared[0]}"), "left_anti")
-    fits = reduce(lambda x, y: x & y, [(F.col(c) == F.col(f"_{c}")) | F.col(c).isNull() | F.col(f"_{c}").isNull() for c in shared])
-    both = reduce(lambda x, y: x | y, [F.col(c).isNotNull() & F.col(f"_{c}").isNotNull() for c in shared])
-    return left.join(r, fits & both, "left_anti")
+    loose = shared if nullable is None else [c for c in shared if c in nullable]
+    firm = [c for c in shared if c not in loose]
+    bound = lambda on, off: reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in on] + [F.col(c).isNull() for c in off], F.lit(True))
+    parts = []
+    for given in product((True, False), repeat=len(loose)):
+        own = [c for c, x in zip(loose, given, strict=True) if x]
+        rows = left.where(bound(own, [c for c in loose if c not in own]))
+        for both in product((True, False), repeat=len(own)):
+            common = [c for c, x in zip(own, both, strict=True) if x]
+            if firm or common:
+                keys = right.where(bound(common, [c for c in own if c not in common])).select(*firm, *common).distinct()
+                rows = rows.join(keys, firm + common, "left_anti")
+        parts.append(rows)
+    return reduce(lambda x, y: x.unionByName(y), parts).select(*left.columns)
 
 
 def exists(left: DataFrame, right: DataFrame, negated: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.closure import plus
+from graphloom.operators.closure import cut, reach, scc
 
 #: Lexical forms of the datatypes that are checked.
 LEXICAL = {
@@ -29,13 +29,18 @@ def load_shapes(definitions: DataFrame) -> DataFrame:
     return out.where(F.size("domains") > 0)
 
 
+def ancestors(superclass: DataFrame) -> DataFrame:
+    """The closure of the classes; one that ``report`` has made already is taken as it is."""
+    return superclass if "closed" in superclass.columns else reach(superclass).withColumn("closed", F.lit(True))
+
+
 def applicable(types: DataFrame, shapes: DataFrame, superclass: DataFrame) -> DataFrame:
     """``(s, property)``: shapes whose domain is a class of ``s`` or an ancestor.
 
     Subjects are first grouped by their set of classes, which are few, then joined back.
     """
     sets = types.groupBy("s").agg(F.array_sort(F.collect_set("cls")).alias("classes"))
-    up = plus(superclass).select(F.col("src").alias("cls"), F.col("dst").alias("up"))
+    up = ancestors(superclass).select(F.col("src").alias("cls"), F.col("dst").alias("up"))
     kinds = sets.select("classes").distinct().select("classes", F.explode("classes").alias("cls"))
     every = kinds.select("classes", F.col("cls").alias("up")).unionByName(kinds.join(up, "cls").select("classes", "up")).distinct()
     wanted = shapes.select("property", F.explode("domains").alias("up"))
@@ -61,7 +66,7 @@ def class_range(triples: DataFrame, shapes: DataFrame, types: DataFrame, supercl
     """IRI values outside the expected classes; an untyped target is a warning; other vocabularies are skipped."""
     own = shapes.where(F.exists("ranges", lambda r: r.startswith("class/"))).select(F.col("property").alias("p"), "ranges", "severity")
     values = triples.where("o_kind = 'iri'").join(own, "p").where(~F.col("o").rlike("^(rdf|rdfs|owl|xsd):")).select("s", "p", "o", "ranges", "severity")
-    up = plus(superclass).select(F.col("src").alias("cls"), F.col("dst").alias("up"))
+    up = ancestors(superclass).select(F.col("src").alias("cls"), F.col("dst").alias("up"))
     of = types.select(F.col("s").alias("o"), F.col("cls").alias("up")).unionByName(types.join(up, "cls").select(F.col("s").alias("o"), "up"))
     classes = of.groupBy("o").agg(F.collect_set("up").alias("classes"))
     j = values.join(classes, "o", "left").where(F.col("classes").isNull() | ~F.arrays_overlap("classes", "ranges"))
@@ -91,7 +96,11 @@ def unknown_property(triples: DataFrame, shapes: DataFrame) -> DataFrame:
 
 
 def report(triples: DataFrame, shapes: DataFrame, types: DataFrame, superclass: DataFrame) -> DataFrame:
-    """All findings, by node and property; a pair below its minimum is checked no further."""
+    """All findings, by node and property; a pair below its minimum is checked no further.
+
+    The triples and the closure of the classes are made once, as tables, for all checks.
+    """
+    triples, types, superclass = cut(triples), cut(types), ancestors(superclass)
     counted = counts(triples, applicable(types, shapes, superclass))
     low = min_count(counted, shapes)
     rest = max_count(counted, shapes).unionByName(class_range(triples, shapes, types, superclass)).unionByName(datatype_range(triples, shapes))
@@ -130,7 +139,7 @@ def imports_audit(links: DataFrame, files: DataFrame, imports: DataFrame) -> Dat
     ``files`` has ``path, name, grp``; ``imports`` ``src, dst`` are declared between groups.
     """
     named = files.groupBy("name").agg(F.count("*").alias("n"), F.min("path").alias("target"), F.min("grp").alias("target_grp"))
-    declared = plus(imports).select(F.col("src").alias("grp"), F.col("dst").alias("target_grp"), F.lit(True).alias("ok"))
+    declared = reach(imports).select(F.col("src").alias("grp"), F.col("dst").alias("target_grp"), F.lit(True).alias("ok"))
     j = links.join(named, "name", "left").join(files.select(F.col("path").alias("src"), "grp"), "src", "left").join(declared, ["grp", "target_grp"], "left")
     bucket = (
         F.when(F.col("name").rlike(r"\.(png|jpg|pdf|js|css)$"), "non-markdown").when(F.col("n") > 1, "ambiguous").when(F.col("n").isNull(), "broken")
@@ -140,9 +149,20 @@ def imports_audit(links: DataFrame, files: DataFrame, imports: DataFrame) -> Dat
     return j.select("src", "name", "grp", "target_grp", bucket.alias("bucket"))
 
 
+def declared_cycles(imports: DataFrame, uids: DataFrame) -> DataFrame:
+    """``kind, component, members``: cycles of two or more groups, self-imports, and uids (``uid, node``) of several groups."""
+    cycles = scc(imports).groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
+    own = imports.where("src = dst").select(F.lit("self-import").alias("kind"), F.col("src").alias("component"), F.lit(1).cast("long").alias("members")).distinct()
+    doubled = uids.groupBy("uid").agg(F.countDistinct("node").alias("members")).where("members > 1")
+    return (
+        cycles.select(F.lit("cycle").alias("kind"), "component", "members").unionByName(own)
+        .unionByName(doubled.select(F.lit("duplicate-uid").alias("kind"), F.col("uid").alias("component"), "members"))
+    )
+
+
 def dependency_coverage(facts: DataFrame, declared: DataFrame) -> DataFrame:
     """Fact edges between packages that the closure of the declared ones does not cover, and whether a direct one lacks."""
-    cover = plus(declared).select("src", "dst")
+    cover = reach(declared)
     direct = declared.select("src", "dst", F.lit(True).alias("direct"))
     e = facts.where("src <> dst").select("src", "dst").distinct()
     missing = e.join(cover, ["src", "dst"], "left_anti").select("src", "dst", F.lit("uncovered").alias("verdict"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.closure import small
+
 
 def content_hash(content: Column) -> Column:
     """Git's blob hash."""
@@ -25,8 +27,8 @@ def diff(base: DataFrame, other: DataFrame) -> DataFrame:
 
     Rows are matched by uid where it is unique on both sides, the others by path.
     """
-    bad = dup_uids(base, other)
-    key = lambda s: s.join(F.broadcast(bad.withColumn("bad", F.lit(True))), "uid", "left").select(
+    bad = small(dup_uids(base, other).withColumn("bad", F.lit(True)))
+    key = lambda s: s.join(bad, "uid", "left").select(
         F.when(F.col("uid").isNotNull() & F.col("bad").isNull(), F.concat(F.lit("u:"), "uid")).otherwise(F.concat(F.lit("p:"), "path")).alias("k"), "path", "sha"
     )
     b, o = key(base), key(other).select("k", F.col("path").alias("path2"), F.col("sha").alias("sha2"))

@@ -90,11 +90,12 @@ def regression(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(slope, 3).alias("slope"), F.round(intercept, 2).alias("intercept"))
 
 
-@query("custom_agg")
+@query("custom_agg", "SELECT c_mktsegment, max(c_acctbal) - min(c_acctbal) AS spread, sum(c_acctbal * c_nationkey) AS dot FROM customer GROUP BY 1")
 def custom_agg(spark, d):
-    spread = A.custom("spread", 1, lambda x: x.max() - x.min() if len(x) else 0.0)
-    dot = A.custom("dot", 2, lambda x, y: (x * y).sum())
-    return table(spark, d, "customer").groupBy("c_mktsegment").agg(spread(F.col("c_acctbal")).alias("spread"), dot(F.col("c_acctbal"), F.col("c_nationkey").cast("double")).alias("dot"))
+    spread = A.Custom(1, lambda x: [x.min(), x.max()], lambda a, b: [min(a[0], b[0]), max(a[1], b[1])], lambda s: s[1] - s[0])
+    dot = A.Custom(2, lambda x, y: [(x * y).sum()], lambda a, b: [a[0] + b[0]], lambda s: s[0])
+    c = table(spark, d, "customer").withColumn("nation", F.col("c_nationkey").cast("double"))
+    return A.custom(c, "c_mktsegment", {"spread": (spread, ["c_acctbal"]), "dot": (dot, ["c_acctbal", "nation"])})
 
 
 @query("agg_expression", "SELECT l_returnflag, round(sum(l_extendedprice * l_discount) / sum(l_extendedprice), 6) AS share, round(max(l_quantity) - min(l_quantity), 4) AS width FROM lineitem GROUP BY 1 ORDER BY sum(l_quantity) DESC")
@@ -225,10 +226,12 @@ scalar("fn_parse_compare", "events", "event_id", {
     "ms": lambda: D.parse_date(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), "before": lambda: C("ts") < F.lit("2024-01-15").cast("timestamp"), "within": lambda: C("ts").between(F.lit("2024-01-10").cast("timestamp"), F.lit("2024-01-20").cast("timestamp")),
 }, "epoch_ms(date_trunc('second', ts)) AS ms, ts < TIMESTAMP '2024-01-15' AS before, ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20' AS within")
 REF = "TIMESTAMP '2024-01-15 12:00:00'"
+#: Whole milliseconds, cut off; DuckDB's epoch_ms rounds.
+MS, REF_MS = "(epoch_us(ts) // 1000)", f"(epoch_us({REF}) // 1000)"
 scalar("fn_diffs", "events", "event_id", {
     "mins": lambda: D.diff_minutes(C("ts"), F.expr(REF)), "hours": lambda: D.diff_hours(C("ts"), F.expr(REF)), "days": lambda: D.between(C("ts"), F.expr(REF), "day"), "m": lambda: D.between(C("ts"), F.expr(REF), "minute"), "h": lambda: F.round(D.between(C("ts"), F.expr(REF), "hour"), 4),
-}, f"CAST(floor(abs(epoch_ms(ts) - epoch_ms({REF})) / 60000.0 + 0.5) AS BIGINT) AS mins, round(abs(epoch_ms(ts) - epoch_ms({REF})) / 3600000.0, 2) AS hours, CAST(floor((epoch_ms({REF}) - epoch_ms(ts)) / 86400000.0) AS BIGINT) AS days, "
-   f"CAST(floor((epoch_ms({REF}) - epoch_ms(ts)) / 60000.0) AS BIGINT) AS m, round((epoch_ms({REF}) - epoch_ms(ts)) / 3600000.0, 4) AS h")
+}, f"CAST(floor(abs({MS} - {REF_MS}) / 60000.0 + 0.5) AS BIGINT) AS mins, round(abs({MS} - {REF_MS}) / 3600000.0, 2) AS hours, CAST(floor(({REF_MS} - {MS}) / 86400000.0) AS BIGINT) AS days, "
+   f"CAST(floor(({REF_MS} - {MS}) / 60000.0) AS BIGINT) AS m, round(({REF_MS} - {MS}) / 3600000.0, 4) AS h")
 scalar("fn_calendar", "orders", "o_orderkey", {
     "week": lambda: F.weekofyear("o_orderdate"), "txt": lambda: D.format_date(C("o_orderdate"), "YYYY-MM-DD HH:mm:ss"), "y": lambda: D.part_of_text(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), "year"), "mo": lambda: D.part_of_text(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), "month"),
     "h": lambda: D.part_of_text(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), "hours"), "age": lambda: D.between(C("o_orderdate"), F.expr("TIMESTAMP '2000-01-01'"), "day"),

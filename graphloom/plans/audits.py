@@ -145,12 +145,16 @@ def imports_audit(spark, d):
     return V.imports_audit(links, files, imports).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-@query("declared_cycles", "SELECT (p_partkey // 5) * 5 AS component, CAST(count(*) AS BIGINT) AS members FROM part WHERE (p_partkey // 5) * 5 + 4 <= (SELECT max(p_partkey) FROM part) AND p_partkey >= 5 GROUP BY 1 HAVING count(*) > 1")
+@query("declared_cycles", """
+SELECT 'cycle' AS kind, (p_partkey // 5) * 5 AS component, CAST(count(*) AS BIGINT) AS members FROM part GROUP BY 2 HAVING count(*) = 5
+UNION ALL SELECT 'self-import', p_partkey, 1 FROM part WHERE p_size = 50
+UNION ALL SELECT 'duplicate-uid', p_size, CAST(count(*) AS BIGINT) FROM part WHERE p_size < 3 GROUP BY p_size HAVING count(*) > 1""")
 def declared_cycles(spark, d):
-    e = table(spark, d, "part").where("p_partkey >= 5").select(F.col("p_partkey").alias("src"), F.expr("(p_partkey div 5) * 5 + (p_partkey + 1) % 5").alias("dst"))
-    groups = C.scc(e).groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
-    top = table(spark, d, "part").agg(F.max("p_partkey").alias("top"))
-    return groups.crossJoin(F.broadcast(top)).where("component + 4 <= top").select("component", "members")
+    p = table(spark, d, "part")
+    ring = p.select(F.col("p_partkey").alias("src"), F.expr("(p_partkey div 5) * 5 + (p_partkey + 1) % 5").alias("dst"))
+    own = p.where("p_size = 50").select(F.col("p_partkey").alias("src"), F.col("p_partkey").alias("dst"))
+    uids = p.where("p_size < 3").select(F.col("p_size").cast("long").alias("uid"), F.col("p_partkey").alias("node"))
+    return V.declared_cycles(ring.unionByName(own), uids)
 
 
 @query("propose_imports", f"WITH {HALVES} SELECT src, dst FROM e WHERE src % 3 <> 0")
@@ -158,7 +162,7 @@ def propose_imports(spark, d):
     e = halves(spark, d)
     declared = e.where("src % 3 = 0")
     used = C.alt(e, C.seq(e, e))
-    back = C.plus(declared).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    back = C.reach(declared).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     fine = used.join(back, ["src", "dst"], "left_anti")
     return C.reduction(C.alt(fine, declared)).join(declared, ["src", "dst"], "left_anti")
 
@@ -168,7 +172,7 @@ def membership_audit(spark, d):
     n = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
     ref = F.expr("case c_custkey % 9 when 0 then null when 1 then 99 else c_nationkey end")
     c = table(spark, d, "customer").withColumn("ref", ref).withColumn("cls", F.expr("if(c_custkey % 9 = 2, null, c_mktsegment)"))
-    up = C.plus(spark.createDataFrame([("BUILDING", "Hard"), ("MACHINERY", "Hard"), ("FURNITURE", "Soft")], "src string, dst string"))
+    up = C.reach(spark.createDataFrame([("BUILDING", "Hard"), ("MACHINERY", "Hard"), ("FURNITURE", "Soft")], "src string, dst string"))
     allow = n.where("n_regionkey <> 4").select(F.col("n_regionkey").alias("g")).distinct().withColumn("allowed", F.lit("Hard"))
     good = up.select(F.col("src").alias("cls"), F.col("dst").alias("allowed"), F.lit(True).alias("ok"))
     j = c.join(n, F.col("ref") == F.col("n_nationkey"), "left").join(allow, F.col("n_regionkey") == F.col("g"), "left").join(good, ["cls", "allowed"], "left")
@@ -223,11 +227,13 @@ def declared_ranges(spark, d):
     return table(spark, d, "part").groupBy(F.col("p_brand").alias("key")).agg(F.countDistinct("p_type").alias("ranges")).withColumn("conflict", F.col("ranges") > 1)
 
 
-@query("enum_values", "SELECT p_partkey, p_name, CASE WHEN p_size < 10 THEN p_size END AS place FROM part WHERE p_type LIKE '%S%' ORDER BY place NULLS LAST, p_partkey LIMIT 100")
+@query("enum_values", """
+SELECT p_partkey, p_name, CASE WHEN p_size < 10 THEN p_size END AS rank, CAST(row_number() OVER (ORDER BY rank NULLS LAST, p_partkey) AS BIGINT) AS place
+FROM part WHERE p_type LIKE '%S%'""")
 def enum_values(spark, d):
-    rank = table(spark, d, "part").where("p_size < 10").select("p_partkey", F.col("p_size").alias("place"))
-    rows = table(spark, d, "part").where("p_type LIKE '%S%'").join(rank, "p_partkey", "left")
-    return rows.orderBy(F.col("place").asc_nulls_last(), "p_partkey").limit(100).select("p_partkey", "p_name", "place")
+    rank = table(spark, d, "part").where("p_size < 10").select("p_partkey", F.col("p_size").alias("rank"))
+    rows = table(spark, d, "part").where("p_type LIKE '%S%'").join(rank, "p_partkey", "left").select("p_partkey", "p_name", "rank")
+    return W.places(rows, [F.col("rank").asc_nulls_last(), "p_partkey"])
 
 
 @query("workflow_lint", "WITH m AS (SELECT event_type AS source, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target FROM events) SELECT DISTINCT 'unknown' AS kind, source AS what FROM m WHERE source NOT IN ('view', 'click', 'nothing') AND target IS NOT NULL UNION SELECT 'unknown', target FROM m WHERE target NOT IN ('view', 'click', 'nothing') UNION SELECT 'dead-end', 'nothing' FROM m UNION SELECT 'initial', '2' FROM m")
@@ -244,7 +250,12 @@ def tag_traceability(spark, d):
     return asked.join(used, "tag", "left_anti").withColumn("verdict", F.lit("orphan")).unionByName(used.join(asked, "tag", "left_anti").withColumn("verdict", F.lit("dangling")))
 
 
-@query("check_runner")
+@query("check_runner", f"""
+WITH {ASSETS}, b AS (SELECT uid FROM a GROUP BY uid HAVING count(*) > 1)
+SELECT 'datatype_range' AS check_name, CAST(to_json({{'s': s, 'property': property, 'check': "check", 'severity': severity}}) AS VARCHAR) AS finding
+FROM ({FINDINGS["datatype_range"]})
+UNION ALL
+SELECT 'uid_unique', CAST(to_json({{'uid': uid, 'path': path, 'n': count(*) OVER (PARTITION BY uid)}}) AS VARCHAR) FROM a WHERE uid IN (SELECT uid FROM b)""")
 def check_runner(spark, d):
     t, sh = data(spark, d), shapes(spark)
     checks = {"unknown_property": lambda: V.unknown_property(t, sh), "datatype_range": lambda: V.datatype_range(t, sh), "uid_unique": lambda: V.uid_unique(assets(spark, d))}
@@ -390,9 +401,11 @@ def format_drift(spark, d):
     return j.where((F.md5("text") != F.md5("text2")) & (F.md5(S.canonical(F.col("text"))) == F.md5(S.canonical(F.col("text2"))))).select("doc_id")
 
 
-@query("find_dup_groups", SIDES + "SELECT uid, string_agg(path, ',' ORDER BY path) AS paths FROM base GROUP BY uid HAVING count(*) > 1")
+@query("find_dup_groups", SIDES + "SELECT uid, path, CAST(count(*) OVER (PARTITION BY uid) AS BIGINT) AS n FROM base QUALIFY count(*) OVER (PARTITION BY uid) > 1")
 def find_dup_groups(spark, d):
-    return side(spark, d, "base").groupBy("uid").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("path")), ",").alias("paths")).where("n > 1").select("uid", "paths")
+    base = side(spark, d, "base").select("uid", "path")
+    many = base.groupBy("uid").agg(F.count("*").alias("n")).where("n > 1")
+    return base.join(many, "uid").select("uid", "path", "n")
 
 
 @query("property_delta", SIDES + ", " + ", ".join(f"{x[0]}3 AS (SELECT CAST(k AS VARCHAR) AS path, 'bal' AS key, bal AS value FROM {x} UNION ALL SELECT CAST(k AS VARCHAR), 'seg', seg FROM {x})" for x in ("base", "local"))

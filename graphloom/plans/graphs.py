@@ -62,12 +62,12 @@ def path_opt(spark, d):
 
 @query("path_plus", UP + "SELECT src, dst FROM r")
 def path_plus(spark, d):
-    return C.plus(halves(spark, d)).select("src", "dst")
+    return C.reach(halves(spark, d))
 
 
 @query("path_plus_cycle", ROUND + "SELECT src, dst FROM r")
 def path_plus_cycle(spark, d):
-    return C.plus_by_doubling(rings(spark, d))
+    return C.reach(rings(spark, d))
 
 
 @query("path_star", UP + "SELECT src, dst FROM r UNION SELECT src, src FROM e UNION SELECT dst, dst FROM e")
@@ -106,7 +106,7 @@ def part_types(spark, d):
 
 @query("class_closure", CLASS_UP + "SELECT src, dst FROM up")
 def class_closure(spark, d):
-    return C.plus(superclasses(spark, d)).select("src", "dst")
+    return C.reach(superclasses(spark, d))
 
 
 @query("infer_types", CLASS_UP + "SELECT DISTINCT 'part/' || p_partkey AS s, up.dst AS cls FROM part JOIN up ON up.src = 'brand/' || p_brand")
@@ -199,7 +199,7 @@ def class_ancestors_list(spark, d):
 
 @query("subsumed_keys", CLASS_UP + "SELECT DISTINCT 'brand/' || p_brand AS cls FROM part WHERE p_type LIKE 'S%'")
 def subsumed_keys(spark, d):
-    up = C.plus(superclasses(spark, d))
+    up = C.reach(superclasses(spark, d))
     return up.where(F.col("dst").startswith("type/S") & F.col("src").startswith("brand/")).select(F.col("src").alias("cls")).distinct()
 
 
@@ -243,7 +243,7 @@ def khop(spark, d):
 def filter_types(spark, d):
     t = load(spark, d, "customer", "nation", "supplier")
     sub = spark.createDataFrame([("class/Customer", "class/Party"), ("class/Supplier", "class/Party"), ("class/Supplier", "class/Vendor")], "src string, dst string")
-    up = C.plus(sub)
+    up = C.reach(sub)
     cls = t.where("p = 'rdf:type'").select(F.col("s").alias("src"), F.col("o").alias("cls"))
     of = lambda c: cls.join(up.where(F.col("dst") == c).select(F.col("src").alias("cls")), "cls", "left_semi").select("src")
     e = t.where("o_kind = 'iri' AND p <> 'rdf:type'").select(F.col("s").alias("src"), F.col("o").alias("dst"))
@@ -257,7 +257,7 @@ def scc(spark, d):
 
 @query("transitive_closure", ROUND + "SELECT src, CAST(count(*) AS BIGINT) AS reach FROM r GROUP BY src")
 def transitive_closure(spark, d):
-    return C.plus(rings(spark, d)).groupBy("src").agg(F.count("*").alias("reach"))
+    return C.reach(rings(spark, d)).groupBy("src").agg(F.count("*").alias("reach"))
 
 
 @query("condense", "SELECT DISTINCT (p_partkey // 5) * 5 AS src, (p_partkey // 10) * 5 AS dst FROM part WHERE (p_partkey // 5) * 5 <> (p_partkey // 10) * 5")

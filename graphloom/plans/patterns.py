@@ -185,11 +185,14 @@ def precondition_flags(spark, d):
 # --- patterns and joins ------------------------------------------------------------------------------
 
 
-@query("join_compat", "WITH l AS (SELECT c_custkey AS c, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_nationkey END AS n FROM customer WHERE c_custkey <= 60), r AS (SELECT CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_nationkey END AS n, s_suppkey AS k FROM supplier WHERE s_suppkey <= 20) "
-       "SELECT l.c, coalesce(l.n, r.n) AS n, r.k FROM l JOIN r ON l.n = r.n OR l.n IS NULL OR r.n IS NULL")
+@query("join_compat", """
+WITH l AS (SELECT c_custkey AS c, CASE WHEN c_acctbal < -990 THEN NULL ELSE c_nationkey END AS n FROM customer),
+r AS (SELECT CASE WHEN s_acctbal < -900 THEN NULL ELSE s_nationkey END AS n, s_suppkey AS k FROM supplier)
+SELECT l.c, coalesce(l.n, r.n) AS n, r.k FROM l JOIN r ON l.n = r.n
+UNION ALL SELECT l.c, coalesce(l.n, r.n), r.k FROM l JOIN r ON l.n IS NULL OR r.n IS NULL""")
 def join_compat(spark, d):
-    left = table(spark, d, "customer").where("c_custkey <= 60").select(F.col("c_custkey").alias("c"), F.expr("if(c_custkey % 3 = 0, null, c_nationkey)").alias("n"))
-    right = table(spark, d, "supplier").where("s_suppkey <= 20").select(F.expr("if(s_suppkey % 4 = 0, null, s_nationkey)").alias("n"), F.col("s_suppkey").alias("k"))
+    left = table(spark, d, "customer").select(F.col("c_custkey").alias("c"), F.expr("if(c_acctbal < -990, null, c_nationkey)").alias("n"))
+    right = table(spark, d, "supplier").select(F.expr("if(s_acctbal < -900, null, s_nationkey)").alias("n"), F.col("s_suppkey").alias("k"))
     return P.join_compat(left, right, ["n"]).select("c", "n", "k")
 
 
@@ -234,12 +237,15 @@ def not_exists(spark, d):
     return P.exists(P.pattern(t, "?c", "rdf:type", "class/Customer"), P.bgp(t, [("?o", "o_custkey", "?c"), ("?o", "o_orderstatus", "P")]), negated=True)
 
 
-@query("minus", "WITH l AS (SELECT c_nationkey AS n, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS seg, c_custkey AS c FROM customer), r AS (SELECT DISTINCT c_nationkey AS n, c_mktsegment AS seg FROM customer WHERE c_acctbal < -900) "
-       "SELECT n, seg, c FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE l.n = r.n AND (l.seg = r.seg OR l.seg IS NULL OR r.seg IS NULL))")
+@query("minus", """
+WITH l AS (SELECT o_custkey AS n, CASE WHEN o_totalprice < 50000 THEN NULL ELSE o_orderpriority END AS seg, o_orderkey AS c FROM orders),
+r AS (SELECT DISTINCT o_custkey AS n, CASE WHEN o_totalprice > 300000 THEN NULL ELSE o_orderpriority END AS seg FROM orders WHERE o_orderstatus = 'P')
+SELECT n, seg, c FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE l.n = r.n AND (l.seg = r.seg OR l.seg IS NULL OR r.seg IS NULL))""")
 def minus(spark, d):
-    c = table(spark, d, "customer")
-    left = c.select(F.col("c_nationkey").alias("n"), F.expr("if(c_custkey % 5 = 0, null, c_mktsegment)").alias("seg"), F.col("c_custkey").alias("c"))
-    return P.minus(left, c.where("c_acctbal < -900").select(F.col("c_nationkey").alias("n"), F.col("c_mktsegment").alias("seg")))
+    o = table(spark, d, "orders").withColumn("n", F.col("o_custkey"))
+    left = o.select("n", F.expr("if(o_totalprice < 50000, null, o_orderpriority)").alias("seg"), F.col("o_orderkey").alias("c"))
+    right = o.where("o_orderstatus = 'P'").select("n", F.expr("if(o_totalprice > 300000, null, o_orderpriority)").alias("seg"))
+    return P.minus(left, right, nullable=["seg"]).select("n", "seg", "c")
 
 
 @query("subquery", "SELECT n_name, top.c_custkey, top.c_acctbal FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20) top JOIN nation ON n_nationkey = top.c_nationkey")
@@ -306,18 +312,22 @@ def answers_equal(spark, d):
     return P.answers_equal(a.select("n", "m"), a.where("c_custkey % 50 <> 0").select("n", "m"))
 
 
-@query("sort_priority", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderstatus = 'P', o_orderstatus = 'F', o_totalprice DESC, o_orderdate, o_orderkey) AS BIGINT) AS place FROM orders QUALIFY place <= 100")
+@query("sort_priority", """
+SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderstatus = 'P', o_orderstatus = 'F', o_totalprice DESC, o_orderdate, o_orderkey) AS BIGINT) AS place FROM orders""")
 def sort_priority(spark, d):
-    from graphloom.operators.domain import top_places
+    from graphloom.operators.domain import places
 
     keys = [F.col("o_orderstatus") == "P", F.col("o_orderstatus") == "F", F.desc("o_totalprice"), "o_orderdate", "o_orderkey"]
-    return top_places(table(spark, d, "orders"), keys, 100).select("o_orderkey", F.col("place").cast("long").alias("place"))
+    return places(table(spark, d, "orders"), keys).select("o_orderkey", "place")
 
 
-@query("sort_time_null_last", "SELECT event_id, strftime(ts, '%H:%M:%S') AS clock FROM events ORDER BY clock = '00:00:00', clock, event_id LIMIT 200")
+@query("sort_time_null_last", """
+SELECT event_id, strftime(ts, '%H:%M:%S') AS clock, CAST(row_number() OVER (ORDER BY clock = '00:00:00', clock, event_id) AS BIGINT) AS place FROM events""")
 def sort_time_null_last(spark, d):
+    from graphloom.operators.domain import places
+
     e = table(spark, d, "events").select("event_id", F.date_format("ts", "HH:mm:ss").alias("clock"))
-    return e.orderBy(F.col("clock") == "00:00:00", "clock", "event_id").limit(200)
+    return places(e, [F.col("clock") == "00:00:00", "clock", "event_id"])
 
 
 # --- forms and updates --------------------------------------------------------------------------------

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,12 +10,12 @@ from graphloom.plans.base import query, table
 from graphloom.plans.patterns import with_t
 from graphloom.sources import text as X
 from graphloom.sources.triples import load
+from graphloom.operators.closure import shared_root
 from graphloom.streaming import jobs as J
 
 
 def work_dir(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def events(spark, d):
@@ -136,7 +135,11 @@ def stream_tumbling(spark, d):
     return spark.read.schema("start timestamp, event_type string, n long").parquet(f"{at}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("stream_sessions")
+@query("stream_sessions", """
+WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events),
+n AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT min(ts) AS "start", max(ts) + INTERVAL 6 HOUR AS "end", user_id, CAST(count(*) AS BIGINT) AS n FROM n
+GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def stream_sessions(spark, d):
     at = work_dir(spark)
     s = J.sessions(events(spark, d), "ts", "user_id", "6 hours", "1 hour")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FENCE = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
@@ -39,15 +39,30 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
 NT = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z-]+)?)\s*\.\s*$'
 
 
+#: What a backslash and one letter stand for in a literal.
+ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+
+
+def unescaped(text: Column) -> Column:
+    """A literal's text with its escapes decoded in one pass: letters, ``\\uXXXX`` and ``\\UXXXXXXXX``; others stay."""
+    letters = F.create_map(*[F.lit(x) for a, b in ESCAPES.items() for x in ("\\" + a, b)])
+    # two units of a surrogate pair are decoded together
+    pairs = F.regexp_extract_all(text, F.lit(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+|\\"), F.lit(0))
+    units = lambda p: F.decode(F.unhex(F.replace(p, F.lit("\\u"), F.lit(""))), "UTF-16BE")
+    one = lambda p: (
+        F.when(p.rlike(r"^\\u[0-9A-Fa-f]{4}"), units(p)).when(p.rlike(r"^\\U[0-9A-Fa-f]{8}"), F.decode(F.unhex(F.substring(p, 3, 8)), "UTF-32"))
+        .otherwise(F.coalesce(F.element_at(letters, p), p))
+    )
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(pairs, one), "")).otherwise(text)
+
+
 def parse_ntriples(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Triples of lines ``(value)``, and the lines that are none; comments and blank lines are skipped."""
     live = lines.where(~F.rlike("value", F.lit(r"^\s*(#.*)?$")))
     good = F.rlike("value", F.lit(NT))
     s, p, o = (F.regexp_extract("value", NT, i) for i in (1, 2, 3))
     bare = lambda c: F.regexp_replace(c, r"^<(.*)>$", "$1")
-    text = F.regexp_extract(o, r'^"((?:[^"\\]|\\.)*)"', 1)
-    for a, b in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ('\\"', '"'), ("\\\\", "\\")):
-        text = F.replace(text, F.lit(a), F.lit(b))
+    text = unescaped(F.regexp_extract(o, r'^"((?:[^"\\]|\\.)*)"', 1))
     literal = o.startswith('"')
     out = live.where(good).select(
         bare(s).alias("s"), p.alias("p"), F.when(literal, text).otherwise(bare(o)).alias("o"),

@@ -12,6 +12,7 @@ from graphloom.functions import terms as T
 from graphloom.functions import times as D
 from graphloom.operators import aggregates as A
 from graphloom.operators import closure as C
+from graphloom.operators import domain as W
 from graphloom.operators import inference as I
 from graphloom.operators import patterns as P
 from graphloom.operators import shapes as V
@@ -43,7 +44,7 @@ def test_closure_on_random_graphs(spark, seed):
     pairs = list({(r.randrange(8), r.randrange(8)) for _ in range(12)})
     want = closure_model(pairs)
     assert {tuple(x)[:2] for x in C.plus(graph(spark, pairs)).collect()} == want
-    assert {tuple(x) for x in C.plus_by_doubling(graph(spark, pairs)).collect()} == want
+    assert {tuple(x) for x in C.reach(graph(spark, pairs)).collect()} == want
     comp = dict(tuple(x) for x in C.scc(graph(spark, pairs)).collect())
     for a, b in itertools.product(comp, repeat=2):
         assert (comp[a] == comp[b]) == (a == b or ((a, b) in want and (b, a) in want))
@@ -52,7 +53,7 @@ def test_closure_on_random_graphs(spark, seed):
 def test_closure_cycle_self_loop_diamond_chain(spark):
     assert C.plus(graph(spark, [(1, 2), (2, 3), (3, 1)])).count() == 9
     assert C.plus(graph(spark, [(1, 1), (1, 2), (1, 3), (2, 4), (3, 4)])).count() == 6
-    assert C.plus_by_doubling(graph(spark, [(i, i + 1) for i in range(40)])).count() == 820
+    assert C.reach(graph(spark, [(i, i + 1) for i in range(40)])).count() == 820
 
 
 def model_compat(left, right):
@@ -85,6 +86,32 @@ def test_minus_needs_a_shared_bound_variable(spark):
     assert rows(P.minus(a, b)) == [(3, None)]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_minus_against_model(spark, seed):
+    r = random.Random(seed)
+    make = lambda n: [tuple(r.choice([None, 1, 2, 3]) for _ in range(3)) for _ in range(n)]
+    left, right = make(60), make(6)
+    gone = lambda x, y: any(a == b is not None and a is not None for a, b in zip(x, y, strict=True)) and all(a is None or b is None or a == b for a, b in zip(x, y, strict=True))
+    want = sorted((x for x in left if not any(gone(x, y) for y in right)), key=str)
+    schema = "x int, y int, z int"
+    assert sorted(map(tuple, P.minus(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).collect()), key=str) == want
+    firm = [(1 if x is None else x, y, z) for x, y, z in left], [(1 if x is None else x, y, z) for x, y, z in right]
+    want = sorted((x for x in firm[0] if not any(gone(x, y) for y in firm[1])), key=str)
+    got = P.minus(spark.createDataFrame(firm[0], schema), spark.createDataFrame(firm[1], schema), nullable=["y", "z"])
+    assert sorted(map(tuple, got.collect()), key=str) == want
+
+
+def test_long_rings_and_chains_have_no_bound(spark):
+    ring = C.scc(graph(spark, [(i, (i + 1) % 205) for i in range(205)] + [(500, 0), (0, 501)])).collect()
+    assert {x["node"]: x["component"] for x in ring} == {**{i: 0 for i in range(205)}, 500: 500, 501: 501}
+    assert C.reach(graph(spark, [(i, i + 1) for i in range(300)])).count() == 300 * 301 // 2
+
+
+def test_paths_stop_at_a_depth_only_where_one_is_given(spark):
+    chain = graph(spark, [(i, i + 1) for i in range(8)])
+    assert C.plus(chain, depth=3).agg(F.max("depth")).first()[0] == 3 and C.plus(chain).agg(F.max("depth")).first()[0] == 8
+
+
 def test_union_is_a_set_unless_asked(spark):
     a = spark.createDataFrame([(1,), (1,)], "x int")
     assert P.union(a, a).count() == 1 and P.union(a, a, all=True).count() == 4
@@ -102,7 +129,30 @@ def test_aggregates_of_nothing(spark):
     m = spark.createDataFrame([(9.0, "9"), (10.0, "10"), (None, "2026-01-01")], "n double, x string")
     assert m.agg(A.min_max(F.col("n"), F.col("x"), True).alias("v")).first()["v"] == "9"
     with pytest.raises(ValueError):
-        A.custom("x", 3, sum)
+        A.Custom(3, sum, sum, sum)
+    with pytest.raises(ValueError):
+        A.custom(e, "g", {"x": (A.Custom(2, sum, sum, sum), ["n"])})
+
+
+def test_custom_aggregates_in_parts(spark):
+    data = [("a", float(i), float(i % 3)) for i in range(500)] + [("b", None, 1.0), (None, 2.0, None), (None, 3.0, 2.0)]
+    frame = spark.createDataFrame(data, "g string, x double, y double").repartition(7)
+    top = A.Custom(1, lambda x: [x.max(), len(x)], lambda a, b: [max(a[0], b[0]), a[1] + b[1]], lambda s: s[0] + s[1])
+    dot = A.Custom(2, lambda x, y: [(x * y).sum()], lambda a, b: [a[0] + b[0]], lambda s: s[0])
+    got = {r["g"]: (r["top"], r["dot"]) for r in A.custom(frame, "g", {"top": (top, ["x"]), "dot": (dot, ["x", "y"])}).collect()}
+    assert got == {"a": (999.0, float(sum(i * (i % 3) for i in range(500)))), "b": (None, None), None: (5.0, 6.0)}
+
+
+def test_top_groups_keeps_nulls_and_the_rest(spark):
+    frame = spark.createDataFrame([("a",)] * 5 + [(None,)] * 4 + [("b",)] * 3 + [("c",)] * 2 + [("d",)], "g string")
+    assert rows(A.top_groups(frame, "g", 3)) == rows(spark.createDataFrame([("a", 5), (None, 4), ("Other", 6)], "g string, n long"))
+
+
+def test_places_of_a_whole_order(spark):
+    data = [(i % 7, i) for i in range(300)]
+    got = W.places(spark.createDataFrame(data, "a int, b int"), [F.desc("a"), "b"]).collect()
+    want = {x: k + 1 for k, x in enumerate(sorted(data, key=lambda x: (-x[0], x[1])))}
+    assert {(r["a"], r["b"]): r["place"] for r in got} == want
 
 
 def test_round_substr_replace(spark):
@@ -187,6 +237,12 @@ def test_ntriples_rejects_and_escapes(spark):
     assert rows(bad) == [("broken",)]
 
 
+def test_escapes_are_decoded_in_one_pass(spark):
+    cases = {r"C:\\new": "C:\\new", r"\u00E9t\u00e9": "été", r"\U0001F600!": "\U0001F600!", r"\uD83D\uDE00": "\U0001F600", r"a\\u0041": r"a\u0041", r"\\\n": "\\\n", r"\q": r"\q", "": "", "tab\\t": "tab\t"}
+    frame = spark.createDataFrame([(k,) for k in cases], "x string")
+    assert {r["x"]: r["y"] for r in frame.select("x", X.unescaped(F.col("x")).alias("y")).collect()} == cases
+
+
 def test_typed_record_rejects(spark):
     schema = "id string, kind string, value string, subject string, predicate string, object string, body string"
     data = [("n", "namespace", "urn:p", None, None, None, None), ("l", "literal", "x", None, None, None, None), ("s1", "statement", None, "l", "n", "n", None), ("s2", "statement", None, "q", "n", "n", None), ("s3", "statement", None, "n", "n", None, None), ("s4", "statement", None, "n", "n", "l", "body")]
