@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.closure import shared_root
+
 #: Most rows of a side that ``small_side`` marks for broadcast.
 BROADCAST_ROWS = 200_000
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where the setting is missing (tests on one machine), a temporary folder is taken and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
@@ -49,7 +38,7 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(vertices: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components: ``(id, component)``, component being the smallest id reachable.
 
     ``vertices`` has ``id``, ``edges`` has ``a, b``.  Large-star and small-star steps
@@ -65,7 +54,7 @@ def components(vertices: DataFrame, edges: DataFrame, rounds: int = 100) -> Data
         "cc",
     )
     before = None
-    for _ in range(rounds):
+    while True:
         both = live.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             live.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
