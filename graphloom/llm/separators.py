@@ -7,7 +7,7 @@ document that spans blocks gets its whole length.  Only one small row per block
 number of ids and its separators' places) takes part in the scan.
 
 ``scan`` takes any table ``(file, block, payload)``: blocks written by ``write_flat``, or
-raw files through Spark's ``binaryFile`` source with block 0.
+ranges of raw files from ``flat_files``, one task a range, whatever a file's size.
 
 A special token that a text spells out (``<|endoftext|>`` in a web page, say) is encoded as
 plain text, so that the end id stands at the ends of documents only; writing checks that,
@@ -15,21 +15,23 @@ and ``counted`` that each file closes as many documents as went into it.
 
 Defined cases: ids after the last separator of a file are a last, open document
 (``closed`` false); a null text is empty; an empty document has its separator alone;
-an empty payload or table gives no documents; a payload that ends inside an id is an error.
+an empty payload, file or table gives no documents; a payload that ends inside an id is an
+error, as is an id that the width of the file cannot hold; rows that repeat an id, or have
+none, are documents like others; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import scratch
-from graphloom.llm.encode import blocks, encoder
+from graphloom.llm.common import n_partitions, open_fs, scratch
+from graphloom.llm.encode import blocks, encoder, release
 
 
-def write_flat(docs: DataFrame, path: str, tokenizer: str, end_token: str, ids_per_block: int = 1 << 20) -> None:
+def write_flat(docs: DataFrame, path: str, tokenizer: str, end_token: str, ids_per_block: int = 1 << 20, width: int = 2) -> None:
     """Writes one flat file per partition of ``docs``, its blocks as rows, and the order of its documents.
 
     ``path/ids`` has the blocks; ``path/order`` has ``(file, first, doc_ids)``: which
@@ -40,15 +42,20 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end_token: str, ids_p
     def work(batches):
         from pyspark import TaskContext
 
+        release(keep="encoder")
         file, enc = TaskContext.get().partitionId(), encoder(tokenizer)
         end = enc.tokenizer.token_to_id(end_token)
-        rest, number, seen = np.zeros(0, np.uint16), 0, 0
+        kind = np.dtype(f"<u{width}")
+        rest, number, seen = np.zeros(0, kind), 0, 0
         for part in blocks(batches):
             block = enc.encode(part["text"].combine_chunks(), special_as_text=True)
             ids, lengths = block.ids()
             if (ids == end).any():
                 raise ValueError(f"file {file}: a text is encoded to the end id {end}")
-            rest = np.concatenate((rest, np.insert(ids, np.cumsum(lengths), end).astype("<u2")))
+            ids = np.insert(ids, np.cumsum(lengths), end)
+            if len(ids) and ids.max() > np.iinfo(kind).max:
+                raise ValueError(f"file {file}: id {ids.max()} does not fit into {width} bytes")
+            rest = np.concatenate((rest, ids.astype(kind)))
             rows = [{"kind": "order", "file": file, "block": seen, "payload": None, "doc_ids": part["doc_id"].to_pylist()}]
             seen += part.num_rows
             while len(rest) >= ids_per_block:
@@ -65,6 +72,23 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end_token: str, ids_p
     ).partitionBy("kind").parquet(path)
 
 
+def flat_files(spark: SparkSession, path: str, range_bytes: int = 8 << 20) -> DataFrame:
+    """``(file, block, payload)`` of the raw files at ``path``: ranges of ``range_bytes`` (a multiple of the ids' width)."""
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "length")  # without the content
+    ranges = files.select(F.col("path").alias("file"), F.explode(F.expr(f"sequence(0L, (length - 1) div {range_bytes})")).alias("block"))
+
+    def work(batches):
+        for batch in batches:
+            for file, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fs, at = open_fs(file)
+                with fs.open_input_file(at) as f:
+                    f.seek(block * range_bytes)
+                    payload = f.read(range_bytes)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([payload], pa.binary())], ["file", "block", "payload"])
+
+    return ranges.repartition(n_partitions(spark), "file", "block").mapInArrow(work, "file string, block long, payload binary")
+
+
 def scan(files: DataFrame, end_id: int, width: int = 2) -> DataFrame:
     """``(file, ordinal, start, n_tokens, closed)`` of each document in ``files`` (``file, block, payload``)."""
     kind = f"<u{width}"
@@ -115,14 +139,18 @@ def counted(docs: DataFrame, tokenizer: str, end_token: str = "<|endoftext|>", p
     from tokenizers import Tokenizer
 
     spark, path = docs.sparkSession, path or scratch(docs.sparkSession, "flat")
-    write_flat(docs, path, tokenizer, end_token)
-    end_id = Tokenizer.from_file(tokenizer).token_to_id(end_token)
+    whole = Tokenizer.from_file(tokenizer)
+    end_id = whole.token_to_id(end_token)
+    if end_id is None:
+        raise ValueError(f"the tokenizer has no {end_token}")
+    width = 2 if max(whole.get_vocab().values()) < 1 << 16 else 4
+    write_flat(docs, path, tokenizer, end_token, width=width)
     rows = spark.read.schema("file long, block long, payload binary, doc_ids array<long>, kind string").parquet(path)
     order = rows.where("kind = 'order'").select(
         F.col("file").cast("string").alias("file"), F.col("block").alias("first"), F.posexplode("doc_ids").alias("i", "doc_id")
     )
     order = order.select("file", (F.col("first") + F.col("i")).alias("ordinal"), "doc_id")
-    found = scan(rows.where("kind = 'ids'").select("file", "block", "payload"), end_id)
+    found = scan(rows.where("kind = 'ids'").select("file", "block", "payload"), end_id, width)
     both = found.join(order.withColumn("ordered", F.lit(True)), ["file", "ordinal"], "full")
     agree = F.coalesce(F.col("closed") & F.col("ordered"), F.lit(False))
     n_tokens = F.when(agree, F.col("n_tokens")).otherwise(F.raise_error(F.lit("a file's closed documents and ordered ids differ")).cast("long"))

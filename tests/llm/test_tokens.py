@@ -191,8 +191,8 @@ def test_special_tokens_in_texts_are_counted_as_text(spark):
 def test_files_and_their_order_must_agree(spark, monkeypatch):
     whole = separators.write_flat
 
-    def short(frame, path, *rest):
-        whole(frame.where("doc_id > 0"), path, *rest)
+    def short(frame, path, *rest, **more):
+        whole(frame.where("doc_id > 0"), path, *rest, **more)
         extra = [("order", 99, 0, None, [7])]
         spark.createDataFrame(extra, "kind string, file long, block long, payload binary, doc_ids array<long>").write.mode("append").partitionBy("kind").parquet(path)
 
@@ -201,6 +201,29 @@ def test_files_and_their_order_must_agree(spark, monkeypatch):
         separators.counted(docs(spark, [(i, "a b", "", 0) for i in range(5)]), PATH).collect()
 
 
+def test_ids_must_fit_the_width(spark, tmp_path):
+    with pytest.raises(Exception, match="does not fit into 1 bytes"):
+        separators.write_flat(docs(spark, [(1, "some words of a text", "", 0)]), f"file://{tmp_path}/flat", PATH, "<|endoftext|>", width=1)
+
+
+@pytest.mark.parametrize("range_bytes", [4, 8, 12, 1 << 20])
+def test_ranges_of_raw_files(spark, tmp_path, range_bytes):
+    (tmp_path / "raw").mkdir()
+    r = np.random.default_rng(2)
+    files = {"a.bin": r.integers(0, 4, 100), "b.bin": np.array([3]), "c.bin": np.zeros(0, int), "d.bin": np.array([1, 0])}
+    for name, ids in files.items():
+        ids.astype("<u4").tofile(tmp_path / "raw" / name)
+    got = separators.scan(separators.flat_files(spark, f"file://{tmp_path}/raw", range_bytes), 0, width=4).collect()
+    found = {(x["file"].rsplit("/", 1)[1], x["ordinal"]): (x["start"], x["n_tokens"], x["closed"]) for x in got}
+    want = {}
+    for name, ids in files.items():
+        cuts = [*(np.flatnonzero(ids == 0) + 1).tolist()]
+        ends = cuts if len(ids) == 0 or cuts and cuts[-1] == len(ids) else [*cuts, len(ids)]
+        for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
+            want[name, k] = (a, b - a, k < len(cuts))
+    assert found == want
+
+
 def test_raw_files(spark, tmp_path):
     np.array([4, 4, 0, 5, 0], "<u4").tofile(tmp_path / "a.bin")
     raw = spark.read.format("binaryFile").load(f"file://{tmp_path}/*.bin").select(F.col("path").alias("file"), F.lit(0).alias("block"), F.col("content").alias("payload"))
