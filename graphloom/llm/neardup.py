@@ -26,7 +26,9 @@ confirmed links already join.
 Defined cases: a text that is null or without words has an empty set and links with
 nothing; a text with fewer than five words has one shingle; rows that share a ``doc_id``
 are one vertex; a null ``doc_id`` takes part in nothing (its component is null, it is
-kept); an empty table gives an empty table.
+kept); equal sizes and counts are ordered by hashes and ids, the same on every run; a text of
+any length is one set in one row; other columns are ignored, whatever their names; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations

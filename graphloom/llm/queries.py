@@ -49,7 +49,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.zipwarc import round_trip
 
-    return round_trip(table(spark, sf_dir, "pages"))
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ the file, then reads the index member and the ranges of the records that it want
 
 Defined cases: a null payload is empty; a null or odd URL is percent-escaped; ids may be
 null (such a record is a response unless its payload repeats that of a record with an
-id); rows that repeat an id and its payload are all responses; an empty table gives no
-package and no records; other columns of the input are ignored.
+id); rows that repeat an id and its payload are all responses; a payload of any length is
+one record (it must fit into a task's memory); an empty table gives no package and no
+records; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,22 +28,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import n_partitions, scratch, staged
+from graphloom.llm.common import n_partitions, open_fs, scratch, small_side, staged
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bytes of package that one read of adjacent records fetches at most (a larger record is read alone).
 READ_BYTES = 8 << 20
+#: Bytes from which a package is closed and the next one begun.
+PACKAGE_BYTES = 256 << 20
 #: Bytes of package that one reading task takes.
 SPLIT_BYTES = 32 << 20
 
 
-def open_fs(uri: str):
-    """The file system and path of a URI: local, HDFS, S3 or what else pyarrow opens."""
-    from pyarrow.fs import FileSystem
-
-    return FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
-
-
 # --- ZIP directories ---------------------------------------------------------------------------
 
 
@@ -136,8 +132,9 @@ def number(urn: str | None) -> int | None:
 def mark_revisits(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     """``page_id, url, html`` with ``digest`` and ``refers_to`` (null: this record is a response).
 
-    The first id of each payload comes from partial aggregates; the join that brings it to
-    the pages is a plain one on the digest, whose hot partitions Spark splits.
+    Only ids and digests are shuffled, and aggregated before; the payloads that repeat come to
+    the pages by broadcast where their count allows it, else by a join on the digest, whose
+    hot partitions Spark splits.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -151,45 +148,60 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
         .where("n > 1")
         .select("digest", "first")
     )
-    return rows.join(first, "digest", "left").select(
+    first = staged(first, "first")
+    return rows.join(small_side(first, first.count()), "digest", "left").select(
         "page_id", "url", "html", "digest", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to")
     )
 
 
+class Package:
+    """A package that is being written."""
+
+    def __init__(self, fs, base: str):
+        fs.create_dir(base, recursive=True)
+        self.path = f"{base}/{uuid.uuid4().hex}.wacz"
+        self.out = fs.open_output_stream(self.path)
+        self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_STORED, allowZip64=True)
+        self.member = self.zip.open(zipfile.ZipInfo(DATA), "w", force_zip64=True)
+        self.index: list[bytes] = []
+        self.at = 0
+
+    def add(self, page_id: int | None, record: bytes) -> None:
+        packed = gzip.compress(record, 6, mtime=0)
+        self.member.write(packed)
+        self.index.append(json.dumps({"id": page_id, "offset": self.at, "length": len(packed)}).encode())
+        self.at += len(packed)
+
+    def close(self) -> pd.DataFrame:
+        self.member.close()
+        with self.zip.open(zipfile.ZipInfo(INDEX), "w", force_zip64=True) as m:
+            m.write(b"\n".join(self.index))
+        self.zip.close()
+        size = self.out.tell()
+        self.out.close()
+        return pd.DataFrame({"path": [self.path], "bytes": [size], "records": [len(self.index)]})
+
+
 def write_packages(rows: DataFrame, folder: str) -> DataFrame:
-    """Writes ``mark_revisits`` rows, one package per task, and returns the manifest ``(path, bytes, records)``.
+    """Writes ``mark_revisits`` rows, packages of about ``PACKAGE_BYTES`` by task, and returns the manifest ``(path, bytes, records)``.
 
     A repeated task writes under another name; only names in the manifest, which Spark commits, count.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = open_fs(folder)
-        out = z = member = None
-        index: list[bytes] = []
-        at = 0
-        name = f"{base}/{uuid.uuid4().hex}.wacz"
+        package = None
         for batch in batches:
             for page_id, url, html, digest, refers in zip(*(batch[c] for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
-                if z is None:
-                    fs.create_dir(base, recursive=True)
-                    out = fs.open_output_stream(name)
-                    z = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True)
-                    member = z.open(zipfile.ZipInfo(DATA), "w", force_zip64=True)
+                package = package or Package(fs, base)
                 page_id = None if pd.isna(page_id) else int(page_id)
-                packed = gzip.compress(
-                    warc_record(page_id, url, html.encode("utf-8", "replace"), digest, None if pd.isna(refers) else int(refers)), 6, mtime=0
-                )
-                member.write(packed)
-                index.append(json.dumps({"id": page_id, "offset": at, "length": len(packed)}).encode())
-                at += len(packed)
-        if z is not None:
-            member.close()
-            with z.open(zipfile.ZipInfo(INDEX), "w", force_zip64=True) as m:
-                m.write(b"\n".join(index))
-            z.close()
-            n = out.tell()
-            out.close()
-            yield pd.DataFrame({"path": [name], "bytes": [n], "records": [len(index)]})
+                record = warc_record(page_id, url, html.encode("utf-8", "replace"), digest, None if pd.isna(refers) else int(refers))
+                package.add(page_id, record)
+                if package.at >= PACKAGE_BYTES:
+                    yield package.close()
+                    package = None
+        if package:
+            yield package.close()
 
     return staged(rows.mapInPandas(work, "path string, bytes long, records long"), "manifest")
 

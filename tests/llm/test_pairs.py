@@ -67,6 +67,13 @@ def test_near_duplicates_against_all_pairs(spark, seed):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_duplicates_of_the_table_against_all_pairs(spark, sf):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = neardup.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    sizes, low = near_model(docs)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (sizes[i], low[i]) for i, _ in docs}
+
+
 def test_near_duplicates_edges(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, None)]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -220,6 +227,16 @@ def test_zip64_end_record(monkeypatch):
     assert b"PK\6\6" in raw.getvalue() and len(zipwarc.zip_members(raw, len(raw.getvalue()))) == 5
 
 
+def test_packages_are_closed_at_their_size(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(zipwarc, "PACKAGE_BYTES", 600)
+    frame = spark.createDataFrame([(i, "u", f"page {i} " * 20) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    folder = f"file://{tmp_path}/wacz"
+    manifest = zipwarc.write_packages(zipwarc.mark_revisits(frame), folder)
+    assert manifest.count() > 5 and manifest.agg({"records": "sum"}).first()[0] == 20
+    got = zipwarc.read_records(zipwarc.read_index(manifest, folder), folder)
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in got.collect()) == [(i, len(f"page {i} ") * 20) for i in range(20)]
+
+
 def test_warc_round_trip_edges(spark):
     long = "é" * 60
     rows = [(5, "http://a/ b\r\nX: y", long), (3, None, long), (9, "u", long), (1, "u", "short"), (2, "u", "short"), (4, "u", None), (None, "u", long), (5, "http://a/", long)]
