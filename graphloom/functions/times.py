@@ -91,6 +91,30 @@ def months_of(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(r"^-?P(?=\d)(\d+Y)?(\d+M)?$")), F.when(text.startswith("-"), -total).otherwise(total))
 
 
+def months_text(months: Column) -> Column:
+    """``P1Y2M`` of a number of months; zero is ``P0M``."""
+    n = F.abs(months)
+    y, m = F.floor(n / 12), n % 12
+    body = F.concat(F.lit("P"), F.when(y > 0, F.concat(y.cast("string"), F.lit("Y"))).otherwise(""), F.when(m > 0, F.concat(m.cast("string"), F.lit("M"))).otherwise(""))
+    return F.when(n.isNull(), None).when(n == 0, "P0M").otherwise(F.concat(F.when(months < 0, "-").otherwise(""), body))
+
+
+def add_months(a: Column, b: Column) -> Column:
+    """Sum of two yearMonthDurations; null where one is none."""
+    return months_text(months_of(a) + months_of(b))
+
+
+def subtract_months(a: Column, b: Column) -> Column:
+    return months_text(months_of(a) - months_of(b))
+
+
+def month_component(text: Column, unit: str) -> Column:
+    """Years or months as they stand in a yearMonthDuration's normal form: 14 months are 1 year and 2 months."""
+    n = months_of(text)
+    whole = F.floor(F.abs(n) / 12) if unit == "years" else F.abs(n) % 12
+    return F.when(n < 0, -whole).otherwise(whole).cast("long")
+
+
 def plus_months(ts: Column, months: Column) -> Column:
     """Clipped to the month's end."""
     return ts + F.make_ym_interval(F.lit(0), months)

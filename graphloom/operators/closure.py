@@ -166,10 +166,32 @@ def reduction(edges: DataFrame) -> DataFrame:
     return e.join(longer, ["src", "dst"], "left_anti")
 
 
+def typed_edges(triples: DataFrame, nodes: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """``src, dst, p, kind`` of the references among ``nodes`` (column ``node``), without loops.
+
+    ``kinds`` names the kind of a predicate (hierarchy, prototype, semantic); any other
+    reference is a forward-link, and a backlink from its target as well.
+    """
+    e = triples.where("o_kind = 'iri' AND p <> 'rdf:type' AND s <> o").select(F.col("s").alias("src"), F.col("o").alias("dst"), "p").distinct()
+    e = e.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    named = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]) if kinds else F.create_map().cast("map<string,string>")
+    e = e.select("src", "dst", "p", F.coalesce(F.element_at(named, F.col("p")), F.lit("forward-link")).alias("kind"))
+    back = e.where("kind = 'forward-link'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "p", F.lit("backlink").alias("kind"))
+    return e.unionByName(back)
+
+
+def degree_profile(edges: DataFrame, types: DataFrame) -> DataFrame:
+    """``by, value, n``: edges by ``kind``, and their ends by ``cls`` (``types`` has ``node, cls``)."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    of_class = ends.join(types, "node").groupBy(F.col("cls").alias("value")).agg(F.sum("n").alias("n"))
+    of_kind = edges.groupBy(F.col("kind").alias("value")).agg(F.count("*").alias("n"))
+    return of_kind.select(F.lit("kind").alias("by"), "value", "n").unionByName(of_class.select(F.lit("class").alias("by"), "value", "n"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
-    """``node, in_degree, out_degree``."""
+    """``node, in_degree, out_degree, weight`` (both together)."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
-    return ends.select("x.*").groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+    return ends.select("x.*").groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.count("*").alias("weight"))
 
 
 def khop(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.closure import cut
+from graphloom.operators.closure import cut, small
 
 
 def preconditions(rows: DataFrame, flags: dict[str, Column], trees: dict[str, tuple]) -> DataFrame:
@@ -101,3 +101,70 @@ def render(template: str, columns: list[str]) -> Column:
     out = F.regexp_replace(out, r"\{\{[^}]*\}\}", "")
     out = F.regexp_replace(out, r"(\s*-\s*)+", " - ")
     return F.trim(F.regexp_replace(out, r"^\s*-\s*|\s*-\s*$", ""))
+
+
+def participating(entities: DataFrame, ancestors: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rules that hold for each entity: those of its class that match, else those of the nearest ancestor that has any.
+
+    ``entities`` has ``key, cls, tags`` (an array); ``ancestors`` ``src, dst, depth``; ``rules``
+    ``cls, priority, rule, needs`` (a tag, or null) and what else they carry.
+    """
+    chain = entities.select("key", "cls", "tags", F.lit(0).alias("depth")).unionByName(
+        entities.join(ancestors.select(F.col("src").alias("cls"), "dst", "depth"), "cls").select("key", F.col("dst").alias("cls"), "tags", "depth")
+    )
+    fits = chain.join(small(rules), "cls").where(F.col("needs").isNull() | F.array_contains("tags", F.col("needs")))
+    near = F.min("depth").over(Window.partitionBy("key"))
+    return fits.withColumn("_near", near).where("depth = _near").drop("_near", "tags")
+
+
+def composed(rules: DataFrame) -> DataFrame:
+    """``key, template``: the rules of a key (``prefix, core, suffix``), in order of priority, put together:
+    the first core that is not empty, and each prefix and suffix token once, in that order."""
+    fields = F.struct("priority", "rule", "prefix", "core", "suffix")
+    own = rules.groupBy("key").agg(F.array_sort(F.collect_list(fields)).alias("r"))  # as many as a class has rules
+    tokens = lambda part: F.filter(F.array_distinct(F.flatten(F.transform("r", lambda x: F.split(F.trim(x[part]), r"\s+")))), lambda t: t != "")
+    core = F.coalesce(F.get(F.filter(F.transform("r", lambda x: x["core"]), lambda c: c != ""), F.lit(0)), F.lit(""))
+    before = F.array_join(F.transform(tokens("prefix"), lambda t: F.concat(t, F.lit(" "))), "")
+    after = F.array_join(F.transform(tokens("suffix"), lambda t: F.concat(F.lit(" "), t)), "")
+    return own.select("key", F.concat(before, core, after).alias("template"))
+
+
+def next_states(current: DataFrame, moves: DataFrame, terminal: DataFrame) -> DataFrame:
+    """``state``'s moves (``source, target, rollback``) for each row of ``current``, with ``kind`` available or
+    rollback; a row in a ``terminal`` state has one of that kind without a target as well."""
+    steps = current.join(small(moves.select(F.col("source").alias("state"), "target", "rollback")), "state")
+    steps = steps.withColumn("kind", F.when(F.col("rollback"), "rollback").otherwise("available")).drop("rollback")
+    ends = current.join(small(terminal.select("state")), "state").withColumns({"target": F.lit(None).cast("string"), "kind": F.lit("terminal")})
+    return steps.unionByName(ends)
+
+
+def creation_gate(candidates: DataFrame, nodes: DataFrame, guarded: DataFrame, exempt: DataFrame, evidence: str, anchors: DataFrame, allowed: DataFrame, depth: int = 12) -> DataFrame:
+    """``id, reason`` of each candidate (``id, cls, text``).
+
+    A candidate whose class is not ``guarded`` (column ``cls``) is ``unguarded``; one of an
+    ``exempt`` class with ``evidence`` (a pattern) in its text is ``exempt``.  For the others
+    the chain of parents is walked in ``nodes`` (``id, cls, parent, direction``), from the
+    candidate's own node on: ``allowed`` at an anchor class whose direction is among
+    ``allowed``; else ``chain-ended``, ``too-deep``, ``missing-parent`` or ``cycle``.
+    """
+    flag = lambda df, name: small(df.select("cls").distinct().withColumn(name, F.lit(True)))
+    first = candidates.join(flag(guarded, "_guarded"), "cls", "left").join(flag(exempt, "_exempt"), "cls", "left")
+    free = F.when(F.col("_guarded").isNull(), "unguarded").when(F.col("_exempt") & F.rlike("text", F.lit(evidence)), "exempt")
+    first = cut(first.select("id", free.alias("reason")))
+    done = first.where("reason IS NOT NULL")
+    places = nodes.join(flag(anchors, "_anchor"), "cls", "left").join(small(allowed.select("direction").distinct().withColumn("_allowed", F.lit(True))), "direction", "left")
+    places = cut(places.select(F.col("id").alias("node"), "parent", F.coalesce(F.col("_anchor") & F.col("_allowed"), F.lit(False)).alias("good")))
+    live = first.where("reason IS NULL").select("id", F.col("id").alias("node"), F.array("id").alias("seen"))
+    for hops in range(depth + 1):
+        j = live.join(places, "node", "left")
+        missing = F.col("good").isNull()
+        reason = (
+            F.when(missing, "missing-parent").when(F.col("good"), "allowed").when(F.col("parent").isNull(), "chain-ended")
+            .when(F.lit(hops == depth), "too-deep").when(F.array_contains("seen", F.col("parent")), "cycle")
+        )
+        step = cut(j.select("id", "parent", "seen", reason.alias("reason")))
+        done = done.unionByName(step.where("reason IS NOT NULL").select("id", "reason"))
+        live = step.where("reason IS NULL").select("id", F.col("parent").alias("node"), F.array_append("seen", F.col("parent")).alias("seen"))
+        if not live.take(1):
+            break
+    return done

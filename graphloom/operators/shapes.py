@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.closure import cut, reach, scc
+from graphloom.operators.closure import alt, condense, cut, identity, inverse, reach, reduction, scc
 
-#: Lexical forms of the datatypes that are checked.
+INTEGER, DECIMAL = r"^[+-]?\d+$", r"^[+-]?(\d+(\.\d*)?|\.\d+)$"
+NON_NEGATIVE, FLOAT = r"^\+?\d+$", r"^([+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[+-]?INF|NaN)$"
+#: The lexical forms with which a number's literal may stand for another numeric datatype.
 LEXICAL = {
-    "xsd:integer": r"^[+-]?\d+$", "xsd:decimal": r"^[+-]?(\d+(\.\d*)?|\.\d+)$", "xsd:double": r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$",
-    "xsd:boolean": r"^(true|false|1|0)$", "xsd:date": r"^\d{4}-\d\d-\d\d$", "xsd:dateTime": r"^\d{4}-\d\d-\d\dT\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:\d\d)?$",
-    "xsd:gYear": r"^-?\d{4,}$", "xsd:anyURI": r"^[a-z][a-z0-9+.-]*:\S+$",
+    "xsd:integer": INTEGER, "xsd:long": INTEGER, "xsd:int": INTEGER, "xsd:short": INTEGER, "xsd:byte": INTEGER,
+    "xsd:nonNegativeInteger": NON_NEGATIVE, "xsd:unsignedLong": NON_NEGATIVE, "xsd:unsignedInt": NON_NEGATIVE,
+    "xsd:unsignedShort": NON_NEGATIVE, "xsd:unsignedByte": NON_NEGATIVE, "xsd:positiveInteger": r"^\+?0*[1-9]\d*$",
+    "xsd:nonPositiveInteger": r"^(-\d+|\+?0+)$", "xsd:negativeInteger": r"^-0*[1-9]\d*$", "xsd:decimal": DECIMAL,
+    "xsd:float": FLOAT, "xsd:double": FLOAT, "xsd:gYear": r"^-?\d{4,}(Z|[+-]\d{2}:\d{2})?$",
 }
+#: An absolute IRI: a scheme, and no white space.
+ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.-]*:[^\s<>\"]+$"
 
 
 def load_shapes(definitions: DataFrame) -> DataFrame:
@@ -73,21 +79,26 @@ def class_range(triples: DataFrame, shapes: DataFrame, types: DataFrame, supercl
     return j.select("s", F.col("p").alias("property"), F.lit("class_range").alias("check"), F.when(F.col("classes").isNull(), "Warning").otherwise(F.col("severity")).alias("severity"))
 
 
-def lexical_ok(value: Column, datatype: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(True))
-    for dt, pattern in LEXICAL.items():
-        out = out.when(datatype == dt, value.rlike(pattern))
-    return out.otherwise(True)
+def literal_fits(value: Column, tag: Column, expected: Column) -> Column:
+    """Whether a literal of datatype ``tag`` (null: xsd:string) may stand where ``expected`` is asked for.
+
+    The same datatype always fits.  A number's tag comes of how it was written down, so its
+    text decides; so it does for a text under xsd:boolean or xsd:anyURI.  Nothing else fits.
+    """
+    tag = F.coalesce(tag, F.lit("xsd:string"))
+    number = F.lit(False)
+    for datatype, form in LEXICAL.items():
+        number = number | ((expected == datatype) & value.rlike(form))
+    text = ((expected == "xsd:boolean") & value.rlike("^(true|false)$")) | ((expected == "xsd:anyURI") & value.rlike(ABSOLUTE))
+    return F.when(tag == expected, True).when(tag.isin("xsd:integer", "xsd:decimal"), number).when(tag == "xsd:string", text).otherwise(False)
 
 
 def datatype_range(triples: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Literals that are not of any of the datatypes in the range."""
-    own = shapes.where(F.exists("ranges", lambda r: r.startswith("xsd:"))).select(F.col("property").alias("p"), F.explode("ranges").alias("dt"), "severity")
-    lit = triples.where("o_kind = 'lit'").select("s", "p", "o").join(own, "p")
-    return (
-        lit.groupBy("s", F.col("p").alias("property"), "o", "severity").agg(F.max(lexical_ok(F.col("o"), F.col("dt"))).alias("ok")).where("NOT ok")
-        .select("s", "property", F.lit("datatype_range").alias("check"), "severity")
-    )
+    """Literals ``(o, o_dt)`` that are not of any of the datatypes in the range."""
+    own = shapes.where(F.exists("ranges", lambda r: r.startswith("xsd:"))).select(F.col("property").alias("p"), F.filter("ranges", lambda r: r.startswith("xsd:")).alias("dts"), "severity")
+    lit = triples.where("o_kind = 'lit'").select("s", "p", "o", "o_dt").join(own, "p")
+    bad = lit.where(~F.exists("dts", lambda dt: literal_fits(F.col("o"), F.col("o_dt"), dt)))
+    return bad.select("s", F.col("p").alias("property"), F.lit("datatype_range").alias("check"), "severity", "o").distinct().drop("o")
 
 
 def unknown_property(triples: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -160,6 +171,24 @@ def declared_cycles(imports: DataFrame, uids: DataFrame) -> DataFrame:
     )
 
 
+def propose_imports(derived: DataFrame, declared: DataFrame) -> DataFrame:
+    """``src, dst, kind`` between the components of the ``derived`` graph, each named by its least member.
+
+    An edge that would close a cycle with the declared imports is a ``conflict``.  The others
+    are reduced together with the declared ones; what is left and not declared is an ``add``.
+    """
+    member = cut(scc(derived))
+    nodes = member.unionByName(
+        identity(declared).select(F.col("src").alias("node"), F.col("src").alias("component")).join(member.select("node"), "node", "left_anti")
+    )
+    known, wanted = cut(condense(declared, nodes)), cut(condense(derived, nodes))
+    back = inverse(reach(known))
+    fine = wanted.join(back, ["src", "dst"], "left_anti")
+    more = reduction(alt(fine, known)).join(known, ["src", "dst"], "left_anti")
+    conflict = wanted.join(back, ["src", "dst"], "left_semi")
+    return more.select("src", "dst", F.lit("add").alias("kind")).unionByName(conflict.select("src", "dst", F.lit("conflict").alias("kind")))
+
+
 def dependency_coverage(facts: DataFrame, declared: DataFrame) -> DataFrame:
     """Fact edges between packages that the closure of the declared ones does not cover, and whether a direct one lacks."""
     cover = reach(declared)

@@ -40,6 +40,40 @@ def diff(base: DataFrame, other: DataFrame) -> DataFrame:
     return j.select(change.alias("change"), F.coalesce("path2", "path").alias("path"), F.when(F.col("path") != F.col("path2"), F.col("path")).alias("old_path")).where("change IS NOT NULL")
 
 
+def root_hash(snapshot: DataFrame) -> DataFrame:
+    """One row ``root``: a hash of all ``(path, sha)``, whatever their order; none for an empty snapshot."""
+    one = F.conv(F.substring(F.md5(F.concat_ws(" ", "path", "sha")), 1, 8), 16, 10).cast("long")
+    return snapshot.agg(F.count("*").alias("n"), F.sum(one).alias("h")).where("n > 0").select(F.concat_ws("-", "n", "h").alias("root"))
+
+
+def base_guard(remembered: DataFrame, actual: DataFrame) -> DataFrame:
+    """``verdict, reason`` before a three-way merge: the base remembered from the last round (``root``) must be
+    there, and be the one that the other side has now."""
+    one = remembered.sparkSession.range(1)
+    j = one.join(remembered.select(F.col("root").alias("a")), F.lit(True), "left").join(actual.select(F.col("root").alias("b")), F.lit(True), "left")
+    reason = F.when(F.col("a").isNull(), "first-sync").when(F.col("b").isNull(), "base-missing").when(F.col("a") != F.col("b"), "base-mismatch")
+    return j.select(F.when(reason.isNull(), "go").otherwise("full-conflict").alias("verdict"), F.coalesce(reason, F.lit("none")).alias("reason"))
+
+
+def persistent(before: DataFrame, now: DataFrame, escalatable: list[str]) -> DataFrame:
+    """``path, class`` of differences that two rounds of ``parity`` show with the same contents."""
+    same = ["path", "l", "r"]
+    old = before.where(F.col("class").isin(*escalatable)).select(*[F.col(c).alias(f"_{c}") for c in same])
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) if c != "path" else F.col(c) == F.col(f"_{c}") for c in same]
+    return now.where(F.col("class").isin(*escalatable)).join(old, on, "left_semi").select("path", "class")
+
+
+def lost_edits(base: DataFrame, before: DataFrame, local: DataFrame, remote: DataFrame, merged: DataFrame, pinned: DataFrame) -> DataFrame:
+    """Paths edited before a round (``before`` differs from ``base``) whose edit is, after it, neither kept
+    locally, nor pushed, nor merged, nor pinned."""
+    dirty = before.select("path", "sha").join(base.select("path", "sha"), ["path", "sha"], "left_anti")
+    for after in (local, remote):
+        dirty = dirty.join(after.select("path", "sha"), ["path", "sha"], "left_anti")
+    for paths in (merged, pinned):
+        dirty = dirty.join(paths.select("path"), "path", "left_anti")
+    return dirty.select("path")
+
+
 def merge_scalar(base: DataFrame, local: DataFrame, remote: DataFrame, later: list[str] = ()) -> DataFrame:
     """``path, key, value, how`` from three sides ``(path, key, value)``; keys in ``later`` take the larger value."""
     on = ["path", "key"]
@@ -61,7 +95,7 @@ def merge_set(base: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame
 
 
 def parity(base: DataFrame, local: DataFrame, remote: DataFrame, pinned: DataFrame) -> DataFrame:
-    """``path, class`` of every path of three sides ``(path, sha)``."""
+    """``path, class`` of every path of three sides ``(path, sha)``, and the contents ``l, r`` of the last two."""
     j = base.select("path", F.col("sha").alias("b")).join(local.select("path", F.col("sha").alias("l")), "path", "full").join(remote.select("path", F.col("sha").alias("r")), "path", "full")
     j = j.join(pinned.select("path", F.lit(True).alias("pin")), "path", "left")
     l, r, b = F.col("l"), F.col("r"), F.col("b")  # noqa: E741
@@ -70,7 +104,7 @@ def parity(base: DataFrame, local: DataFrame, remote: DataFrame, pinned: DataFra
         F.when(l.eqNullSafe(r), "parity").when(F.col("pin"), "pinned").when(r.eqNullSafe(b), F.concat(F.lit("pending-local-"), kind(l)))
         .when(l.eqNullSafe(b), F.concat(F.lit("pending-remote-"), kind(r))).otherwise("conflict")
     )
-    return j.select("path", cls.alias("class"))
+    return j.select("path", cls.alias("class"), "l", "r")
 
 
 def parity_totals(classes: DataFrame, accounted: list[str]) -> DataFrame:

@@ -260,6 +260,16 @@ scalar("fn_duration_arith", "part", "p_partkey", {
 }, "'PT' || ((60 + p_size) // 60) || 'H' || CASE WHEN p_size % 60 > 0 THEN (p_size % 60) || 'M' ELSE '' END AS sum, CAST(1 - p_size AS DOUBLE) AS diff, CAST(2 * p_size // 24 AS BIGINT) AS twice, CAST(p_size % 24 AS BIGINT) AS hours, CAST(NULL AS VARCHAR) AS none, '-PT2H30M' AS zone")
 
 
+scalar("fn_months", "part", "p_partkey", {
+    "sum": lambda: D.add_months(F.concat(F.lit("P"), "p_size", F.lit("M")), F.lit("P1Y2M")), "diff": lambda: D.subtract_months(F.lit("P2Y"), F.concat(F.lit("P"), "p_size", F.lit("M"))),
+    "years": lambda: D.month_component(F.concat(F.lit("P"), "p_size", F.lit("M")), "years"), "months": lambda: D.month_component(F.concat(F.lit("-P"), "p_size", F.lit("M")), "months"),
+    "none": lambda: D.add_months(F.lit("PT1H"), F.lit("P1M")),
+}, "'P' || ((14 + p_size) // 12) || 'Y' || CASE WHEN (14 + p_size) % 12 > 0 THEN ((14 + p_size) % 12) || 'M' ELSE '' END AS sum, "
+   "CASE WHEN p_size = 24 THEN 'P0M' ELSE CASE WHEN p_size > 24 THEN '-P' ELSE 'P' END || CASE WHEN abs(24 - p_size) >= 12 THEN (abs(24 - p_size) // 12) || 'Y' ELSE '' END "
+   "|| CASE WHEN abs(24 - p_size) % 12 > 0 THEN (abs(24 - p_size) % 12) || 'M' ELSE '' END END AS diff, "
+   "CAST(p_size // 12 AS BIGINT) AS years, CAST(-(p_size % 12) AS BIGINT) AS months, CAST(NULL AS VARCHAR) AS none")
+
+
 @query("host_predicate", "SELECT c_custkey, c_acctbal < 0 AS hit FROM customer")
 def host_predicate(spark, d):
     T.register("owes", lambda x: x < 0)

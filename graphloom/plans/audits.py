@@ -20,10 +20,11 @@ from graphloom.sources.triples import load
 
 def data(spark, d):
     """Customers' triples with faults: every 11th lacks a segment, every 13th has two, every 17th a bad balance, every 19th points to a region."""
-    t = load(spark, d, "customer", "nation", "region").select("s", "p", "o", "o_kind")
+    t = load(spark, d, "customer", "nation", "region").select("s", "p", "o", "o_kind", "o_dt")
     k = F.regexp_extract("s", r"^customer/(\d+)$", 1).try_cast("long")
     seg, bal, nat = (F.col("p") == c for c in ("c_mktsegment", "c_acctbal", "c_nationkey"))
     t = t.withColumn("k", k).where(~(seg & F.coalesce(F.col("k") % 11 == 0, F.lit(False))))
+    t = t.withColumn("o_dt", F.when(~(bal & F.coalesce(F.col("k") % 17 == 0, F.lit(False))), F.col("o_dt")))  # a text, no number
     t = t.withColumn("o", F.when(bal & (F.col("k") % 17 == 0), "n/a").when(nat & (F.col("k") % 19 == 0), "region/1").otherwise(F.col("o")))
     more = t.where(seg & (F.col("k") % 13 == 0)).withColumn("o", F.lit("EXTRA"))
     return t.unionByName(more).drop("k")
@@ -157,14 +158,14 @@ def declared_cycles(spark, d):
     return V.declared_cycles(ring.unionByName(own), uids)
 
 
-@query("propose_imports", f"WITH {HALVES} SELECT src, dst FROM e WHERE src % 3 <> 0")
+@query("propose_imports", f"""
+WITH {HALVES} SELECT src, dst, 'add' AS kind FROM e WHERE src % 3 <> 0
+UNION ALL SELECT dst, src, 'conflict' FROM e WHERE src % 24 = 12""")
 def propose_imports(spark, d):
     e = halves(spark, d)
     declared = e.where("src % 3 = 0")
-    used = C.alt(e, C.seq(e, e))
-    back = C.reach(declared).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    fine = used.join(back, ["src", "dst"], "left_anti")
-    return C.reduction(C.alt(fine, declared)).join(declared, ["src", "dst"], "left_anti")
+    back = C.inverse(e.where("src % 24 = 12"))
+    return V.propose_imports(C.alt(e.where("src % 24 <> 12"), C.seq(e, e), back), declared)
 
 
 @query("membership_audit", "SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'no-reference' WHEN c_custkey % 9 = 1 THEN 'unresolvable-group' WHEN n_regionkey = 4 THEN 'no-allow-list' WHEN c_custkey % 9 = 2 THEN 'no-class' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'allowed' ELSE 'violation' END AS verdict FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -331,11 +332,23 @@ def dup_uid_guard(spark, d):
     return S.dup_uids(side(spark, d, "base"), side(spark, d, "remote"))
 
 
-@query("base_guard", SIDES + "SELECT CASE WHEN count(*) = 0 OR max(sha) <> (SELECT max(sha) FROM base) THEN 'full-conflict' ELSE 'go' END AS verdict FROM base")
+ROOT = "SELECT CAST(count(*) AS VARCHAR) || '-' || CAST(sum(CAST('0x' || substr(md5(path || ' ' || sha), 1, 8) AS BIGINT)) AS VARCHAR) AS root FROM"
+
+
+@query("base_guard", SIDES + f"""
+, r AS ({ROOT} base), q AS ({ROOT} remote)
+SELECT 'same' AS case_name, 'go' AS verdict, 'none' AS reason
+UNION ALL SELECT 'other', CASE WHEN r.root = q.root THEN 'go' ELSE 'full-conflict' END, CASE WHEN r.root = q.root THEN 'none' ELSE 'base-mismatch' END FROM r, q
+UNION ALL SELECT 'first', 'full-conflict', 'first-sync'
+UNION ALL SELECT 'gone', 'full-conflict', 'base-missing'""")
 def base_guard(spark, d):
-    b = side(spark, d, "base").agg(F.count("*").alias("n"), F.max("sha").alias("h"))
-    known = side(spark, d, "base").agg(F.max("sha").alias("known"))
-    return b.crossJoin(known).select(F.when((F.col("n") == 0) | ~F.col("h").eqNullSafe(F.col("known")), "full-conflict").otherwise("go").alias("verdict"))
+    base, other = (C.cut(S.root_hash(side(spark, d, x))) for x in ("base", "remote"))
+    cases = {"same": (base, base), "other": (base, other), "first": (base.where("false"), base), "gone": (base, base.where("false"))}
+    out = None
+    for name, (remembered, actual) in cases.items():
+        one = S.base_guard(remembered, actual).select(F.lit(name).alias("case_name"), "verdict", "reason")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def key_rows(x):
@@ -363,15 +376,16 @@ PARITY = SIDES + (", p AS (SELECT path, CASE WHEN l IS NOT DISTINCT FROM r THEN
                   "WHEN l IS NOT DISTINCT FROM b THEN 'pending-remote-' || CASE WHEN b IS NULL THEN 'add' WHEN r IS NULL THEN 'delete' ELSE 'edit' END ELSE 'conflict' END AS class FROM (SELECT path, base.sha AS b, local.sha AS l, remote.sha AS r FROM base FULL JOIN local USING (path) FULL JOIN remote USING (path))) ")
 
 
-def parity_of(spark, d):
-    b, l, r = (side(spark, d, x) for x in ("base", "local", "remote"))  # noqa: E741
+def parity_of(spark, d, local=None):
+    b, r = side(spark, d, "base"), side(spark, d, "remote")
+    l = side(spark, d, "local") if local is None else local  # noqa: E741
     pinned = b.unionByName(l).unionByName(r).where("path LIKE '%77%'").select("path").distinct()
     return S.parity(b, l, r, pinned)
 
 
 @query("parity_classes", PARITY + "SELECT path, class FROM p")
 def parity_classes(spark, d):
-    return parity_of(spark, d)
+    return parity_of(spark, d).select("path", "class")
 
 
 @query("parity_totals", PARITY + "SELECT CAST(count(*) AS BIGINT) AS paths, CAST(count(*) FILTER (class <> 'parity') AS BIGINT) AS differences, CAST(count(*) FILTER (class NOT IN ('parity', 'pinned', 'pending-local-edit', 'pending-remote-edit')) AS BIGINT) AS unaccounted, CASE WHEN count(*) = 0 THEN 'vacuous' WHEN count(*) FILTER (class NOT IN ('parity', 'pinned', 'pending-local-edit', 'pending-remote-edit')) = 0 THEN 'ok' ELSE 'diverged' END AS verdict FROM p")
@@ -379,18 +393,42 @@ def parity_totals(spark, d):
     return S.parity_totals(parity_of(spark, d), ["pinned", "pending-local-edit", "pending-remote-edit"])
 
 
-@query("persistent_divergence", PARITY + "SELECT path, class FROM p WHERE class = 'conflict' OR class LIKE 'pending-local-%'")
+#: Classes of differences that must not outlive a round.
+ESCALATABLE = ["conflict", "pending-local-add", "pending-local-edit", "pending-local-delete", "pending-remote-edit"]
+
+
+@query("persistent_divergence", PARITY + """
+, earlier AS (
+  SELECT path, CASE WHEN k % 14 = 7 THEN md5(CAST(CAST(round(bal_now) AS BIGINT) AS VARCHAR)) ELSE sha END AS sha
+  FROM (SELECT local.*, round(c_acctbal * 100) AS bal_now FROM local JOIN customer ON c_custkey = k)
+), three AS (
+  SELECT path, base.sha AS b, local.sha AS l, remote.sha AS r, earlier.sha AS l0, base.path IS NOT NULL AS x
+  FROM base FULL JOIN local USING (path) FULL JOIN remote USING (path) FULL JOIN earlier USING (path)
+), old AS (
+  SELECT path, CASE WHEN l0 IS NOT DISTINCT FROM r THEN 'parity' WHEN path LIKE '%77%' THEN 'pinned'
+    WHEN r IS NOT DISTINCT FROM b THEN 'pending-local' WHEN l0 IS NOT DISTINCT FROM b AND b IS NOT NULL AND r IS NOT NULL THEN 'pending-remote-edit'
+    WHEN l0 IS NOT DISTINCT FROM b THEN 'other' ELSE 'conflict' END AS was, l, l0 FROM three
+)
+SELECT p.path, p.class FROM p JOIN old USING (path)
+WHERE p.class IN ('conflict', 'pending-local-add', 'pending-local-edit', 'pending-local-delete', 'pending-remote-edit')
+  AND was IN ('conflict', 'pending-local', 'pending-remote-edit') AND l IS NOT DISTINCT FROM l0""")
 def persistent_divergence(spark, d):
-    now = parity_of(spark, d)
-    before = C.cut(now.where("class <> 'parity'"))
-    return now.where("class = 'conflict' OR class LIKE 'pending-local-%'").join(before, ["path", "class"], "left_semi")
+    local = side(spark, d, "local")
+    plain = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.md5(F.round(F.col("c_acctbal") * 100).cast("long").cast("string")).alias("plain"))
+    # a round ago, half of the edits had not been made
+    earlier = local.join(plain, "k").withColumn("sha", F.when(F.col("k") % 14 == 7, F.col("plain")).otherwise(F.col("sha"))).select(*local.columns)
+    return S.persistent(parity_of(spark, d, earlier), parity_of(spark, d), ESCALATABLE)
 
 
-@query("edit_conservation", SIDES + "SELECT local.path FROM local LEFT JOIN base USING (path) WHERE local.sha IS DISTINCT FROM base.sha AND local.path NOT IN (SELECT path FROM remote WHERE k % 2 = 0) AND local.path NOT LIKE '%77%'")
+@query("edit_conservation", SIDES + """
+SELECT local.path FROM local LEFT JOIN base USING (path)
+WHERE local.sha IS DISTINCT FROM base.sha AND NOT EXISTS (SELECT 1 FROM remote r WHERE r.path = local.path AND r.sha = local.sha)
+  AND local.seg <> 'BUILDING' AND local.seg <> 'MACHINERY' AND local.path NOT LIKE '%77%'""")
 def edit_conservation(spark, d):
-    b, l, r = (side(spark, d, x) for x in ("base", "local", "remote"))  # noqa: E741
-    dirty = l.select("path", "sha").join(b.select("path", "sha"), ["path", "sha"], "left_anti").select("path")
-    return dirty.join(r.where("k % 2 = 0").select("path"), "path", "left_anti").join(l.where("path LIKE '%77%'").select("path"), "path", "left_anti")
+    base, before, remote = (side(spark, d, x) for x in ("base", "local", "remote"))
+    kept = before.where("seg = 'BUILDING'")  # the rest of the local side was overwritten by the remote one
+    merged = before.where("seg = 'MACHINERY'")
+    return S.lost_edits(base, before, kept, remote, merged, before.where("path LIKE '%77%'"))
 
 
 @query("format_drift", "SELECT doc_id FROM documents WHERE text <> trim(regexp_replace(text, '\\s+', ' ', 'g'))")
@@ -464,13 +502,25 @@ def calendar_events(spark, d):
     return e.select("event_id", "start", ((F.hour("start") == 0) & (F.minute("start") == 0) & (F.second("start") == 0)).alias("all_day"))
 
 
-@query("naming_rule", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'B-' WHEN c_nationkey % 2 = 0 THEN 'N-' ELSE 'X-' END || c_name AS title FROM customer")
+@query("naming_rule", """
+SELECT c_custkey, CASE
+  WHEN c_mktsegment = 'BUILDING' AND c_acctbal < 0 THEN 'B D ' || c_name || ' (debt)'
+  WHEN c_mktsegment = 'BUILDING' THEN 'B ' || c_name
+  WHEN c_mktsegment = 'MACHINERY' AND c_acctbal < 0 THEN 'P ' || c_name
+  ELSE c_name || ' x' END AS title
+FROM customer""")
 def naming_rule(spark, d):
-    rules = spark.createDataFrame([("BUILDING", "B-", 1), ("even", "N-", 2), ("Thing", "X-", 3)], "cls string, prefix string, depth int")
-    c = table(spark, d, "customer")
-    chain = c.select("c_custkey", "c_name", F.explode(F.array("c_mktsegment", F.when(F.col("c_nationkey") % 2 == 0, "even"), F.lit("Thing"))).alias("cls"))
-    found = chain.join(F.broadcast(rules), "cls")
-    return W.keep_first(found, ["c_custkey"], ["depth"]).select("c_custkey", F.concat("prefix", "c_name").alias("title"))
+    rules = spark.createDataFrame(
+        [
+            ("BUILDING", 1, "r1", None, "B", "{{name}}", ""), ("BUILDING", 2, "r2", "debt", "D B ", "{{name}}!", "(debt)"),
+            ("Party", 1, "r3", "debt", "P", "{{name}}", ""), ("Thing", 5, "r4", None, "", "{{name}}", "x x"),
+        ],
+        "cls string, priority int, rule string, needs string, prefix string, core string, suffix string",
+    )
+    up = C.plus(spark.createDataFrame([("BUILDING", "Party"), ("MACHINERY", "Party"), ("Party", "Thing"), ("HOUSEHOLD", "Thing"), ("FURNITURE", "Thing"), ("AUTOMOBILE", "Thing")], "src string, dst string"))
+    c = table(spark, d, "customer").withColumn("tags", F.when(F.col("c_acctbal") < 0, F.array(F.lit("debt"))).otherwise(F.array().cast("array<string>")))
+    names = W.composed(W.participating(c.select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("cls"), "tags"), up, rules))
+    return c.join(names, c.c_custkey == names.key).select("c_custkey", F.replace("template", F.lit("{{name}}"), F.col("c_name")).alias("title"))
 
 
 @query("render_template", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN c_name || ' - ' || c_mktsegment ELSE c_mktsegment END AS title FROM customer")
@@ -494,11 +544,17 @@ def resolve_workflow(spark, d):
     return W.resolve_first(j, "c_custkey", [F.col("own"), F.col("direct"), F.col("wf"), F.lit("fallback")]).select("c_custkey", "value")
 
 
-@query("next_states", "SELECT user_id, e.event_type AS state, n.target FROM (SELECT user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) e JOIN (VALUES ('view', 'click'), ('view', 'signup'), ('click', 'purchase')) n(source, target) ON n.source = e.event_type")
+@query("next_states", """
+WITH e AS (SELECT user_id, event_type AS state FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT user_id, state, target, kind FROM e JOIN (VALUES ('view', 'click', 'available'), ('view', 'signup', 'available'), ('click', 'purchase', 'available'),
+  ('click', 'view', 'rollback'), ('signup', 'view', 'rollback')) n(source, target, kind) ON n.source = e.state
+UNION ALL SELECT user_id, state, NULL, 'terminal' FROM e WHERE state IN ('purchase', 'error')""")
 def next_states(spark, d):
     now = W.latest(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"])
-    moves = F.broadcast(spark.createDataFrame([("view", "click"), ("view", "signup"), ("click", "purchase")], "state string, target string"))
-    return now.select("user_id", F.col("event_type").alias("state")).join(moves, "state").select("user_id", "state", "target")
+    moves = [("view", "click", False), ("view", "signup", False), ("click", "purchase", False), ("click", "view", True), ("signup", "view", True)]
+    moves = spark.createDataFrame(moves, "source string, target string, rollback boolean")
+    terminal = spark.createDataFrame([("purchase",), ("error",)], "state string")
+    return W.next_states(now.select("user_id", F.col("event_type").alias("state")), moves, terminal).select("user_id", "state", "target", "kind")
 
 
 @query("instantiation_rule", CLASS_UP + "SELECT 'part/' || p_partkey AS s, CASE WHEN p_type LIKE 'S%' THEN 'rule-1' ELSE 'rule-2' END AS rule FROM part WHERE p_type IS NOT NULL")
@@ -508,14 +564,35 @@ def instantiation_rule(spark, d):
     return W.keep_first(p.join(F.broadcast(rules), F.expr("p_type LIKE matches")), ["s"], ["rule"]).select("s", "rule")
 
 
-@query("creation_gate", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'exempt' WHEN p_partkey % 7 = 3 THEN 'missing-parent' WHEN EXISTS (SELECT 1 FROM (SELECT p_partkey // 2 AS a UNION ALL SELECT p_partkey // 4 UNION ALL SELECT p_partkey // 8) WHERE a > 0 AND a % 6 = 0) THEN 'allowed' ELSE 'no-anchor' END AS reason FROM part")
+@query("creation_gate", """
+WITH RECURSIVE n AS (
+  SELECT p_partkey AS id, p_type AS cls, p_brand AS direction, CASE WHEN p_size = 13 THEN 1000000000 WHEN p_size = 7 THEN p_partkey WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent
+  FROM part
+), c AS (
+  SELECT p_partkey AS id, CASE WHEN p_type = 'PROMO' THEN 'unguarded' WHEN p_type = 'LARGE' AND regexp_matches(p_name, '^red ') THEN 'exempt' END AS reason FROM part
+), w AS (
+  SELECT id, id AS node, 0 AS hops FROM c WHERE reason IS NULL
+  UNION ALL
+  SELECT w.id, n.parent, hops + 1 FROM w JOIN n ON n.id = w.node
+  WHERE NOT (n.cls IN ('SMALL', 'STANDARD') AND n.direction LIKE '%1') AND n.parent IS NOT NULL AND n.parent <> n.id AND hops < 12
+), z AS (
+  SELECT w.id, w.node, hops, row_number() OVER (PARTITION BY w.id ORDER BY hops DESC) AS k FROM w
+)
+SELECT id, reason FROM c WHERE reason IS NOT NULL
+UNION ALL
+SELECT z.id, CASE WHEN n.id IS NULL THEN 'missing-parent' WHEN n.cls IN ('SMALL', 'STANDARD') AND n.direction LIKE '%1' THEN 'allowed'
+  WHEN n.parent IS NULL THEN 'chain-ended' WHEN hops = 12 THEN 'too-deep' ELSE 'cycle' END
+FROM z LEFT JOIN n ON n.id = z.node WHERE k = 1""")
 def creation_gate(spark, d):
-    e = halves(spark, d)
-    up = C.plus(e, depth=3)
-    anchored = up.where("dst % 6 = 0").select(F.col("src").alias("p_partkey")).distinct().withColumn("ok", F.lit(True))
-    p = table(spark, d, "part").join(anchored, "p_partkey", "left")
-    reason = F.when(F.col("p_partkey") % 4 == 0, "exempt").when(F.col("p_partkey") % 7 == 3, "missing-parent").when(F.col("ok"), "allowed").otherwise("no-anchor")
-    return p.select("p_partkey", reason.alias("reason"))
+    p = table(spark, d, "part")
+    parent = F.expr("case when p_size = 13 then 1000000000 when p_size = 7 then p_partkey when p_partkey > 1 then p_partkey div 2 end")
+    nodes = p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("cls"), parent.alias("parent"), F.col("p_brand").alias("direction"))
+    up = C.reach(spark.createDataFrame([("SMALL", "Anchor"), ("STANDARD", "Plain"), ("Plain", "Anchor"), ("LARGE", "Big"), ("Big", "Free")], "src string, dst string"))
+    below = lambda c: up.where(F.col("dst") == c).select(F.col("src").alias("cls"))
+    kinds = p.select(F.col("p_type").alias("cls")).distinct()
+    directions = p.select(F.col("p_brand").alias("direction")).distinct().where("direction LIKE '%1'")
+    candidates = p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("cls"), F.col("p_name").alias("text"))
+    return W.creation_gate(candidates, nodes, kinds.where("cls <> 'PROMO'"), below("Free"), "^red ", below("Anchor"), directions)
 
 
 @query("select_layout", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'l2' WHEN c_nationkey < 10 THEN 'l3' END AS layout FROM customer WHERE c_mktsegment = 'BUILDING' OR c_nationkey < 10")

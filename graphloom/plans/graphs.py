@@ -213,16 +213,41 @@ def graph_nodes(spark, d):
     return t.where("p = 'rdf:type' AND o = 'class/Customer'").join(gone, "s", "left_anti").select(F.col("s").alias("node")).distinct().orderBy("node").offset(5).limit(40)
 
 
-@query("graph_edges", "SELECT 'nation/' || n_nationkey AS src, 'region/' || n_regionkey AS dst, 'hierarchy' AS kind FROM nation WHERE n_nationkey < 15 UNION ALL SELECT 'customer/' || c_custkey, 'nation/' || c_nationkey, 'forward-link' FROM customer WHERE c_nationkey < 15")
+KIND_EDGES = """
+k AS (
+  SELECT 'nation/' || n_nationkey AS src, 'region/' || n_regionkey AS dst, 'n_regionkey' AS p, 'hierarchy' AS kind FROM nation WHERE n_nationkey < 15
+  UNION ALL SELECT 'supplier/' || s_suppkey, 'nation/' || s_nationkey, 's_nationkey', 'semantic' FROM supplier WHERE s_nationkey < 15
+  UNION ALL SELECT 'customer/' || c_custkey, 'nation/' || c_nationkey, 'c_nationkey', 'forward-link' FROM customer WHERE c_nationkey < 15
+  UNION ALL SELECT 'nation/' || c_nationkey, 'customer/' || c_custkey, 'c_nationkey', 'backlink' FROM customer WHERE c_nationkey < 15
+  UNION ALL SELECT 'customer/' || c_custkey, 'customer/' || (c_custkey // 2), 'model', 'prototype' FROM customer WHERE c_custkey // 2 <> c_custkey
+    AND c_custkey // 2 IN (SELECT c_custkey FROM customer)
+)"""
+
+
+def kind_edges(spark, d):
+    t = load(spark, d, "region", "nation", "customer", "supplier")
+    number = F.regexp_extract("s", r"^nation/(\d+)$", 1).try_cast("int")
+    nodes = t.where(F.coalesce(number < 15, F.lit(True))).select(F.col("s").alias("node")).distinct()
+    model = table(spark, d, "customer").select(F.concat(F.lit("customer/"), "c_custkey").alias("s"), F.lit("model").alias("p"), F.concat(F.lit("customer/"), F.expr("c_custkey div 2")).alias("o"), F.lit("iri").alias("o_kind"))
+    kinds = {"n_regionkey": "hierarchy", "model": "prototype", "s_nationkey": "semantic"}
+    return C.typed_edges(t.select("s", "p", "o", "o_kind").unionByName(model), nodes, kinds)
+
+
+@query("graph_edges", f"WITH {KIND_EDGES} SELECT src, dst, p, kind FROM k")
 def graph_edges(spark, d):
-    t = load(spark, d, "region", "nation", "customer")
-    small = F.regexp_extract("s", r"^nation/(\d+)$", 1).try_cast("int")
-    nodes = t.where(F.coalesce(small < 15, F.lit(True))).select("s").distinct()
-    e = t.where("o_kind = 'iri' AND p <> 'rdf:type' AND s <> o").join(nodes, "s", "left_semi").join(nodes.select(F.col("s").alias("o")), "o", "left_semi")
-    return e.select(F.col("s").alias("src"), F.col("o").alias("dst"), F.when(F.col("p") == "n_regionkey", "hierarchy").otherwise("forward-link").alias("kind"))
+    return kind_edges(spark, d)
+
+
+@query("degree_profile", f"""WITH {KIND_EDGES}
+SELECT 'kind' AS "by", kind AS value, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY 2
+UNION ALL SELECT 'class', CASE split_part(node, '/', 1) WHEN 'customer' THEN 'class/Customer' WHEN 'nation' THEN 'class/Nation' WHEN 'region' THEN 'class/Region' ELSE 'class/Supplier' END,
+  CAST(count(*) AS BIGINT) FROM (SELECT src AS node FROM k UNION ALL SELECT dst FROM k) GROUP BY 2""")
+def degree_profile(spark, d):
+    types = load(spark, d, "region", "nation", "customer", "supplier").where("p = 'rdf:type'").select(F.col("s").alias("node"), F.col("o").alias("cls"))
+    return C.degree_profile(kind_edges(spark, d), types)
 
 
-@query("degree_stats", "WITH e AS (SELECT 'customer/' || c_custkey AS src, 'nation/' || c_nationkey AS dst FROM customer UNION ALL SELECT 'nation/' || n_nationkey, 'region/' || n_regionkey FROM nation) SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY node")
+@query("degree_stats", "WITH e AS (SELECT 'customer/' || c_custkey AS src, 'nation/' || c_nationkey AS dst FROM customer UNION ALL SELECT 'nation/' || n_nationkey, 'region/' || n_regionkey FROM nation) SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, CAST(count(*) AS BIGINT) AS weight FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY node")
 def degree_stats(spark, d):
     return C.degrees(places(spark, d))
 

@@ -66,12 +66,20 @@ def extract_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all(bare, F.lit('href="([^"#]*)'), F.lit(1))).alias("target"))
 
 
-@query("rewrite_links", "SELECT page_id, md5(replace(replace(html, 'href=\"/The\"', 'href=\"/the-new\"'), 'href=\"/and\"', 'href=\"/and-new\"')) AS body FROM pages")
+@query("rewrite_links", """
+WITH r AS (SELECT n_name AS old, 'place ' || n_nationkey AS new FROM nation WHERE n_nationkey % 2 = 0), c AS (
+  SELECT c_custkey AS id, n_name AS a, c_name AS b FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT id, 'See [[' || coalesce(new, a) || CASE WHEN new IS NULL THEN '|there' ELSE '' END || ']] and [[' || coalesce(new, a) || '#Top' || CASE WHEN new IS NULL THEN '|x' ELSE '' END || ']], `[['
+       || a || ']]` ![[' || a || ']] [[' || b || '^k]]!' AS text, CAST(CASE WHEN new IS NULL THEN 0 ELSE 2 END AS BIGINT) AS n
+FROM c LEFT JOIN r ON r.old = a""")
 def rewrite_links(spark, d):
-    body = F.col("html")
-    for old, new in {"/The": "/the-new", "/and": "/and-new"}.items():
-        body = F.replace(body, F.lit(f'href="{old}"'), F.lit(f'href="{new}"'))
-    return table(spark, d, "pages").select("page_id", F.md5(body).alias("body"))
+    from graphloom.sources.text import rewrite_links as rewritten
+
+    n = table(spark, d, "nation")
+    c = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    text = F.format_string("See [[%s|there]] and [[%s#Top|x]], `[[%s]]` ![[%s]] [[%s^k]]!", "n_name", "n_name", "n_name", "n_name", "c_name")
+    renames = n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("old"), F.concat(F.lit("place "), "n_nationkey").alias("new"))
+    return rewritten(c.select(F.col("c_custkey").alias("id"), text.alias("text")), renames)
 
 
 @query("exclude_paths", "SELECT page_id, url FROM pages WHERE NOT (starts_with(url, 'http://t') OR starts_with(url, 'https://m.'))")
@@ -365,13 +373,18 @@ def delete_data(spark, d):
     return P.delete_data(t, gone)
 
 
-@query("named_template", "SELECT 'by_status' AS template, o_orderkey FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'by_date', o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate < TIMESTAMP '1995-03-15'")
+@query("named_template", "SELECT 'by_status' AS template, o_orderkey FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'by_date', o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate < TIMESTAMP '1995-03-15' "
+       "UNION ALL SELECT 'active', o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_totalprice >= 400000 UNION ALL SELECT 'by_domain', o_orderkey FROM orders WHERE o_orderpriority LIKE '1-%' "
+       "UNION ALL SELECT 'per_day', min(o_orderkey) FROM orders GROUP BY CAST(o_orderdate AS DATE) HAVING count(*) >= 3")
 def named_template(spark, d):
     from graphloom.plans.templates import run
 
     orders = table(spark, d, "orders")
     a = run(spark, "by_status", orders, status="P")
-    return a.unionByName(run(spark, "by_date", orders, first="1995-03-01", to="1995-03-15"))
+    more = {"by_date": {"first": "1995-03-01", "to": "1995-03-15"}, "active": {"status": "O", "least": "400000"}, "by_domain": {"prefix": "1-"}, "per_day": {"least": "3"}}
+    for name, params in more.items():
+        a = a.unionByName(run(spark, name, orders, **params))
+    return a
 
 
 @query("query_batch", "SELECT 'segments' AS name, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT c_mktsegment FROM customer) UNION ALL SELECT 'negative', count(*) FROM customer WHERE c_acctbal < 0")

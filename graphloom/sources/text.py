@@ -39,6 +39,26 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
 NT = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z-]+)?)\s*\.\s*$'
 
 
+#: Pieces of a note's text: fenced code, inline code, embeds, links (name, anchor, alias), a lone bracket or mark, anything else.
+PIECES = r"(?s)```.*?(?:```|\z)|`[^`\n]*`|!\[\[[^\]]*\]\]|\[\[[^\]]*\]\]|[^`!\[]+|[`!\[]"
+LINK = r"^\[\[([^\]|#^]+)([#^][^\]|]*)?(?:\|[^\]]*)?\]\]$"
+
+
+def rewrite_links(texts: DataFrame, renames: DataFrame) -> DataFrame:
+    """``id, text, n``: texts (``id, text``) whose links to a renamed target (``old, new``) point to its new name, and how many did.
+
+    Anchors (``#heading``, ``^block``) stay, an alias goes; links in code and embeds are left alone.
+    """
+    pieces = texts.select("id", F.posexplode(F.regexp_extract_all("text", F.lit(PIECES), F.lit(0))).alias("at", "piece"))
+    pieces = pieces.withColumn("old", F.nullif(F.regexp_extract("piece", LINK, 1), F.lit(""))).withColumn("anchor", F.regexp_extract("piece", LINK, 2))
+    renamed = pieces.where("old IS NOT NULL").join(renames.select("old", "new"), "old").select("id", "at", F.concat(F.lit("[["), "new", "anchor", F.lit("]]")).alias("fresh"))
+    per_text = renamed.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "fresh"))).alias("fresh"), F.count("*").alias("n"))
+    own = F.regexp_extract_all("text", F.lit(PIECES), F.lit(0))
+    again = F.array_join(F.transform(own, lambda piece, at: F.coalesce(F.element_at("fresh", at), piece)), "")
+    out = texts.join(per_text, "id", "left")
+    return out.select("id", F.when(F.col("n").isNull(), F.col("text")).otherwise(again).alias("text"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 #: What a backslash and one letter stand for in a literal.
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
 

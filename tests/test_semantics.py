@@ -268,3 +268,106 @@ def test_delta_plan(spark):
     assert J.delta_plan(files, files, refs)[0] == "hit"
     kind, paths = J.delta_plan(files, files.withColumn("mtime", F.expr("if(path = 'a', 0, mtime)")), refs)
     assert kind == "delta" and rows(paths) == [("a",), ("b",)]
+
+
+# --- shapes, names, gates, links, rounds --------------------------------------------------------------
+
+
+def test_literals_under_a_datatype(spark):
+    fits = [
+        ("7", "xsd:integer", "xsd:integer"), ("x", "xsd:decimal", "xsd:decimal"), ("7", "xsd:integer", "xsd:decimal"), ("+7", "xsd:integer", "xsd:unsignedByte"), ("007", "xsd:integer", "xsd:positiveInteger"),
+        ("-0", "xsd:integer", "xsd:nonPositiveInteger"), ("-3", "xsd:integer", "xsd:negativeInteger"), ("INF", "xsd:decimal", "xsd:double"), ("NaN", "xsd:decimal", "xsd:float"), ("2024Z", "xsd:integer", "xsd:gYear"),
+        ("true", None, "xsd:boolean"), ("https://a.example/x", None, "xsd:anyURI"), ("t", None, "xsd:string"),
+    ]
+    not_fits = [
+        ("7.5", "xsd:decimal", "xsd:integer"), ("0", "xsd:integer", "xsd:positiveInteger"), ("-1", "xsd:integer", "xsd:nonNegativeInteger"), ("7", None, "xsd:integer"), ("7", "xsd:integer", "xsd:string"),
+        ("1", None, "xsd:boolean"), ("a b", None, "xsd:anyURI"), ("rel/ative", None, "xsd:anyURI"), ("2024-01-01", "xsd:dateTime", "xsd:date"), ("7", "xsd:integer", "xsd:anyURI"), ("7", "xsd:integer", "xsd:odd"),
+    ]
+    frame = spark.createDataFrame(fits + not_fits, "o string, dt string, want string")
+    got = {tuple(r)[:3]: r["ok"] for r in frame.select("*", V.literal_fits(F.col("o"), F.col("dt"), F.col("want")).alias("ok")).collect()}
+    assert got == {**dict.fromkeys(fits, True), **dict.fromkeys(not_fits, False)}
+
+
+def test_names_of_the_nearest_class_with_a_matching_rule(spark):
+    entities = spark.createDataFrame([(1, "A", ["hot"]), (2, "A", []), (3, "B", []), (4, "Z", [])], "key int, cls string, tags array<string>")
+    up = C.plus(spark.createDataFrame([("A", "B"), ("B", "C")], "src string, dst string"))
+    rules = [("A", 2, "r1", "hot", "x y", "", "s"), ("A", 1, "r2", "hot", "y z", "{{l}}", "s t"), ("B", 1, "r3", "cold", "q", "{{b}}", ""), ("C", 1, "r4", None, "c", "{{c}}", "")]
+    rules = spark.createDataFrame(rules, "cls string, priority int, rule string, needs string, prefix string, core string, suffix string")
+    got = {r["key"]: r["template"] for r in W.composed(W.participating(entities, up, rules)).collect()}
+    assert got == {1: "y z x {{l}} s t", 2: "c {{c}}", 3: "c {{c}}"}
+
+
+def gate_model(nodes, start, good, depth):
+    node, seen = start, {start}
+    for hops in range(depth + 1):
+        if node not in nodes:
+            return "missing-parent"
+        if good(node):
+            return "allowed"
+        parent = nodes[node]
+        if parent is None:
+            return "chain-ended"
+        if hops == depth:
+            return "too-deep"
+        if parent in seen:
+            return "cycle"
+        seen.add(parent)
+        node = parent
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_creation_gate_against_model(spark, seed):
+    r = random.Random(seed)
+    parent = {i: r.choice([None, 99, i, r.randrange(30), i + 1, i + 1, i + 1]) for i in range(30)}
+    cls, way = {i: r.choice("PQR") for i in parent}, {i: r.choice("uv") for i in parent}
+    nodes = spark.createDataFrame([(i, cls[i], parent[i], way[i]) for i in parent], "id int, cls string, parent int, direction string")
+    one = lambda *xs, name="cls": spark.createDataFrame([(x,) for x in xs], f"{name} string")
+    candidates = spark.createDataFrame([(i, cls[i], "has it" if i % 2 else "no") for i in parent], "id int, cls string, text string")
+    got = {x["id"]: x["reason"] for x in W.creation_gate(candidates, nodes, one("P", "Q"), one("Q"), "it$", one("P"), one("u", name="direction"), depth=5).collect()}
+    good = lambda i: cls[i] == "P" and way[i] == "u"
+    assert got == {i: "unguarded" if cls[i] == "R" else "exempt" if cls[i] == "Q" and i % 2 else gate_model(parent, i, good, 5) for i in parent}
+
+
+def test_links_are_rewritten_outside_code_and_embeds(spark):
+    text = "[[A]] [[A|x]] [[A#h|y]] [[A^b]] [[B]] ![[A]] `[[A]]` [x](y) ```\n[[A]]\n``` ! end [[A"
+    got = X.rewrite_links(spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string"), spark.createDataFrame([("A", "N")], "old string, new string"))
+    want = "[[N]] [[N]] [[N#h]] [[N^b]] [[B]] ![[A]] `[[A]]` [x](y) ```\n[[A]]\n``` ! end [[A"
+    assert rows(got) == [(1, want, 4), (2, None, 0), (3, "", 0)]
+
+
+def test_conflicts_of_proposed_imports(spark):
+    derived = graph(spark, [(1, 2), (2, 1), (2, 3), (3, 4), (2, 4), (5, 3), (4, 6)])
+    declared = graph(spark, [(3, 5), (6, 7)])
+    got = {tuple(r) for r in V.propose_imports(derived, declared).collect()}
+    assert got == {(1, 3, "add"), (3, 4, "add"), (4, 6, "add"), (5, 3, "conflict")}
+
+
+def test_rounds_of_a_sync(spark):
+    snap = lambda **x: spark.createDataFrame(list(x.items()), "path string, sha string")
+    base = snap(a="1", b="1", c="1", d="1", e="1", f="1")
+    before = snap(a="2", b="2", c="2", d="2", e="2", f="1", g="2")
+    lost = S.lost_edits(base, before, snap(a="2", b="1"), snap(b="2"), snap(c="x"), snap(d="x"))
+    assert rows(lost) == [("e",), ("g",)]
+    roots = [S.root_hash(x) for x in (base, base.orderBy(F.desc("path")), before, base.limit(0))]
+    verdict = lambda a, b: tuple(S.base_guard(roots[a], roots[b]).first())
+    assert verdict(0, 1) == ("go", "none") and verdict(0, 2) == ("full-conflict", "base-mismatch")
+    assert verdict(3, 0) == ("full-conflict", "first-sync") and verdict(0, 3) == ("full-conflict", "base-missing")
+    round_of = lambda *x: spark.createDataFrame(x, "path string, class string, l string, r string")
+    old, new = round_of(("a", "conflict", "1", "2"), ("b", "conflict", "1", "2"), ("c", "pinned", "1", "2"), ("d", "conflict", None, "2")), round_of(("a", "conflict", "1", "2"), ("b", "conflict", "3", "2"), ("c", "pinned", "1", "2"), ("d", "conflict", None, "2"))
+    assert rows(S.persistent(old, new, ["conflict"])) == [("a", "conflict"), ("d", "conflict")]
+
+
+def test_edges_have_kinds_and_ways_back(spark):
+    t = spark.createDataFrame([("a", "up", "b", "iri"), ("a", "see", "b", "iri"), ("a", "see", "a", "iri"), ("a", "see", "z", "iri"), ("a", "name", "b", "lit")], "s string, p string, o string, o_kind string")
+    nodes = spark.createDataFrame([("a",), ("b",)], "node string")
+    e = C.typed_edges(t, nodes, {"up": "hierarchy"})
+    assert rows(e.select("src", "dst", "kind")) == [("a", "b", "forward-link"), ("a", "b", "hierarchy"), ("b", "a", "backlink")]
+    types = spark.createDataFrame([("a", "A"), ("b", "B")], "node string, cls string")
+    assert rows(C.degree_profile(e, types)) == rows(spark.createDataFrame([("kind", "hierarchy", 1), ("kind", "forward-link", 1), ("kind", "backlink", 1), ("class", "A", 3), ("class", "B", 3)], "a string, b string, n long"))
+
+
+def test_random_terms_and_the_clock(spark):
+    named = {n: T.call(n).alias(n) for n in ("UUID", "STRUUID", "RAND", "NOW")}
+    found = spark.range(200).select(*named.values()).collect()
+    assert len({x["UUID"] for x in found}) == len({x["STRUUID"] for x in found}) == 200 and all(x["UUID"].startswith("urn:uuid:") for x in found)
+    assert all(0 <= x["RAND"] < 1 for x in found) and len({x["NOW"] for x in found}) == 1
