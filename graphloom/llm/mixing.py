@@ -41,9 +41,10 @@ from graphloom.llm.language import Model, fit, predict
 TARGETS = {"de": 0.2, "en": 0.45, "es": 0.15, "fr": 0.2}
 
 
-def memberships(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, n_tokens`` (words), ``p`` (posterior in the order of ``model.langs``) of every document."""
-    return predict(docs, model, "doc_id", posterior=True).select("doc_id", F.col("n_words").alias("n_tokens"), F.col("posterior").alias("p"))
+def memberships(docs: DataFrame, model: Model, *keep: str, text: str = "text") -> DataFrame:
+    """The columns ``keep``, ``n_tokens`` (words) and ``p`` (posterior in the order of ``model.langs``) of every document."""
+    told = predict(docs, model, *keep, text=text, posterior=True)
+    return told.select(*keep, F.col("n_words").alias("n_tokens"), F.col("posterior").alias("p"))
 
 
 def moved(rate: F.Column, step: np.ndarray, before: F.Column | None = None, momentum: float = 0.0) -> F.Column:
@@ -136,15 +137,22 @@ def fit_rates(
     raise RuntimeError(f"the rates have not converged in {rounds} rounds: totals {totals.tolist()}, goal {goal.tolist()}")
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None) -> DataFrame:
-    """``doc_id, n_tokens, domain, rate, copies`` of every document; ``labelled`` has ``doc_id, text, lang``."""
+def rated(
+    docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *keep: str, key: str = "doc_id", text: str = "text", budget: float | None = None
+) -> DataFrame:
+    """The columns ``keep`` (``key`` among them) with ``n_tokens, domain, rate, copies`` of every document; ``labelled`` has ``doc_id, text, lang``."""
     model = fit(labelled)
-    members = staged(memberships(docs, model), "members")
-    rated = with_rates(members, fit_rates(members, model.langs, targets, budget).steps)
-    chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 32)) / float(1 << 32)
+    members = staged(memberships(docs, model, *keep, text=text), "members")
+    rates = with_rates(members, fit_rates(members, model.langs, targets, budget).steps)
+    chance = F.pmod(F.xxhash64(F.lit("mix"), key), F.lit(1 << 32)) / float(1 << 32)
     best = F.array_position("p", F.array_max("p"))
     domain = F.get(F.array(*[F.lit(d) for d in model.langs]).cast("array<string>"), (best - 1).cast("int"))
-    return rated.withColumn("rate", F.round("rate", 9)).select(
-        "doc_id", "n_tokens", domain.alias("domain"), "rate",
+    return rates.withColumn("rate", F.round("rate", 9)).select(
+        *keep, "n_tokens", domain.alias("domain"), "rate",
         (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int").alias("copies"),
     )
+
+
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None) -> DataFrame:
+    """``doc_id, n_tokens, domain, rate, copies`` of every document."""
+    return rated(docs.select("doc_id", "text"), labelled, targets, "doc_id", budget=budget)

@@ -30,6 +30,13 @@ def test_stages_on_the_small_table(spark, sf):
         assert zlib.crc32(np.array([*tok.encode(texts[i], add_special_tokens=False).ids, 2], "<u4").tobytes()) == crc
 
 
+def test_columns_of_any_name_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({n: F.lit(i) for i, n in enumerate(["_copies", "_copy", "copies", "copy", "p", "rate", "n_tokens", "h", "item", "component"])})
+    for _, stage in C.STAGES[:-1]:
+        after = stage(spark, docs, sf)
+        assert after.columns == docs.columns and after.where("_copy <> 1 OR copies <> 2 OR component <> 9").count() == 0
+
+
 def test_stages_on_odd_rows(spark, sf):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "the words of a text", None, None, 5), (3, "the words of a text and more of it", "en", "s", 9), (3, "the words of a text and more of it", "en", "s", 9), (4, "THE words of a text and more of it", "en", "s", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
