@@ -20,12 +20,10 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(small_side(ids, ids.count()), "doc_id", "left_anti").select(*docs.columns)
 
 
-def clear_of(columns: list[str], name: str) -> str:
-    """A column name like ``name`` that is none of ``columns``, without case."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that clash with no operator's, and the new name of each column."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +35,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named like those of the prediction are kept as they are.
     """
     model = language.fit(docs)
-    names = [f"c{i}" for i in range(len(docs.columns))]  # no clash with the columns that prediction adds
-    at = {c: n for c, n in zip(docs.columns, names, strict=True)}
-    out = language.predict(docs.toDF(*names), model, *names, text=at["text"]).where(F.col("lang_pred") != language.UNKNOWN)
+    rows, at = renamed(docs)
+    out = language.predict(rows, model, *rows.columns, text=at["text"]).where(F.col("lang_pred") != language.UNKNOWN)
     return out.select(*[(F.coalesce(n, "lang_pred") if c == "lang" else F.col(n)).alias(c) for c, n in at.items()])
 
 
@@ -63,16 +60,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as its fitted rate gives; rows that share an id take its largest.
+    """As many copies of each document as its fitted rate gives.
 
-    Rows with a null id, and documents that the fit says nothing about, stay once; without
+    Every row has a rate of its own, rows that share an id and rows with a null id too; without
     labelled rows every document stays once; long texts, ties and empty tables as in ``mixing``.
     """
-    many, number = clear_of(docs.columns, "_copies"), clear_of(docs.columns, "_copy")
-    copies = mixing.mixed(docs, docs.where("lang IS NOT NULL"), mixing.TARGETS)
-    copies = staged(copies.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias(many)), "copies")
-    out = docs.join(copies, "doc_id", "left").where(F.col(many).isNull() | (F.col(many) > 0))
-    return out.withColumn(number, F.explode(F.sequence(F.lit(1), F.coalesce(many, F.lit(1))))).select(*docs.columns)
+    rows, at = renamed(docs)
+    out = mixing.rated(rows, docs.where("lang IS NOT NULL"), mixing.TARGETS, *rows.columns, key=at["doc_id"], text=at["text"]).where("copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*[F.col(n).alias(c) for c, n in at.items()])
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
