@@ -88,6 +88,20 @@ def custom(rows: DataFrame, by: str, wanted: dict[str, tuple[Custom, list[str]]]
 def top_groups(rows: DataFrame, group: str, n: int, other: str = "Other") -> DataFrame:
     """Counts of the ``n - 1`` largest groups; the rest falls together as ``other``."""
     counts = rows.groupBy(group).agg(F.count("*").alias("n"))
+    return _folded(counts, group, n, other).groupBy(F.col("label").alias(group)).agg(F.sum("n").alias("n"))
+
+
+def _folded(counts: DataFrame, group: str, n: int, other: str) -> DataFrame:
+    """``counts`` with ``label``: the group's name if it is one of the ``n - 1`` largest, else ``other``."""
     top = counts.orderBy(F.desc("n"), group).limit(n - 1).select(F.col(group).alias("_g"), F.lit(True).alias("_top"))
     label = F.when(F.col("_top"), F.col(group)).otherwise(other)
-    return counts.join(F.broadcast(top), F.col(group).eqNullSafe(F.col("_g")), "left").groupBy(label.alias(group)).agg(F.sum("n").alias("n"))
+    return counts.join(F.broadcast(top), F.col(group).eqNullSafe(F.col("_g")), "left").select(*counts.columns, label.alias("label"))
+
+
+def group_edges(nodes: DataFrame, edges: DataFrame, n: int, other: str = "Other") -> DataFrame:
+    """``a, b, n``: edges (``src, dst``) within and between the ``n - 1`` largest groups of ``nodes`` (``node, grp``) and the rest."""
+    counts = nodes.groupBy("grp").agg(F.count("*").alias("n"))
+    label = _folded(counts, "grp", n, other).select("grp", "label")
+    of = nodes.join(label, nodes["grp"].eqNullSafe(label["grp"])).select("node", "label")
+    ends = lambda node, name: of.select(F.col("node").alias(node), F.col("label").alias(name))
+    return edges.join(ends("src", "a"), "src").join(ends("dst", "b"), "dst").groupBy("a", "b").agg(F.count("*").alias("n"))

@@ -194,6 +194,43 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.select("x.*").groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.count("*").alias("weight"))
 
 
+def clone_subtree(edges: DataFrame, root: DataFrame, labels: DataFrame, run: str, values: dict[str, str], suffix: str) -> DataFrame:
+    """``node, origin, parent, cls, label``: copies of all that is below ``root`` (column ``node``), itself included.
+
+    ``edges`` go from child to parent; ``labels`` has ``node, cls, label``.  New ids are hashes of the
+    old ones and ``run``; inner edges point to the copies; ``suffix`` goes from the end of the
+    class; ``{{key}}`` in a label is filled from ``values``, an unknown key stays.
+    """
+    below = plus(inverse(edges), start=root.select(F.col("node").alias("src"))).select(F.col("dst").alias("node"))
+    nodes = cut(below.unionByName(root.select("node")).distinct())
+    inner = pairs(edges).join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    new = lambda c: F.md5(F.concat_ws("/", F.lit(run), F.col(c).cast("string")))
+    label = F.col("label")
+    for key, value in values.items():
+        label = F.replace(label, F.lit("{{" + key + "}}"), F.lit(value))
+    cls = F.regexp_replace("cls", re.escape(suffix) + "$", "")
+    out = nodes.join(inner, nodes.node == inner.src, "left").join(labels.withColumnRenamed("node", "_n"), nodes.node == F.col("_n"), "left")
+    return out.select(new("node").alias("node"), F.col("node").alias("origin"), F.when(F.col("dst").isNotNull(), new("dst")).alias("parent"), cls.alias("cls"), label.alias("label"))
+
+
+def ancestor_lists(edges: DataFrame, root: str) -> DataFrame:
+    """``src, ancestors``: each class's ancestors, the nearest first, joined by ``>``; ``root`` ends every list, and is all
+    of one without superclasses.  A list is as long as the class tree is deep."""
+    up = plus(edges)
+    near = F.transform(F.array_sort(F.collect_list(F.struct("depth", "dst"))), lambda x: x["dst"].cast("string"))
+    lists = up.groupBy("src").agg(near.alias("near"))
+    classes = identity(edges).select("src")
+    return classes.join(lists, "src", "left").select("src", F.array_join(F.array_append(F.coalesce("near", F.array().cast("array<string>")), F.lit(root)), ">").alias("ancestors"))
+
+
+def backlinks(references: DataFrame, body_links: DataFrame) -> DataFrame:
+    """``target, src, p, body``: who refers to each target by which property; a link (``src, dst``) in a text that no
+    property repeats is marked ``body``."""
+    links = pairs(body_links).join(pairs(references), ["src", "dst"], "left_anti")
+    own = references.select(F.col("dst").alias("target"), "src", "p", F.lit(False).alias("body")).distinct()
+    return own.unionByName(links.select(F.col("dst").alias("target"), "src", F.lit(None).cast("string").alias("p"), F.lit(True).alias("body")))
+
+
 def khop(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """``src, dst, depth``: nodes connected in either direction, up to ``depth`` steps."""
     return plus(alt(edges, inverse(edges)), start, depth).where("src <> dst")

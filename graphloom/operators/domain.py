@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.closure import cut, small
+from graphloom.operators.closure import cut, plus, small
 
 
 def preconditions(rows: DataFrame, flags: dict[str, Column], trees: dict[str, tuple]) -> DataFrame:
@@ -168,3 +168,18 @@ def creation_gate(candidates: DataFrame, nodes: DataFrame, guarded: DataFrame, e
         if not live.take(1):
             break
     return done
+
+
+def class_properties(triples: DataFrame, types: DataFrame) -> DataFrame:
+    """``cls, property, subjects, n``: which properties the instances (``s, cls``) of each class have."""
+    per = triples.groupBy("s", F.col("p").alias("property")).agg(F.count("*").alias("k"))
+    return per.join(types, "s").groupBy("cls", "property").agg(F.count("*").alias("subjects"), F.sum("k").alias("n"))
+
+
+def effective_set(roots: DataFrame, depends: DataFrame, floor: DataFrame, known: DataFrame) -> DataFrame:
+    """``member, resolved``: the roots, what they depend on (``src`` on ``dst``) and a fixed floor, each once, and
+    whether it is ``known``."""
+    more = plus(depends, start=roots.select(F.col("member").alias("src"))).select(F.col("dst").alias("member"))
+    every = roots.select("member").unionByName(more).unionByName(floor.select("member")).distinct()
+    there = known.select("member").distinct().withColumn("_there", F.lit(True))
+    return every.join(there, "member", "left").select("member", F.col("_there").isNotNull().alias("resolved"))

@@ -121,6 +121,16 @@ def union(*parts: DataFrame, all: bool = False) -> DataFrame:  # noqa: A002
     return out if all else out.distinct()
 
 
+#: A UUID anywhere in an id.
+UUID = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+
+
+def lookup_by_uuid(subjects: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``s, uid`` of the subjects whose id holds a wanted ``uuid``: the UUID becomes a column, and the lookup an equality join."""
+    held = subjects.withColumn("uid", F.lower(F.nullif(F.regexp_extract("s", f"({UUID})", 1), F.lit(""))))
+    return held.join(wanted.select(F.lower("uuid").alias("uid")).distinct(), "uid", "left_semi")
+
+
 def construct(solutions: DataFrame, template: list[tuple[str, str, str]]) -> DataFrame:
     """Template triples for each solution; a triple with an unbound variable is skipped; a set."""
     term = lambda t: F.col(variable(t)).cast("string") if variable(t) else F.lit(t)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.closure import alt, condense, cut, identity, inverse, reach, reduction, scc
+from graphloom.operators.closure import alt, condense, cut, identity, inverse, reach, reduction, scc, small
 
 INTEGER, DECIMAL = r"^[+-]?\d+$", r"^[+-]?(\d+(\.\d*)?|\.\d+)$"
 NON_NEGATIVE, FLOAT = r"^\+?\d+$", r"^([+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[+-]?INF|NaN)$"
@@ -190,13 +190,61 @@ def propose_imports(derived: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def dependency_coverage(facts: DataFrame, declared: DataFrame) -> DataFrame:
-    """Fact edges between packages that the closure of the declared ones does not cover, and whether a direct one lacks."""
+    """Fact edges between packages that the closure of the declared ones does not cover, and those
+    that a direct one lacks for; no facts at all are one row ``broken``, as nothing was audited."""
     cover = reach(declared)
     direct = declared.select("src", "dst", F.lit(True).alias("direct"))
     e = facts.where("src <> dst").select("src", "dst").distinct()
     missing = e.join(cover, ["src", "dst"], "left_anti").select("src", "dst", F.lit("uncovered").alias("verdict"))
     gap = e.join(cover, ["src", "dst"], "left_semi").join(direct, ["src", "dst"], "left").where("direct IS NULL").select("src", "dst", F.lit("indirect").alias("verdict"))
-    return missing.unionByName(gap)
+    broken = facts.sparkSession.range(1).join(facts.limit(1), F.lit(True), "left_anti").select(*[F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in ("src", "dst")], F.lit("broken").alias("verdict"))
+    return missing.unionByName(gap).unionByName(broken)
+
+
+def membership_audit(entities: DataFrame, groups: DataFrame, allowed: DataFrame, classes: DataFrame, superclass: DataFrame) -> DataFrame:
+    """``id, verdict`` of entities ``(id, ref, cls)``: the first reason to skip that holds, else whether the
+    class or an ancestor is on the allow-list of the group.
+
+    ``groups`` has ``ref``; ``allowed`` ``ref, cls``; ``classes`` the known ``cls``.
+    """
+    up = ancestors(superclass).select(F.col("src").alias("cls"), F.col("dst").alias("up")).unionByName(classes.select("cls", F.col("cls").alias("up")))
+    good = up.join(allowed.select("ref", F.col("cls").alias("up")), "up").select("ref", "cls").distinct().withColumn("_ok", F.lit(True))
+    known = lambda df, key, name: small(df.select(key).distinct().withColumn(name, F.lit(True)))
+    j = entities.join(known(groups, "ref", "_group"), "ref", "left").join(known(allowed, "ref", "_list"), "ref", "left")
+    j = j.join(known(classes, "cls", "_class"), "cls", "left").join(small(good), ["ref", "cls"], "left")
+    verdict = (
+        F.when(F.col("ref").isNull(), "no-reference").when(F.col("_group").isNull(), "unresolvable-group").when(F.col("_list").isNull(), "no-allow-list")
+        .when(F.col("cls").isNull(), "no-class").when(F.col("_class").isNull(), "unresolvable-class").when(F.col("_ok"), "allowed").otherwise("violation")
+    )
+    return j.select("id", verdict.alias("verdict"))
+
+
+def co_location(entities: DataFrame, files: DataFrame) -> DataFrame:
+    """``id, verdict`` of entities ``(id, folder, ref)``: whether each is in the folder of the file that it refers
+    to.  ``files`` has ``uid, basename, folder``: a reference is a uid, else a basename that only one file has."""
+    by_uid = files.where("uid IS NOT NULL").groupBy(F.col("uid").alias("ref")).agg(F.min("folder").alias("_a"))
+    by_name = files.groupBy(F.col("basename").alias("ref")).agg(F.count("*").alias("_n"), F.min("folder").alias("_b"))
+    j = entities.join(by_uid, "ref", "left").join(by_name, "ref", "left")
+    target = F.coalesce("_a", F.when(F.col("_n") == 1, F.col("_b")))
+    verdict = (
+        F.when(F.col("ref").isNull(), "no-reference").when(target.isNull() & (F.col("_n") > 1), "ambiguous").when(target.isNull(), "unresolved")
+        .when(target == F.col("folder"), "ok").otherwise("misplaced")
+    )
+    return j.select("id", verdict.alias("verdict"))
+
+
+def traceability(asked: DataFrame, used: DataFrame, floor: float = 0.0) -> DataFrame:
+    """``kind, what, n``: requirements ``(tag, grp)`` that no text uses (``orphan``), tags in texts ``(tag, place)`` that no
+    requirement asks for (``dangling``), tags of several requirements (``duplicate``), and each group's share of used
+    ones in percent (``coverage``, or ``below-floor``)."""
+    tags, there = asked.select("tag").distinct(), used.select("tag").distinct()
+    none = F.lit(None).cast("double")
+    orphan = tags.join(there, "tag", "left_anti").select(F.lit("orphan").alias("kind"), F.col("tag").alias("what"), none.alias("n"))
+    dangling = there.join(tags, "tag", "left_anti").select(F.lit("dangling").alias("kind"), F.col("tag").alias("what"), none.alias("n"))
+    doubled = asked.groupBy("tag").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate").alias("kind"), F.col("tag").alias("what"), F.col("n").cast("double"))
+    hit = asked.select("grp", "tag").distinct().join(there.withColumn("hit", F.lit(1)), "tag", "left").groupBy("grp").agg((100.0 * F.count("hit") / F.count("*")).alias("n"))
+    share = hit.select(F.when(F.col("n") < floor, "below-floor").otherwise("coverage").alias("kind"), F.col("grp").cast("string").alias("what"), F.round("n", 6).alias("n"))
+    return orphan.unionByName(dangling).unionByName(doubled).unionByName(share)
 
 
 def workflow_lint(states: DataFrame, moves: DataFrame) -> DataFrame:

@@ -110,6 +110,16 @@ def top_groups_other(spark, d):
     return A.top_groups(table(spark, d, "part"), "p_brand", 6)
 
 
+@query("group_edges", """
+WITH c AS (SELECT p_brand, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS k FROM part GROUP BY 1),
+l AS (SELECT p_partkey, CASE WHEN k <= 5 THEN c.p_brand ELSE 'Other' END AS label FROM part JOIN c USING (p_brand))
+SELECT x.label AS a, y.label AS b, CAST(count(*) AS BIGINT) AS n FROM l x JOIN l y ON y.p_partkey = x.p_partkey // 2 WHERE x.p_partkey > 1 GROUP BY 1, 2""")
+def group_edges(spark, d):
+    p = table(spark, d, "part")
+    edges = p.where("p_partkey > 1").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst"))
+    return A.group_edges(p.select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("grp")), edges, 6)
+
+
 # --- window-like -------------------------------------------------------------------------------------
 
 

@@ -120,11 +120,21 @@ def plan_uid_fix(spark, d):
     return V.plan_uid_fix(assets(spark, d), "fix").select("path", "uid", "new_uid")
 
 
-@query("co_location", "SELECT c_custkey, CASE WHEN n_nationkey IS NULL THEN 'unresolved' WHEN c_nationkey % 5 = n_regionkey THEN 'ok' ELSE 'misplaced' END AS verdict FROM customer LEFT JOIN nation ON n_nationkey = CASE WHEN c_custkey % 10 = 0 THEN 99 ELSE c_nationkey END")
+@query("co_location", """
+WITH f AS (SELECT 'u' || n_nationkey AS uid, CASE WHEN n_nationkey IN (7, 8) THEN 'TWIN' ELSE n_name END AS basename, 'r' || n_regionkey AS folder FROM nation),
+x AS (SELECT c_custkey AS id, 'r' || (c_nationkey % 5) AS folder,
+  CASE WHEN c_acctbal < 0 THEN NULL WHEN c_mktsegment = 'BUILDING' THEN 'u' || c_nationkey WHEN c_mktsegment = 'MACHINERY' THEN 'nobody'
+       ELSE (SELECT basename FROM f WHERE uid = 'u' || c_nationkey) END AS ref FROM customer),
+n AS (SELECT basename, count(*) AS k, min(folder) AS folder FROM f GROUP BY 1)
+SELECT id, CASE WHEN ref IS NULL THEN 'no-reference' WHEN f.uid IS NULL AND k > 1 THEN 'ambiguous' WHEN f.uid IS NULL AND k IS NULL THEN 'unresolved'
+  WHEN coalesce(f.folder, n.folder) = x.folder THEN 'ok' ELSE 'misplaced' END AS verdict
+FROM x LEFT JOIN f ON f.uid = ref LEFT JOIN n ON n.basename = ref""")
 def co_location(spark, d):
-    c = table(spark, d, "customer").withColumn("ref", F.expr("if(c_custkey % 10 = 0, 99, c_nationkey)"))
-    j = c.join(table(spark, d, "nation"), F.col("ref") == F.col("n_nationkey"), "left")
-    return j.select("c_custkey", F.when(F.col("n_nationkey").isNull(), "unresolved").when(F.expr("c_nationkey % 5 = n_regionkey"), "ok").otherwise("misplaced").alias("verdict"))
+    n = table(spark, d, "nation")
+    files = n.select(F.concat(F.lit("u"), "n_nationkey").alias("uid"), F.expr("if(n_nationkey in (7, 8), 'TWIN', n_name)").alias("basename"), F.concat(F.lit("r"), "n_regionkey").alias("folder"))
+    c = table(spark, d, "customer").withColumn("uid", F.concat(F.lit("u"), "c_nationkey")).join(files.select("uid", "basename"), "uid", "left")
+    ref = F.expr("case when c_acctbal < 0 then null when c_mktsegment = 'BUILDING' then uid when c_mktsegment = 'MACHINERY' then 'nobody' else basename end")
+    return V.co_location(c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("r"), F.expr("c_nationkey % 5")).alias("folder"), ref.alias("ref")), files)
 
 
 @query("term_collision", "SELECT p_name AS term, CAST(count(DISTINCT p_partkey) AS BIGINT) AS entities, CAST(min(p_partkey) AS BIGINT) AS first FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) >= 2")
@@ -168,18 +178,23 @@ def propose_imports(spark, d):
     return V.propose_imports(C.alt(e.where("src % 24 <> 12"), C.seq(e, e), back), declared)
 
 
-@query("membership_audit", "SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'no-reference' WHEN c_custkey % 9 = 1 THEN 'unresolvable-group' WHEN n_regionkey = 4 THEN 'no-allow-list' WHEN c_custkey % 9 = 2 THEN 'no-class' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'allowed' ELSE 'violation' END AS verdict FROM customer JOIN nation ON c_nationkey = n_nationkey")
+@query("membership_audit", """
+SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN 'no-reference' WHEN c_acctbal < 1000 THEN 'unresolvable-group' WHEN n_regionkey = 4 THEN 'no-allow-list'
+  WHEN c_acctbal < 2000 THEN 'no-class' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'unresolvable-class' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'allowed'
+  WHEN c_mktsegment = 'AUTOMOBILE' AND n_regionkey = 0 THEN 'allowed' ELSE 'violation' END AS verdict
+FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def membership_audit(spark, d):
-    n = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
-    ref = F.expr("case c_custkey % 9 when 0 then null when 1 then 99 else c_nationkey end")
-    c = table(spark, d, "customer").withColumn("ref", ref).withColumn("cls", F.expr("if(c_custkey % 9 = 2, null, c_mktsegment)"))
-    up = C.reach(spark.createDataFrame([("BUILDING", "Hard"), ("MACHINERY", "Hard"), ("FURNITURE", "Soft")], "src string, dst string"))
-    allow = n.where("n_regionkey <> 4").select(F.col("n_regionkey").alias("g")).distinct().withColumn("allowed", F.lit("Hard"))
-    good = up.select(F.col("src").alias("cls"), F.col("dst").alias("allowed"), F.lit(True).alias("ok"))
-    j = c.join(n, F.col("ref") == F.col("n_nationkey"), "left").join(allow, F.col("n_regionkey") == F.col("g"), "left").join(good, ["cls", "allowed"], "left")
-    verdict = F.when(F.col("ref").isNull(), "no-reference").when(F.col("n_nationkey").isNull(), "unresolvable-group").when(F.col("allowed").isNull(), "no-allow-list").when(F.col("cls").isNull(), "no-class")
-    # a customer whose own nation is in the region without a list is told so before its reference is judged
-    return j.select("c_custkey", verdict.when(F.col("ok"), "allowed").otherwise("violation").alias("verdict"))
+    n = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("r"), "n_regionkey").alias("region"))
+    c = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    entities = c.select(
+        F.col("c_custkey").alias("id"), F.expr("case when c_acctbal < 0 then null when c_acctbal < 1000 then 'r99' else region end").alias("ref"),
+        F.expr("if(c_acctbal < 2000, null, c_mktsegment)").alias("cls"),
+    )
+    groups = n.select(F.col("region").alias("ref")).distinct()
+    allowed = groups.where("ref <> 'r4'").withColumn("cls", F.lit("Hard")).unionByName(spark.createDataFrame([("r0", "AUTOMOBILE")], "ref string, cls string"))
+    up = spark.createDataFrame([("BUILDING", "Hard"), ("MACHINERY", "Heavy"), ("Heavy", "Hard"), ("FURNITURE", "Soft")], "src string, dst string")
+    classes = spark.createDataFrame([(x,) for x in ("BUILDING", "MACHINERY", "FURNITURE", "AUTOMOBILE", "Hard", "Heavy", "Soft")], "cls string")
+    return V.membership_audit(entities, groups, allowed, classes, up)
 
 
 @query("dependency_coverage", f"{UP}SELECT DISTINCT src, dst, 'indirect' AS verdict FROM r WHERE src // 4 = dst AND src // 4 > 0 UNION ALL SELECT 1, p_partkey, 'uncovered' FROM part WHERE p_partkey > 1 AND p_partkey % 100 = 0")
@@ -244,11 +259,20 @@ def workflow_lint(spark, d):
     return V.workflow_lint(states, moves.distinct())
 
 
-@query("tag_traceability", "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\b(?:th|on)[a-z]{6}\\b')) AS tag FROM documents WHERE lang = 'en'), q AS (SELECT DISTINCT tag FROM t WHERE doc_id % 2 = 0), u AS (SELECT DISTINCT tag FROM t WHERE doc_id % 2 = 1) SELECT tag, 'orphan' AS verdict FROM q WHERE tag NOT IN (SELECT tag FROM u) UNION ALL SELECT tag, 'dangling' FROM u WHERE tag NOT IN (SELECT tag FROM q)")
+TAGS = "SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '\\b(?:th|on)[a-z]{6}\\b')) AS tag FROM documents WHERE lang = 'en'"
+
+
+@query("tag_traceability", f"""
+WITH t AS ({TAGS}), q AS (SELECT DISTINCT source AS grp, tag FROM t WHERE doc_id % 2 = 0), u AS (SELECT DISTINCT tag FROM t WHERE doc_id % 2 = 1),
+s AS (SELECT grp, 100.0 * count(u.tag) / count(*) AS n FROM q LEFT JOIN u USING (tag) GROUP BY grp)
+SELECT 'orphan' AS kind, tag AS what, CAST(NULL AS DOUBLE) AS n FROM (SELECT DISTINCT tag FROM q) WHERE tag NOT IN (SELECT tag FROM u)
+UNION ALL SELECT 'dangling', tag, NULL FROM u WHERE tag NOT IN (SELECT tag FROM q)
+UNION ALL SELECT 'duplicate', tag, CAST(count(*) AS DOUBLE) FROM q GROUP BY tag HAVING count(*) > 1
+UNION ALL SELECT CASE WHEN n < 5 THEN 'below-floor' ELSE 'coverage' END, grp, round(n, 6) FROM s""")
 def tag_traceability(spark, d):
-    tags = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b(?:th|on)[a-z]{6}\b"), F.lit(0))).alias("tag"))
-    asked, used = tags.where("doc_id % 2 = 0").select("tag").distinct(), tags.where("doc_id % 2 = 1").select("tag").distinct()
-    return asked.join(used, "tag", "left_anti").withColumn("verdict", F.lit("orphan")).unionByName(used.join(asked, "tag", "left_anti").withColumn("verdict", F.lit("dangling")))
+    docs = table(spark, d, "documents").where("lang = 'en'")
+    tags = docs.select("doc_id", F.col("source").alias("grp"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b(?:th|on)[a-z]{6}\b"), F.lit(0))).alias("tag"))
+    return V.traceability(tags.where("doc_id % 2 = 0").select("grp", "tag").distinct(), tags.where("doc_id % 2 = 1").select("tag", F.col("doc_id").alias("place")), floor=5.0)
 
 
 @query("check_runner", f"""
@@ -534,6 +558,14 @@ def class_list(spark, d):
     return load(spark, d, "customer", "nation", "part").where("p = 'rdf:type'").groupBy(F.col("o").alias("cls")).agg(F.count("*").alias("n"))
 
 
+@query("class_properties", with_t("customer", "nation", "part") + """
+, c AS (SELECT s, o AS cls FROM t WHERE p = 'rdf:type')
+SELECT cls, p AS property, CAST(count(DISTINCT t.s) AS BIGINT) AS subjects, CAST(count(*) AS BIGINT) AS n FROM t JOIN c USING (s) WHERE p <> 'rdf:type' GROUP BY 1, 2""")
+def class_properties(spark, d):
+    t = load(spark, d, "customer", "nation", "part")
+    return W.class_properties(t.where("p <> 'rdf:type'").select("s", "p"), typed(t))
+
+
 @query("resolve_workflow", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'own' WHEN c_mktsegment = 'BUILDING' THEN 'wf-building' WHEN c_mktsegment IN ('MACHINERY', 'FURNITURE') THEN 'wf-goods' ELSE 'fallback' END AS value FROM customer")
 def resolve_workflow(spark, d):
     up = C.plus(spark.createDataFrame([("MACHINERY", "Goods"), ("FURNITURE", "Goods"), ("BUILDING", "Goods"), ("Goods", "Thing")], "src string, dst string"))
@@ -607,9 +639,11 @@ def closed_in_day(spark, d):
     return table(spark, d, "lineitem").where(W.in_day(["l_shipdate"], "1995-03-05")).select("l_orderkey", "l_linenumber")
 
 
-@query("effective_set", UP + "SELECT DISTINCT dst AS member FROM r WHERE src % 40 = 9 UNION SELECT p_partkey FROM part WHERE p_partkey % 40 = 9 UNION SELECT 1 FROM part")
+@query("effective_set", UP + """
+, x AS (SELECT dst AS member FROM r WHERE src IN (SELECT p_partkey FROM part WHERE p_size = 9) UNION SELECT p_partkey FROM part WHERE p_size = 9 UNION SELECT 1 UNION SELECT -7)
+SELECT member, member IN (SELECT p_partkey FROM part) AS resolved FROM x""")
 def effective_set(spark, d):
-    e = halves(spark, d)
-    roots = table(spark, d, "part").where("p_partkey % 40 = 9").select(F.col("p_partkey").alias("member"))
-    deps = C.plus(e, start=roots.select(F.col("member").alias("src"))).select(F.col("dst").alias("member"))
-    return roots.union(deps).union(spark.createDataFrame([(1,)], "member long")).distinct()
+    p = table(spark, d, "part")
+    roots = p.where("p_size = 9").select(F.col("p_partkey").alias("member"))
+    floor = spark.createDataFrame([(1,), (-7,)], "member long")
+    return W.effective_set(roots, halves(spark, d), floor, p.select(F.col("p_partkey").alias("member")))

@@ -190,11 +190,11 @@ def inference_pipeline(spark, d):
     return types.unionByName(I.inherit(t, links, ["tag"]).select("s", "p", "o"))
 
 
-@query("class_ancestors_list", UP + ", x AS (SELECT src, dst FROM r) SELECT src, string_agg(dst, '>' ORDER BY dst DESC) AS ancestors FROM x GROUP BY src")
+@query("class_ancestors_list", UP + """
+SELECT src, coalesce(string_agg(CAST(dst AS VARCHAR), '>' ORDER BY dst DESC) || '>', '') || 'Thing' AS ancestors
+FROM (SELECT src, dst FROM r UNION ALL SELECT 1, NULL) GROUP BY src""")
 def class_ancestors_list(spark, d):
-    up = C.plus(halves(spark, d))
-    near = F.transform(F.array_sort(F.collect_list(F.struct("depth", "dst"))), lambda x: x["dst"].cast("string"))
-    return up.groupBy("src").agg(F.array_join(near, ">").alias("ancestors"))
+    return C.ancestor_lists(halves(spark, d), "Thing")
 
 
 @query("subsumed_keys", CLASS_UP + "SELECT DISTINCT 'brand/' || p_brand AS cls FROM part WHERE p_type LIKE 'S%'")
@@ -309,20 +309,25 @@ def hierarchy_tree(spark, d):
     return C.tree(t.where("o_kind = 'iri' AND p <> 'rdf:type'").select(F.col("s").alias("src"), F.col("o").alias("dst")), roots, label)
 
 
-@query("clone_subtree", UP + "SELECT md5('run1/' || src) AS node, src AS origin, md5('run1/' || e2) AS parent FROM (SELECT src, src // 2 AS e2 FROM r WHERE dst = 5) UNION ALL SELECT md5('run1/' || 5), 5, NULL")
+@query("clone_subtree", UP + """
+, x AS (SELECT src, src // 2 AS up FROM r WHERE dst = 5 UNION ALL SELECT 5, NULL)
+SELECT md5('run1/' || src) AS node, src AS origin, md5('run1/' || up) AS parent, p_type AS cls, p_name || ' for Ann {{who}}' AS label FROM x JOIN part ON p_partkey = src""")
 def clone_subtree(spark, d):
-    e = halves(spark, d)
-    below = C.plus(C.inverse(e), start=e.where("dst = 5").select(F.col("dst").alias("src"))).select(F.col("dst").alias("node"))
-    nodes = below.unionByName(e.where("dst = 5").select(F.col("dst").alias("node")).distinct())
-    new = lambda c: F.md5(F.concat(F.lit("run1/"), F.col(c).cast("string")))
-    inner = e.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
-    return nodes.join(inner, nodes.node == inner.src, "left").select(new("node").alias("node"), nodes.node.alias("origin"), new("dst").alias("parent"))
+    p = table(spark, d, "part")
+    labels = p.select(F.col("p_partkey").alias("node"), F.concat("p_type", F.lit("Prototype")).alias("cls"), F.concat("p_name", F.lit(" for {{name}} {{who}}")).alias("label"))
+    return C.clone_subtree(halves(spark, d), p.where("p_partkey = 5").select(F.col("p_partkey").alias("node")), labels, "run1", {"name": "Ann"}, "Prototype")
 
 
-@query("backlinks", with_t("customer", "nation", "supplier") + "SELECT o AS target, p, CAST(count(*) AS BIGINT) AS n, min(s) AS example FROM t WHERE o_kind = 'iri' AND p <> 'rdf:type' GROUP BY 1, 2")
+@query("backlinks", """
+WITH l AS (SELECT 'customer/' || c_custkey AS src, 'nation/' || c_nationkey AS dst, 'c_nationkey' AS p FROM customer UNION ALL SELECT 'supplier/' || s_suppkey, 'nation/' || s_nationkey, 's_nationkey' FROM supplier),
+b AS (SELECT 'customer/' || c_custkey AS src, 'nation/' || c_nationkey AS dst FROM customer WHERE c_acctbal < 0 UNION SELECT 'customer/' || c_custkey, 'nation/' || (c_nationkey // 2) FROM customer WHERE c_mktsegment = 'BUILDING')
+SELECT dst AS target, src, p, FALSE AS body FROM l UNION ALL SELECT dst, src, NULL, TRUE FROM b WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.src = b.src AND l.dst = b.dst)""")
 def backlinks(spark, d):
-    t = load(spark, d, "customer", "nation", "supplier").where("o_kind = 'iri' AND p <> 'rdf:type'")
-    return t.groupBy(F.col("o").alias("target"), "p").agg(F.count("*").alias("n"), F.min("s").alias("example"))
+    t = load(spark, d, "customer", "supplier").where("o_kind = 'iri' AND p <> 'rdf:type'")
+    c = table(spark, d, "customer").withColumn("src", F.concat(F.lit("customer/"), "c_custkey"))
+    body = c.where("c_acctbal < 0").select("src", F.concat(F.lit("nation/"), "c_nationkey").alias("dst"))
+    body = body.union(c.where("c_mktsegment = 'BUILDING'").select("src", F.concat(F.lit("nation/"), F.expr("c_nationkey div 2")).alias("dst")))
+    return C.backlinks(t.select(F.col("s").alias("src"), F.col("o").alias("dst"), "p"), body)
 
 
 STATEMENTS = "st AS (SELECT o_orderkey AS stmt, 'customer/' || o_custkey AS s, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'placed' END AS p, 'order/' || o_orderkey AS o FROM orders)"

@@ -54,10 +54,16 @@ def predicate_profile(spark, d):
     return n.crossJoin(F.broadcast(total)).select("p", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"), F.col("p").isin("c_mktsegment", "o_custkey").alias("needed"))
 
 
-@query("lookup_by_uuid", "SELECT doc_id, md5(coalesce(text, '')) AS uid FROM documents WHERE md5(coalesce(text, '')) IN (SELECT md5(text) FROM documents WHERE doc_id % 97 = 0)")
+UUID_OF = "regexp_replace(md5(coalesce(text, '')), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5')"
+
+
+@query("lookup_by_uuid", f"""
+WITH s AS (SELECT 'https://id.example/' || source || '/' || upper({UUID_OF}) || '#doc' AS s, lower({UUID_OF}) AS uid, doc_id FROM documents)
+SELECT s, uid FROM s WHERE uid IN (SELECT uid FROM s WHERE doc_id % 97 = 0)""")
 def lookup_by_uuid(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("uid"))
-    return docs.join(docs.where("doc_id % 97 = 0").select("uid").distinct(), "uid", "left_semi").select("doc_id", "uid")
+    uuid = F.regexp_replace(F.md5(F.coalesce("text", F.lit(""))), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("https://id.example/"), "source", F.lit("/"), F.upper(uuid), F.lit("#doc")).alias("s"), uuid.alias("uuid"))
+    return P.lookup_by_uuid(docs.select("s"), docs.where("doc_id % 97 = 0").select("uuid")).select("s", "uid")
 
 
 @query("extract_links", "SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), 'href=\"([^\"#]*)', 1)) AS target FROM pages")

@@ -54,28 +54,27 @@ def lexical(c: Column, kind: str) -> Column:
 
 
 def to_triples(rows: DataFrame, entity: Entity) -> DataFrame:
-    """Rows of ``entity`` as triples: the class, a triple per column, foreign keys as IRIs; one pass, no shuffle."""
+    """Rows of ``entity`` as triples: the class, a triple per column, foreign keys as IRIs; no shuffle.
+
+    Each predicate is a branch of a union, with its name as a constant: a pattern that binds
+    the predicate scans one column of the table, and a filter on its value reaches the scan.
+    """
+    subject = F.concat_ws("/", F.lit(entity.name), *[F.col(k).cast("string") for k in entity.key]).alias("s")
     null = F.lit(None)
 
-    def cell(p: str, o: Column, kind: str, dt: str | None, num: Column, ts: Column) -> Column:
-        return F.struct(
-            F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(dt).cast("string").alias("o_dt"),
-            null.cast("string").alias("o_lang"), num.cast("double").alias("o_num"), ts.cast("timestamp").alias("o_ts"),
+    def branch(p: str, o: Column, kind: str, dt: str | None, num: Column = null, ts: Column = null) -> DataFrame:
+        return rows.select(
+            subject, F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(dt).cast("string").alias("o_dt"), null.cast("string").alias("o_lang"),
+            num.cast("double").alias("o_num"), ts.cast("timestamp").alias("o_ts"), F.lit(entity.graph).alias("g"),
         )
 
-    cells = [cell(TYPE, F.lit(f"class/{entity.cls}"), "iri", None, null, null)]
-    cells += [cell(c, F.concat(F.lit(f"{to}/"), F.col(c).cast("string")), "iri", None, null, null) for c, to in entity.refs.items()]
-    cells += [
-        cell(c, lexical(F.col(c), k), "lit", XSD[k], F.col(c) if k in ("int", "dec") else null, F.col(c) if k == "ts" else null)
-        for c, k in entity.columns.items()
-    ]
-    subject = F.concat_ws("/", F.lit(entity.name), *[F.col(k).cast("string") for k in entity.key])
-    return (
-        rows.select(subject.alias("s"), F.explode(F.array(*cells)).alias("t"))
-        .select("s", "t.*", F.lit(entity.graph).alias("g"))
-        .where("o IS NOT NULL")
-        .select(*COLUMNS)
-    )
+    out = branch(TYPE, F.lit(f"class/{entity.cls}"), "iri", None)
+    for c, to in entity.refs.items():
+        out = out.unionByName(branch(c, F.concat(F.lit(f"{to}/"), F.col(c).cast("string")), "iri", None).where("o IS NOT NULL"))
+    for c, k in entity.columns.items():
+        one = branch(c, lexical(F.col(c), k), "lit", XSD[k], F.col(c) if k in ("int", "dec") else null, F.col(c) if k == "ts" else null)
+        out = out.unionByName(one.where("o IS NOT NULL"))
+    return out
 
 
 def load(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
