@@ -183,3 +183,20 @@ def effective_set(roots: DataFrame, depends: DataFrame, floor: DataFrame, known:
     every = roots.select("member").unionByName(more).unionByName(floor.select("member")).distinct()
     there = known.select("member").distinct().withColumn("_there", F.lit(True))
     return every.join(there, "member", "left").select("member", F.col("_there").isNotNull().alias("resolved"))
+
+
+def instantiation_rule(entities: DataFrame, ancestors: DataFrame, rules: DataFrame, settings: DataFrame) -> DataFrame:
+    """``s, rule, prototype, folder, settings`` of entities ``(s, cls)``: the first rule, by name, whose class is the
+    entity's or an ancestor of it.
+
+    ``ancestors`` has ``src, dst``; ``rules`` ``rule, cls, prototype, folder``; ``settings`` ``rule, key, value``, told as
+    ``key=value`` in the order of keys, joined by ``;``.
+    """
+    up = ancestors.select(F.col("src").alias("cls"), F.col("dst").alias("up"))
+    kinds = entities.select("cls").distinct()
+    every = kinds.select("cls", F.col("cls").alias("up")).unionByName(kinds.join(up, "cls").select("cls", "up"))
+    first = keep_first(every.join(rules.withColumnRenamed("cls", "up"), "up").select("cls", "rule", "prototype", "folder"), ["cls"], ["rule"])
+    pair = F.concat_ws("=", "key", "value")
+    told = settings.groupBy("rule").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", pair.alias("kv")))), lambda x: x["kv"]), ";").alias("settings"))
+    rule = first.join(told, "rule", "left").select("cls", "rule", "prototype", "folder", F.coalesce("settings", F.lit("")).alias("settings"))
+    return entities.join(small(rule), "cls").select("s", "rule", "prototype", "folder", "settings")

@@ -68,15 +68,21 @@ def max_count(counted: DataFrame, shapes: DataFrame) -> DataFrame:
     return counted.join(shapes.where("cardinality = 'Single'").select("property", "severity"), "property").where("n > 1").select("s", "property", F.lit("max_count").alias("check"), "severity")
 
 
-def class_range(triples: DataFrame, shapes: DataFrame, types: DataFrame, superclass: DataFrame) -> DataFrame:
-    """IRI values outside the expected classes; an untyped target is a warning; other vocabularies are skipped."""
+def class_range_targets(triples: DataFrame, shapes: DataFrame, types: DataFrame, superclass: DataFrame) -> DataFrame:
+    """``s, property, check, severity, o``: IRI values outside the expected classes; an untyped target is a warning;
+    other vocabularies are skipped."""
     own = shapes.where(F.exists("ranges", lambda r: r.startswith("class/"))).select(F.col("property").alias("p"), "ranges", "severity")
     values = triples.where("o_kind = 'iri'").join(own, "p").where(~F.col("o").rlike("^(rdf|rdfs|owl|xsd):")).select("s", "p", "o", "ranges", "severity")
     up = ancestors(superclass).select(F.col("src").alias("cls"), F.col("dst").alias("up"))
     of = types.select(F.col("s").alias("o"), F.col("cls").alias("up")).unionByName(types.join(up, "cls").select(F.col("s").alias("o"), "up"))
     classes = of.groupBy("o").agg(F.collect_set("up").alias("classes"))
     j = values.join(classes, "o", "left").where(F.col("classes").isNull() | ~F.arrays_overlap("classes", "ranges"))
-    return j.select("s", F.col("p").alias("property"), F.lit("class_range").alias("check"), F.when(F.col("classes").isNull(), "Warning").otherwise(F.col("severity")).alias("severity"))
+    severity = F.when(F.col("classes").isNull(), "Warning").otherwise(F.col("severity"))
+    return j.select("s", F.col("p").alias("property"), F.lit("class_range").alias("check"), severity.alias("severity"), "o")
+
+
+def class_range(triples: DataFrame, shapes: DataFrame, types: DataFrame, superclass: DataFrame) -> DataFrame:
+    return class_range_targets(triples, shapes, types, superclass).drop("o")
 
 
 def literal_fits(value: Column, tag: Column, expected: Column) -> Column:
@@ -247,6 +253,23 @@ def traceability(asked: DataFrame, used: DataFrame, floor: float = 0.0) -> DataF
     return orphan.unionByName(dangling).unionByName(doubled).unionByName(share)
 
 
+def property_schema(definitions: DataFrame) -> DataFrame:
+    """``property, type, required, options, pattern`` from long rows ``(property, key, value)``: the first type and pattern
+    by name, whether any ``min_count`` is above zero, and the sorted ``option`` values, joined by ``|``."""
+    one = lambda k: F.min(F.when(F.col("key") == k, F.col("value")))
+    options = F.array_sort(F.collect_set(F.when(F.col("key") == "option", F.col("value"))))
+    least = F.max(F.when(F.col("key") == "min_count", F.col("value").try_cast("int")))
+    return definitions.groupBy("property").agg(
+        one("range").alias("type"), (F.coalesce(least, F.lit(0)) > 0).alias("required"), F.array_join(options, "|").alias("options"), one("pattern").alias("pattern")
+    )
+
+
+def declared_ranges(declarations: DataFrame) -> DataFrame:
+    """``key, ranges, conflict`` of declarations ``(key, range)``: each key's ranges, sorted and joined by ``|``; several are a conflict."""
+    per = declarations.where("range IS NOT NULL").groupBy("key").agg(F.array_sort(F.collect_set("range")).alias("r"))
+    return per.select("key", F.array_join("r", "|").alias("ranges"), (F.size("r") > 1).alias("conflict"))
+
+
 def workflow_lint(states: DataFrame, moves: DataFrame) -> DataFrame:
     """``kind, what``: moves of unknown states, doubled moves, dead ends that are not terminal, terminals with a way out, a wrong number of initial states."""
     ends = moves.select(F.explode(F.array("source", "target")).alias("state"))

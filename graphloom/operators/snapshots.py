@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.closure import small
+from graphloom.sources.text import FENCE, notes_to_rows
 
 
 def content_hash(content: Column) -> Column:
@@ -123,5 +124,32 @@ def property_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("path", "key", change.alias("change")).where("change IS NOT NULL")
 
 
+def format_drift(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Paths of notes ``(path, content)`` whose bytes differ between two sides, but neither their keys and values nor,
+    apart from white space, their bodies."""
+
+    def told(notes: DataFrame, n: str) -> DataFrame:
+        keys = notes_to_rows(notes).groupBy("path").agg(F.md5(F.to_json(F.array_sort(F.collect_list(F.struct("key", "pos", "value"))))).alias("keys"))
+        body = F.md5(canonical(F.regexp_replace("content", FENCE, "")))
+        one = notes.select("path", F.md5("content").alias("sha"), body.alias("body")).join(keys, "path", "left")
+        return one.select("path", *[F.col(c).alias(f"{c}{n}") for c in ("sha", "body", "keys")])
+
+    j = told(left, "1").join(told(right, "2"), "path")
+    return j.where((F.col("sha1") != F.col("sha2")) & (F.col("body1") == F.col("body2")) & F.col("keys1").eqNullSafe(F.col("keys2"))).select("path")
+
+
+def merge_gate(findings: DataFrame, focus: DataFrame, known: DataFrame) -> DataFrame:
+    """``s, ship, skipped`` of merged candidates (``focus``): whether none of their own violations stands against them.
+
+    ``findings`` has ``s, check, severity, o``; one about the class of a target ``o`` outside the ``known`` nodes
+    (column ``o``) says nothing of the candidate: it is skipped and counted.
+    """
+    there = known.select("o").distinct().withColumn("_known", F.lit(True))
+    own = findings.where("severity = 'Violation'").join(focus.select("s"), "s", "left_semi").join(there, "o", "left")
+    skip = (F.col("check") == "class_range") & F.col("o").isNotNull() & F.col("_known").isNull()
+    told = own.groupBy("s").agg(F.count_if(~skip).alias("bad"), F.count_if(skip).alias("skipped"))
+    return focus.select("s").join(told, "s", "left").select("s", (F.coalesce("bad", F.lit(0)) == 0).alias("ship"), F.coalesce("skipped", F.lit(0)).alias("skipped"))
+
+
 def canonical(value: Column) -> Column:
     return F.regexp_replace(F.trim(value), r"\s+", " ")

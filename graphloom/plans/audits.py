@@ -232,15 +232,20 @@ def required_fields(spark, d):
     return V.applicable(typed(data(spark, d)), sh.where("min_count > 0"), party(spark))
 
 
-@query("property_schema", DATA + "SELECT p AS property, CAST(count(DISTINCT s) AS BIGINT) AS subjects, CAST(max(n) AS BIGINT) AS most FROM (SELECT p, s, count(*) AS n FROM y GROUP BY 1, 2) GROUP BY 1")
+@query("property_schema", """
+SELECT property, type, required, options, pattern FROM (
+  SELECT 'c_mktsegment' AS property, 'xsd:string' AS type, TRUE AS required, string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_mktsegment) AS options, CAST(NULL AS VARCHAR) AS pattern FROM customer
+  UNION ALL SELECT 'c_acctbal', 'xsd:decimal', FALSE, '', '^-?[0-9.]+$' UNION ALL SELECT 'c_nationkey', 'class/Nation', TRUE, '', NULL UNION ALL SELECT 'r_name', 'xsd:string', FALSE, '', NULL)""")
 def property_schema(spark, d):
-    per = data(spark, d).groupBy("p", "s").agg(F.count("*").alias("n"))
-    return per.groupBy(F.col("p").alias("property")).agg(F.count("*").alias("subjects"), F.max("n").alias("most"))
+    options = table(spark, d, "customer").select(F.lit("c_mktsegment").alias("property"), F.lit("option").alias("key"), F.col("c_mktsegment").alias("value")).distinct()
+    fixed = spark.createDataFrame([*DEFINITIONS, ("c_acctbal", "pattern", "^-?[0-9.]+$")], "property string, key string, value string")
+    return V.property_schema(fixed.unionByName(options))
 
 
-@query("declared_ranges", "SELECT p_brand AS key, CAST(count(DISTINCT p_type) AS BIGINT) AS ranges, count(DISTINCT p_type) > 1 AS conflict FROM part GROUP BY 1")
+@query("declared_ranges", """
+SELECT p_brand AS key, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS ranges, count(DISTINCT p_type) > 1 AS conflict FROM part WHERE p_size > 45 GROUP BY 1""")
 def declared_ranges(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("key")).agg(F.countDistinct("p_type").alias("ranges")).withColumn("conflict", F.col("ranges") > 1)
+    return V.declared_ranges(table(spark, d, "part").select(F.col("p_brand").alias("key"), F.when(F.col("p_size") > 45, F.col("p_type")).alias("range")))
 
 
 @query("enum_values", """
@@ -455,12 +460,25 @@ def edit_conservation(spark, d):
     return S.lost_edits(base, before, kept, remote, merged, before.where("path LIKE '%77%'"))
 
 
-@query("format_drift", "SELECT doc_id FROM documents WHERE text <> trim(regexp_replace(text, '\\s+', ' ', 'g'))")
+@query("format_drift", "SELECT 'n/' || c_custkey AS path FROM customer WHERE c_acctbal < 0")
 def format_drift(spark, d):
-    docs = table(spark, d, "documents")
-    other = docs.select(F.col("doc_id").alias("id2"), S.canonical(F.col("text")).alias("text2"))
-    j = docs.join(other, docs.doc_id == other.id2)
-    return j.where((F.md5("text") != F.md5("text2")) & (F.md5(S.canonical(F.col("text"))) == F.md5(S.canonical(F.col("text2"))))).select("doc_id")
+    c = table(spark, d, "customer").withColumn("path", F.concat(F.lit("n/"), "c_custkey"))
+    left = c.select("path", F.format_string("---\nname: %s\nsegment: %s\n---\nBody of the note.\n", "c_name", "c_mktsegment").alias("content"))
+    moved = F.format_string("---\nsegment: '%s'\nname:   %s\n---\nBody of  the\nnote.\n\n", "c_mktsegment", "c_name")
+    edited = F.format_string("---\nname: %s!\nsegment: %s\n---\nBody of the note.\n", "c_name", "c_mktsegment")
+    same = F.format_string("---\nname: %s\nsegment: %s\n---\nBody of the note.\n", "c_name", "c_mktsegment")
+    right = c.select("path", F.when(F.col("c_acctbal") < 0, moved).when(F.col("c_acctbal") < 1000, edited).otherwise(same).alias("content"))
+    return S.format_drift(left, right)
+
+
+@query("unparsable_notes", """
+SELECT 'n/' || c_custkey AS path, CASE WHEN c_acctbal < 0 THEN 'no-front-matter' ELSE 'broken-line' END AS reason FROM customer WHERE c_acctbal < 500""")
+def unparsable_notes(spark, d):
+    from graphloom.sources.text import unparsable
+
+    good, broken = F.format_string("---\nname: %s\ntags:\n  - a\n# note\n---\nBody", "c_name"), F.format_string("---\nname %s\n---\nBody", "c_name")
+    content = F.when(F.col("c_acctbal") < 0, F.col("c_name")).when(F.col("c_acctbal") < 500, broken).otherwise(good)
+    return unparsable(table(spark, d, "customer").select(F.concat(F.lit("n/"), "c_custkey").alias("path"), content.alias("content")))
 
 
 @query("find_dup_groups", SIDES + "SELECT uid, path, CAST(count(*) OVER (PARTITION BY uid) AS BIGINT) AS n FROM base QUALIFY count(*) OVER (PARTITION BY uid) > 1")
@@ -476,12 +494,16 @@ def property_delta(spark, d):
     return S.property_delta(key_rows(side(spark, d, "base")), key_rows(side(spark, d, "local")))
 
 
-@query("merge_gate", "SELECT 'customer/' || c_custkey AS s, NOT (c_custkey % 11 = 0 OR c_custkey % 13 = 0 OR c_custkey % 19 = 0) AS ship FROM customer WHERE c_custkey % 2 = 0")
+@query("merge_gate", """
+SELECT 'customer/' || c_custkey AS s, NOT (c_custkey % 11 = 0 OR c_custkey % 13 = 0) AS ship, CAST(CASE WHEN c_custkey % 19 = 0 THEN 1 ELSE 0 END AS BIGINT) AS skipped
+FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'""")
 def merge_gate(spark, d):
     t = data(spark, d)
-    focus = typed(t).where("cls = 'class/Customer'").where(F.regexp_extract("s", r"(\d+)$", 1).cast("long") % 2 == 0).select("s")
-    found = V.report(t, shapes(spark), typed(t), party(spark)).where("severity = 'Violation'").select("s").distinct().withColumn("bad", F.lit(True))
-    return focus.join(found, "s", "left").select("s", F.col("bad").isNull().alias("ship"))
+    types, sh = typed(t), shapes(spark)
+    focus = table(spark, d, "customer").where("c_mktsegment <> 'HOUSEHOLD'").select(F.concat(F.lit("customer/"), "c_custkey").alias("s"))
+    targets = V.class_range_targets(t, sh, types, party(spark)).select("s", "property", "check", "o")
+    found = V.report(t, sh, types, party(spark)).join(targets, ["s", "property", "check"], "left")
+    return S.merge_gate(found, focus, types.where("cls = 'class/Nation'").select(F.col("s").alias("o")))
 
 
 @query("freshness", SIDES + "SELECT base.path, CASE WHEN local.sha IS NULL THEN 'unknown' WHEN local.sha <> base.sha THEN 'behind' ELSE 'current' END AS state FROM base LEFT JOIN local USING (path)")
@@ -589,11 +611,16 @@ def next_states(spark, d):
     return W.next_states(now.select("user_id", F.col("event_type").alias("state")), moves, terminal).select("user_id", "state", "target", "kind")
 
 
-@query("instantiation_rule", CLASS_UP + "SELECT 'part/' || p_partkey AS s, CASE WHEN p_type LIKE 'S%' THEN 'rule-1' ELSE 'rule-2' END AS rule FROM part WHERE p_type IS NOT NULL")
+@query("instantiation_rule", """
+SELECT 'part/' || p_partkey AS s, CASE WHEN p_type LIKE 'S%' THEN 'rule-1' ELSE 'rule-2' END AS rule, CASE WHEN p_type LIKE 'S%' THEN 'proto-s' END AS prototype,
+       CASE WHEN p_type LIKE 'S%' THEN 'small' ELSE 'rest' END AS folder, CASE WHEN p_type LIKE 'S%' THEN 'area=home;size=1' ELSE '' END AS settings
+FROM part WHERE p_type <> 'PROMO'""")
 def instantiation_rule(spark, d):
-    p = table(spark, d, "part").select(F.concat(F.lit("part/"), "p_partkey").alias("s"), "p_type")
-    rules = spark.createDataFrame([("rule-1", "S%"), ("rule-2", "%")], "rule string, matches string")
-    return W.keep_first(p.join(F.broadcast(rules), F.expr("p_type LIKE matches")), ["s"], ["rule"]).select("s", "rule")
+    up = C.reach(spark.createDataFrame([("SMALL", "Slight"), ("STANDARD", "Slight"), ("Slight", "Thing"), ("LARGE", "Thing"), ("MEDIUM", "Thing"), ("ECONOMY", "Thing")], "src string, dst string"))
+    rules = spark.createDataFrame([("rule-2", "Thing", None, "rest"), ("rule-1", "Slight", "proto-s", "small"), ("rule-3", "SMALL", "other", "never")], "rule string, cls string, prototype string, folder string")
+    settings = spark.createDataFrame([("rule-1", "size", "1"), ("rule-1", "area", "home"), ("rule-3", "x", "y")], "rule string, key string, value string")
+    p = table(spark, d, "part").select(F.concat(F.lit("part/"), "p_partkey").alias("s"), F.col("p_type").alias("cls"))
+    return W.instantiation_rule(p, up, rules, settings)
 
 
 @query("creation_gate", """

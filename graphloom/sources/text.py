@@ -22,7 +22,7 @@ def notes_to_rows(notes: DataFrame) -> DataFrame:
     value = F.regexp_extract("line", r"(?s)^[A-Za-z0-9_:.\- ]+?\s*:(.*)$", 1)
     inline = F.regexp_extract(value, r"^\s*\[(.*)\]\s*$", 1)
     items = (
-        F.when(F.contains(value, F.lit("\x01")), F.slice(F.split(value, "\x01"), 2, 1_000_000))
+        F.when(F.contains(value, F.lit("\x01")), F.slice(F.split(value, "\x01"), 2, F.size(F.split(value, "\x01"))))
         .when(F.rlike(value, F.lit(r"^\s*\[.*\]\s*$")), F.split(inline, ","))
         .otherwise(F.array(value))
     )
@@ -31,6 +31,14 @@ def notes_to_rows(notes: DataFrame) -> DataFrame:
     return rows.select("path", "key", "pos", clean.alias("value")).where("value <> ''")
 
 
+def unparsable(notes: DataFrame) -> DataFrame:
+    """``path, reason`` of notes whose front matter cannot be read: none at all, or a line that is no key, list item or comment."""
+    body = F.regexp_extract("content", FENCE, 1)
+    bad = F.exists(F.split(body, r"\r?\n"), lambda x: ~F.rlike(x, F.lit(r"^\s*(#.*)?$|^\s*-\s|^[A-Za-z0-9_:.\- ]+?\s*:")))
+    reason = F.when(F.coalesce(~F.rlike("content", F.lit(FENCE)), F.lit(True)), "no-front-matter").when(bad, "broken-line")
+    return notes.select("path", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as ``(path, content)``."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
