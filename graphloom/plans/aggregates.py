@@ -213,9 +213,9 @@ def fn_langmatches(spark, d):
     return rows.select("doc_id", T.langmatches(F.col("lang"), "*").alias("any_lang"), T.langmatches(F.col("lang"), "en").alias("en"), T.langmatches(F.concat("lang", F.lit("-XX")), "*").alias("region"))
 
 
-@query("fn_same_term", with_t("nation") + "SELECT a.s, a.p, b.p AS q FROM t a JOIN t b ON a.s = b.s WHERE a.o = b.o AND a.o_kind = b.o_kind AND a.o_dt IS NOT DISTINCT FROM b.o_dt")
+@query("fn_same_term", with_t("customer") + "SELECT a.s, a.p, b.p AS q FROM t a JOIN t b ON a.s = b.s WHERE a.o = b.o AND a.o_kind = b.o_kind AND a.o_dt IS NOT DISTINCT FROM b.o_dt")
 def fn_same_term(spark, d):
-    t = load(spark, d, "nation")
+    t = load(spark, d, "customer")
     a, b = t.alias("a"), t.alias("b")
     same = T.same_term({k: F.col(f"a.{k}") for k in ("o", "o_kind", "o_dt", "o_lang")}, {k: F.col(f"b.{k}") for k in ("o", "o_kind", "o_dt", "o_lang")})
     return a.join(b, F.col("a.s") == F.col("b.s")).where(same).select("a.s", "a.p", F.col("b.p").alias("q"))

@@ -50,9 +50,9 @@ def path_alt(spark, d):
     return C.alt(e.where("p = 'c_nationkey'"), e.where("p = 's_nationkey'"))
 
 
-@query("path_inv", "SELECT DISTINCT r_regionkey AS src, n_nationkey AS dst FROM region JOIN nation ON n_regionkey = r_regionkey")
+@query("path_inv", "SELECT c_nationkey AS src, c_custkey AS dst FROM customer")
 def path_inv(spark, d):
-    return C.inverse(table(spark, d, "nation").select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("dst")))
+    return C.inverse(table(spark, d, "customer").select(F.col("c_custkey").alias("src"), F.col("c_nationkey").alias("dst")))
 
 
 @query("path_opt", f"WITH {HALVES} SELECT src, dst FROM e UNION SELECT src, src FROM e UNION SELECT dst, dst FROM e")
@@ -114,11 +114,13 @@ def infer_types(spark, d):
     return I.infer_types(part_types(spark, d), superclasses(spark, d))
 
 
-@query("map_vocabulary", with_t("nation") + "SELECT s, p, o FROM t UNION SELECT s, CASE p WHEN 'n_name' THEN 'rdfs:label' ELSE 'rdfs:isPartOf' END, o FROM t WHERE p IN ('n_name', 'n_regionkey') UNION SELECT 'n_name', 'rdfs:subPropertyOf', 'rdfs:label' FROM nation")
+@query("map_vocabulary", with_t("customer") + """
+SELECT s, p, o FROM t UNION SELECT s, CASE p WHEN 'c_name' THEN 'rdfs:label' ELSE 'rdfs:isPartOf' END, o FROM t WHERE p IN ('c_name', 'c_nationkey')
+UNION SELECT 'c_name', 'rdfs:subPropertyOf', 'rdfs:label' FROM customer""")
 def map_vocabulary(spark, d):
-    mapping = spark.createDataFrame([("n_name", "rdfs:label"), ("n_regionkey", "rdfs:isPartOf")], "p string, q string")
-    fixed = spark.createDataFrame([("n_name", "rdfs:subPropertyOf", "rdfs:label")], "s string, p string, o string")
-    return I.map_vocabulary(load(spark, d, "nation"), mapping, fixed)
+    mapping = spark.createDataFrame([("c_name", "rdfs:label"), ("c_nationkey", "rdfs:isPartOf")], "p string, q string")
+    fixed = spark.createDataFrame([("c_name", "rdfs:subPropertyOf", "rdfs:label")], "s string, p string, o string")
+    return I.map_vocabulary(load(spark, d, "customer"), mapping, fixed)
 
 
 @query("match_subproperty", with_t("customer", "supplier", "nation") + "SELECT DISTINCT s, o FROM t WHERE p IN ('c_name', 's_name', 'n_name')")
@@ -258,10 +260,13 @@ def neighbours(spark, d):
     return C.alt(e, C.inverse(e))
 
 
-@query("khop", "WITH RECURSIVE b AS (SELECT 'nation/' || n_nationkey AS src, 'region/' || n_regionkey AS dst FROM nation), e AS (SELECT src, dst FROM b UNION SELECT dst, src FROM b), r AS (SELECT src, dst, 1 AS depth FROM e WHERE src = 'nation/3' UNION SELECT r.src, e.dst, depth + 1 FROM r JOIN e ON r.dst = e.src WHERE depth < 2) SELECT src, dst, CAST(min(depth) AS INTEGER) AS depth FROM r WHERE src <> dst GROUP BY 1, 2")
+@query("khop", f"""
+WITH RECURSIVE {HALVES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (
+  SELECT src, dst, 1 AS depth FROM b WHERE src IN (SELECT p_partkey FROM part WHERE p_size = 3)
+  UNION SELECT r.src, b.dst, depth + 1 FROM r JOIN b ON r.dst = b.src WHERE depth < 2)
+SELECT src, dst, CAST(min(depth) AS INTEGER) AS depth FROM r WHERE src <> dst GROUP BY 1, 2""")
 def khop(spark, d):
-    e = places(spark, d, "nation")
-    return C.khop(e, e.where("src = 'nation/3'").select("src"), 2)
+    return C.khop(halves(spark, d), table(spark, d, "part").where("p_size = 3").select(F.col("p_partkey").alias("src")), 2)
 
 
 @query("filter_types", "SELECT 'customer/' || c_custkey AS src, 'nation/' || c_nationkey AS dst FROM customer")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import patterns as P
+from graphloom.operators.closure import small
 from graphloom.plans.base import query, table
 from graphloom.sources.triples import load, load_sql, match
 
@@ -223,9 +224,10 @@ def bgp_chain(spark, d):
     return P.bgp(t, chain).groupBy("region").agg(F.countDistinct("c").alias("customers"), F.count("*").alias("urgent"), F.round(F.sum("price"), 2).alias("revenue"))
 
 
-@query("cross_join", "SELECT r_name, n_name FROM region, nation WHERE n_regionkey <> r_regionkey")
+@query("cross_join", "SELECT r_name, c_custkey FROM region, customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> r_regionkey")
 def cross_join(spark, d):
-    return P.join(table(spark, d, "region"), F.broadcast(table(spark, d, "nation"))).where("n_regionkey <> r_regionkey").select("r_name", "n_name")
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return P.join(c, small(table(spark, d, "region"))).where("n_regionkey <> r_regionkey").select("r_name", "c_custkey")
 
 
 @query("optional", with_t("customer") + "SELECT a.s AS c, a.o AS segment, b.o_num AS bal FROM t a LEFT JOIN t b ON a.s = b.s AND b.p = 'c_acctbal' AND b.o_num < 0 WHERE a.p = 'c_mktsegment'")
@@ -234,9 +236,9 @@ def optional(spark, d):
     return P.optional(P.pattern(t, "?c", "c_mktsegment", "?segment"), P.pattern(t, "?c", "c_acctbal", "?bal:num"), F.col("bal") < 0)
 
 
-@query("optional_cross", "SELECT r_name, n_name FROM region LEFT JOIN (SELECT n_name FROM nation WHERE n_name LIKE 'U%') ON TRUE")
+@query("optional_cross", "SELECT c_custkey, n_name FROM customer LEFT JOIN (SELECT n_name FROM nation WHERE n_name LIKE '%U%') ON TRUE")
 def optional_cross(spark, d):
-    return P.optional(table(spark, d, "region").select("r_name"), table(spark, d, "nation").where("n_name LIKE 'U%'").select("n_name"))
+    return P.optional(table(spark, d, "customer").select("c_custkey"), small(table(spark, d, "nation").where("n_name LIKE '%U%'").select("n_name")))
 
 
 @query("exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 20 * c.c_acctbal)")
@@ -274,10 +276,10 @@ def lateral_topn(spark, d):
     return table(spark, d, "customer").withColumn("k", F.row_number().over(w)).where("k <= 3").select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey", "c_acctbal")
 
 
-@query("join_var_predicate", with_t("nation") + "SELECT t.s, t.p, t.o FROM t JOIN (SELECT DISTINCT p FROM t WHERE s = 'nation/1' AND o_kind = 'iri') q ON t.p = q.p")
+@query("join_var_predicate", with_t("customer") + "SELECT t.s, t.p, t.o FROM t JOIN (SELECT DISTINCT p FROM t WHERE s = 'customer/1' AND o_kind = 'iri') q ON t.p = q.p")
 def join_var_predicate(spark, d):
-    t = load(spark, d, "nation")
-    return P.join(P.pattern(t, "?s", "?p", "?o"), match(t, s="nation/1").where("o_kind = 'iri'").select("p").distinct()).select("s", "p", "o")
+    t = load(spark, d, "customer")
+    return P.join(P.pattern(t, "?s", "?p", "?o"), match(t, s="customer/1").where("o_kind = 'iri'").select("p").distinct()).select("s", "p", "o")
 
 
 @query("quoted_match", "SELECT o_orderkey AS stmt, 'customer/' || o_custkey AS s, o_orderdate AS at FROM orders WHERE o_custkey % 10 = 1")
@@ -365,17 +367,19 @@ def describe(spark, d):
     return P.describe(t, match(t, s="nation/5").select(F.col("s").alias("r")), depth=2)
 
 
-@query("insert_data", with_t("nation") + "SELECT s, p, o FROM t UNION SELECT 'nation/' || n_nationkey, 'seen', 'yes' FROM nation WHERE n_nationkey < 9 UNION SELECT s, p, o FROM t WHERE s = 'nation/1'")
+@query("insert_data", with_t("customer") + """
+SELECT s, p, o FROM t UNION SELECT 'customer/' || c_custkey, 'seen', 'yes' FROM customer WHERE c_acctbal < 0 UNION SELECT s, p, o FROM t WHERE s = 'customer/1'""")
 def insert_data(spark, d):
-    t = load(spark, d, "nation").select("s", "p", "o")
-    new = table(spark, d, "nation").where("n_nationkey < 9").select(F.concat(F.lit("nation/"), "n_nationkey").alias("s"), F.lit("seen").alias("p"), F.lit("yes").alias("o"))
-    return P.insert_data(t, new.unionByName(t.where("s = 'nation/1'")))
+    t = load(spark, d, "customer").select("s", "p", "o")
+    new = table(spark, d, "customer").where("c_acctbal < 0").select(F.concat(F.lit("customer/"), "c_custkey").alias("s"), F.lit("seen").alias("p"), F.lit("yes").alias("o"))
+    return P.insert_data(t, new.unionByName(t.where("s = 'customer/1'")))
 
 
-@query("delete_data", with_t("nation") + "SELECT s, p, o FROM t WHERE NOT (p = 'n_name' AND CAST(split_part(s, '/', 2) AS INTEGER) % 2 = 0)")
+@query("delete_data", with_t("customer") + """
+SELECT s, p, o FROM t WHERE NOT (p = 'c_name' AND s IN (SELECT 'customer/' || c_custkey FROM customer WHERE c_acctbal < 0))""")
 def delete_data(spark, d):
-    t = load(spark, d, "nation").select("s", "p", "o")
-    gone = table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("nation/"), "n_nationkey").alias("s"), F.lit("n_name").alias("p"), F.col("n_name").alias("o"))
+    t = load(spark, d, "customer").select("s", "p", "o")
+    gone = table(spark, d, "customer").where("c_acctbal < 0").select(F.concat(F.lit("customer/"), "c_custkey").alias("s"), F.lit("c_name").alias("p"), F.col("c_name").alias("o"))
     return P.delete_data(t, gone)
 
 

@@ -40,10 +40,10 @@ def read_ntriples(spark, d):
     return X.parse_ntriples(lines.unionByName(noise))[0].select("s", "p", "o", "o_kind", "o_dt")
 
 
-@query("write_ntriples", with_t("nation") + "SELECT '<' || s || '> <' || p || '> ' || CASE WHEN o_kind = 'lit' THEN '\"' || o || '\"' ELSE '<' || o || '>' END || ' .' AS value FROM t")
+@query("write_ntriples", with_t("customer") + "SELECT '<' || s || '> <' || p || '> ' || CASE WHEN o_kind = 'lit' THEN '\"' || o || '\"' || CASE WHEN o_dt IS NOT NULL THEN '^^<' || o_dt || '>' ELSE '' END ELSE '<' || o || '>' END || ' .' AS value FROM t")
 def write_ntriples(spark, d):
     path = work_dir(spark)
-    X.write_ntriples(load(spark, d, "nation"), path)
+    X.write_ntriples(load(spark, d, "customer"), path)
     return spark.read.text(path)
 
 
