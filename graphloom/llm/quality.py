@@ -8,8 +8,10 @@ from Cholesky factors computed once.
 
 Defined cases: a null text is empty, and empty texts have a score like any other; labels
 that are null teach nothing; a document labelled more than once counts with its mean label,
-rounded up from one half; with fewer than two classes every score is the share of label 1
-(0.5 without labels); repeated rows of documents each get a row.
+rounded up from one half; labels other than 0 and 1 teach nothing; with fewer than two
+classes every score is the share of label 1 (0.5 without labels); a text of any length is
+described as a whole; repeated rows of documents, and rows with a null id, each get a row;
+an empty table gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

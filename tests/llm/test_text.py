@@ -276,6 +276,31 @@ def test_quality_learns_and_handles_edges(spark):
     assert quality.scored(d.limit(0), labels).count() == 0
 
 
+def test_discriminant_against_plain_densities():
+    r = np.random.default_rng(4)
+    x = {0: r.normal(size=(80, 5)) @ r.normal(size=(5, 5)), 1: 1 + r.normal(size=(300, 5)) @ r.normal(size=(5, 5))}
+    model = quality.Discriminant({c: (float(len(v)), v.sum(axis=0), v.T @ v) for c, v in x.items()}, 0.1, 0.05)
+    pool = sum(len(v) * np.cov(v.T, bias=True) for v in x.values()) / 380
+    some = r.normal(size=(40, 5))
+    log = []
+    for c in (0, 1):
+        lean = max(0.1, 5 / (5 + len(x[c])))
+        cov = (1 - lean) * np.cov(x[c].T, bias=True) + lean * pool
+        cov = 0.95 * cov + 0.05 * np.diag(np.diag(cov)) + 1e-6 * np.eye(5)
+        gap = some - x[c].mean(axis=0)
+        log.append(np.log(len(x[c]) / 380) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * (gap * np.linalg.solve(cov, gap.T).T).sum(axis=1))
+    assert np.allclose(model.score(some), 1 / (1 + np.exp(log[0] - log[1])))
+
+
+def test_quality_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    got = QUERIES["op8_quality"](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality IS NOT NULL"), "doc_id").toPandas()
+    rank = got["score"].rank()
+    good = got["quality"] == 1
+    auc = (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+    assert len(got) > 50 and auc > 0.9 and (got["predicted"] == got["quality"]).mean() > 0.85
+
+
 # --- HTML ------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/x">Menu</a></li></ul></nav>
