@@ -11,7 +11,8 @@ They are told by their name or by a word of their class, id or role, whose weigh
 learnt: the share of the words under it that are main text on the labelled pages, from a
 starting count that leans against the words of ``SIDE_WORDS`` and towards all others.  No
 mark hides the text itself: an element that holds an article, a main part or a headline is
-no such element, and where marks hide nearly all of the page's score (``HIDDEN``), the one that
+no such element, and where marks hide nearly all of the score (``HIDDEN``) of the page, or of
+its article where it marks one, the one that
 hides the most is set aside, of those by class words first, until they do so no more.
 
 Labelled pages: those that mark one ``article`` or ``main`` element; the weights are fitted
@@ -244,15 +245,19 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
         if t.kind != " ":
             w = weights[t.kind] if t.kind in weights else weight(t.kind)
             plain[i] = w * len(t.text.split()) if t.kind[0] == "w" else w
+    # where the page marks its article, what stands outside it hides nothing of it
+    scope = np.array([t.article for t in found], bool)
+    if not any(t.article and t.kind[0] == "w" for t in found):
+        scope[:] = True
     while True:
         side = np.array([max((e.side for e in t.within), default=0) for t in found], np.int64)
         shown = side == 0
-        i, j, most = best_run(np.where(shown, plain, 0.0))
-        kind = next((k for k in (1, 2) if most < (1 - HIDDEN) * best_run(np.where(side <= k, plain, 0.0))[2]), 0)
+        score = lambda seen: best_run(np.where(seen & scope, plain, 0.0))[2]  # noqa: E731,B023
+        kind = next((k for k in (1, 2) if score(shown) < (1 - HIDDEN) * score(side <= k)), 0)
         if not kind:
             break
         held: dict[Element, float] = {}  # score under each element whose mark may be wrong
-        for t, g in zip(found, plain, strict=True):
+        for t, g in zip(found, np.where(scope, plain, 0.0), strict=True):
             if g > 0 and max((e.side for e in t.within), default=3) <= kind:
                 for e in t.within:
                     held[e] = held.get(e, 0.0) + g
@@ -260,6 +265,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
         for e, g in held.items():
             if g >= largest:  # what holds the most, and what holds just that
                 e.side = 0
+    i, j, _ = best_run(np.where(shown, plain, 0.0))
     touched = {t.block for t, s in zip(found[i:j], shown[i:j], strict=True) if t.kind[0] == "w" and s}
     parts: dict[int, list[str]] = {}
     for t, s in zip(found, shown, strict=True):

@@ -338,6 +338,13 @@ def test_headlines_buttons_and_labels_in_the_text_stay():
     assert htmltext.extract(page, {}) == "Head\nBy someone\nPress OK or Cancel now."
 
 
+def test_a_short_article_does_not_bring_the_footer_in():
+    footer = "<footer>" + "many words at the foot of the page " * 9 + "</footer>"
+    assert htmltext.extract(f"<nav>Menu</nav><article><h1>Short.</h1></article>{footer}", {}) == "Short."
+    inner = '<div class="post has-sidebar">' + "<p>Words of the article run on.</p>" * 5 + "</div>"
+    assert htmltext.extract(f"<article><h1>Head</h1>{inner}</article>{footer}", {}).count("run on") == 5
+
+
 def test_class_words_are_learnt_from_labelled_pages(spark):
     made = lambda k: f'<div class="toprow">Words beside the text number {k} here</div><article><div class="related">' + f"<p>Text of page {k} runs on and on.</p>" * 3 + "</div></article>"
     pages = spark.createDataFrame([(k, "u", made(k)) for k in range(30)], "page_id long, url string, html string")
