@@ -86,6 +86,12 @@ def op10_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.conversations import damaged, repaired
+
+    return repaired(damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_repair_tokens": op1_repair_tokens,
     "op2_language": op2_language,
@@ -97,6 +103,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_main_text": op9_main_text,
     "op10_embedding_duplicates": op10_embedding_duplicates,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLES = {
