@@ -92,6 +92,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(damaged(table(spark, sf_dir, "conversations")))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from graphloom.llm.alignment import aligned_documents
+
+    a, b = (str(public_tokenizers.path(n)) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return aligned_documents(table(spark, sf_dir, "documents"), a, b)
+
+
 QUERIES = {
     "op1_repair_tokens": op1_repair_tokens,
     "op2_language": op2_language,
@@ -104,6 +113,7 @@ QUERIES = {
     "op9_main_text": op9_main_text,
     "op10_embedding_duplicates": op10_embedding_duplicates,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLES = {
