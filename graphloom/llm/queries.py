@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.decontaminate import SQL as DECONTAMINATION_SQL
+from graphloom.llm.hosts import SQL as HOST_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +93,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(damaged(table(spark, sf_dir, "conversations")))
 
 
+def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.hosts import host_rules
+
+    return host_rules(table(spark, sf_dir, "documents"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -113,11 +120,13 @@ QUERIES = {
     "op9_main_text": op9_main_text,
     "op10_embedding_duplicates": op10_embedding_duplicates,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_host_rules": op12_host_rules,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLES = {
     "op4_decontamination": DECONTAMINATION_SQL,
+    "op12_host_rules": HOST_SQL,
     "op5_zip_warc": """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS h FROM pages
