@@ -28,6 +28,7 @@ import hashlib
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,9 @@ from graphloom.llm.common import staged
 from graphloom.llm.encode import blocks, release, spread, worker_cache
 
 #: Bytes of text that are aligned at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Units that a worker remembers; past it, it starts anew.
-CACHE_UNITS = 300_000
+CACHE_UNITS = 200_000
 #: Units that are encoded as one text.
 JOINED = 4096
 #: White space before a space: only then is there a space at which a text may not be cut.
@@ -109,30 +110,37 @@ class Pair:
             and not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
         )
 
-    def encode_a(self, units: list[str]) -> list[np.ndarray]:
+    def encode_a(self, units: list[str]) -> pa.ListArray:
         """Ids of each space and unit.  Units that end in no white space are joined: the cuts between them are safe."""
-        out: list = [None] * len(units)
-        safe = [k for k, u in enumerate(units) if self.cuts and u and not u[-1].isspace()]
-        for at in range(0, len(safe), JOINED):
-            some = safe[at : at + JOINED]
-            ids = np.array(self.a.encode("".join([" " + units[k] for k in some]), add_special_tokens=False).ids, np.int64)
-            ends = np.cumsum([len(units[k].encode()) + 1 for k in some])
-            cut = np.searchsorted(np.cumsum(self.spelt_a.lengths[ids]), ends[:-1], "right")
-            for k, own in zip(some, np.split(ids, cut), strict=True):
-                out[k] = own
-        for k, own in enumerate(out):
-            if own is None:
-                out[k] = np.array(self.a.encode(" " + units[k], add_special_tokens=False).ids, np.int64)
-        return out
-
-    def encode_b(self, units: list[str]) -> list[np.ndarray]:
-        found = self.b.encode(units, num_threads=1)
-        return [np.array(ids if u else [self.space], np.int64) for u, ids in zip(units, found, strict=True)]
-
-
-def listed(parts: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.cumsum([0, *map(len, parts)])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+        safe = [self.cuts and u != "" and not u[-1].isspace() for u in units]
+        joined, rest = [k for k, s in enumerate(safe) if s], [k for k, s in enumerate(safe) if not s]
+        flat, counts = [], []
+        for at in range(0, len(joined), JOINED):
+            some = [" " + units[k] for k in joined[at : at + JOINED]]
+            ids = np.array(self.a.encode("".join(some), add_special_tokens=False).ids, np.int64)
+            ends = np.cumsum([len(u.encode()) for u in some])
+            counts.append(np.diff(np.searchsorted(np.cumsum(self.spelt_a.lengths[ids]), ends, "right"), prepend=0))
+            flat.append(ids)
+        for k in rest:
+            flat.append(np.array(self.a.encode(" " + units[k], add_special_tokens=False).ids, np.int64))
+            counts.append([len(flat[-1])])
+        return listed(flat, counts, joined + rest)
+
+    def encode_b(self, units: list[str]) -> pa.ListArray:
+        found = [ids if u else [self.space] for u, ids in zip(units, self.b.encode(units, num_threads=1), strict=True)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return listed([np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))], [counts])
+
+
+def listed(flat: list[np.ndarray], counts: list, places: list[int] | None = None) -> pa.ListArray:
+    """Lists from their joined values and lengths; ``places``: where each list belongs, if not in this order."""
+    values = np.concatenate(flat) if flat else np.zeros(0, np.int64)
+    counts = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
+    if places is not None and places != sorted(places):
+        order = np.argsort(np.array(places))
+        values = spread(values, (np.cumsum(counts) - counts)[order], counts[order])
+        counts = counts[order]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values))
 
 
 def ended(tokens: pa.ListArray, lengths: np.ndarray, name: str) -> pa.Table:
@@ -192,22 +200,20 @@ class Aligner:
 
     def learn(self, units: pa.Array) -> None:
         words = units.to_pylist()
-        sides, wrong = [], np.zeros(len(words), bool)
-        sizes = np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words))
+        sizes = pc.binary_length(units).to_numpy(zero_copy_only=False).astype(np.int64) + 1
         meant = np.frombuffer("".join([" " + w for w in words]).encode(), np.uint8)
         starts = np.cumsum(sizes) - sizes
-        for ids, spelt in ((self.pair.encode_a(words), self.pair.spelt_a), (self.pair.encode_b(words), self.pair.spelt_b)):
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-            unit = np.repeat(np.arange(len(words)), [len(x) for x in ids])
+        sides, wrong = [self.pair.encode_a(words), self.pair.encode_b(words)], np.zeros(len(words), bool)
+        for tokens, spelt in zip(sides, (self.pair.spelt_a, self.pair.spelt_b), strict=True):
+            flat, unit = pc.list_flatten(tokens).to_numpy(), pc.list_parent_indices(tokens).to_numpy()
             right = np.bincount(unit, spelt.lengths[flat], len(words)).astype(np.int64) == sizes
             same = spelt.joined(flat[right[unit]]) == spread(meant, starts[right], sizes[right])
-            off = ~right
+            wrong |= ~right
             if right.any():
-                off[right] = ~np.logical_and.reduceat(same, np.cumsum(sizes[right]) - sizes[right])
-            wrong |= off
-            sides.append(ids)
-        none = np.zeros(0, np.int64)
-        a, b = (listed([none if w else x for x, w in zip(ids, wrong, strict=True)]) for ids in sides)
+                wrong[right] |= ~np.logical_and.reduceat(same, np.cumsum(sizes[right]) - sizes[right])
+        if wrong.any():
+            sides = [pc.if_else(pa.array(wrong), pa.scalar([], x.type), x) for x in sides]
+        a, b = sides
         new = aligned(a, b, self.pair.spelt_a.lengths, self.pair.spelt_b.lengths)
         self.starts = np.concatenate((self.starts, len(self.links) + np.cumsum(new["n_links"]) - new["n_links"]))
         self.links = np.concatenate((self.links, new["links"]))
