@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.closure import plus, reach, small
@@ -42,29 +42,31 @@ def resolve_alias(rows: DataFrame, column: str, aliases: DataFrame) -> tuple[Dat
     return out.select(*rows.columns), counted.where("n > 1").select("name", "n")
 
 
-def prototype_chain(links: DataFrame, depth: int = 10) -> DataFrame:
-    """``src, dst, depth``: each instance and its prototypes; self-links are skipped."""
-    return plus(links.where("src <> dst"), depth=depth).where("src <> dst")
+def prototype_chain(links: DataFrame, depth: int = 10, start: DataFrame | None = None) -> DataFrame:
+    """``src, dst, depth``: each instance (or those of ``start``, column ``src``) and its prototypes; self-links are skipped."""
+    return plus(links.where("src <> dst"), start=start, depth=depth).where("src <> dst")
 
 
-def inherit(triples: DataFrame, links: DataFrame, multi: list[str], barred: list[str] = (), depth: int = 10) -> DataFrame:
+def inherit(triples: DataFrame, links: DataFrame, multi: list[str], barred: list[str] = (), depth: int = 10, start: DataFrame | None = None) -> DataFrame:
     """New ``(s, p, o, depth)`` from prototypes.
 
     Single-valued predicates: the nearest prototype's values, unless the instance has its
     own.  Predicates in ``multi`` are appended, each value once.  ``barred`` ones stay.
+    ``start`` (column ``src``) names the instances to look at, if not all.
+
+    Own rows have depth 0 among the found ones, so one aggregate by value, and one of the
+    nearest depth by (s, p) over its result, tell what is inherited.
     """
-    chain = prototype_chain(links, depth).select(F.col("src").alias("i"), F.col("dst").alias("s"), "depth")
     core = triples.select("s", "p", "o").where(~F.col("p").isin(*barred)) if barred else triples.select("s", "p", "o")
-    found = chain.join(core, "s").select(F.col("i").alias("s"), "p", "o", "depth")
-    single = found.where(~F.col("p").isin(*multi)) if multi else found
-    near = Window.partitionBy("s", "p")
-    single = single.withColumn("_d", F.min("depth").over(near)).where("depth = _d").drop("_d")
-    single = single.join(core.select("s", "p").distinct(), ["s", "p"], "left_anti")
-    out = single.groupBy("s", "p", "o").agg(F.min("depth").alias("depth"))
-    if multi:
-        more = found.where(F.col("p").isin(*multi)).join(core.select("s", "p", "o").distinct(), ["s", "p", "o"], "left_anti")
-        out = out.unionByName(more.groupBy("s", "p", "o").agg(F.min("depth").alias("depth")))
-    return out
+    chain = prototype_chain(links, depth, start).select(F.col("src").alias("i"), F.col("dst").alias("s"), "depth")
+    own = core if start is None else core.join(start.select(F.col("src").alias("s")).distinct(), "s", "left_semi")
+    found = chain.join(core, "s").select(F.col("i").alias("s"), "p", "o", "depth").unionByName(own.withColumn("depth", F.lit(0)))
+    values = found.groupBy("s", "p", "o").agg(F.min("depth").alias("depth"))
+    appended = F.col("p").isin(*multi) if multi else F.lit(False)
+    near = values.where(~appended).groupBy("s", "p").agg(F.min("depth").alias("_near"))
+    single = values.where(~appended).join(near, ["s", "p"]).where("depth = _near").drop("_near")
+    out = single.unionByName(values.where(appended)) if multi else single
+    return out.where("depth > 0")
 
 
 def annotate(triples: DataFrame, inferred: DataFrame) -> DataFrame:

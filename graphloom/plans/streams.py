@@ -6,12 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from graphloom.plans.aggregates import ALLOWED
 from graphloom.plans.base import query, table
 from graphloom.plans.patterns import with_t
 from graphloom.sources import text as X
 from graphloom.sources.triples import load
+from graphloom.operators import refresh as R
 from graphloom.operators.closure import shared_root
 from graphloom.streaming import jobs as J
+from graphloom.streaming import state as K
 
 
 def work_dir(spark) -> str:
@@ -79,17 +82,17 @@ LATEST = "SELECT user_id, event_id, event_type FROM events QUALIFY row_number()
 @query("stream_upsert", "SELECT user_id, event_id FROM events")
 def stream_upsert(spark, d):
     at = work_dir(spark)
-    store = J.Versioned(spark, f"{at}/table", "user_id long, event_id long")
-    J.run(events(spark, d).select("user_id", "event_id"), f"{at}/state", batch=J.upsert(store, "user_id"))
-    return store.read(store.last)
+    store = J.Bucketed(spark, f"{at}/store", "user_id long, event_id long", "user_id")
+    J.run(events(spark, d).select("user_id", "event_id"), f"{at}/state", batch=J.upsert(store))
+    return store.read()
 
 
 @query("stream_latest", LATEST)
 def stream_latest(spark, d):
     at = work_dir(spark)
-    store = J.Versioned(spark, f"{at}/table", "user_id long, ts timestamp, event_id long, event_type string")
-    J.run(events(spark, d).select("user_id", "ts", "event_id", "event_type"), f"{at}/state", batch=J.upsert_latest(store, "user_id", ["ts", "event_id"]))
-    return store.read(store.last).select("user_id", "event_id", "event_type")
+    store = J.Bucketed(spark, f"{at}/store", "user_id long, ts timestamp, event_id long, event_type string", "user_id")
+    J.run(events(spark, d).select("user_id", "ts", "event_id", "event_type"), f"{at}/state", batch=J.upsert_latest(store, ["ts", "event_id"]))
+    return store.read().select("user_id", "event_id", "event_type")
 
 
 def listing(spark, d, shift):
@@ -111,13 +114,27 @@ def delta_refresh(spark, d):
 
 @query("stream_chunks", "SELECT user_id AS src, c_nationkey AS dst FROM events JOIN customer ON user_id = c_custkey WHERE c_nationkey % 2 = 0")
 def stream_chunks(spark, d):
+    """Users come as nodes, so do the even nations; an edge from a user's event to a nation waits for both."""
     at = work_dir(spark)
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("long").alias("dst"))
-    edges = events(spark, d).join(c, "user_id").select(F.col("user_id").alias("src"), "dst")
-    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("id")).unionByName(table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("long").alias("id"))).distinct()
-    small = table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("long").alias("dst"))
-    J.run(J.edges_with_nodes(edges, nodes).join(small, "dst", "left_semi").select("src", "dst"), f"{at}/state", path=f"{at}/out")
-    return spark.read.schema("src long, dst long").parquet(f"{at}/out")
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_nationkey")
+    edges = events(spark, d).join(users, "user_id").select(F.concat(F.lit("c"), "user_id").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"), F.col("event_id").alias("edge"))
+    stream = lambda name: J.file_stream(spark, d, table(spark, d, name).schema, pattern=f"{name}.parquet")
+    nodes = stream("customer").select(F.concat(F.lit("c"), "c_custkey").alias("id")).unionByName(stream("nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("n"), "n_nationkey").alias("id")))
+    J.run(K.waiting_edges(edges, nodes), f"{at}/state", path=f"{at}/out")
+    out = spark.read.schema("src string, dst string, edge string").parquet(f"{at}/out")
+    return out.select(F.substring("src", 2, 20).cast("long").alias("src"), F.substring("dst", 2, 20).cast("int").alias("dst"))
+
+
+@query("stream_transitions", f"""
+WITH m AS (SELECT user_id, ts, event_id, lag(event_type) OVER w AS source, lag(ts) OVER w AS before, event_type AS target FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, event_id, source, target FROM m
+WHERE source <> target AND ts - before <= INTERVAL 5 DAY AND ts < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+AND (source || '>' || target) NOT IN ({", ".join(f"'{a}>{b}'" for a, b in ALLOWED)})""")
+def stream_transitions(spark, d):
+    at = work_dir(spark)
+    moves = K.illegal_moves(events(spark, d), "user_id", "ts", "event_id", "event_type", ALLOWED, "1 hour", 5 * 86_400_000)
+    J.run(moves.select("user_id", "event_id", "source", "target"), f"{at}/state", path=f"{at}/out")
+    return spark.read.schema("user_id long, event_id long, source string, target string").parquet(f"{at}/out")
 
 
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
@@ -145,3 +162,47 @@ def stream_sessions(spark, d):
     s = J.sessions(events(spark, d), "ts", "user_id", "6 hours", "1 hour")
     J.run(s.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "user_id", "n"), f"{at}/state", path=f"{at}/out")
     return spark.read.schema("start timestamp, end timestamp, user_id long, n long").parquet(f"{at}/out")
+
+
+def edited(spark, d, change: bool):
+    """Notes on parts: brands are classes under makers, each part's prototype is part ``k div 4``; ``change`` edits some."""
+    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_name")
+    k, hit = F.col("p_partkey"), F.lit(change) & (F.col("p_partkey") % 13 == 5)
+    node = lambda x: F.concat(F.lit("part/"), x.cast("string"))
+    row = lambda p, o: F.struct(F.lit(p).alias("p"), o.alias("o"))
+    said = F.array(
+        row("rdf:type", F.concat(F.lit("class/"), F.when(hit, "Brand#new").otherwise(F.col("p_brand")))),
+        row("prototype", F.when(k > 3, node(F.when(hit, F.expr("p_partkey div 2")).otherwise(F.expr("p_partkey div 4"))))),
+        row("name", F.when(k % 10 == 1, F.when(hit, F.lit("renamed")).otherwise(F.col("p_name")))),
+        row("tag", F.when(k % 7 == 2, F.col("p_type"))),
+    )
+    parts = p.select(node(k).alias("path"), F.when(hit, 2).otherwise(1).cast("long").alias("mtime"), F.lit(1).cast("long").alias("size"), said.alias("said"))
+    up = F.concat(F.lit("class/"), F.expr("CASE WHEN right(p_brand, 1) = '1' THEN 'root' ELSE left(p_brand, length(p_brand) - 1) || (cast(right(p_brand, 1) AS int) - 1) END"))
+    cut_off = F.lit(change) & (F.substring("p_brand", -1, 1) == "4")
+    brands = p.select("p_brand").distinct().select(F.concat(F.lit("class/"), "p_brand").alias("path"), F.when(cut_off, 2).otherwise(1).cast("long").alias("mtime"), F.lit(1).cast("long").alias("size"), F.array(row("rdfs:subClassOf", F.when(cut_off, "class/other").otherwise(up))).alias("said"))
+    return parts.unionByName(brands)
+
+
+def said_rows(files):
+    return files.select("path", F.explode("said").alias("x")).where("x.o IS NOT NULL").select("path", F.col("path").alias("s"), "x.p", "x.o")
+
+
+@query("delta_facts", """
+WITH RECURSIVE b AS (SELECT DISTINCT p_brand AS b FROM part),
+sup AS (SELECT 'class/' || b AS src, CASE WHEN right(b, 1) = '4' THEN 'class/other' WHEN right(b, 1) = '1' THEN 'class/root' ELSE 'class/' || left(b, length(b) - 1) || (CAST(right(b, 1) AS INT) - 1) END AS dst FROM b),
+up AS (SELECT src, dst FROM sup UNION SELECT up.src, sup.dst FROM up JOIN sup ON up.dst = sup.src),
+n AS (SELECT p_partkey AS k, p_partkey % 13 = 5 AS hit, * FROM part),
+l AS (SELECT k AS i, CASE WHEN hit THEN k // 2 ELSE k // 4 END AS j FROM n WHERE k > 3),
+ch AS (SELECT i, j, 1 AS depth FROM l UNION ALL SELECT ch.i, l.j, depth + 1 FROM ch JOIN l ON ch.j = l.i WHERE depth < 10),
+t AS (SELECT k, 'name' AS p, CASE WHEN hit THEN 'renamed' ELSE p_name END AS o FROM n WHERE k % 10 = 1 UNION ALL SELECT k, 'tag', p_type FROM n WHERE k % 7 = 2),
+f AS (SELECT ch.i AS k, t.p, t.o, min(depth) AS depth FROM ch JOIN t ON ch.j = t.k GROUP BY 1, 2, 3),
+near AS (SELECT * FROM f WHERE p = 'name' QUALIFY min(depth) OVER (PARTITION BY k, p) = depth)
+SELECT 'part/' || k AS s, 'rdf:type' AS p, up.dst AS o FROM n JOIN up ON up.src = CASE WHEN hit THEN 'class/Brand#new' ELSE 'class/' || p_brand END
+UNION SELECT 'part/' || k, p, o FROM near WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.k = near.k AND t.p = 'name')
+UNION SELECT 'part/' || k, p, o FROM f WHERE p = 'tag' AND NOT EXISTS (SELECT 1 FROM t WHERE t.k = f.k AND t.p = f.p AND t.o = f.o)""")
+def delta_facts(spark, d):
+    """What follows from the notes after some were edited: kept up to date from what followed before."""
+    _, _, before = R.refresh(None, edited(spark, d, False), said_rows, ["tag"])
+    verdict, _, after = R.refresh(before, edited(spark, d, True), said_rows, ["tag"])
+    assert verdict == "delta"
+    return after.types.select("s", F.lit("rdf:type").alias("p"), F.col("cls").alias("o")).unionByName(after.inherited.select("s", "p", "o"))

@@ -1,6 +1,6 @@
 """Incremental jobs on Structured Streaming.
 
-Each job takes a streaming DataFrame; state lives in Spark's state store or in versioned
+Each job takes a streaming DataFrame; state lives in Spark's state store or in bucketed
 tables of a folder, never in the driver.
 """
 
@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from graphloom.operators.closure import cut
 from graphloom.operators.domain import latest
 
 
@@ -24,37 +26,71 @@ def file_stream(spark: SparkSession, folder: str, schema, per_trigger: int = 1,
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).parquet(folder)
 
 
-class Versioned:
-    """A table as numbered versions in a folder; a batch writes the version of its own number, so a
-    repeated batch overwrites its own and reads the one before."""
-
-    def __init__(self, spark: SparkSession, folder: str, schema):
-        self.spark, self.folder, self.schema, self.last = spark, folder, schema, -1
-
-    def read(self, version: int) -> DataFrame:
-        if version < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{version}")
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/v{version}")
-        self.last = version
-
-
-def upsert(table: Versioned, key: str):
+class Bucketed:
+    """A table in a folder, partitioned by a hash of its key; a batch rewrites the buckets that its keys fall in, no others.
+
+    The rows of these buckets are first written beside the table, then put in their place by a
+    dynamic partition overwrite.  A batch that is repeated after a failure finds what it had
+    written and goes on from there; one that was done changes nothing.  Nothing of earlier
+    batches stays but their rows.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema, key: str, buckets: int = 64):
+        self.spark, self.folder, self.key, self.buckets = spark, folder, key, buckets
+        self.schema = spark.createDataFrame([], schema).schema
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        self.fs, self.path = path.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
+
+    def _there(self, name: str) -> bool:
+        return self.fs.exists(self.path(f"{self.folder}/{name}"))
+
+    def _remove(self, name: str) -> None:
+        self.fs.delete(self.path(f"{self.folder}/{name}"), True)
+
+    def bucket(self):
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def _rows(self) -> DataFrame:
+        """The table with its ``_bucket``."""
+        whole = StructType([*self.schema.fields, StructField("_bucket", IntegerType())])
+        if not self._there("table"):
+            return self.spark.createDataFrame([], whole)
+        return self.spark.read.schema(whole).parquet(f"{self.folder}/table")
+
+    def read(self) -> DataFrame:
+        return self._rows().drop("_bucket")
+
+    def replace(self, rows: DataFrame, number: int, keys: DataFrame | None = None) -> None:
+        """``rows`` in place of all rows of their keys, and of ``keys`` that have none now; ``number`` names the batch."""
+        if self._there(f"done-{number}"):
+            return
+        merged = f"{self.folder}/merged-{number}"
+        if not self._there(f"merged-{number}/_SUCCESS"):
+            gone = rows.select(self.key) if keys is None else rows.select(self.key).unionByName(keys.select(self.key))
+            gone = gone.distinct().withColumn("_bucket", self.bucket())
+            touched = [r[0] for r in gone.select("_bucket").distinct().collect()]  # as many as there are buckets, at most
+            kept = self._rows().where(F.col("_bucket").isin(touched)).join(gone.select(self.key), self.key, "left_anti")
+            new = rows.select(*self.schema.names).withColumn("_bucket", self.bucket())
+            kept.select(*new.columns).unionByName(new).withColumn("_touched", F.lit(",".join(map(str, touched)))).repartition("_bucket").write.mode("overwrite").parquet(merged)
+        out = self.spark.read.parquet(merged)
+        first = out.select("_touched").first()
+        left = {str(r[0]) for r in out.select("_bucket").distinct().collect()}
+        out.drop("_touched").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.folder}/table")
+        for bucket in set(first[0].split(",") if first else []) - left:
+            self._remove(f"table/_bucket={bucket}")
+        self.fs.mkdirs(self.path(f"{self.folder}/done-{number}"))
+        self._remove(f"merged-{number}")
+        self._remove(f"done-{number - 1}")
+
+
+def upsert(table: Bucketed):
     """``foreachBatch``: a changed file's rows replace all its rows."""
+    return table.replace
 
-    def batch(df: DataFrame, number: int) -> None:
-        kept = table.read(number - 1).join(df.select(key).distinct(), key, "left_anti")
-        table.write(kept.unionByName(df.select(*kept.columns)), number)
 
-    return batch
-
-
-def upsert_latest(table: Versioned, key: str, by: list[str]):
+def upsert_latest(table: Bucketed, by: list[str]):
     """``foreachBatch``: only the last change of each key in the batch counts."""
-    inner = upsert(table, key)
-    return lambda df, number: inner(latest(df, [key], by), number)
+    return lambda df, number: table.replace(latest(df, [table.key], by), number)
 
 
 def changed_since(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -66,21 +102,15 @@ def delta_plan(files: DataFrame, manifest: DataFrame | None, references: DataFra
     """``rebuild``, ``hit``, or ``delta`` with the paths to read again: changed files and those that refer to them."""
     if manifest is None:
         return "rebuild", None
-    gone = manifest.join(files.select("path"), "path", "left_anti")
-    if gone.take(1):
+    if not manifest.join(files.select("path"), "path", "left_anti").isEmpty():
         return "rebuild", None
-    changed = changed_since(files, manifest).select("path")
-    if not changed.take(1):
+    changed = cut(changed_since(files, manifest).select("path"))
+    if changed.isEmpty():
         return "hit", None
     referrers = references.join(changed.withColumnRenamed("path", "target"), "target", "left_semi").select("path")
     return "delta", changed.union(referrers).distinct()
 
 
-def edges_with_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Stream of edges (``src, dst``) whose ends both exist in the static ``nodes`` (``id``)."""
-    return edges.join(nodes.select(F.col("id").alias("src")), "src").join(nodes.select(F.col("id").alias("dst")), "dst")
-
-
 def dedup(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
     """Each key once within the watermark."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
