@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.closure import cut
+
 
 def min_max(num: Column, text: Column, largest: bool) -> Column:
     """Numeric if every value of the group is a number, else by text."""
@@ -24,9 +26,50 @@ def group_concat(x: str, separator: str = " ", distinct: bool = False) -> Column
 
 
 def median(x: str) -> Column:
+    """For groups whose distinct values one task can hold; ``percentiles`` has no such bound."""
     return F.coalesce(F.expr(f"percentile({x}, 0.5)"), F.lit(0.0))
 
 
+def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``by`` and a column for each name of ``shares``: the exact percentile of ``value`` in each group, interpolated
+    between the two nearest places; zero for a group without values (nulls don't count).
+
+    Equal values are counted first; the counts are dealt out by ranges of (group, value), and
+    each range learns how many rows of a group lie before it (one small row a range and
+    group).  So no task holds a group, only a range of its distinct values.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = F.col(value).cast("double")
+    counts = rows.select(*by, x.alias("_x")).where("_x IS NOT NULL").groupBy(*by, "_x").agg(F.count("*").alias("_n"))
+    dealt = cut(counts.repartitionByRange(parts, *by, "_x").withColumn("_range", F.spark_partition_id()))
+    keys = F.struct(*by).alias("_g") if by else F.struct(F.lit(0).alias("all")).alias("_g")
+    dealt = dealt.select("_range", keys, "_x", "_n")
+    ranges = dealt.groupBy("_g", "_range").agg(F.sum("_n").alias("_all"))
+    before = Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("_g", "_range", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_past"), F.sum("_all").over(Window.partitionBy("_g")).alias("_total"))
+    here = Window.partitionBy("_range", "_g").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = dealt.withColumn("_to", F.sum("_n").over(here)).join(F.broadcast(ranges) if not by else ranges, ["_g", "_range"])
+    last = F.col("_past") + F.col("_to") - 1
+    first = last - F.col("_n") + 1
+    found = []
+    for name, share in shares.items():
+        at = F.lit(float(share)) * (F.col("_total") - 1)
+        for k, place in enumerate((F.floor(at), F.ceil(at))):
+            found.append(F.max(F.when((first <= place) & (place <= last), F.col("_x"))).alias(f"{name}_{k}"))
+    both = placed.groupBy("_g").agg(F.first("_total").alias("_total"), *found)
+    values = []
+    for name, share in shares.items():
+        at = F.lit(float(share)) * (F.col("_total") - 1)
+        low, high = F.col(f"{name}_0"), F.col(f"{name}_1")
+        values.append((low + (high - low) * (at - F.floor(at))).alias(name))
+    out = both.select("_g", *values)
+    if not by:
+        return rows.sparkSession.range(1).join(out, how="left").select(*[F.coalesce(n, F.lit(0.0)).alias(n) for n in shares])
+    groups = rows.select(F.struct(*by).alias("_g")).distinct()
+    full = groups.join(out.withColumnRenamed("_g", "_h"), F.col("_g").eqNullSafe(F.col("_h")), "left")
+    return full.select("_g.*", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in shares])
+
+
 def corr(x: str, y: str) -> Column:
     """Pearson over pairs with both; NaN where it is undefined."""
     a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,24 +134,58 @@ def star(edges: DataFrame) -> DataFrame:
 # --- analytics -----------------------------------------------------------------------------------
 
 
+def least_source(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``node, label``: the least label of all nodes from which a node is reached, its own among them.
+
+    ``labels`` has ``node, label``, a label being a struct whose field ``node`` names whose it
+    is.  Each round takes the labels of direct predecessors, then jumps: what reaches the node
+    that a label names reaches its bearers as well.  So labels cross chains and rings in a
+    logarithmic number of rounds, and a round handles a row for each node and edge.
+    """
+    now = cut(labels.withColumn("moved", F.lit(True)))
+    while True:
+        sent = edges.join(now.where("moved").select(F.col("node").alias("src"), "label"), "src").select(F.col("dst").alias("node"), "label")
+        offers = sent.groupBy("node").agg(F.min("label").alias("offer"))
+        near = now.join(offers, "node", "left").select("node", "label", F.least("label", F.coalesce("offer", "label")).alias("near"))
+        far = near.select(F.col("node").alias("_of"), F.col("near").alias("_far"))
+        jumped = near.join(far, F.col("near.node") == F.col("_of"), "left").withColumn("far", F.least("near", F.coalesce("_far", "near")))
+        now = cut(jumped.select("node", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("moved")))
+        if now.where("moved").isEmpty():
+            return now.select("node", "label")
+
+
 def scc(edges: DataFrame) -> DataFrame:
-    """``(node, component)``: strongly connected components by mutual reach; the least member names one.
+    """``(node, component)``: strongly connected components; the least member names one.
 
-    Nodes without an edge in or out are trimmed first, round by round, as they are alone.
+    Rounds of trimming and colouring: nodes without an edge in or out are alone; every other node
+    gets the least of random labels that reaches it and, among the nodes of that colour, the
+    least that it reaches.  Where both are one node's, that node's component is found; edges
+    between nodes whose labels differ are on no cycle and go.  With new labels each round the
+    classes shrink as in quicksort, so the rounds are few, and none makes more rows than edges.
     """
-    live = cut(pairs(edges).where("src <> dst"))
-    n = live.count()
-    while n:
-        kept = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        live = cut(kept.join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        n, before = live.count(), n
-        if n == before:
-            break
-    there = reach(live)
-    mutual = there.join(inverse(there), ["src", "dst"])
-    low = mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low"))
-    nodes = identity(edges).select(F.col("src").alias("node"))
-    return nodes.join(low, "node", "left").select("node", F.least("node", F.coalesce("low", "node")).alias("component"))
+    live, found, k = cut(pairs(edges).where("src <> dst")), [], 0
+    while not live.isEmpty():
+        k += 1
+        for _ in range(2):
+            kept = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+            live = cut(kept.join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        nodes = live.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        labels = cut(nodes.select("node", F.struct(F.xxhash64(F.lit(k), "node").alias("rank"), "node").alias("label")))
+        coloured = cut(least_source(live, labels))
+        src, dst = (coloured.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")) for c in ("src", "dst"))
+        within = cut(live.join(src, "src").join(dst, "dst").where("_src = _dst").select("src", "dst"))
+        back = least_source(inverse(within), labels)
+        both = cut(coloured.join(back.withColumnRenamed("label", "out"), "node"))
+        found.append(cut(both.where("label = out").select("node", F.col("label.node").alias("root"))))
+        rest = both.where("label <> out").select("node", F.struct("label", "out").alias("c"))
+        src, dst = (rest.select(F.col("node").alias(c), F.col("c").alias(f"_{c}")) for c in ("src", "dst"))
+        live = cut(within.join(src, "src").join(dst, "dst").where("_src = _dst").select("src", "dst"))
+    every = identity(edges).select(F.col("src").alias("node"))
+    if not found:
+        return every.select("node", F.col("node").alias("component"))
+    roots = cut(reduce(DataFrame.unionByName, found))
+    least = roots.groupBy("root").agg(F.min("node").alias("component"))
+    return every.join(roots.join(least, "root").select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def condense(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -159,11 +194,63 @@ def condense(edges: DataFrame, members: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
-def reduction(edges: DataFrame) -> DataFrame:
-    """Transitive reduction of an acyclic graph: an edge goes if another successor of its source reaches its end."""
-    e = pairs(edges).where("src <> dst")
-    longer = seq(e, reach(e))
-    return e.join(longer, ["src", "dst"], "left_anti")
+def levels(edges: DataFrame, rounds: int) -> DataFrame:
+    """``node, level``: the longest path that ends in a node of an acyclic graph, for nodes with one shorter than ``rounds``.
+
+    Nodes without an edge in are taken away, round by round; what is left has no row.
+    """
+    live = cut(edges.select("src", "dst"))
+    out, k = [], 0
+    while k < rounds and not live.isEmpty():
+        first = cut(live.select(F.col("src").alias("node")).distinct().join(live.select(F.col("dst").alias("node")), "node", "left_anti"))
+        if first.isEmpty():
+            break
+        out.append(first.withColumn("level", F.lit(k)))
+        ends = live.join(first.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node"))
+        live = cut(live.join(first.withColumnRenamed("node", "src"), "src", "left_anti"))
+        last = ends.join(live.select(F.explode(F.array("src", "dst")).alias("node")), "node", "left_anti").distinct()
+        out.append(last.withColumn("level", F.lit(k + 1)))
+        k += 1
+    none = edges.select(F.col("src").alias("node")).limit(0).withColumn("level", F.lit(0))
+    found = cut(reduce(DataFrame.unionByName, out, none))
+    return found.groupBy("node").agg(F.max("level").alias("level"))
+
+
+#: Rounds of ``levels`` in a reduction; nodes beyond have no level, and the search is not pruned there.
+LEVEL_ROUNDS = 40
+
+
+def reduction(edges: DataFrame, level_rounds: int = LEVEL_ROUNDS) -> DataFrame:
+    """Transitive reduction of an acyclic graph: an edge goes if another successor of its source reaches its end.
+
+    Only an edge whose source has another successor, whose end has another predecessor, and
+    which skips a level (longest paths) can go.  From the sources of such edges the graph is
+    walked forward, not beyond the level of the farthest end in question; a source whose edges
+    are all decided walks on no more.  The closure is never built.
+    """
+    e = cut(pairs(edges).where("src <> dst"))
+    fork = e.groupBy("src").agg(F.count("*").alias("n")).where("n > 1").select("src")
+    meet = e.groupBy("dst").agg(F.count("*").alias("n")).where("n > 1").select("dst")
+    open_edges = cut(e.join(fork, "src", "left_semi").join(meet, "dst", "left_semi").select("src", "dst"))
+    if open_edges.isEmpty():
+        return e
+    level = levels(e, level_rounds)
+    below = lambda c: level.select(F.col("node").alias(c), F.col("level").alias(f"_{c}"))
+    step = cut(e.join(below("dst"), "dst", "left").select(F.col("src").alias("_m"), "dst", "_dst"))
+    spans = open_edges.join(below("src"), "src", "left").join(below("dst"), "dst", "left")
+    open_edges = cut(spans.where("_src IS NULL OR _dst IS NULL OR _dst > _src + 1").select("src", "dst", "_dst"))
+    gone = []
+    seen = front = cut(e.join(open_edges.select("src"), "src", "left_semi"))
+    while not open_edges.isEmpty() and not front.isEmpty():
+        far = open_edges.groupBy("src").agg(F.max(F.coalesce("_dst", F.lit(1 << 30))).alias("_far"))
+        on = front.join(far, "src").withColumnRenamed("dst", "_m").join(step, "_m").where("_dst IS NULL OR _dst <= _far").select("src", "dst").distinct()
+        reached = cut(on)
+        hit = cut(reached.join(open_edges, ["src", "dst"], "left_semi"))
+        gone.append(hit)
+        open_edges = cut(open_edges.join(hit, ["src", "dst"], "left_anti"))
+        front = cut(reached.join(seen, ["src", "dst"], "left_anti"))
+        seen = cut(seen.unionByName(front).join(open_edges.select("src"), "src", "left_semi"))
+    return e.join(reduce(DataFrame.unionByName, gone), ["src", "dst"], "left_anti") if gone else e
 
 
 def typed_edges(triples: DataFrame, nodes: DataFrame, kinds: dict[str, str]) -> DataFrame:

@@ -53,7 +53,7 @@ def sample(spark, d):
 
 @query("median", "SELECT l_returnflag, round(median(l_extendedprice), 4) AS m FROM lineitem GROUP BY 1")
 def median(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(A.median("l_extendedprice"), 4).alias("m"))
+    return A.percentiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"m": 0.5}).withColumn("m", F.round("m", 4))
 
 
 @query("variance_pop", "SELECT l_returnflag, round(var_pop(l_quantity), 4) AS v FROM lineitem GROUP BY 1")
@@ -73,9 +73,17 @@ def mode(spark, d):
 
 @query("percentile", "SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p / 100}), 3) AS p{p}" for p in (25, 50, 75, 90, 95, 99)) + " FROM lineitem GROUP BY 1")
 def percentile(spark, d):
-    ps = (25, 50, 75, 90, 95, 99)
-    g = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.expr(f"percentile(l_extendedprice, array({', '.join(str(p / 100) for p in ps)}))").alias("q"))
-    return g.select("l_returnflag", *[F.round(F.col("q")[i], 3).alias(f"p{p}") for i, p in enumerate(ps)])
+    shares = {f"p{p}": p / 100 for p in (25, 50, 75, 90, 95, 99)}
+    found = A.percentiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", shares)
+    return found.select("l_returnflag", *[F.round(p, 3).alias(p) for p in shares])
+
+
+@query("median_of_all", "SELECT round(median(l_extendedprice), 4) AS m, round(quantile_cont(l_quantity, 0.5), 4) AS q FROM lineitem")
+def median_of_all(spark, d):
+    """One group that holds the whole table."""
+    li = table(spark, d, "lineitem")
+    price, quantity = (A.percentiles(li, [], c, {n: 0.5}) for c, n in (("l_extendedprice", "m"), ("l_quantity", "q")))
+    return price.join(quantity).select(F.round("m", 4).alias("m"), F.round("q", 4).alias("q"))  # a row each
 
 
 @query("corr", "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r, CAST('NaN' AS DOUBLE) AS none FROM lineitem GROUP BY 1")
