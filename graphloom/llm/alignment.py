@@ -298,6 +298,8 @@ def _blocks(a_path: str, b_path: str, size: int):
             got = own.block(part["text"].combine_chunks())
             row = {"block": [f"{task}-{k}"], "doc_id": [part["doc_id"].to_pylist()]} | {c: [v] for c, v in got.items()}
             yield pa.RecordBatch.from_arrays([pa.array(row[f.name], f.type) for f in BLOCK], schema=BLOCK)
+        del own
+        release()  # the next stage's shuffle needs the room more than the next task needs these units
 
     return run
 

@@ -6,14 +6,15 @@ tag scores negative, by how often its kind lies outside it.  One linear scan fin
 run with the largest sum; the blocks that it touches are the text.
 
 Elements that are beside the text wherever they stand (menus, footers, asides, notices,
-adverts, forms, reader comments and the like) score nothing and are left out of the run.
-They are told by their name or by a word of their class, id or role, whose weight is
-learnt: the share of the words under it that are main text on the labelled pages, from a
-starting count that leans against the words of ``SIDE_WORDS`` and towards all others.  No
-mark hides the text itself: an element that holds an article, a main part or a headline is
-no such element, and where marks hide nearly all of the score (``HIDDEN``) of the page, or of
-its article where it marks one, the one that
-hides the most is set aside, of those by class words first, until they do so no more.
+adverts, forms, reader comments and the like) score nothing and are left out of the run, with
+all that they hold: an article in an aside is a teaser, one among comments is a comment, a
+headline in the page's header is the site's name.  They are told by their name or by a word of
+their class, id or role, whose weight is learnt: the share of the words under it that are main
+text on the labelled pages, from a starting count that leans against the words of
+``SIDE_WORDS`` and towards all others.  No mark hides the text itself: where marks hide nearly
+all of the score (``HIDDEN``) of the articles that stand under none, or of the page where there
+is no such article, the one that hides the most is set aside, of those by class words first,
+until they do so no more; marks of reader comments only where nothing else is left.
 
 Labelled pages: those that mark one ``article`` or ``main`` element; the weights are fitted
 on a bounded sample of them (``TRAIN_PAGES``), added up by Spark.  Pages without such an
@@ -66,20 +67,29 @@ SIDE_WORDS = frozenset(
 #: Starting counts (inside, outside) of a class word that leans against the text, and of any other; and the
 #: share of the score that marks may hide before they count as wrong.
 PRIOR_SIDE, PRIOR_OTHER, HIDDEN = (2.0, 18.0), (18.0, 2.0), 0.8
+#: Those of them that mark what readers say.
+COMMENT_WORDS = frozenset("comment comments reply replies disqus".split())
 
 
 def class_words(attributes: str) -> list[str]:
     return [w for _, *v in ATTRIBUTE.findall(attributes) for w in re.split(r"[^a-z0-9]+", "".join(v).lower()) if w]
 
 
+def for_comments(attributes: str) -> bool:
+    """Whether a class, an id or a role begins with a word for what readers say (``comments-list``, not ``no-comments``)."""
+    return any(re.match(r"[^a-z0-9]*([a-z0-9]*)", name)[1] in COMMENT_WORDS for _, *v in ATTRIBUTE.findall(attributes) for name in "".join(v).lower().split())
+
+
 class Element:
-    """An open element: ``side`` says whether its name (2) or a class word (1) sets it beside the text."""
+    """An open element: ``side`` says whether its name (2), a class word (1) or one for comments (3) sets it beside the
+    text; ``main`` whether it is in an article that stands under no such element."""
 
-    __slots__ = ("name", "words", "side", "article", "link", "holder", "paragraph")
+    __slots__ = ("name", "words", "side", "article", "main", "link", "holder", "paragraph")
 
-    def __init__(self, name: str, words: list[str], side: int, above: Element | None):
+    def __init__(self, name: str, words: list[str], side: int, above: Element | None, free: bool):
         self.name, self.words, self.side = name, words, side
         self.article = name in ("article", "main") or bool(above and above.article)
+        self.main = name in ("article", "main") and free or bool(above and above.main)
         self.paragraph = name == "p" or bool(above and above.paragraph)
         self.link = name == "a" or bool(above and above.link and name not in BLOCKS)
         self.holder = name if name in BLOCKS else above.holder if above else "body"
@@ -92,15 +102,17 @@ class Token:
     block: int
     within: tuple[Element, ...]  # elements beside the text that hold it
     article: bool
+    main: bool = False
     words: tuple[str, ...] = ()  # class words of the elements that hold it, for fitting
 
 
-def side_of(name: str, words: list[str], above: Element | None, weights: dict[str, float]) -> int:
+def side_of(name: str, words: list[str], comments: bool, above: Element | None, weights: dict[str, float]) -> int:
     if name in ("html", "body", "article", "main"):
         return 0
     if name in SIDE_NAMES or name == "header" and not (above and above.article) or name in ("button", "label") and not (above and above.paragraph):
         return 2
-    return int(any(class_share(w, weights) < 0.5 for w in words))
+    marks = [w for w in words if class_share(w, weights) < 0.5]
+    return 3 if comments and not COMMENT_WORDS.isdisjoint(marks) else int(bool(marks))
 
 
 def class_share(word: str, weights: dict[str, float]) -> float:
@@ -111,8 +123,8 @@ def class_share(word: str, weights: dict[str, float]) -> float:
     return a / (a + b)
 
 
-def tokens(page: str, weights: dict[str, float] | None = None) -> list[Token]:
-    """The words and tags of a page, with what holds them."""
+def tokens(page: str, weights: dict[str, float] | None = None, one_article: bool = False) -> list[Token]:
+    """The words and tags of a page, with what holds them; ``one_article``: what holds an article is not beside the text."""
     weights = weights or {}
     stack: list[Element] = []
     out: list[Token] = []
@@ -123,7 +135,7 @@ def tokens(page: str, weights: dict[str, float] | None = None) -> list[Token]:
         top = stack[-1] if stack else None
         if piece.strip():
             kind = f"w {top.holder if top else 'body'}{' a' if top and top.link else ''}"
-            out.append(Token(kind, piece, block, within, bool(top and top.article), words))
+            out.append(Token(kind, piece, block, within, bool(top and top.article), bool(top and top.main), words))
         elif piece:
             out.append(Token(" ", piece, block, within, False))
 
@@ -165,9 +177,9 @@ def tokens(page: str, weights: dict[str, float] | None = None) -> list[Token]:
             if name not in VOID and not m[4].endswith("/"):
                 own = class_words(m[4]) if m[4] else []
                 above = stack[-1] if stack else None
-                e = Element(name, own, side_of(name, own, above, weights), above)
-                if name in ("article", "main", "h1") and not any(class_share(w, weights) < 0.5 for w in own):
-                    for x in stack:  # what holds the text is not beside it
+                e = Element(name, own, side_of(name, own, bool(own) and for_comments(m[4]), above, weights), above, not within)
+                if one_article and name in ("article", "main"):
+                    for x in stack:
                         x.side = 0
                     within = ()
                 stack.append(e)
@@ -183,7 +195,7 @@ def tokens(page: str, weights: dict[str, float] | None = None) -> list[Token]:
 
 def tally(page: str | None) -> Counter:
     """Of a labelled page: ``(kind, inside)`` counts; nothing where no single element is marked."""
-    found = tokens(page or "")
+    found = tokens(page or "", one_article=True)
     if sum(t.kind in ("t article", "t main") for t in found) not in (1, 2):
         return Counter()
     out: Counter = Counter()
@@ -246,19 +258,21 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
             w = weights[t.kind] if t.kind in weights else weight(t.kind)
             plain[i] = w * len(t.text.split()) if t.kind[0] == "w" else w
     # where the page marks its article, what stands outside it hides nothing of it
-    scope = np.array([t.article for t in found], bool)
-    if not any(t.article and t.kind[0] == "w" for t in found):
+    scope = np.array([t.main for t in found], bool)
+    if not any(t.main and t.kind[0] == "w" for t in found):
         scope[:] = True
     while True:
         side = np.array([max((e.side for e in t.within), default=0) for t in found], np.int64)
         shown = side == 0
         score = lambda seen: best_run(np.where(seen & scope, plain, 0.0))[2]  # noqa: E731,B023
         kind = next((k for k in (1, 2) if score(shown) < (1 - HIDDEN) * score(side <= k)), 0)
+        if not kind and not score(shown) and score(side <= 3):
+            kind = 3
         if not kind:
             break
         held: dict[Element, float] = {}  # score under each element whose mark may be wrong
         for t, g in zip(found, np.where(scope, plain, 0.0), strict=True):
-            if g > 0 and max((e.side for e in t.within), default=3) <= kind:
+            if g > 0 and 0 < max((e.side for e in t.within), default=0) <= kind:
                 for e in t.within:
                     held[e] = held.get(e, 0.0) + g
         largest = max(held.values())

@@ -373,3 +373,40 @@ def test_extraction_weights_and_table(spark, sf):
     odd = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<article><p>hi there</article>", "y"), (1, None, None, "x")], "page_id long, url string, html string, text string")
     assert sorted(r["text"] for r in htmltext.extracted(odd).collect()) == ["", "", "hi there"]
     assert htmltext.extracted(odd.limit(0)).count() == 0
+
+
+REAL = "Words of the real text go on and on here, a sentence of the article itself. " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<aside class="sidebar"><article>Teaser words of another page.</article></aside><article><p>{}</p></article>', "{}"),
+        ('<article><p>{}</p></article><div class="related"><article><h1>Another page</h1>Teaser.</article></div>', "{}"),
+        ("<header><h1>Site Name</h1><p>The slogan of the site.</p></header><div><p>{}</p></div>", "{}"),
+        ('<div><p>{}</p></div><section id="comments"><article><p>' + "I liked it. " * 200 + "</p></article></section>", "{}"),
+        ('<main><h1>Head</h1><p>{}</p><section class="comment-list"><article>Me too, said a reader.</article></section></main>', "Head\n{}"),
+        ('<nav>Menu</nav><div class="widget"><article><p>{}</p></article></div>', "{}"),
+        ('<div class="page sidebar-left"><div class="menu">One Two</div><p>{}</p></div>', "{}"),
+        ('<div class="no-comments"><p>{}</p></div><div class="share">Tell a friend</div>', "{}"),
+        ("<div><p>{}</p><p>And more.</p></div><footer><article>About us.</article></footer>", "{}\nAnd more."),
+    ],
+)
+def test_articles_beside_the_text_stay_out(page, want):
+    text = REAL.strip()
+    assert htmltext.extract(f"<body>{page.replace('{}', text)}</body>", {}) == want.replace("{}", text)
+
+
+def test_pages_held_back_without_their_article_mark(spark, sf):
+    """The text of labelled pages is found where the mark is taken away, from weights of the other pages."""
+    rows = spark.read.parquet(f"{sf}/pages.parquet").where("html IS NOT NULL").select("page_id", "html").toPandas()
+    held = rows["page_id"] % 3 == 0
+    weights = htmltext.fit(spark.createDataFrame(rows[~held]))
+    same, n = 0, 0
+    for page in rows[held]["html"]:
+        plain = re.sub(r"(?i)<(/?)(article|main)\b", r"<\1div", page)
+        if plain != page:
+            n += 1
+            got, want = (set(htmltext.extract(p, weights).split()) for p in (plain, page))
+            same += len(got & want) >= 0.9 * len(got | want)
+    assert n >= 10 and same >= 0.9 * n, (same, n)
