@@ -62,11 +62,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as its fitted rate gives.
 
-    Every row has a rate of its own, rows that share an id and rows with a null id too; without
+    Memberships are learnt from the labels that the corpus came with, never from those that
+    ``language_id`` filled in.  Every row has a rate of its own, rows that share an id and rows with a null id too; without
     labelled rows every document stays once; long texts, ties and empty tables as in ``mixing``.
     """
     rows, at = renamed(docs)
-    out = mixing.rated(rows, docs.where("lang IS NOT NULL"), mixing.TARGETS, *rows.columns, key=at["doc_id"], text=at["text"]).where("copies > 0")
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang IS NOT NULL")
+    out = mixing.rated(rows, given, mixing.TARGETS, *rows.columns, key=at["doc_id"], text=at["text"]).where("copies > 0")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*[F.col(n).alias(c) for c, n in at.items()])
 
 

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from graphloom.llm.common import staged
 from graphloom.llm.encode import blocks, release, worker_cache
+from graphloom.llm.shingles import mix
 
 #: Bound of the sample; counts from which a word or n-gram is known.
 TRAIN_DOCS, LEAST = 4_000, 2
@@ -47,32 +48,51 @@ def sample_by_hash(rows: DataFrame, most: int, *keys: str) -> DataFrame:
     return (marked.where(F.col("_mark") <= F.lit(cut)) if cut is not None else marked.limit(0)).dropDuplicates(["_mark"]).drop("_mark")
 
 
+#: Letters whose lower case depends on the library or on what stands beside them, and what they count as.
+FOLDED = {"İ": "i", "Σ": "σ", "ς": "σ"}
+
+
 def word_column(text):
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.translate(text, "".join(FOLDED), "".join(FOLDED.values()))), F.lit(r"\p{L}+"), F.lit(0))
+
+
+def lowered(texts: pa.Array) -> pa.Array:
+    """Lower case as in ``word_column``."""
+    for a, b in FOLDED.items():
+        texts = pc.replace_substring(texts, a, b)
+    return pc.utf8_lower(texts)
 
 
 class Model:
     """Languages, and a row of log frequencies by language for each known word and n-gram.
 
-    N-grams are numbers: ``bits`` bits a character, by its place in the model's alphabet.
+    N-grams are found by 64-bit hashes of their characters, whatever the alphabet, and then
+    compared with the known one, so that equal hashes are never taken for equal n-grams.
     """
 
     def __init__(self, langs: list[str], prior, words: list[str], word_rows, grams: list[str], gram_rows, max_gram: int):
         self.key, self.langs, self.prior, self.max_gram = uuid.uuid4().hex, langs, prior, max_gram
         self.words, self.word_rows = pa.array(words, pa.string()), np.asarray(word_rows, float)
-        self.alphabet = np.unique(np.frombuffer("".join(grams).encode("utf-32-le"), "<u4"))
-        self.bits = max(int(len(self.alphabet)).bit_length(), 1)
-        if self.bits * max_gram > 63:
-            raise ValueError(f"{len(self.alphabet)} characters are too many for n-grams of {max_gram}")
-        keys = np.array([self._key(g) for g in grams], np.int64)
+        size = np.array([len(g) for g in grams], np.int64)
+        spelt = np.zeros((len(grams), max_gram), np.uint32)
+        spelt[np.arange(max_gram) < size[:, None]] = np.frombuffer("".join(grams).encode("utf-32-le"), "<u4")
+        self.seed = 0
+        while True:  # until no two known ones share a hash: the first seed, as a rule
+            keys = self._start(size)
+            for k in range(max_gram):
+                keys = np.where(k < size, self._on(keys, spelt[:, k]), keys)
+            if len(np.unique(keys)) == len(keys):
+                break
+            self.seed += 1
         order = np.argsort(keys, kind="stable")
-        self.gram_keys, self.gram_rows = keys[order], np.asarray(gram_rows, float).reshape(len(grams), len(langs))[order]
+        self.gram_keys, self.spelt, self.gram_rows = keys[order], spelt[order], np.asarray(gram_rows, float).reshape(len(grams), len(langs))[order]
+
+    def _start(self, size: np.ndarray) -> np.ndarray:
+        return mix(size.astype(np.uint64) + np.uint64(self.seed << 8))
 
-    def _key(self, gram: str) -> int:
-        key = 0
-        for c in np.searchsorted(self.alphabet, np.frombuffer(gram.encode("utf-32-le"), "<u4")).tolist():
-            key = key << self.bits | (c + 1)
-        return key
+    @staticmethod
+    def _on(keys: np.ndarray, characters: np.ndarray) -> np.ndarray:
+        return keys * np.uint64(0x9E3779B97F4A7C15) + mix(characters.astype(np.uint64) + np.uint64(1))
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Log frequencies by language of each word: its own, or the mean of its longest known n-grams."""
@@ -85,20 +105,19 @@ class Model:
         if not len(left) or not len(self.gram_keys):
             return out
         text = np.frombuffer("".join([f"<{words[i]}>" for i in left]).encode("utf-32-le"), "<u4")
-        place = np.minimum(np.searchsorted(self.alphabet, text), len(self.alphabet) - 1)
-        letter = np.where(self.alphabet[place] == text, place + 1, 0).astype(np.int64)
         size = size[left] + 2
         word_of, ends = np.repeat(np.arange(len(left)), size), np.cumsum(size)
         room = ends[word_of] - np.arange(len(text))  # characters from here to the word's end
         open_ = np.ones(len(left), bool)
         for n in range(self.max_gram, 0, -1):
             at = np.flatnonzero((room >= n) & open_[word_of])
-            key, sound = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+            key = self._start(np.full(len(at), n))
             for k in range(n):
-                c = letter[at + k]
-                key, sound = key << self.bits | c, sound & (c > 0)
+                key = self._on(key, text[at + k])
             i = np.minimum(np.searchsorted(self.gram_keys, key), len(self.gram_keys) - 1)
-            hit = sound & (self.gram_keys[i] == key)
+            hit = self.gram_keys[i] == key
+            for k in range(n):
+                hit &= self.spelt[i, k] == text[at + k]
             w, i = word_of[at[hit]], i[hit]
             if len(w):
                 first = np.flatnonzero(np.diff(w, prepend=-1))
@@ -161,7 +180,7 @@ def predict(docs: DataFrame, model: Model, *keep: str, text: str = "text", poste
         seen = worker_cache(("language", m.key), lambda: {"words": pa.array([], pa.string()), "rows": np.zeros((0, k))})
         for part in blocks(batches, held, BLOCK_BYTES):
             whole = pc.fill_null(part[held].combine_chunks(), "")
-            split = pc.split_pattern_regex(pc.utf8_lower(whole), r"[^\p{L}]+")
+            split = pc.split_pattern_regex(lowered(whole), r"[^\p{L}]+")
             n = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
             coded = pc.list_flatten(split).dictionary_encode()
             uniq, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)

@@ -410,3 +410,16 @@ def test_pages_held_back_without_their_article_mark(spark, sf):
             got, want = (set(htmltext.extract(p, weights).split()) for p in (plain, page))
             same += len(got & want) >= 0.9 * len(got | want)
     assert n >= 10 and same >= 0.9 * n, (same, n)
+
+
+def test_any_alphabet_can_be_learnt(spark):
+    """20,000 distinct characters in the sample, and words that the two libraries lower in different ways."""
+    wide = [chr(0x4E00 + k) for k in range(20_000)]
+    rows = [(k, " ".join("".join(wide[(k * 50 + j * 5 + i) % 20_000] for i in range(5)) for j in range(40)), "zh") for k in range(400)]
+    rows += [(1000 + k, "ΟΔΟΣ ΛΟΓΟΣ και λόγος ένας İstanbul", "el") for k in range(100)] + [(2000 + k, "and the words of a text here", "en") for k in range(100)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(np.unique(model.spelt)) > 20_000
+    probes = [(1, "".join(wide[100:103])), (2, "οδος λογοσ"), (3, "İSTANBUL"), (4, "the text"), (5, "1 2 3"), (6, None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(spark.createDataFrame(probes, "doc_id long, text string"), model, "doc_id").collect()}
+    assert got == {1: "zh", 2: "el", 3: "el", 4: "en", 5: "und", 6: "und"}
+    assert {"οδοσ", "λογοσ", "istanbul"} <= set(model.words.to_pylist())
