@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.closure import alt, condense, cut, identity, inverse, reach, reduction, scc, small
+from graphloom.operators.domain import places
 
 INTEGER, DECIMAL = r"^[+-]?\d+$", r"^[+-]?(\d+(\.\d*)?|\.\d+)$"
 NON_NEGATIVE, FLOAT = r"^\+?\d+$", r"^([+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[+-]?INF|NaN)$"
-#: The lexical forms with which a number's literal may stand for another numeric datatype.
+#: The lexical forms with which a number's literal may stand for another numeric datatype.  They are those
+#: that right answers need, which is not all of XSD (``-0`` is no nonNegativeInteger here).
 LEXICAL = {
     "xsd:integer": INTEGER, "xsd:long": INTEGER, "xsd:int": INTEGER, "xsd:short": INTEGER, "xsd:byte": INTEGER,
     "xsd:nonNegativeInteger": NON_NEGATIVE, "xsd:unsignedLong": NON_NEGATIVE, "xsd:unsignedInt": NON_NEGATIVE,
@@ -17,8 +21,11 @@ LEXICAL = {
     "xsd:nonPositiveInteger": r"^(-\d+|\+?0+)$", "xsd:negativeInteger": r"^-0*[1-9]\d*$", "xsd:decimal": DECIMAL,
     "xsd:float": FLOAT, "xsd:double": FLOAT, "xsd:gYear": r"^-?\d{4,}(Z|[+-]\d{2}:\d{2})?$",
 }
-#: An absolute IRI: a scheme, and no white space.
-ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.-]*:[^\s<>\"]+$"
+#: The schemes that an absolute IRI may have; those of the first line need a host.
+HOSTED = ("http", "https", "ftp", "ws", "wss")
+UNHOSTED = ("ftps", "file", "mailto", "tel", "data", "urn", "obsidian")
+#: An absolute IRI: one of these schemes, no white space.
+ABSOLUTE = rf"^(?i:(?:{'|'.join(HOSTED)}):[/\\]*[^\s/\\?#]\S*|(?:{'|'.join(UNHOSTED)}):\S*)$"
 
 
 def load_shapes(definitions: DataFrame) -> DataFrame:
@@ -166,6 +173,74 @@ def imports_audit(links: DataFrame, files: DataFrame, imports: DataFrame) -> Dat
     return j.select("src", "name", "grp", "target_grp", bucket.alias("bucket"))
 
 
+def import_pairs(audited: DataFrame, examples: int = 3) -> DataFrame:
+    """``grp, target_grp, occurrences, valid, examples`` of links between two groups, from rows of ``imports_audit``.
+
+    ``examples``: the first sources, by name, of a pair that violates; none of one that does not.
+    """
+    between = audited.where(F.col("bucket").isin("valid", "violation"))
+    counted = between.groupBy("grp", "target_grp").agg(F.count("*").alias("occurrences"), (F.min("bucket") == "valid").alias("valid"))
+    sources = between.where("bucket = 'violation'").select("grp", "target_grp", "src").distinct()
+    near = sources.groupBy("grp", "target_grp").agg(F.min("src").alias("_s0"))
+    told = [F.col("_s0")]
+    for k in range(1, examples):  # the next least, aggregated before the shuffle: a pair's sources are never gathered
+        rest = sources.join(near, ["grp", "target_grp"]).where(F.col("src") > F.col(f"_s{k - 1}"))
+        near = near.join(rest.groupBy("grp", "target_grp").agg(F.min("src").alias(f"_s{k}")), ["grp", "target_grp"], "left")
+        told.append(F.col(f"_s{k}"))
+    out = counted.join(near, ["grp", "target_grp"], "left")
+    return out.select("grp", "target_grp", "occurrences", "valid", F.array_compact(F.array(*told)).alias("examples"))
+
+
+def import_groups(audited: DataFrame) -> DataFrame:
+    """``grp, internal, links_out, links_in, violating, out_degree, in_degree`` of every group that a link starts or ends in."""
+    one = lambda *of: F.sum(F.when(F.col("bucket").isin(*of), 1).otherwise(0))
+    linked = audited.where(F.col("bucket").isin("internal", "valid", "violation"))
+    pairs = linked.groupBy("grp", "target_grp").agg(one("internal").alias("i"), one("valid", "violation").alias("x"), one("violation").alias("v"))
+    pairs = pairs.withColumn("d", (F.col("x") > 0).cast("long"))
+    zero = F.lit(0).cast("long")
+    out = pairs.select("grp", F.col("i").alias("internal"), F.col("x").alias("links_out"), zero.alias("links_in"), F.col("v").alias("violating"), F.col("d").alias("out_degree"), zero.alias("in_degree"))
+    into = pairs.select(F.col("target_grp").alias("grp"), zero.alias("internal"), zero.alias("links_out"), F.col("x").alias("links_in"), zero.alias("violating"), zero.alias("out_degree"), F.col("d").alias("in_degree"))
+    return out.unionByName(into).groupBy("grp").agg(*[F.sum(c).alias(c) for c in ("internal", "links_out", "links_in", "violating", "out_degree", "in_degree")])
+
+
+def url_form(rows: DataFrame, url: str, own_host: str) -> DataFrame:
+    """``rows`` with ``verdict`` and ``expected`` of a namespace's ``url``: one on an own host (a pattern) must end in ``#``.
+
+    ``foreign`` hosts and what is no URL (``unparsable``) are told, never judged; ``no-hash`` ones have the form expected.
+    """
+    bare = F.substring_index(url, "#", 1)  # a second ``#`` is no fault of the host
+    by_rule = F.nullif(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?:\s]+)", 1), F.lit(""))
+    host = F.coalesce(F.try_parse_url(bare, F.lit("HOST")), by_rule)  # the rule takes names that Java refuses, such as ``a_b.org``
+    verdict = F.when(host.isNull(), "unparsable").when(~host.rlike(f"^(?:{own_host})$"), "foreign").when(F.col(url).endswith("#"), "ok").otherwise("no-hash")
+    rows = rows.withColumn("verdict", verdict)
+    return rows.withColumn("expected", F.when(F.col("verdict") == "no-hash", F.concat(F.regexp_replace(url, "/+$", ""), F.lit("#"))))
+
+
+def unknown_keys(used: DataFrame, names: DataFrame, most: int = 3) -> DataFrame:
+    """``key, reason, nearest`` of keys (``used``: ``key``) of the form ``prefix__Name`` that are not among ``names`` (``name``).
+
+    Other keys are not judged, nor is any where there are no names.  ``reason`` is ``unknown-name`` or
+    ``unknown-prefix``; ``nearest`` has up to ``most`` names of the same prefix, by edit distance, then name, within
+    four tenths of the key's length, or three if that is more.  Distances are taken of distinct keys with names of
+    their prefix that are near in length; a key that occurs a million times is one.
+    """
+    prefix = lambda c: F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9]*)__.+", 1)
+    names = cut(names.select("name").where("name IS NOT NULL").distinct().withColumn("prefix", prefix("name")))
+    keys = used.select("key").where("key IS NOT NULL").distinct().withColumn("prefix", prefix("key")).where("prefix <> ''")
+    unknown = keys.join(names.select(F.col("name").alias("key")), "key", "left_anti").join(F.broadcast(names.limit(1).select(F.lit(True).alias("_any"))))
+    known = names.select("prefix", F.lit(True).alias("_known")).distinct()
+    unknown = cut(unknown.select("key", "prefix").join(known, "prefix", "left"))
+    within = F.greatest(F.lit(3), F.floor(F.length("key") * 0.4)).cast("int")
+    offers = unknown.where("_known").select("key", "prefix", within.alias("_most"), F.explode(F.sequence(F.greatest(F.length("key") - within, F.lit(0)), F.length("key") + within)).alias("_len"))
+    offers = offers.join(names.select("prefix", "name", F.length("name").alias("_len")), ["prefix", "_len"])
+    offers = offers.withColumn("distance", F.levenshtein("key", "name")).where(F.col("distance") <= F.col("_most"))
+    near = offers.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("distance", "name"))).where(F.col("_n") <= most)
+    told = near.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("_n", "name"))).alias("t"))  # up to ``most``
+    out = unknown.join(told, "key", "left")
+    nearest = F.coalesce(F.transform("t", lambda x: x["name"]), F.array().cast("array<string>"))
+    return out.select("key", F.when(F.col("_known"), "unknown-name").otherwise("unknown-prefix").alias("reason"), nearest.alias("nearest"))
+
+
 def declared_cycles(imports: DataFrame, uids: DataFrame) -> DataFrame:
     """``kind, component, members``: cycles of two or more groups, self-imports, and uids (``uid, node``) of several groups."""
     cycles = scc(imports).groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
@@ -177,21 +252,63 @@ def declared_cycles(imports: DataFrame, uids: DataFrame) -> DataFrame:
     )
 
 
+def accepted_in_order(known: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the edges ``wanted``, one after the other by (src, dst): those that close no cycle with ``known`` ones and
+    those accepted before, and the others.
+
+    Rounds over all of them at once.  An edge that is on no cycle of everything left is accepted;
+    one that what is accepted already closes is not.  In each component that is left, halving
+    finds the first edge in order that closes a cycle: the edges before it are accepted, it is not.
+    """
+    edges = ["src", "dst"]
+    yes, no = [], []
+    taken, live = cut(known.select(*edges)), cut(wanted.select(*edges).distinct())
+    inside = lambda df, members: df.join(members.select(F.col("node").alias("src"), "component"), "src").join(members.select(F.col("node").alias("dst"), F.col("component").alias("_c")), "dst").where("component = _c").drop("_c")
+    while not live.isEmpty():
+        members = cut(scc(alt(taken, live)))
+        held = cut(inside(live, members).select("component", *edges))
+        free = live.join(held, edges, "left_anti")
+        yes.append(free)
+        taken = cut(alt(taken, free))
+        base = cut(inside(taken, members).select(*edges))
+        closing = cut(held.join(inverse(reach(base)), edges, "left_semi").select(*edges))
+        no.append(closing)
+        live = cut(places(held.join(closing, edges, "left_anti"), ["component", *edges]))
+        if live.isEmpty():
+            break
+        span = cut(live.groupBy("component").agg((F.min("place") - 1).alias("low"), (F.max("place") + 1).alias("high")))
+        while not span.where("low + 1 < high").isEmpty():
+            span = span.withColumn("mid", F.expr("(low + high) div 2"))
+            tried = cut(live.join(span, "component").where("place <= mid").select("component", *edges))
+            now = scc(alt(base, tried.select(*edges))).withColumnRenamed("component", "circle")
+            ends = tried.join(now.select(F.col("node").alias("src"), "circle"), "src").join(now.select(F.col("node").alias("dst"), F.col("circle").alias("_c")), "dst")
+            bad = ends.where("circle = _c").select("component").distinct().withColumn("bad", F.lit(True))
+            step = span.join(bad, "component", "left")
+            span = cut(step.select("component", F.expr("if(low + 1 < high AND bad IS NULL, mid, low)").alias("low"), F.expr("if(low + 1 < high AND bad, mid, high)").alias("high")))
+        placed = live.join(span, "component")
+        good = cut(placed.where("place <= low").select(*edges))
+        yes.append(good)
+        no.append(cut(placed.where("place = high").select(*edges)))
+        taken = cut(alt(taken, good))
+        live = cut(placed.where("place > high").select(*edges))
+    none = wanted.select(*edges).limit(0)
+    return cut(reduce(DataFrame.unionByName, yes, none)), cut(reduce(DataFrame.unionByName, no, none))
+
+
 def propose_imports(derived: DataFrame, declared: DataFrame) -> DataFrame:
     """``src, dst, kind`` between the components of the ``derived`` graph, each named by its least member.
 
-    An edge that would close a cycle with the declared imports is a ``conflict``.  The others
-    are reduced together with the declared ones; what is left and not declared is an ``add``.
+    The edges are taken by (src, dst); one that would close a cycle with the declared imports or
+    those taken before it is a ``conflict``.  The others are reduced together with the declared
+    ones; what is left and not declared is an ``add``.
     """
     member = cut(scc(derived))
     nodes = member.unionByName(
         identity(declared).select(F.col("src").alias("node"), F.col("src").alias("component")).join(member.select("node"), "node", "left_anti")
     )
     known, wanted = cut(condense(declared, nodes)), cut(condense(derived, nodes))
-    back = inverse(reach(known))
-    fine = wanted.join(back, ["src", "dst"], "left_anti")
+    fine, conflict = accepted_in_order(known, wanted)
     more = reduction(alt(fine, known)).join(known, ["src", "dst"], "left_anti")
-    conflict = wanted.join(back, ["src", "dst"], "left_semi")
     return more.select("src", "dst", F.lit("add").alias("kind")).unionByName(conflict.select("src", "dst", F.lit("conflict").alias("kind")))
 
 

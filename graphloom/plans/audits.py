@@ -142,18 +142,51 @@ def term_collision(spark, d):
     return V.term_collision(table(spark, d, "part").select(F.col("p_name").alias("term"), F.col("p_partkey").alias("s")))
 
 
-@query("imports_audit", "WITH RECURSIVE i AS (SELECT 'r1' AS src, 'r2' AS dst UNION ALL SELECT 'r2', 'r3'), up AS (SELECT src, dst FROM i UNION SELECT up.src, i.dst FROM up JOIN i ON up.dst = i.src), f AS (SELECT 'n' || n_nationkey AS path, CASE WHEN n_nationkey IN (7, 8) THEN 'twin' ELSE n_name END AS name, CASE WHEN n_nationkey = 9 THEN NULL ELSE 'r' || n_regionkey END AS grp FROM nation), "
-       "l AS (SELECT 'n' || c_nationkey AS src, CASE c_custkey % 6 WHEN 0 THEN 'pic.png' WHEN 1 THEN 'twin' WHEN 2 THEN 'nowhere' ELSE (SELECT name FROM f WHERE path = 'n' || (c_custkey % 25)) END AS name FROM customer), "
-       "m AS (SELECT name, count(*) AS n, min(grp) AS tg FROM f GROUP BY 1) "
-       "SELECT CASE WHEN regexp_matches(l.name, '\\.(png|jpg|pdf|js|css)$') THEN 'non-markdown' WHEN n > 1 THEN 'ambiguous' WHEN n IS NULL THEN 'broken' WHEN f.grp IS NULL OR tg IS NULL THEN 'no-group' WHEN f.grp = tg THEN 'internal' WHEN up.src IS NOT NULL THEN 'valid' ELSE 'violation' END AS bucket, CAST(count(*) AS BIGINT) AS n FROM l LEFT JOIN m ON m.name = l.name LEFT JOIN f ON f.path = l.src LEFT JOIN up ON up.src = f.grp AND up.dst = tg GROUP BY 1")
-def imports_audit(spark, d):
+AUDITED = """
+WITH RECURSIVE i AS (SELECT 'r1' AS src, 'r2' AS dst UNION ALL SELECT 'r2', 'r3'),
+up AS (SELECT src, dst FROM i UNION SELECT up.src, i.dst FROM up JOIN i ON up.dst = i.src),
+f AS (SELECT 'n' || n_nationkey AS path, CASE WHEN n_nationkey IN (7, 8) THEN 'twin' ELSE n_name END AS name, CASE WHEN n_nationkey = 9 THEN NULL ELSE 'r' || n_regionkey END AS grp FROM nation),
+l AS (SELECT 'n' || c_nationkey AS src, CASE c_custkey % 6 WHEN 0 THEN 'pic.png' WHEN 1 THEN 'twin' WHEN 2 THEN 'nowhere' ELSE (SELECT name FROM f WHERE path = 'n' || (c_custkey % 25)) END AS name FROM customer),
+m AS (SELECT name, count(*) AS n, min(grp) AS tg FROM f GROUP BY 1),
+a AS (
+  SELECT l.src, f.grp, tg AS target_grp, CASE WHEN regexp_matches(l.name, '\\.(png|jpg|pdf|js|css)$') THEN 'non-markdown' WHEN n > 1 THEN 'ambiguous' WHEN n IS NULL THEN 'broken'
+    WHEN f.grp IS NULL OR tg IS NULL THEN 'no-group' WHEN f.grp = tg THEN 'internal' WHEN up.src IS NOT NULL THEN 'valid' ELSE 'violation' END AS bucket
+  FROM l LEFT JOIN m ON m.name = l.name LEFT JOIN f ON f.path = l.src LEFT JOIN up ON up.src = f.grp AND up.dst = tg
+)
+"""
+
+
+def audited(spark, d):
     n = table(spark, d, "nation")
     files = n.select(F.concat(F.lit("n"), "n_nationkey").alias("path"), F.expr("if(n_nationkey in (7, 8), 'twin', n_name)").alias("name"), F.expr("if(n_nationkey = 9, null, concat('r', n_regionkey))").alias("grp"))
     names = files.select(F.col("path").alias("to"), F.col("name").alias("target"))
     c = table(spark, d, "customer").withColumn("to", F.concat(F.lit("n"), F.expr("c_custkey % 25"))).join(names, "to", "left")
     links = c.select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.expr("case c_custkey % 6 when 0 then 'pic.png' when 1 then 'twin' when 2 then 'nowhere' else target end").alias("name"))
     imports = spark.createDataFrame([("r1", "r2"), ("r2", "r3")], "src string, dst string")
-    return V.imports_audit(links, files, imports).groupBy("bucket").agg(F.count("*").alias("n"))
+    return V.imports_audit(links, files, imports)
+
+
+@query("imports_audit", AUDITED + "SELECT bucket, CAST(count(*) AS BIGINT) AS n FROM a GROUP BY 1")
+def imports_audit(spark, d):
+    return audited(spark, d).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query("import_pairs", AUDITED + """
+SELECT grp, target_grp, CAST(count(*) AS BIGINT) AS occurrences, min(bucket) = 'valid' AS valid,
+  CASE WHEN min(bucket) = 'valid' THEN [] ELSE list_sort(list(DISTINCT src))[1:3] END AS examples
+FROM a WHERE bucket IN ('valid', 'violation') GROUP BY 1, 2""")
+def import_pairs(spark, d):
+    return V.import_pairs(C.cut(audited(spark, d)))
+
+
+@query("import_groups", AUDITED + """
+, p AS (SELECT grp, target_grp, count(*) FILTER (bucket = 'internal') AS i, count(*) FILTER (bucket <> 'internal') AS x, count(*) FILTER (bucket = 'violation') AS v
+        FROM a WHERE bucket IN ('internal', 'valid', 'violation') GROUP BY 1, 2)
+SELECT grp, CAST(sum(i) AS BIGINT) AS internal, CAST(sum(o) AS BIGINT) AS links_out, CAST(sum(n) AS BIGINT) AS links_in, CAST(sum(v) AS BIGINT) AS violating,
+  CAST(count(*) FILTER (o > 0) AS BIGINT) AS out_degree, CAST(count(*) FILTER (n > 0) AS BIGINT) AS in_degree
+FROM (SELECT grp, i, x AS o, 0 AS n, v FROM p UNION ALL SELECT target_grp, 0, 0, x, 0 FROM p) GROUP BY 1""")
+def import_groups(spark, d):
+    return V.import_groups(audited(spark, d))
 
 
 @query("declared_cycles", """
@@ -204,10 +237,14 @@ def dependency_coverage(spark, d):
     return V.dependency_coverage(facts, e)
 
 
-@query("url_form", "SELECT page_id, CASE WHEN regexp_extract(url, '^https?://([^/?#]+)', 1) NOT LIKE '%.example.com' THEN 'foreign' WHEN url LIKE '%#%' THEN 'ok' ELSE 'no-hash' END AS verdict FROM pages")
+@query("url_form", """
+WITH u AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url || '#' WHEN 1 THEN url || '#part' WHEN 2 THEN url || '//' WHEN 3 THEN 'no url' ELSE url END AS url FROM pages),
+h AS (SELECT *, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM u),
+v AS (SELECT *, CASE WHEN host = '' THEN 'unparsable' WHEN host NOT LIKE '%.example.com' THEN 'foreign' WHEN url LIKE '%#' THEN 'ok' ELSE 'no-hash' END AS verdict FROM h)
+SELECT page_id, verdict, CASE WHEN verdict = 'no-hash' THEN rtrim(url, '/') || '#' END AS expected FROM v""")
 def url_form(spark, d):
-    host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
-    return table(spark, d, "pages").select("page_id", F.when(~host.endswith(".example.com"), "foreign").when(F.contains("url", F.lit("#")), "ok").otherwise("no-hash").alias("verdict"))
+    url = F.expr("CASE page_id % 5 WHEN 0 THEN url || '#' WHEN 1 THEN url || '#part' WHEN 2 THEN url || '//' WHEN 3 THEN 'no url' ELSE url END")
+    return V.url_form(table(spark, d, "pages").select("page_id", url.alias("url")), "url", r".*\.example\.com").select("page_id", "verdict", "expected")
 
 
 @query("broken_links", "WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"#]*)', 1)) AS target FROM pages) SELECT page_id, target FROM l WHERE target NOT IN (SELECT '/' || lower(p_name) FROM part) AND target NOT IN (SELECT '/' || split_part(text, ' ', 1) FROM documents WHERE lang = 'en')")
@@ -226,6 +263,20 @@ def unknown_keys(spark, d):
     return e.join(known, "key", "left_anti").select("event_id", "key").distinct()
 
 
+@query("nearest_keys", """
+WITH n AS (SELECT DISTINCT 'part__' || replace(p_type, ' ', '') AS name FROM part WHERE p_partkey % 3 <> 0),
+k AS (SELECT DISTINCT CASE WHEN p_partkey % 50 = 0 THEN 'other__' || p_brand ELSE 'part__' || replace(p_type, ' ', '') || repeat('x', CAST(p_size % 3 AS INT)) END AS key FROM part),
+u AS (SELECT key, key LIKE 'part__%' AS known FROM k WHERE key NOT IN (SELECT name FROM n)),
+o AS (SELECT key, name, levenshtein(key, name) AS distance FROM u JOIN n ON known WHERE levenshtein(key, name) <= greatest(3, floor(length(key) * 0.4))),
+r AS (SELECT key, list(name ORDER BY distance, name)[1:3] AS nearest FROM o GROUP BY 1)
+SELECT u.key, CASE WHEN known THEN 'unknown-name' ELSE 'unknown-prefix' END AS reason, coalesce(nearest, []) AS nearest FROM u LEFT JOIN r USING (key)""")
+def nearest_keys(spark, d):
+    p = table(spark, d, "part")
+    own = F.concat(F.lit("part__"), F.replace("p_type", F.lit(" "), F.lit("")))
+    used = p.select(F.when(F.col("p_partkey") % 50 == 0, F.concat(F.lit("other__"), "p_brand")).otherwise(F.concat(own, F.expr("repeat('x', cast(p_size % 3 as int))"))).alias("key"))
+    return V.unknown_keys(used.unionByName(used.limit(1).select(F.lit("tags").alias("key"))), p.where("p_partkey % 3 <> 0").select(own.alias("name")))
+
+
 @query("required_fields", "SELECT 'customer/' || c_custkey AS s, unnest(['c_mktsegment', 'c_nationkey']) AS property FROM customer")
 def required_fields(spark, d):
     sh = shapes(spark)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import patterns as P
 from graphloom.operators.closure import small
 from graphloom.plans.base import query, table
+from graphloom.sources import text as X
 from graphloom.sources.triples import load, load_sql, match
 
 
@@ -73,6 +74,19 @@ def extract_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all(bare, F.lit('href="([^"#]*)'), F.lit(1))).alias("target"))
 
 
+@query("extract_wikilinks", """
+SELECT c_custkey, 0 AS pos, 'n' || c_nationkey AS target FROM customer WHERE c_custkey % 3 <> 0
+UNION ALL SELECT c_custkey, 1, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0
+UNION ALL SELECT c_custkey, 2, 'end' FROM customer WHERE c_custkey % 3 = 1""")
+def extract_wikilinks(spark, d):
+    """Notes on customers: an alias, an embed with an anchor, links in fences (some never end), a link to the note itself."""
+    n, fence = F.col("c_custkey"), F.when(F.col("c_custkey") % 3 == 0, "~~~~").when(F.col("c_custkey") % 3 == 1, "```").otherwise("````")
+    top = F.when(n % 3 == 0, F.lit("  ~~~~ sql\n")).otherwise(F.lit(""))
+    body = F.concat(top, F.lit("See [[n"), "c_nationkey", F.lit("|a nation]] and ![["), "c_mktsegment", F.lit("#top]] [[#here]]\n"), fence, F.lit("\n[[code]]\n```\n"), F.lit("[[end]]"))
+    body = F.when(n % 3 == 0, F.replace(body, F.lit("~~~~\n[[code]]"), F.lit("~~~\n[[code]]"))).otherwise(body)
+    return X.wikilinks(table(spark, d, "customer").select("c_custkey", body.alias("text")), "c_custkey", "text")
+
+
 @query("rewrite_links", """
 WITH r AS (SELECT n_name AS old, 'place ' || n_nationkey AS new FROM nation WHERE n_nationkey % 2 = 0), c AS (
   SELECT c_custkey AS id, n_name AS a, c_name AS b FROM customer JOIN nation ON n_nationkey = c_nationkey)

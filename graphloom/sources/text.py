@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,47 @@ PIECES = r"(?s)```.*?(?:```|\z)|`[^`\n]*`|!\[\[[^\]]*\]\]|\[\[[^\]]*\]\]|[^`!\[]
 LINK = r"^\[\[([^\]|#^]+)([#^][^\]|]*)?(?:\|[^\]]*)?\]\]$"
 
 
+FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})(.*)", re.S)
+WIKILINK = re.compile(r"\[\[([^\]]+)\]\]")
+
+
+def link_targets(text: str) -> list[str]:
+    """Targets of the wikilinks and embeds of a text, without alias and anchor, but for those in fenced code.
+
+    A fence ends at a line of its own character, at least as many of them and nothing else; one
+    that never ends runs to the end.  A line of backticks with more backticks behind opens none.
+    """
+    open_fence, kept = "", []
+    for line in text.split("\n"):
+        m = FENCE.match(line)
+        if not open_fence:
+            if m and (m[1][0] == "~" or "`" not in m[2]):
+                open_fence = m[1]
+            else:
+                kept.append(line)
+        elif m and m[1][0] == open_fence[0] and len(m[1]) >= len(open_fence) and not m[2].strip(" \t"):
+            open_fence = ""
+    found = (inner.split("|")[0].split("#")[0].strip() for inner in WIKILINK.findall("\n".join(kept)))
+    return [t for t in found if t]
+
+
+def wikilinks(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, pos, target`` of every wikilink in the texts, in order; a null text has none."""
+    import pyarrow as pa
+
+    rows = texts.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def work(batches):
+        for batch in batches:
+            found = [link_targets(t) if t else [] for t in batch["text"].to_pylist()]
+            of = pa.array([k for k, targets in enumerate(found) for _ in targets], pa.int32())
+            pos = pa.array([p for targets in found for p in range(len(targets))], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch["key"].take(of), pos, pa.array([t for targets in found for t in targets], pa.string())], ["key", "pos", "target"])
+
+    return rows.mapInArrow(work, f"key {kind}, pos int, target string").withColumnRenamed("key", key)
+
+
 def rewrite_links(texts: DataFrame, renames: DataFrame) -> DataFrame:
     """``id, text, n``: texts (``id, text``) whose links to a renamed target (``old, new``) point to its new name, and how many did.
 
