@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.closure import cut, plus, small
+from graphloom.operators.closure import BROADCAST_ROWS, cut, plus, small
 
 
 def preconditions(rows: DataFrame, flags: dict[str, Column], trees: dict[str, tuple]) -> DataFrame:
@@ -24,15 +24,42 @@ def preconditions(rows: DataFrame, flags: dict[str, Column], trees: dict[str, tu
     return out.withColumns({k: build(t) for k, t in trees.items()})
 
 
-def overlaps(rows: DataFrame, key: str, start: str, end: str, by: list[str] | None = None, bucket_days: int = 32) -> DataFrame:
-    """Pairs of intervals that overlap: joined on the buckets of days that they touch, counted in the first common one."""
+#: Rows of a cell from which ``overlaps`` deals it out to several tasks.
+HOT_CELL = 20_000
+
+
+def overlaps(rows: DataFrame, key: str, start: str, end: str, by: list[str] | None = None, hot: int = HOT_CELL) -> DataFrame:
+    """Pairs of intervals that overlap, ``key1 < key2``, with the columns of both.
+
+    Each interval has a level, the power of two of days that holds its length, and touches at
+    most two cells of that width.  Of a pair, the longer one is met in its own cells; the
+    shorter one is put into its cells at each level from its own on that any row has.  So an
+    interval of decades is two rows, not one for each month, and a row has some two copies for
+    each level at most.  A pair counts in the first cell that both touch.  A cell with more than
+    ``hot`` rows is dealt out: its rows by a hash of their key, the longer ones to each part.
+    Intervals that are empty or lack an end take no part.
+    """
     by = by or []
-    day = lambda c: F.floor(F.unix_date(F.to_date(c)) / bucket_days)
-    spread = rows.where(F.col(start) < F.col(end)).withColumn("_b", F.explode(F.sequence(day(F.col(start)), day(F.col(end)))))
-    side = lambda n: spread.select(*by, "_b", F.col(key).alias(f"{key}{n}"), F.col(start).alias(f"{start}{n}"), F.col(end).alias(f"{end}{n}"))
-    pairs = side(1).join(side(2), [*by, "_b"]).where(F.col(f"{key}1") < F.col(f"{key}2"))
-    pairs = pairs.where((F.col(f"{start}1") < F.col(f"{end}2")) & (F.col(f"{start}2") < F.col(f"{end}1")))
-    return pairs.where(F.col("_b") == F.greatest(day(F.col(f"{start}1")), day(F.col(f"{start}2")))).drop("_b")
+    day = lambda c: F.unix_date(F.to_date(c))
+    cell = lambda d, level: F.expr(f"floor({d} / pow(2, {level}))").cast("long")
+    rows = rows.where(F.col(start) < F.col(end)).select(*by, F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"), day(start).alias("_from"), day(end).alias("_to"))
+    rows = cut(rows.withColumn("_level", F.ceil(F.log2(F.col("_to") - F.col("_from") + 1.0)).cast("int")))
+    present = small(rows.select(F.col("_level").alias("_at")).distinct())
+    spread = lambda df, level: df.withColumn("_cell", F.explode(F.sequence(cell("_from", level), cell("_to", level))))
+    longer = spread(rows, "_level").select(*by, F.col("_level").alias("_at"), "_cell", F.col("_k").alias("_kl"), F.col("_s").alias("_sl"), F.col("_e").alias("_el"), F.col("_from").alias("_fl"))
+    other = spread(rows.join(present, F.col("_at") >= F.col("_level")), "_at")
+    place = [*by, "_at", "_cell"]
+    crowded = cut(other.groupBy(*place).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).withColumn("_parts", F.ceil(F.col("_n") / hot).cast("int")).drop("_n"))
+    dealt = lambda df: df.join(F.broadcast(crowded) if crowded.count() <= BROADCAST_ROWS else crowded, place, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    other = dealt(other).withColumn("_part", F.pmod(F.xxhash64("_k"), F.col("_parts")).cast("int")).drop("_parts")
+    longer = dealt(longer).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    pairs = longer.join(other, [*place, "_part"])
+    pairs = pairs.where((F.col("_level") < F.col("_at")) & (F.col("_k") != F.col("_kl")) | (F.col("_level") == F.col("_at")) & (F.col("_kl") < F.col("_k")))
+    pairs = pairs.where((F.col("_sl") < F.col("_e")) & (F.col("_s") < F.col("_el")) & (F.col("_cell") == cell("greatest(_from, _fl)", "_at")))
+    first = F.col("_kl") < F.col("_k")
+    side = lambda n, x, y: [F.when(first, F.col(x[i])).otherwise(F.col(y[i])).alias(f"{c}{n}") for i, c in enumerate((key, start, end))]
+    a, b = ("_kl", "_sl", "_el"), ("_k", "_s", "_e")
+    return pairs.select(*by, *side(1, a, b), *side(2, b, a))
 
 
 def top_places(rows: DataFrame, keys: list, n: int) -> DataFrame:
@@ -70,6 +97,9 @@ def gaps(rows: DataFrame, by: list[str], start: str, end: str, least_seconds: in
 def keep_first(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     """One row for each key: the first in ``order``."""
     fields = [c for c in rows.columns if c not in key]
+    if all(isinstance(o, str) for o in order):  # the least of a struct: aggregated before the shuffle, no window
+        rest = [c for c in fields if c not in order]
+        return rows.groupBy(*key).agg(F.min(F.struct(*order, *rest)).alias("_r")).select(*key, *[F.col(f"_r.{c}").alias(c) for c in fields])
     w = Window.partitionBy(*key).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*key, *fields)
 

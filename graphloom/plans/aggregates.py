@@ -292,3 +292,18 @@ scalar("fn_months", "part", "p_partkey", {
 def host_predicate(spark, d):
     T.register("owes", lambda x: x < 0)
     return table(spark, d, "customer").select("c_custkey", T.call("urn:host:owes", F.col("c_acctbal")).alias("hit"))
+
+
+@query("fn_volatile", "SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS uuids, CAST(count(*) AS BIGINT) AS struuids, true AS rand_in_range, true AS rand_varies, CAST(1 AS BIGINT) AS clocks, true AS now_is_recent FROM customer GROUP BY 1")
+def fn_volatile(spark, d):
+    """Properties of UUID, STRUUID, RAND and NOW: distinct and well formed, in range and varying, one clock for the whole query."""
+    form = "[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}"
+    c = table(spark, d, "customer").select("c_mktsegment", *[T.call(n).alias(n) for n in ("UUID", "STRUUID", "RAND", "NOW")])
+    return c.groupBy("c_mktsegment").agg(
+        F.countDistinct(F.when(F.col("UUID").rlike(f"^urn:uuid:{form}$"), F.col("UUID"))).alias("uuids"),
+        F.countDistinct(F.when(F.col("STRUUID").rlike(f"^{form}$"), F.col("STRUUID"))).alias("struuids"),
+        F.bool_and((F.col("RAND") >= 0) & (F.col("RAND") < 1)).alias("rand_in_range"),
+        (F.max("RAND") > F.min("RAND")).alias("rand_varies"),
+        F.countDistinct("NOW").alias("clocks"),
+        F.bool_and(F.abs(F.unix_timestamp("NOW") - F.unix_timestamp(F.current_timestamp())) < 60).alias("now_is_recent"),
+    )

@@ -312,6 +312,21 @@ def overlap_join(spark, d):
     return overlaps(i, "k", "a", "b", by=["c"]).select("k1", "k2")
 
 
+@query("overlap_long", """
+WITH i AS (SELECT p_partkey AS k, p_size % 5 AS c, TIMESTAMP '1990-01-01' + INTERVAL (p_partkey * 37 % 9000) DAY AS a,
+  TIMESTAMP '1990-01-01' + INTERVAL (p_partkey * 37 % 9000) DAY + INTERVAL (CASE WHEN p_partkey % 40 = 0 THEN 480000 WHEN p_partkey % 7 = 0 THEN 900 ELSE p_partkey % 30 END) HOUR AS b FROM part)
+SELECT x.k AS k1, y.k AS k2 FROM i x JOIN i y ON x.c = y.c AND x.k < y.k AND x.a < y.b AND y.a < x.b AND x.a < x.b AND y.a < y.b""")
+def overlap_long(spark, d):
+    """Intervals of hours, weeks and half a century, in few groups."""
+    from graphloom.operators.domain import overlaps
+
+    a = F.expr("timestamp'1990-01-01' + make_dt_interval(cast(p_partkey * 37 % 9000 as int))")
+    hours = F.expr("cast(CASE WHEN p_partkey % 40 = 0 THEN 480000 WHEN p_partkey % 7 = 0 THEN 900 ELSE p_partkey % 30 END as int)")
+    i = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.expr("p_size % 5").alias("c"), a.alias("a"), hours.alias("h"))
+    i = i.withColumn("b", F.expr("a + make_dt_interval(0, h)"))
+    return overlaps(i, "k", "a", "b", by=["c"], hot=200).select("k1", "k2")
+
+
 # --- order, slice, sets ------------------------------------------------------------------------------
 
 

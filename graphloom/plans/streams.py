@@ -206,3 +206,19 @@ def delta_facts(spark, d):
     verdict, _, after = R.refresh(before, edited(spark, d, True), said_rows, ["tag"])
     assert verdict == "delta"
     return after.types.select("s", F.lit("rdf:type").alias("p"), F.col("cls").alias("o")).unionByName(after.inherited.select("s", "p", "o"))
+
+
+@query("usage_logs", """
+WITH t AS (SELECT conv_id, length(text) AS n, turn FROM conversations WHERE role = 'assistant' AND turn % 7 <> 5)
+SELECT 's' || conv_id AS session, CAST(count(*) AS BIGINT) AS turns, CAST(sum(n) AS BIGINT) AS "input", CAST(sum(CASE WHEN turn % 3 = 0 THEN 0 ELSE n // 2 END) AS BIGINT) AS output,
+  CAST(sum(turn) AS BIGINT) AS cache_read, round((sum(n) * 15.0 + sum(CASE WHEN turn % 3 = 0 THEN 0 ELSE n // 2 END) * 75.0 + sum(turn) * 1.5) / 1000000, 7) AS cost
+FROM t GROUP BY 1""")
+def usage_logs(spark, d):
+    """Logs as JSONL, with lines cut off, lines without usage and counts that are missing; written, then read back."""
+    path, n = work_dir(spark), F.length("text").cast("long")
+    counts = F.struct(n.alias("input_tokens"), F.when(F.col("turn") % 3 != 0, F.expr("length(text) div 2")).alias("output_tokens"), F.col("turn").cast("string").alias("cache_read_input_tokens"))
+    usage = F.when(F.col("role") == "assistant", counts)
+    line = F.to_json(F.struct(F.col("role").alias("type"), F.concat(F.lit("s"), "conv_id").alias("sessionId"), F.struct(usage.alias("usage")).alias("message")))
+    cut_off = F.when(F.col("turn") % 7 == 5, F.substring(line, 1, 30)).otherwise(line)
+    table(spark, d, "conversations").select(cut_off.alias("value")).write.text(path)
+    return X.usage_cost(X.read_usage(spark, path)[0]).withColumn("cost", F.round("cost", 7))

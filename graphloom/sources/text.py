@@ -54,6 +54,31 @@ PIECES = r"(?s)```.*?(?:```|\z)|`[^`\n]*`|!\[\[[^\]]*\]\]|\[\[[^\]]*\]\]|[^`!\[]
 LINK = r"^\[\[([^\]|#^]+)([#^][^\]|]*)?(?:\|[^\]]*)?\]\]$"
 
 
+#: Prices of a million tokens.
+PRICES = {"input": 15.0, "output": 75.0, "cache_read": 1.5}
+USAGE = "type string, sessionId string, message struct<usage: struct<input_tokens: string, output_tokens: string, cache_read_input_tokens: string>>, _bad string"
+
+
+def read_usage(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Turns ``(session, input, output, cache_read)`` of the assistant in JSONL logs, and the lines ``(file, line)`` that are no JSON.
+
+    A line that is empty, of another type or without usage is neither.  A missing or odd count is zero; a line
+    without a session belongs to its file.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")).where(F.trim("line") != "")
+    read = lines.withColumn("x", F.from_json("line", USAGE, {"columnNameOfCorruptRecord": "_bad"}))
+    used = read.where("x._bad IS NULL AND x.type = 'assistant' AND x.message.usage IS NOT NULL")
+    count = lambda c: F.coalesce(F.expr(f"try_cast(x.message.usage.{c} AS double)"), F.lit(0.0)).cast("long")
+    turns = used.select(F.coalesce("x.sessionId", "file").alias("session"), count("input_tokens").alias("input"), count("output_tokens").alias("output"), count("cache_read_input_tokens").alias("cache_read"))
+    return turns, read.where("x._bad IS NOT NULL").select("file", "line")
+
+
+def usage_cost(turns: DataFrame, prices: dict[str, float] = PRICES) -> DataFrame:
+    """``session``, its turns, sums of tokens and their cost."""
+    sums = turns.groupBy("session").agg(F.count("*").alias("turns"), *[F.sum(c).alias(c) for c in prices])
+    return sums.withColumn("cost", sum((F.col(c) * p for c, p in prices.items()), F.lit(0.0)) / 1_000_000)
+
+
 FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})(.*)", re.S)
 WIKILINK = re.compile(r"\[\[([^\]]+)\]\]")
 

@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.operators import domain as W
 from graphloom.operators import shapes as V
 from graphloom.sources import text as X
 from tests.test_large_graphs import reduced
@@ -121,3 +122,22 @@ def test_counts_of_imports(spark):
     want = [(a, b, len(x), x[0][1] == "valid", sorted({s for s, _ in x})[:3] if x[0][1] == "violation" else []) for (a, b), x in pairs.items()]
     assert rows(V.import_pairs(audited)) == sorted(want, key=repr) and len(want) > 3
     assert all(len({k for _, k in own}) == 1 for own in pairs.values()) and list(itertools.chain(want))
+
+
+@pytest.mark.parametrize("hot", [W.HOT_CELL, 2])
+def test_overlaps_of_all_lengths(spark, hot):
+    rng = random.Random(8)
+    found = [(k, rng.choice("xy"), (s := rng.randrange(60_000)), s + rng.choice([0, 1, 5, 30, 400, 3_000, 50_000])) for k in range(220)] + [(900, "x", None, 5), (901, "y", 9, 3), (902, "x", -900, 90_000)]
+    df = spark.createDataFrame(found, "k long, g string, a long, b long").withColumns({c: F.timestamp_seconds(F.col(c) * 7200) for c in ("a", "b")})
+    live = [r for r in found if r[2] is not None and r[2] < r[3]]
+    want = [(g, k, j) for k, g, a, b in live for j, h, c, d in live if g == h and k < j and a < d and c < b]
+    assert rows(W.overlaps(df, "k", "a", "b", by=["g"], hot=hot).select("g", "k1", "k2")) == sorted(want, key=repr) and len(want) > 1000
+
+
+def test_usage_of_logs(spark, tmp_path):
+    lines = ['{"type":"assistant","sessionId":"s","message":{"usage":{"input_tokens":10,"output_tokens":"4"}}}', '{"type":"user","sessionId":"s","message":{"usage":{"input_tokens":10}}}', "", "{broken", '{"type":"assistant","message":{}}', '{"type":"assistant","sessionId":"s","message":{"usage":{"input_tokens":null,"cache_read_input_tokens":1000000}}}', '{"type":"assistant","message":{"usage":{"output_tokens":1}}}']
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    turns, bad = X.read_usage(spark, str(tmp_path))
+    assert [r["line"] for r in bad.collect()] == ["{broken"]
+    got = {r["session"].rpartition("/")[2]: tuple(r)[1:] for r in X.usage_cost(turns).collect()}
+    assert got == {"s": (2, 10, 4, 1_000_000, pytest.approx((150 + 300 + 1_500_000) / 1e6)), "a.jsonl": (1, 0, 1, 0, pytest.approx(75e-6))}
