@@ -1,13 +1,15 @@
 """Token counts from flat token files without an index: a scan for separators.
 
-A token file is a run of blocks of little-endian uint16 or uint32 ids, cut anywhere.  Each
-block is searched for the end-of-document id as one vector; a prefix scan over the blocks
-of a file then carries the position of the last separator before each block, so that a
-document that spans blocks gets its whole length.  Only one small row per block (its
-number of ids and its separators' places) takes part in the scan.
+A token file holds little-endian uint16 or uint32 ids and nothing else: no header, no index.
+It is read by ranges of bytes, cut anywhere, one task a range.  Each range, a block, is searched
+for the end-of-document id as one vector; a prefix scan over the blocks of a file then carries
+the position of the last separator before each block, so that a document that spans blocks gets
+its whole length.  The scan sees one small row a block (how many ids and separators it has, and
+the last one's place); the places themselves stay in their blocks' rows and are joined back.
 
-``scan`` takes any table ``(file, block, payload)``: blocks written by ``write_flat``, or
-ranges of raw files from ``flat_files``, one task a range, whatever a file's size.
+``scan`` takes any table ``(file, block, payload)``, such as the ranges of ``flat_files`` and
+``read_ranges``.  ``write_flat`` writes files through ``pyarrow.fs``; a task that runs again
+writes under another name, and only names that Spark has committed are read.
 
 A special token that a text spells out (``<|endoftext|>`` in a web page, say) is encoded as
 plain text, so that the end id stands at the ends of documents only; writing checks that,
@@ -27,26 +29,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import n_partitions, open_fs, scratch
+from graphloom.llm.common import n_partitions, open_fs, scratch, staged
 from graphloom.llm.encode import blocks, encoder, release
 
 
-def write_flat(docs: DataFrame, path: str, tokenizer: str, end_token: str, ids_per_block: int = 1 << 20, width: int = 2) -> None:
-    """Writes one flat file per partition of ``docs``, its blocks as rows, and the order of its documents.
+def write_flat(docs: DataFrame, path: str, tokenizer: str, end_token: str, width: int = 2) -> None:
+    """Writes one flat file per partition of ``docs`` to ``path/_raw``, and which documents went into it, in order, to ``path``.
 
-    ``path/ids`` has the blocks; ``path/order`` has ``(file, first, doc_ids)``: which
-    documents went into each file, in order, without a hint where they start.
+    The rows at ``path`` (Parquet) are of two kinds: ``file`` with a file's number, its size (``block``) and its name
+    (``payload``), and ``order`` with ids of its documents from the ``block``-th on, without a hint where they start.
     """
-    spark = docs.sparkSession
 
     def work(batches):
+        import uuid
+
         from pyspark import TaskContext
 
         release(keep="encoder")
         file, enc = TaskContext.get().partitionId(), encoder(tokenizer)
         end = enc.tokenizer.token_to_id(end_token)
         kind = np.dtype(f"<u{width}")
-        rest, number, seen = np.zeros(0, kind), 0, 0
+        fs, base = open_fs(f"{path}/_raw")
+        name, out, size, seen = f"{file:05d}-{uuid.uuid4().hex}.bin", None, 0, 0
         for part in blocks(batches):
             block = enc.encode(part["text"].combine_chunks(), special_as_text=True)
             ids, lengths = block.ids()
@@ -55,15 +59,15 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end_token: str, ids_p
             ids = np.insert(ids, np.cumsum(lengths), end)
             if len(ids) and ids.max() > np.iinfo(kind).max:
                 raise ValueError(f"file {file}: id {ids.max()} does not fit into {width} bytes")
-            rest = np.concatenate((rest, ids.astype(kind)))
-            rows = [{"kind": "order", "file": file, "block": seen, "payload": None, "doc_ids": part["doc_id"].to_pylist()}]
+            if out is None:
+                fs.create_dir(base, recursive=True)
+                out = fs.open_output_stream(f"{base}/{name}")
+            size += out.write(ids.astype(kind).tobytes())
+            yield pa.RecordBatch.from_pylist([{"kind": "order", "file": file, "block": seen, "payload": None, "doc_ids": part["doc_id"].to_pylist()}], schema=schema)
             seen += part.num_rows
-            while len(rest) >= ids_per_block:
-                rows.append({"kind": "ids", "file": file, "block": number, "payload": rest[:ids_per_block].tobytes(), "doc_ids": None})
-                rest, number = rest[ids_per_block:], number + 1
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-        if len(rest):
-            yield pa.RecordBatch.from_pylist([{"kind": "ids", "file": file, "block": number, "payload": rest.tobytes(), "doc_ids": None}], schema=schema)
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_pylist([{"kind": "file", "file": file, "block": size, "payload": name.encode(), "doc_ids": None}], schema=schema)
 
     schema = pa.schema([("kind", pa.string()), ("file", pa.int64()), ("block", pa.int64()), ("payload", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -72,10 +76,9 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end_token: str, ids_p
     ).partitionBy("kind").parquet(path)
 
 
-def flat_files(spark: SparkSession, path: str, range_bytes: int = 8 << 20) -> DataFrame:
-    """``(file, block, payload)`` of the raw files at ``path``: ranges of ``range_bytes`` (a multiple of the ids' width)."""
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "length")  # without the content
-    ranges = files.select(F.col("path").alias("file"), F.explode(F.expr(f"sequence(0L, (length - 1) div {range_bytes})")).alias("block"))
+def read_ranges(files: DataFrame, range_bytes: int = 8 << 20) -> DataFrame:
+    """``(file, block, payload)``: ranges of ``range_bytes`` (a multiple of the ids' width) of raw ``files`` (``file, length``)."""
+    ranges = files.where("length > 0").select("file", F.explode(F.expr(f"sequence(0L, (length - 1) div {range_bytes})")).alias("block"))
 
     def work(batches):
         for batch in batches:
@@ -86,7 +89,13 @@ def flat_files(spark: SparkSession, path: str, range_bytes: int = 8 << 20) -> Da
                     payload = f.read(range_bytes)
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([payload], pa.binary())], ["file", "block", "payload"])
 
-    return ranges.repartition(n_partitions(spark), "file", "block").mapInArrow(work, "file string, block long, payload binary")
+    return ranges.repartition(n_partitions(files.sparkSession), "file", "block").mapInArrow(work, "file string, block long, payload binary")
+
+
+def flat_files(spark: SparkSession, path: str, range_bytes: int = 8 << 20) -> DataFrame:
+    """``(file, block, payload)`` of the raw files at ``path``."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")  # without the content
+    return read_ranges(files, range_bytes)
 
 
 def scan(files: DataFrame, end_id: int, width: int = 2) -> DataFrame:
@@ -109,15 +118,18 @@ def scan(files: DataFrame, end_id: int, width: int = 2) -> DataFrame:
     found = files.select(F.col("file").cast("string").alias("file"), F.col("block").cast("long").alias("block"), F.col("payload")).mapInArrow(
         work, "file string, block long, n long, at array<long>"
     )
+    found = staged(found, "separators")
     order = Window.partitionBy("file").orderBy("block")
     past = order.rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        found.withColumn("base", F.coalesce(F.sum("n").over(past), F.lit(0)))
-        .withColumn("at", F.expr("transform(at, x -> x + base)"))
-        .withColumn("seen", F.coalesce(F.sum(F.size("at")).over(past), F.lit(0)))
-        .withColumn("carry", F.coalesce(F.max(F.expr("try_element_at(at, -1)")).over(past), F.lit(-1)))
+    totals = (
+        found.select("file", "block", "n", F.size("at").alias("k"), F.expr("try_element_at(at, -1)").alias("last"))
+        .withColumn("base", F.coalesce(F.sum("n").over(past), F.lit(0)))
+        .withColumn("seen", F.coalesce(F.sum("k").over(past), F.lit(0)))
+        .withColumn("carry", F.coalesce(F.max(F.col("last") + F.col("base")).over(past), F.lit(-1)))
         .withColumn("tail", F.lead("block").over(order).isNull())
+        .select("file", "block", "base", "seen", "carry", "tail")
     )
+    placed = found.join(totals, ["file", "block"]).withColumn("at", F.expr("transform(at, x -> x + base)"))
     ends = placed.select(
         "file", "seen", "carry", "at",
         F.when(
@@ -150,7 +162,9 @@ def counted(docs: DataFrame, tokenizer: str, end_token: str = "<|endoftext|>", p
         F.col("file").cast("string").alias("file"), F.col("block").alias("first"), F.posexplode("doc_ids").alias("i", "doc_id")
     )
     order = order.select("file", (F.col("first") + F.col("i")).alias("ordinal"), "doc_id")
-    found = scan(rows.where("kind = 'ids'").select("file", "block", "payload"), end_id, width)
+    files = rows.where("kind = 'file'").select(F.concat(F.lit(f"{path}/_raw/"), F.col("payload").cast("string")).alias("file"), F.col("block").alias("length"))
+    found = scan(read_ranges(files), end_id, width)
+    found = found.withColumn("file", F.regexp_extract("file", r"(\d+)-[0-9a-f]+\.bin$", 1).cast("long").cast("string"))
     both = found.join(order.withColumn("ordered", F.lit(True)), ["file", "ordinal"], "full")
     agree = F.coalesce(F.col("closed") & F.col("ordered"), F.lit(False))
     n_tokens = F.when(agree, F.col("n_tokens")).otherwise(F.raise_error(F.lit("a file's closed documents and ordered ids differ")).cast("long"))

@@ -228,3 +228,16 @@ def test_raw_files(spark, tmp_path):
     np.array([4, 4, 0, 5, 0], "<u4").tofile(tmp_path / "a.bin")
     raw = spark.read.format("binaryFile").load(f"file://{tmp_path}/*.bin").select(F.col("path").alias("file"), F.lit(0).alias("block"), F.col("content").alias("payload"))
     assert sorted(r["n_tokens"] for r in separators.scan(raw, 0, width=4).collect()) == [2, 3]
+
+
+def test_written_files_hold_ids_alone(spark, tmp_path):
+    texts = [t for t in TEXTS if not t or "<|" not in t]
+    path = f"file://{tmp_path}/flat"
+    separators.write_flat(docs(spark, [(i, t, "", 0) for i, t in enumerate(texts)]).coalesce(1), path, PATH, "<|endoftext|>")
+    (raw,) = (tmp_path / "flat" / "_raw").iterdir()
+    (tmp_path / "flat" / "_raw" / "00000-ab.bin").write_bytes(b"left by a task that was lost")
+    ids = np.fromfile(raw, "<u2")
+    end = encoder(PATH).tokenizer.token_to_id("<|endoftext|>")
+    assert ids.tolist() == [x for t in texts for x in (*plain(t), end)]
+    found = separators.scan(separators.flat_files(spark, f"{path}/_raw/{raw.name}", 64), end)
+    assert [r["n_tokens"] for r in found.orderBy("ordinal").collect()] == [len(plain(t)) + 1 for t in texts]
