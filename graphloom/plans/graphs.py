@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import closure as C
 from graphloom.operators import inference as I
+from graphloom.operators import labels as L
 from graphloom.plans.base import query, table
 from graphloom.plans.patterns import with_t
 from graphloom.sources.triples import load
@@ -205,6 +206,19 @@ def subsumed_keys(spark, d):
     return up.where(F.col("dst").startswith("type/S") & F.col("src").startswith("brand/")).select(F.col("src").alias("cls")).distinct()
 
 
+@query("subsumed_by_labels", """
+WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 1 UNION SELECT p_partkey, p_partkey - 3 FROM part WHERE p_partkey % 50 = 0),
+b AS (SELECT src, dst FROM e WHERE dst IN (2, 13, 47, 97) UNION SELECT e.src, b.dst FROM b JOIN e ON e.dst = b.src)
+SELECT dst AS top, CAST(count(*) AS BIGINT) AS n, CAST(sum(src) AS BIGINT) AS keys FROM b GROUP BY 1""")
+def subsumed_by_labels(spark, d):
+    """What is below some nodes of a hierarchy with cross edges, by interval labels."""
+    p = table(spark, d, "part")
+    cross = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") - 3).alias("dst"))
+    tops = spark.createDataFrame([(2,), (13,), (47,), (97,)], "node long")
+    found = L.below(L.labelled(C.alt(halves(spark, d), cross)), tops)
+    return found.groupBy(F.col("dst").alias("top")).agg(F.count("*").alias("n"), F.sum("src").alias("keys"))
+
+
 # --- analytics --------------------------------------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import aggregates as A
 from graphloom.operators import closure as C
+from graphloom.operators import labels as L
 from tests.test_semantics import closure_model, graph, rows
 
 
@@ -108,3 +109,32 @@ def test_percentiles_equal_a_sort(spark):
         assert [r[c] for c in ("high", "low", "top")] == pytest.approx([want(own, p) for p in (0.95, 0.0, 1.0)])
     assert A.percentiles(df, [], "v", {"m": 0.5}).first()["m"] == pytest.approx(statistics.median(v for _, v in found if v is not None))
     assert A.percentiles(df.limit(0), [], "v", {"m": 0.5}).first()["m"] == 0
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_interval_labels_equal_the_closure(spark, seed):
+    rng = random.Random(seed)
+    pairs = {(b, a) for a, b in (sorted(rng.sample(range(18), 2)) for _ in range((17, 34)[seed]))}
+    closure = closure_model(pairs)
+    labels = L.labelled(graph(spark, [*pairs, (99, 99)]))
+    nodes = spark.createDataFrame([(k,) for k in (0, 3, 7, 12, 17, 500)], "node long")
+    assert set(rows(L.above(labels, nodes))) == {(a, b) for a, b in closure if a in (0, 3, 7, 12, 17)}
+    assert set(rows(L.below(labels, nodes))) == {(a, b) for a, b in closure if b in (0, 3, 7, 12, 17)}
+    assert labels.nodes.count() == len({x for e in pairs for x in e} | {99})
+
+
+def test_labels_of_a_tree_are_a_row_a_node(spark):
+    n = 20_000
+    tree = spark.range(1, n).select(F.col("id").alias("src"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.expr("id div 2")).alias("dst"))
+    labels = L.labelled(tree)
+    assert labels.nodes.agg(F.count("*"), F.countDistinct("pre"), F.max("last")).first() == (n, n, n - 1) and labels.exceptions.isEmpty()
+    got = L.below(labels, spark.createDataFrame([(0,), (5,)], "node long")).groupBy("dst").count()
+    up = [0] * n
+    for k in range(n - 1, 0, -1):
+        up[0 if k % 3 == 0 else k // 2] += up[k] + 1
+    assert dict(rows(got)) == {0: n - 1, 5: up[5]}
+
+
+def test_labels_refuse_cycles(spark):
+    with pytest.raises(ValueError, match="cycle"):
+        L.labelled(graph(spark, [(1, 2), (2, 3), (3, 1), (4, 1)]))
