@@ -29,6 +29,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """From now on the session's Arrow batches hold about ``most`` bytes, however long their rows: sets and texts
+    of very long documents come in small batches, those of short ones by thousands."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def open_fs(uri: str):
     """The file system and path of a URI: local, HDFS, S3 or what else pyarrow opens."""
     from pyarrow.fs import FileSystem

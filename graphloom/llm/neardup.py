@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, small_side, staged
+from graphloom.llm.common import bounded_batches, components, small_side, staged
 from graphloom.llm.encode import blocks, release
 from graphloom.llm.shingles import fingerprints, shingle_sets, signatures
 
@@ -194,6 +194,7 @@ def links(classes: DataFrame, docs: DataFrame, percent: int = 75, coordinates: i
 
 def near_duplicates(docs: DataFrame, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES, width: int = 5) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document."""
+    bounded_batches(docs.sparkSession)
     rows = staged(described(docs, coordinates, width), "sets")
     classes = staged(
         rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("f", "g", "n").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes"
