@@ -23,7 +23,7 @@ def in_order(known, wanted):
     return taken - set(known) | (set(wanted) & set(known)), conflicts
 
 
-@pytest.mark.parametrize("seed", [1])
+@pytest.mark.parametrize("seed", [0])
 def test_edges_are_accepted_in_order(spark, seed):
     rng = random.Random(seed)
     wanted = {(a, b) for a, b in ((rng.randrange(12), rng.randrange(12)) for _ in range(16)) if a != b}
@@ -53,11 +53,11 @@ def distance(a, b):
 
 def test_unknown_keys_have_near_names(spark):
     rng = random.Random(3)
-    names = {f"{p}__{''.join(rng.choice('abc') for _ in range(rng.randrange(1, 9)))}" for p in ("ems", "exo") for _ in range(25)}
-    keys = {f"{p}__{''.join(rng.choice('abc') for _ in range(rng.randrange(1, 10)))}" for p in ("ems", "exo", "zzz") for _ in range(15)} | {"tags", "ems__", None, "ems__aaaaaaaaaaaaaaaaaaaaaaaa"}
+    names = {f"{p}__{''.join(rng.choice('abc') for _ in range(rng.randrange(1, 9)))}" for p in ("aa", "bb") for _ in range(25)}
+    keys = {f"{p}__{''.join(rng.choice('abc') for _ in range(rng.randrange(1, 10)))}" for p in ("aa", "bb", "zzz") for _ in range(15)} | {"tags", "aa__", None, "aa__aaaaaaaaaaaaaaaaaaaaaaaaa"}
     got = {r["key"]: (r["reason"], r["nearest"]) for r in V.unknown_keys(spark.createDataFrame([(k,) for k in keys] * 2, "key string"), spark.createDataFrame([(n,) for n in names], "name string")).collect()}
     want = {}
-    for key in keys - names - {None, "tags", "ems__"}:
+    for key in keys - names - {None, "tags", "aa__"}:
         prefix = key.split("__")[0]
         near = sorted((distance(key, n), n) for n in names if n.startswith(prefix + "__"))
         near = [n for d, n in near if d <= max(3, int(len(key) * 0.4))][:3]
