@@ -218,7 +218,8 @@ def predict(docs: DataFrame, model: Model, *keep: str, text: str = "text", poste
             for name, column in extra.items() if posterior else ():
                 out = out.append_column(name, column)
             yield from out.to_batches()
-        pa.default_memory_pool().release_unused()
+        part = whole = split = coded = codes = rows = real = letters = scores = lang = out = None  # but not the scores of words
+        release(keep="language")
 
     held = text if text in keep else "_text"
     return docs.select(*keep, *([] if text in keep else [F.col(text).cast("string").alias(held)])).mapInArrow(work, schema)
