@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import n_partitions, scratch
 from graphloom.llm.encode import Block, blocks, encoder, release, spread
 
+#: Bytes of text in a shard (a longer text is a shard of its own).
+SHARD_BYTES = 4 << 20
 FILE_SCHEMA = (
     "part int, shard int, tokens long, terminals int, doc_ids binary, id_null binary, doc_tokens binary, "
     "symbol_starts binary, rules binary, rule_lengths binary, symbols binary"
@@ -219,7 +221,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
         release(keep="encoder")
         order, enc = TaskContext.get().partitionId(), encoder(tokenizer)
         terminals = max(enc.tokenizer.get_vocab_size(), end_id + 1)
-        for number, part in enumerate(blocks(batches)):
+        for number, part in enumerate(blocks(batches, size=SHARD_BYTES)):
             block = enc.encode(part["text"].combine_chunks())
             n_docs = part.num_rows
             # the end id is a piece of its own after each document
@@ -242,6 +244,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
                 "doc_tokens": np.diff(before).astype("<u4").tobytes(), "symbol_starts": starts.astype("<u4").tobytes(),
                 "rules": pairs.tobytes(), "rule_lengths": grammar.lengths.astype("<u4").tobytes(), "symbols": symbols.astype("<u4").tobytes(),
             }
+            block = ended = grammar = symbols = starts = pairs = before = None  # not beside the next shard's
             yield pa.RecordBatch.from_pylist([row], schema=ARROW)
 
     rows.mapInArrow(work, FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
