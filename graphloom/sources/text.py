@@ -79,7 +79,7 @@ def usage_cost(turns: DataFrame, prices: dict[str, float] = PRICES) -> DataFrame
     return sums.withColumn("cost", sum((F.col(c) * p for c, p in prices.items()), F.lit(0.0)) / 1_000_000)
 
 
-FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})(.*)", re.S)
+CODE_FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})(.*)", re.S)
 WIKILINK = re.compile(r"\[\[([^\]]+)\]\]")
 
 
@@ -91,7 +91,7 @@ def link_targets(text: str) -> list[str]:
     """
     open_fence, kept = "", []
     for line in text.split("\n"):
-        m = FENCE.match(line)
+        m = CODE_FENCE.match(line)
         if not open_fence:
             if m and (m[1][0] == "~" or "`" not in m[2]):
                 open_fence = m[1]

@@ -141,3 +141,13 @@ def test_usage_of_logs(spark, tmp_path):
     assert [r["line"] for r in bad.collect()] == ["{broken"]
     got = {r["session"].rpartition("/")[2]: tuple(r)[1:] for r in X.usage_cost(turns).collect()}
     assert got == {"s": (2, 10, 4, 1_000_000, pytest.approx((150 + 300 + 1_500_000) / 1e6)), "a.jsonl": (1, 0, 1, 0, pytest.approx(75e-6))}
+
+
+def test_notes_with_front_matter_and_code_fences(spark):
+    from graphloom.sources import text as X
+
+    content = "---\nlabel: a\n---\nBody [[x]]\n```\n[[y]]\n```\n~~~\n[[z]]\n~~~~\n[[w]]"
+    notes = spark.createDataFrame([("n", content), ("m", "no front [[v]]")], "path string, content string")
+    assert [tuple(r) for r in X.notes_to_rows(notes).collect()] == [("n", "label", 0, "a")]
+    assert [tuple(r) for r in X.unparsable(notes).collect()] == [("m", "no-front-matter")]
+    assert sorted((r["path"], r["target"]) for r in X.wikilinks(notes, "path", "content").collect()) == [("m", "v"), ("n", "w"), ("n", "x")]
