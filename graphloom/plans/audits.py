@@ -317,6 +317,9 @@ def workflow_lint(spark, d):
 
 TAGS = "SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '\\b(?:th|on)[a-z]{6}\\b')) AS tag FROM documents WHERE lang = 'en'"
 
+#: A tag between ASCII word ends, as in the SQL; Java's own \\b would count accented letters as parts of words.
+TAG = r"(?<![A-Za-z0-9_])(?:th|on)[a-z]{6}(?![A-Za-z0-9_])"
+
 
 @query("tag_traceability", f"""
 WITH t AS ({TAGS}), q AS (SELECT DISTINCT source AS grp, tag FROM t WHERE doc_id % 2 = 0), u AS (SELECT DISTINCT tag FROM t WHERE doc_id % 2 = 1),
@@ -327,7 +330,7 @@ UNION ALL SELECT 'duplicate', tag, CAST(count(*) AS DOUBLE) FROM q GROUP BY tag
 UNION ALL SELECT CASE WHEN n < 5 THEN 'below-floor' ELSE 'coverage' END, grp, round(n, 6) FROM s""")
 def tag_traceability(spark, d):
     docs = table(spark, d, "documents").where("lang = 'en'")
-    tags = docs.select("doc_id", F.col("source").alias("grp"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b(?:th|on)[a-z]{6}\b"), F.lit(0))).alias("tag"))
+    tags = docs.select("doc_id", F.col("source").alias("grp"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TAG), F.lit(0))).alias("tag"))
     return V.traceability(tags.where("doc_id % 2 = 0").select("grp", "tag").distinct(), tags.where("doc_id % 2 = 1").select("tag", F.col("doc_id").alias("place")), floor=5.0)
 
 

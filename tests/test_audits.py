@@ -151,3 +151,14 @@ def test_notes_with_front_matter_and_code_fences(spark):
     assert [tuple(r) for r in X.notes_to_rows(notes).collect()] == [("n", "label", 0, "a")]
     assert [tuple(r) for r in X.unparsable(notes).collect()] == [("m", "no-front-matter")]
     assert sorted((r["path"], r["target"]) for r in X.wikilinks(notes, "path", "content").collect()) == [("m", "v"), ("n", "w"), ("n", "x")]
+
+
+def test_tags_end_at_accents_as_in_sql(spark, tmp_path):
+    from tests.compare import difference, duck
+
+    from graphloom.plans import catalog
+
+    texts = ["déonabcdef thabcdef", "thabcdefé x thabcdef_", "onabcdef, thabcdefg ONABCDEF", "THABCDEF-éthghijkl"]
+    spark.createDataFrame([(k, t, "en", f"s{k % 2}") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    next((tmp_path / "t").glob("part-*.parquet")).rename(tmp_path / "documents.parquet")
+    assert not difference(catalog.queries()["tag_traceability"](spark, str(tmp_path)), duck(str(tmp_path)), catalog.oracle_sql()["tag_traceability"])
