@@ -5,12 +5,19 @@ Durations are text (``P1DT2H``) at the edges, seconds or months as numbers insid
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MS = {"day": 86_400_000, "hour": 3_600_000, "minute": 60_000, "second": 1000}
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` in which ``value`` is computed once, however often ``f`` names it; nested functions would multiply otherwise."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def millis(ts: Column) -> Column:
     return F.unix_millis(ts.cast("timestamp"))
 
@@ -57,10 +64,15 @@ def zone(text: Column) -> Column:
     return F.regexp_extract(text, r"(Z|[+-]\d\d:\d\d)$", 1)
 
 
+def number(digits: Column, kind: str) -> Column:
+    """Digits as a number; none, or too many, are zero.  A leading zero keeps the empty text from failing in the cast, which is slow."""
+    return F.coalesce(F.concat(F.lit("0"), digits).try_cast(kind), F.lit(0).cast(kind))
+
+
 def _part(text: Column, letter: str, time: bool) -> Column:
     head = r"^-?P(?:\d+Y)?(?:\d+M)?" if not time else r"^-?P[^T]*T"
     body = {"D": r"(\d+)D", "H": r"(\d+)H", "M": r"(?:\d+H)?(\d+)M", "S": r"(?:\d+H)?(?:\d+M)?(\d+(?:\.\d+)?)S"}[letter]
-    return F.coalesce(F.regexp_extract(text, head + body, 1).try_cast("double"), F.lit(0.0))
+    return number(F.regexp_extract(text, head + body, 1), "double")
 
 
 def is_day_time(text: Column) -> Column:
@@ -69,34 +81,49 @@ def is_day_time(text: Column) -> Column:
 
 def seconds_of(text: Column) -> Column:
     """Seconds of a dayTimeDuration text; null where it is none."""
-    total = _part(text, "D", False) * 86400 + _part(text, "H", True) * 3600 + _part(text, "M", True) * 60 + _part(text, "S", True)
-    return F.when(is_day_time(text), F.when(text.startswith("-"), -total).otherwise(total))
+
+    def read(t: Column) -> Column:
+        total = _part(t, "D", False) * 86400 + _part(t, "H", True) * 3600 + _part(t, "M", True) * 60 + _part(t, "S", True)
+        return F.when(is_day_time(t), once(total, lambda n: F.when(t.startswith("-"), -n).otherwise(n)))
+
+    return once(text, read)
 
 
 def duration_text(seconds: Column) -> Column:
     """``P1DT2H3M4S`` of a number of seconds; whole seconds only, zero is ``PT0S``."""
-    n = F.abs(seconds).cast("long")
-    d, h = F.floor(n / 86400), F.floor(n % 86400 / 3600)
-    m, s = F.floor(n % 3600 / 60), n % 60
     piece = lambda v, u: F.when(v > 0, F.concat(v.cast("string"), F.lit(u))).otherwise("")
-    time = F.concat(piece(h, "H"), piece(m, "M"), piece(s, "S"))
-    body = F.concat(F.lit("P"), piece(d, "D"), F.when(time != "", F.concat(F.lit("T"), time)).otherwise(""))
-    return F.when(n.isNull(), None).when(n == 0, "PT0S").otherwise(F.concat(F.when(seconds < 0, "-").otherwise(""), body))
+
+    def write(signed: Column) -> Column:
+        n = F.abs(signed).cast("long")
+        d, h = F.floor(n / 86400), F.floor(n % 86400 / 3600)
+        m, s = F.floor(n % 3600 / 60), n % 60
+        time = once(F.concat(piece(h, "H"), piece(m, "M"), piece(s, "S")), lambda t: F.when(t != "", F.concat(F.lit("T"), t)).otherwise(""))
+        return F.when(n.isNull(), None).when(n == 0, "PT0S").otherwise(F.concat(F.when(signed < 0, "-").otherwise(""), F.lit("P"), piece(d, "D"), time))
+
+    return once(seconds, write)
 
 
 def months_of(text: Column) -> Column:
     """Months of a yearMonthDuration text; null where it is none."""
-    grab = lambda p: F.coalesce(F.regexp_extract(text, p, 1).try_cast("int"), F.lit(0))
-    total = grab(r"^-?P(\d+)Y") * 12 + grab(r"^-?P(?:\d+Y)?(\d+)M")
-    return F.when(F.rlike(text, F.lit(r"^-?P(?=\d)(\d+Y)?(\d+M)?$")), F.when(text.startswith("-"), -total).otherwise(total))
+
+    def read(t: Column) -> Column:
+        grab = lambda p: number(F.regexp_extract(t, p, 1), "int")
+        total = grab(r"^-?P(\d+)Y") * 12 + grab(r"^-?P(?:\d+Y)?(\d+)M")
+        return F.when(F.rlike(t, F.lit(r"^-?P(?=\d)(\d+Y)?(\d+M)?$")), once(total, lambda n: F.when(t.startswith("-"), -n).otherwise(n)))
+
+    return once(text, read)
 
 
 def months_text(months: Column) -> Column:
     """``P1Y2M`` of a number of months; zero is ``P0M``."""
-    n = F.abs(months)
-    y, m = F.floor(n / 12), n % 12
-    body = F.concat(F.lit("P"), F.when(y > 0, F.concat(y.cast("string"), F.lit("Y"))).otherwise(""), F.when(m > 0, F.concat(m.cast("string"), F.lit("M"))).otherwise(""))
-    return F.when(n.isNull(), None).when(n == 0, "P0M").otherwise(F.concat(F.when(months < 0, "-").otherwise(""), body))
+
+    def write(signed: Column) -> Column:
+        n = F.abs(signed)
+        y, m = F.floor(n / 12), n % 12
+        body = F.concat(F.lit("P"), F.when(y > 0, F.concat(y.cast("string"), F.lit("Y"))).otherwise(""), F.when(m > 0, F.concat(m.cast("string"), F.lit("M"))).otherwise(""))
+        return F.when(n.isNull(), None).when(n == 0, "P0M").otherwise(F.concat(F.when(signed < 0, "-").otherwise(""), body))
+
+    return once(months, write)
 
 
 def add_months(a: Column, b: Column) -> Column:
@@ -110,9 +137,8 @@ def subtract_months(a: Column, b: Column) -> Column:
 
 def month_component(text: Column, unit: str) -> Column:
     """Years or months as they stand in a yearMonthDuration's normal form: 14 months are 1 year and 2 months."""
-    n = months_of(text)
-    whole = F.floor(F.abs(n) / 12) if unit == "years" else F.abs(n) % 12
-    return F.when(n < 0, -whole).otherwise(whole).cast("long")
+    whole = lambda n: F.floor(F.abs(n) / 12) if unit == "years" else F.abs(n) % 12
+    return once(months_of(text), lambda n: F.when(n < 0, -whole(n)).otherwise(whole(n)).cast("long"))
 
 
 def plus_months(ts: Column, months: Column) -> Column:
@@ -131,12 +157,15 @@ def adjust(ts: Column, zone_name: str) -> Column:
 
 def component(text: Column, unit: str) -> Column:
     """Days, hours, minutes or seconds as they stand in a normal form: 90 minutes are 1 hour and 30 minutes."""
-    n = seconds_of(text)
-    whole = F.abs(n)
-    value = {
-        "days": F.floor(whole / 86400), "hours": F.floor(whole % 86400 / 3600), "minutes": F.floor(whole % 3600 / 60), "seconds": whole % 60,
-    }[unit]
-    return F.when(n < 0, -value).otherwise(value)
+
+    def read(n: Column) -> Column:
+        whole = F.abs(n)
+        value = {
+            "days": F.floor(whole / 86400), "hours": F.floor(whole % 86400 / 3600), "minutes": F.floor(whole % 3600 / 60), "seconds": whole % 60,
+        }[unit]
+        return F.when(n < 0, -value).otherwise(value)
+
+    return once(seconds_of(text), read)
 
 
 def in_units(text: Column, unit: str) -> Column:
@@ -163,6 +192,9 @@ def divide(a: Column, by: Column) -> Column:
 
 def timezone_duration(text: Column) -> Column:
     """``PT2H`` for ``+02:00``, ``PT0S`` for ``Z``, null without a zone."""
-    z = zone(text)
-    minutes = F.regexp_extract(z, r"(\d\d):", 1).try_cast("int") * 60 + F.regexp_extract(z, r":(\d\d)", 1).try_cast("int")
-    return F.when(z == "Z", "PT0S").when(z != "", duration_text(F.when(z.startswith("-"), -minutes).otherwise(minutes) * 60))
+
+    def read(z: Column) -> Column:
+        minutes = F.regexp_extract(z, r"(\d\d):", 1).try_cast("int") * 60 + F.regexp_extract(z, r":(\d\d)", 1).try_cast("int")
+        return F.when(z == "Z", "PT0S").when(z != "", duration_text(F.when(z.startswith("-"), -minutes).otherwise(minutes) * 60))
+
+    return once(zone(text), read)

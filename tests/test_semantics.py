@@ -371,3 +371,15 @@ def test_random_terms_and_the_clock(spark):
     found = spark.range(200).select(*named.values()).collect()
     assert len({x["UUID"] for x in found}) == len({x["STRUUID"] for x in found}) == 200 and all(x["UUID"].startswith("urn:uuid:") for x in found)
     assert all(0 <= x["RAND"] < 1 for x in found) and len({x["NOW"] for x in found}) == 1
+
+
+def test_nested_durations_name_their_operands_once(spark):
+    from graphloom.functions import times as D
+
+    a, m = F.lit("PT90M"), F.lit("P14M")
+    sizes = []
+    for _ in range(4):
+        a, m = D.subtract(D.add(a, F.lit("PT1H")), F.lit("PT30S")), D.add_months(m, F.lit("P1Y"))
+        sizes.append(len(str(a)) + len(str(m)))
+    assert sizes[3] < 5 * sizes[0]  # each step multiplied it when operands were written out again
+    assert tuple(spark.range(1).select(a, m, D.component(a, "seconds"), D.seconds_of(F.lit("PT")), D.months_of(F.lit("P")), D.months_of(F.lit(None).cast("string"))).first()) == ("PT5H28M", "P5Y2M", 0.0, None, None, None)
