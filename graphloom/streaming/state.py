@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, DataType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, LongType, StringType, StructField, StructType
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -30,9 +30,10 @@ def fields(**kinds: DataType) -> StructType:
 class Moves(StatefulProcessor):
     """Illegal moves of one key.
 
-    Rows wait, by time and id, until the watermark is past them, so that rows that come out of
-    order are judged in order; ``last`` is the state that the key was in.  It is forgotten
-    ``expire_ms`` after its row: what comes later is a first state.
+    Rows wait until the watermark is past them, so that rows that come out of order are judged
+    in order; ``last`` is the state that the key was in.  It is forgotten ``expire_ms`` after its
+    row: what comes later is a first state.  The rows of a batch are one list that is stored by
+    one call, with a timer for the earliest; those that still wait after it get the next one.
     """
 
     def __init__(self, allowed: list[tuple[str, str]], expire_ms: int):
@@ -41,29 +42,34 @@ class Moves(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", fields(at=LongType(), state=StringType()))
-        self.waiting = handle.getMapState("waiting", fields(at=LongType(), id=LongType()), fields(state=StringType()))
+        self.waiting = handle.getListState("waiting", fields(at=ArrayType(LongType()), id=ArrayType(LongType()), state=ArrayType(StringType())))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = set()
+        first = None
         for part in rows:
-            for at, i, state in zip(part["at"], part["id"], part["state"], strict=True):
-                self.waiting.updateValue((int(at), int(i)), (state,))
-                times.add(int(at) // 1000 + 1)
-        for t in times:
-            self.handle.registerTimer(t)
+            at, ids, states = ([*map(int, part["at"])], [*map(int, part["id"])], part["state"].tolist())
+            self.waiting.appendValue((at, ids, states))
+            first = min(at) if first is None else min(first, *at)
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         last = self.last.get() if self.last.exists() else None
-        due = sorted((k[0], k[1], v[0]) for k, v in self.waiting.iterator() if k[0] < now)
+        held = {(at, i): state for part in self.waiting.get() for at, i, state in zip(*part, strict=True)}
+        due = sorted((*k, state) for k, state in held.items() if k[0] < now)
         found = []
         for at, i, state in due:
-            self.waiting.removeKey((at, i))
             if last is not None and at - last[0] <= self.expire_ms * 1000 and last[1] != state and (last[1], state) not in self.allowed:
                 found.append((key[0], at, i, last[1], state))
             last = (at, state)
         if due:
+            later = sorted((*k, state) for k, state in held.items() if k[0] >= now)
+            self.waiting.clear()
+            if later:
+                self.waiting.appendValue(tuple(map(list, zip(*later, strict=True))))
+                self.handle.registerTimer(later[0][0] // 1000 + 1)
             self.last.update(last)
             self.handle.registerTimer((last[0] // 1000) + self.expire_ms + 1)
         elif last is not None and last[0] + self.expire_ms * 1000 < now:
@@ -98,23 +104,24 @@ class Waiting(StatefulProcessor):
         self.known = handle.getValueState("known", fields(known=BooleanType()))
         self.edges = handle.getListState("edges", fields(src=StringType(), dst=StringType(), edge=StringType()))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        came, held = self.known.exists(), []
-        known = came
-        for part in rows:
-            is_node = part["edge"].isna()
-            known = known or bool(is_node.any())
-            edges = part[~is_node]
-            held += list(zip(edges["src"], edges["dst"], edges["edge"], strict=True))
-        if known and not came:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        is_node, held = False, []
+        for r in rows:
+            if r["edge"] is None:
+                is_node = True
+            else:
+                held.append((r["src"], r["dst"], r["edge"]))
+        if is_node:  # few calls of the state: a node that came before has no edges that wait
+            waited = [tuple(e) for e in self.edges.get()]
+            if waited:
+                held = waited + held
+                self.edges.clear()
             self.known.update((True,))
-            held = [tuple(e) for e in self.edges.get()] + held
-            self.edges.clear()
-        if not known:
-            for e in held:
-                self.edges.appendValue(e)
-        elif held:
-            yield pd.DataFrame(held, columns=["src", "dst", "edge"])
+        if is_node or self.known.exists():
+            for src, dst, edge in held:
+                yield Row(src=src, dst=dst, edge=edge)
+        else:
+            self.edges.appendList(held)
 
     def close(self) -> None:
         pass
@@ -129,7 +136,7 @@ def _resolved(edges: DataFrame, nodes: DataFrame, end: str, salts: int) -> DataF
     nothing = F.lit(None).cast("string")
     a = edges.select(F.col(end).alias("node"), salt.alias("salt"), "src", "dst", "edge")
     b = nodes.select(F.col("id").cast("string").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), nothing.alias("src"), nothing.alias("dst"), nothing.alias("edge"))
-    return a.unionByName(b).groupBy("node", "salt").transformWithStateInPandas(Waiting(), EDGE, "Append", "None")
+    return a.unionByName(b).groupBy("node", "salt").transformWithState(Waiting(), EDGE, "Append", "None")
 
 
 def waiting_edges(edges: DataFrame, nodes: DataFrame, salts: int = 8) -> DataFrame:

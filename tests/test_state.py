@@ -6,7 +6,9 @@ import os
 import random
 import time
 import uuid
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from graphloom.operators import refresh as R
@@ -70,6 +72,28 @@ def test_edges_wait_for_their_nodes(spark):
     assert rows(K.unresolved(spark, f"{at}/state")) == sorted(open_ends, key=repr)
 
 
+def test_moves_and_edges_call_their_state_by_batches():
+    """Each call of the state is a round trip; there must be a few for a key, not some for each row."""
+    calls = Counter()
+
+    class State:
+        def __getattr__(self, name):
+            def call(*_):
+                calls[name] += 1
+                return iter(()) if name == "get" else False if name == "exists" else self
+            return call
+
+    moves = K.Moves([], 1000)
+    moves.init(State())
+    list(moves.handleInputRows(("k",), iter([pd.DataFrame({"at": range(10, 500_000, 100), "id": range(10, 500_000, 100), "state": "a"})]), None))
+    assert calls["updateValue"] == 0 and calls["appendValue"] == calls["registerTimer"] == 1
+    calls.clear()
+    edges = K.Waiting()
+    edges.init(State())
+    list(edges.handleInputRows(("n", 0), iter([{"src": "n", "dst": "m", "edge": str(k)} for k in range(1000)]), None))
+    assert sum(calls.values()) - calls["getValueState"] - calls["getListState"] <= 2 and calls["appendList"] == 1
+
+
 def test_batches_rewrite_their_buckets_only(spark):
     at = folder(spark)
     table = J.Bucketed(spark, at, "k long, v string", "k", buckets=16)
