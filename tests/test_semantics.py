@@ -393,3 +393,14 @@ def test_compatible_join_is_dealt_out(spark):
     assert out.count() == sum((c % 100 == 0) or (k % 10 == 0) or c % 2 == k % 2 for c in range(4000) for k in range(50))
     shares = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert max(shares) < sum(shares) / 3
+
+
+def test_types_are_dealt_out_before_they_multiply(spark):
+    from graphloom.operators.inference import infer_types
+
+    types = spark.createDataFrame([("a", "A"), ("a", "B"), ("b", "A"), ("c", "X"), ("c", "X"), ("d", None)], "s string, cls string")
+    up = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "B")], "src string, dst string")
+    assert sorted(tuple(r) for r in infer_types(types, up).collect()) == [("a", "C"), ("b", "B"), ("b", "C")]
+    many = spark.range(4000, numPartitions=1).selectExpr("'i' || id AS s", "'A' AS cls")
+    shares = [r["count"] for r in infer_types(many, up).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == 8000 and max(shares) < 8000 / 2
