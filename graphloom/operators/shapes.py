@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.closure import alt, condense, cut, identity, inverse, reach, reduction, scc, small
+from graphloom.operators.closure import alt, condense, covered, cut, identity, inverse, reach, reduction, scc, small
 from graphloom.operators.domain import places
 
 INTEGER, DECIMAL = r"^[+-]?\d+$", r"^[+-]?(\d+(\.\d*)?|\.\d+)$"
@@ -271,7 +271,7 @@ def accepted_in_order(known: DataFrame, wanted: DataFrame) -> tuple[DataFrame, D
         yes.append(free)
         taken = cut(alt(taken, free))
         base = cut(inside(taken, members).select(*edges))
-        closing = cut(held.join(inverse(reach(base)), edges, "left_semi").select(*edges))
+        closing = cut(inverse(covered(inverse(held), base)))
         no.append(closing)
         live = cut(places(held.join(closing, edges, "left_anti"), ["component", *edges]))
         if live.isEmpty():
@@ -315,11 +315,11 @@ def propose_imports(derived: DataFrame, declared: DataFrame) -> DataFrame:
 def dependency_coverage(facts: DataFrame, declared: DataFrame) -> DataFrame:
     """Fact edges between packages that the closure of the declared ones does not cover, and those
     that a direct one lacks for; no facts at all are one row ``broken``, as nothing was audited."""
-    cover = reach(declared)
+    covers = covered(facts.where("src <> dst"), declared)
     direct = declared.select("src", "dst", F.lit(True).alias("direct"))
     e = facts.where("src <> dst").select("src", "dst").distinct()
-    missing = e.join(cover, ["src", "dst"], "left_anti").select("src", "dst", F.lit("uncovered").alias("verdict"))
-    gap = e.join(cover, ["src", "dst"], "left_semi").join(direct, ["src", "dst"], "left").where("direct IS NULL").select("src", "dst", F.lit("indirect").alias("verdict"))
+    missing = e.join(covers, ["src", "dst"], "left_anti").select("src", "dst", F.lit("uncovered").alias("verdict"))
+    gap = covers.join(direct, ["src", "dst"], "left").where("direct IS NULL").select("src", "dst", F.lit("indirect").alias("verdict"))
     broken = facts.sparkSession.range(1).join(facts.limit(1), F.lit(True), "left_anti").select(*[F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in ("src", "dst")], F.lit("broken").alias("verdict"))
     return missing.unionByName(gap).unionByName(broken)
 
