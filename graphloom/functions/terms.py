@@ -6,7 +6,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: The numeric datatypes.
@@ -103,12 +103,20 @@ def fold(x: Column) -> Column:
 
 
 def normalize(x: Column, form: str = "NFC") -> Column:
-    """Unicode normal form; the one function that Spark's own lack."""
+    """Unicode normal form; the one function that Spark's own lack.
+
+    ASCII is its own form, so only other texts go to Python; ``bounded_batches`` bounds what a worker holds of them.
+    """
     @F.pandas_udf("string")
     def work(s: pd.Series) -> pd.Series:
         return s.str.normalize(form)
 
-    return work(x)
+    return F.coalesce(work(F.when(x.rlike("[^\\x00-\\x7F]"), x)), x)
+
+
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """From now on the session's Arrow batches hold about ``most`` bytes, however long their texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def round_half_up(x: Column) -> Column:

@@ -183,11 +183,13 @@ def first_wins(spark, d):
 NAMES = "SELECT n_nationkey, "
 
 
-def scalar(name: str, source: str, key: str, columns: dict, sql: str) -> None:
-    """A query of Column builders over one table."""
+def scalar(name: str, source: str, key: str, columns: dict, sql: str, python: bool = False) -> None:
+    """A query of Column builders over one table; ``python`` tells that one of them runs in Python tasks."""
 
     @query(name, f"SELECT {key}, {sql} FROM {source}")
     def run(spark, d):
+        if python:
+            T.bounded_batches(spark)
         return table(spark, d, source).select(key, *[c().alias(k) for k, c in columns.items()])
 
 
@@ -203,7 +205,7 @@ scalar("fn_strbefore_after", "part", "p_partkey", {"b": lambda: T.strbefore(C("p
 scalar("fn_regex_replace", "part", "p_partkey", {"m": lambda: T.regex(C("p_type"), "^s.*l$", "i"), "r": lambda: T.replace(C("p_name"), "[aeiou]", "_"), "f": lambda: T.replace(C("p_name"), "[aeiou]", "_", "i")},
        "regexp_matches(p_type, '(?i)^s.*l$') AS m, regexp_replace(p_name, '[aeiou]', '_', 'g') AS r, regexp_replace(p_name, '(?i)[aeiou]', '_') AS f")
 scalar("fn_encode_uri", "pages", "page_id", {"u": lambda: T.encode_for_uri(C("url"))}, "replace(url_encode(url), '+', '%20') AS u")
-scalar("fn_fold_normalize", "documents", "doc_id", {"f": lambda: F.md5(T.fold(C("text"))), "n": lambda: F.md5(T.normalize(C("text"), "NFC"))}, "md5(replace(lower(text), 'ß', 'ss')) AS f, md5(nfc_normalize(text)) AS n")
+scalar("fn_fold_normalize", "documents", "doc_id", {"f": lambda: F.md5(T.fold(C("text"))), "n": lambda: F.md5(T.normalize(C("text"), "NFC"))}, "md5(replace(lower(text), 'ß', 'ss')) AS f, md5(nfc_normalize(text)) AS n", python=True)
 scalar("fn_numeric", "customer", "c_custkey", {"a": lambda: F.abs("c_acctbal"), "c": lambda: F.ceil("c_acctbal"), "f": lambda: F.floor("c_acctbal"), "r": lambda: T.round_half_up(C("c_acctbal")), "h": lambda: T.to_hours(C("c_acctbal") * 10000), "half": lambda: T.round_half_up(C("c_nationkey") * -0.5)},
        "abs(c_acctbal) AS a, CAST(ceil(c_acctbal) AS BIGINT) AS c, CAST(floor(c_acctbal) AS BIGINT) AS f, CAST(floor(c_acctbal + 0.5) AS BIGINT) AS r, round(c_acctbal * 10000 / 3600000.0, 2) AS h, CAST(floor(CAST(c_nationkey AS DOUBLE) * -0.5 + 0.5) AS BIGINT) AS half")
 scalar("fn_hash", "customer", "c_custkey", {"m": lambda: F.md5("c_name"), "s": lambda: F.sha1("c_name"), "t": lambda: F.sha2("c_name", 256)}, "md5(c_name) AS m, sha1(c_name) AS s, sha256(c_name) AS t")
