@@ -6,7 +6,10 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from graphloom.operators import closure as C
+from graphloom.operators import domain as W
 from graphloom.operators import shapes as V
 
 
@@ -75,3 +78,15 @@ def test_coverage_stops_where_facts_are_decided(spark):
     got = {tuple(x) for x in V.dependency_coverage(facts, e).collect()}
     assert got == {(i, i + 2, "indirect") for i in range(0, 300, 7)} | {(400, 3, "uncovered")}
     assert shuffled(spark, lambda: V.dependency_coverage(facts, e)) < 10_000  # the closure has 80,200 pairs
+
+
+def test_copies_of_long_intervals_grow_with_the_rows(spark):
+    """A crowded cell is dealt out to a bounded number of parts, so a long interval's copies are no share of the cell."""
+    rows = spark.range(8000).select(F.col("id").alias("k"), F.timestamp_seconds(F.col("id") * 21_600).alias("a"), F.timestamp_seconds(F.col("id") * 21_600 + F.when(F.col("id") % 40 == 0, 400_000_000).otherwise(90)).alias("b"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n = shuffled(spark, lambda: W.overlaps(rows, "k", "a", "b", hot=8))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert n < 150_000  # 225,615 with a part for each eight rows
