@@ -256,17 +256,21 @@ def accepted_in_order(known: DataFrame, wanted: DataFrame) -> tuple[DataFrame, D
     """Of the edges ``wanted``, one after the other by (src, dst): those that close no cycle with ``known`` ones and
     those accepted before, and the others.
 
-    Rounds over all of them at once.  An edge that is on no cycle of everything left is accepted;
+    One whose inverse is known goes first.  Then rounds over all at once.  An edge that is on no cycle of everything left is accepted;
     one that what is accepted already closes is not.  In each component that is left, halving
     finds the first edge in order that closes a cycle: the edges before it are accepted, it is not.
     """
     edges = ["src", "dst"]
-    yes, no = [], []
-    taken, live = cut(known.select(*edges)), cut(wanted.select(*edges).distinct())
+    taken, wanted = cut(known.select(*edges)), cut(wanted.select(*edges).distinct())
+    yes, no = [], [cut(wanted.join(inverse(taken), edges, "left_semi"))]
+    live = cut(wanted.join(no[0], edges, "left_anti"))
     inside = lambda df, members: df.join(members.select(F.col("node").alias("src"), "component"), "src").join(members.select(F.col("node").alias("dst"), F.col("component").alias("_c")), "dst").where("component = _c").drop("_c")
     while not live.isEmpty():
         members = cut(scc(alt(taken, live)))
         held = cut(inside(live, members).select("component", *edges))
+        if held.isEmpty():
+            yes.append(live)
+            break
         free = live.join(held, edges, "left_anti")
         yes.append(free)
         taken = cut(alt(taken, free))

@@ -90,3 +90,15 @@ def test_copies_of_long_intervals_grow_with_the_rows(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert n < 150_000  # 225,615 with a part for each eight rows
+
+
+def test_imports_of_a_tree_take_few_tables(spark, monkeypatch):
+    """Trees are trimmed whole, not coloured, and an edge against a declared one is refused before any search."""
+    written, n = C.written, []
+    monkeypatch.setattr(C, "written", lambda df: n.append(1) or written(df))
+    e = [(i, i // 2) for i in range(2, 400)]
+    up = dict(e)
+    derived = {p for p in e if p[0] % 24 != 12} | {(a, up[b]) for a, b in e if b in up} | {(b, a) for a, b in e if a % 24 == 12}
+    got = {tuple(r) for r in V.propose_imports(graph(spark, list(derived)), graph(spark, [p for p in e if p[0] % 3 == 0])).collect()}
+    assert got == {(a, b, "add") for a, b in e if a % 3} | {(b, a, "conflict") for a, b in e if a % 24 == 12}
+    assert len(n) <= 60, len(n)
