@@ -19,8 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.closure import alt, cut, inverse, pairs, plus, reach, seq
-from graphloom.operators.inference import TYPE, inherit
+from graphloom.operators.closure import alt, cut, pairs, reach, seq
+from graphloom.operators.inference import TYPE, handed_on, inherit
 
 SUPERCLASS, PROTOTYPE = "rdfs:subClassOf", "prototype"
 
@@ -85,6 +85,16 @@ def maintained_closure(closure: DataFrame, edges: DataFrame, removed: DataFrame,
     return closure
 
 
+def inherited_by(heirs: DataFrame, triples: DataFrame, links: DataFrame, inherited: DataFrame, multi: list[str], depth: int) -> DataFrame:
+    """What ``heirs`` (column ``s``) inherit; what all other prototypes hand on is their own and what ``inherited`` has of them."""
+    up, end = links.join(heirs.select(F.col("s").alias("src")), "src", "left_semi"), heirs.select(F.col("s").alias("dst"))
+    own = triples.withColumn("depth", F.lit(0))
+    known = own.unionByName(inherited).where(F.col("depth") < depth).select(F.col("s").alias("dst"), "p", "o", (F.col("depth") + 1).alias("depth"))
+    given = up.join(end, "dst", "left_anti").join(known, "dst").select(F.col("src").alias("s"), "p", "o", "depth")
+    values = cut(own.join(heirs, "s", "left_semi").unionByName(given))
+    return handed_on(values, up.join(end, "dst", "left_semi"), multi, depth).where("depth > 0")
+
+
 def refreshed(before: Facts, manifest: DataFrame, reparsed: DataFrame, paths: DataFrame, multi: list[str], depth: int = 10) -> Facts:
     """``before`` with ``reparsed`` rows in place of all rows of ``paths``."""
     paths = cut(paths.select("path").distinct())
@@ -105,10 +115,10 @@ def refreshed(before: Facts, manifest: DataFrame, reparsed: DataFrame, paths: Da
     inferred = before.types.join(touched, "s", "left_anti").unionByName(typed(types.join(touched, "s", "left_semi"), closure))
 
     both = alt(links(before.rows, PROTOTYPE), links(rows, PROTOTYPE))
-    changed = moved.where(~F.col("p").isin(TYPE, SUPERCLASS)).select("s").distinct()
-    below = plus(inverse(both), start=changed.select(F.col("s").alias("src")), depth=depth).select(F.col("dst").alias("s"))
-    heirs = cut(changed.unionByName(below).distinct())
-    again = inherit(properties(rows), links(rows, PROTOTYPE), multi, depth=depth, start=heirs.select(F.col("s").alias("src")))
+    changed = cut(moved.where(~F.col("p").isin(TYPE, SUPERCLASS)).select("s").distinct())
+    mark = F.lit("").alias("p"), F.lit("").alias("o"), F.lit(0).alias("depth")
+    heirs = cut(handed_on(changed.select("s", *mark), both, [], depth).select("s"))
+    again = inherited_by(heirs, properties(rows), links(rows, PROTOTYPE), before.inherited, multi, depth)
     inherited = before.inherited.join(heirs, "s", "left_anti").unionByName(again)
     return Facts(cut(manifest.select("path", "mtime", "size")), rows, closure, cut(inferred), cut(inherited))
 

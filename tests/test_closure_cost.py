@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import closure as C
 from graphloom.operators import domain as W
+from graphloom.operators import inference as I
+from graphloom.operators import refresh as R
 from graphloom.operators import shapes as V
 
 
@@ -102,3 +104,35 @@ def test_imports_of_a_tree_take_few_tables(spark, monkeypatch):
     got = {tuple(r) for r in V.propose_imports(graph(spark, list(derived)), graph(spark, [p for p in e if p[0] % 3 == 0])).collect()}
     assert got == {(a, b, "add") for a, b in e if a % 3} | {(b, a, "conflict") for a, b in e if a % 24 == 12}
     assert len(n) <= 60, len(n)
+
+
+def kept(own, links, multi, depth):
+    """What is inherited: least depths of values by breadth-first search, of each value or of each predicate."""
+    steps = depths({(a, b) for a, b in links if a != b})
+    far = [(s, p, o, 0) for s, p, o in own] + [(a, p, o, k) for (a, b), k in steps.items() if k <= depth for s, p, o in own if s == b]
+    key = lambda r: (r[0], r[1], r[2] if r[1] in multi else None)
+    least = {}
+    for r in far:
+        least[key(r)] = min(r[3], least.get(key(r), depth))
+    return {r for r in far if 0 < r[3] == least[key(r)]}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_values_handed_on_in_random_graphs(spark, seed, monkeypatch):
+    monkeypatch.setattr(I.handed_on, "__defaults__", (seed,))
+    r = random.Random(seed)
+    links = {(r.randrange(12), r.randrange(12)) for _ in range(16)} | {(k, k - 1) for k in range(20, 34)}
+    own = {(r.choice([*range(12), *range(19, 34)]), r.choice(["name", "tag"]), r.choice(["x", "y", None])) for _ in range(9)} | {(19, "name", "end")}
+    t = spark.createDataFrame([*own, *list(own)[:3]], "s long, p string, o string")
+    for depth, multi in ((10, ["tag"]), (10, []), (3, ["tag"]), (1, ["tag"])):
+        got = [tuple(x) for x in I.inherit(t, graph(spark, list(links)), multi, depth=depth).collect()]
+        assert len(got) == len(set(got)) and set(got) == kept(own, links, multi, depth)
+    assert I.inherit(t, graph(spark, [(1, 1)]), ["tag"]).isEmpty()
+
+
+def test_inheritance_shuffles_few_rows_for_each_node(spark):
+    """Values are handed on, not joined to the chains of all prototypes, of which a node has ten here."""
+    links = C.cut(halving(spark, 8000))
+    own = C.cut(spark.range(8000).where("id % 10 = 1").selectExpr("id AS s", "'name' AS p", "cast(id AS string) AS o"))
+    n = shuffled(spark, lambda: I.inherit(own, links, []))
+    assert n < 80_000, n
