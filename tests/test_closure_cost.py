@@ -136,3 +136,15 @@ def test_inheritance_shuffles_few_rows_for_each_node(spark):
     own = C.cut(spark.range(8000).where("id % 10 = 1").selectExpr("id AS s", "'name' AS p", "cast(id AS string) AS o"))
     n = shuffled(spark, lambda: I.inherit(own, links, []))
     assert n < 80_000, n
+
+
+def test_refresh_walks_no_pairs(spark, monkeypatch):
+    """Heirs of changed notes are found as nodes, and take what other notes hand on from what followed before."""
+    monkeypatch.setattr(I.handed_on, "__defaults__", (200,))
+    said = "array(named_struct('p', 'prototype', 'o', 'n' || (id div 2)), named_struct('p', 'tag', 'o', if({c} AND id % 5 = 1, 'new', if(id % 2 = 1, 'v' || id, NULL)))) AS said"
+    files = lambda c: spark.range(1, 4000).selectExpr("'n' || id AS path", f"if({c} AND id % 5 = 1, 2L, 1L) AS mtime", "1L AS size", said.format(c=c))
+    parse = lambda df: df.selectExpr("path", "path AS s", "inline(said)").where("o IS NOT NULL").selectExpr("path", "s", "p", "o")
+    before, after = R.refresh(None, files("false"), parse, [])[2], []
+    n = shuffled(spark, lambda: after.append(R.refresh(before, files("true"), parse, [])[2]) or after[0].inherited)
+    assert sorted(after[0].inherited.collect()) == sorted(R.facts(files("true"), parse(files("true")), []).inherited.collect())
+    assert n < 85_000, n
