@@ -42,6 +42,8 @@ from graphloom.llm.encode import blocks, release, spread, worker_cache
 
 #: Bytes of text that are aligned at once.
 BLOCK_BYTES = 2 << 20
+#: A stored block is a row of megabytes, and who writes or reads a row group holds all its rows at once.
+ROW_GROUPS = {"parquet.block.row.count.limit": "4"}
 #: Units that a worker remembers; past it, it starts anew.
 CACHE_UNITS = 200_000
 #: Units that are encoded as one text.
@@ -276,13 +278,13 @@ class Aligner:
         pairs = counted["pair"].combine_chunks()
         place = pc.index_in(pa.array(links), value_set=pairs).to_numpy(zero_copy_only=False)
         return out | {
-            "units_at": offsets, "units": local, "links_at": np.concatenate(([0], np.cumsum(n_links))), "links": place,
+            "units_at": offsets, "units": local, "links_of": n_links, "links": place,
             "pairs": pairs.to_numpy(), "counts": counted["n_sum"].to_numpy(),
         }
 
 
 LONGS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "pairs", "counts")
-INTS = ("units_at", "units", "links_at", "links")
+INTS = ("units_at", "units", "links_of", "links")
 BLOCK = pa.schema([("block", pa.string()), *[(c, pa.list_(pa.int64())) for c in LONGS], *[(c, pa.list_(pa.int32())) for c in INTS], ("groups_sha256", pa.list_(pa.string()))])
 BLOCK_DDL = "block string, " + ", ".join([*[f"{c} array<long>" for c in LONGS], *[f"{c} array<int>" for c in INTS]]) + ", groups_sha256 array<string>"
 RESULT = pa.schema([*[(c, pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")], ("groups_sha256", pa.string())])
@@ -309,7 +311,8 @@ def _documents(batches):
     for batch in batches:
         for k in range(batch.num_rows):
             get = lambda c, k=k: batch.column(batch.schema.get_field_index(c))[k].values
-            links, links_at, units, units_at = (get(c).to_numpy() for c in ("links", "links_at", "units", "units_at"))
+            links, links_of, units, units_at = (get(c).to_numpy() for c in ("links", "links_of", "units", "units_at"))
+            links_at = np.concatenate(([0], np.cumsum(links_of)))
             out = {c: get(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
             for c, of_pair in (("n_best", "best"), ("count_sum", "total")):
                 of_link = np.concatenate(([0], np.cumsum(get(of_pair).to_numpy()[links])))
@@ -322,7 +325,7 @@ def _documents(batches):
 def aligned_documents(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``RESULT_DDL`` for every row of ``docs``: its tokens on both sides, groups, links, and how its links fare in the corpus."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = staged(texts.mapInArrow(_blocks(a_path, b_path, block_bytes), BLOCK_DDL), "aligned")
+    held = staged(texts.mapInArrow(_blocks(a_path, b_path, block_bytes), BLOCK_DDL), "aligned", **ROW_GROUPS)
     partial = held.select(F.explode(F.arrays_zip("pairs", "counts")).alias("p")).select("p.pairs", "p.counts")
     sums = staged(partial.groupBy(F.col("pairs").alias("pair")).agg(F.sum("counts").alias("total")), "pairs")
     b = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))

@@ -18,14 +18,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again.
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written (with the writer's ``options``) as a table in the shared folder and read again.
 
     This cuts the lineage: a lost executor costs no more than the stage at hand.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

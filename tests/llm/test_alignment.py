@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import glob
 import hashlib
 import random
 from collections import Counter
@@ -7,12 +8,14 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from graphloom.llm import alignment, queries
+from graphloom.operators.closure import shared_root
 
 A, B = (str(public_tokenizers.path(n)) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 ODD = [
@@ -121,3 +124,12 @@ def test_other_tokenizers_are_not_cut(tools):
     assert all((x[c] == y[c]).all() for c in alignment.Aligner.COUNTS)
     assert dict(zip(x["pairs"].tolist(), x["counts"].tolist(), strict=True)) == dict(zip(y["pairs"].tolist(), y["counts"].tolist(), strict=True))
     assert np.diff(x["units_at"]).max() <= 1
+
+
+def test_stored_blocks_are_read_some_at_a_time(spark):
+    """A block is a row of megabytes, and a reader holds a whole row group."""
+    there = lambda: {*glob.glob(f"{shared_root(spark).removeprefix('file://')}/aligned-*/*.parquet")}
+    before, df = there(), spark.range(0, 200, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 20) AS text")
+    assert alignment.aligned_documents(df, A, B, 200).where("n_links > 0").count() == 200
+    groups = [m.row_group(k).num_rows for f in there() - before for m in [pq.read_metadata(f)] for k in range(m.num_row_groups)]
+    assert sum(groups) == 200 and max(groups) <= 4
