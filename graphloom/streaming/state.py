@@ -8,6 +8,7 @@ query's checkpoint after a restart.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -19,8 +20,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def with_state(spark: SparkSession) -> None:
-    """Sets the state store that the operators of this module need."""
+    """Sets the state store that the operators of this module need: one for each partition of a join instead of four,
+    and no reading of each key before it is put, which only counts keys for the metrics."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")
+    spark.conf.set("spark.sql.streaming.join.stateFormatVersion", "3")
 
 
 def fields(**kinds: DataType) -> StructType:
@@ -98,7 +102,7 @@ def illegal_moves(stream: DataFrame, key: str, time: str, id: str, state: str, a
 
 
 class Waiting(StatefulProcessor):
-    """Edges that wait for the node of their key: held until it has come, then sent once."""
+    """Edges that wait for the node of their key: held until it has come, then sent once and forgotten."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.known = handle.getValueState("known", fields(known=BooleanType()))
@@ -130,31 +134,44 @@ class Waiting(StatefulProcessor):
 EDGE = "src string, dst string, edge string"
 
 
-def _resolved(edges: DataFrame, nodes: DataFrame, end: str, salts: int) -> DataFrame:
+def _resolved(edges: DataFrame, nodes: DataFrame, end: str, salts: int, forget: bool) -> DataFrame:
     """Edges whose ``end`` is a node: keyed by it and a salt of the edge, so that a hub's edges are ``salts`` keys."""
     salt = F.pmod(F.xxhash64("edge"), F.lit(salts)).cast("int")
-    nothing = F.lit(None).cast("string")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     a = edges.select(F.col(end).alias("node"), salt.alias("salt"), "src", "dst", "edge")
-    b = nodes.select(F.col("id").cast("string").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), nothing.alias("src"), nothing.alias("dst"), nothing.alias("edge"))
+    if not forget:
+        b = nodes.dropDuplicates(["id"]).select("id", every.alias("_salt"))
+        return a.join(b, (F.col("node") == F.col("id")) & (F.col("salt") == F.col("_salt"))).select("src", "dst", "edge")
+    nothing = F.lit(None).cast("string")
+    b = nodes.select(F.col("id").alias("node"), every.alias("salt"), nothing.alias("src"), nothing.alias("dst"), nothing.alias("edge"))
     return a.unionByName(b).groupBy("node", "salt").transformWithState(Waiting(), EDGE, "Append", "None")
 
 
-def waiting_edges(edges: DataFrame, nodes: DataFrame, salts: int = 8) -> DataFrame:
+def waiting_edges(edges: DataFrame, nodes: DataFrame, salts: int = 8, forget: bool = False) -> DataFrame:
     """Streams of ``edges`` (``src, dst, edge``, its id) and ``nodes`` (``id``) to edges whose ends have both come.
 
     Each edge row is sent once, in the batch in which its second end comes or later.  It waits
     first for its source, then for its target; edges with a null end or id never resolve and
-    take no part.  Repeated nodes change nothing.
+    take no part.  Repeated nodes change nothing.  The waiting is two joins of the streams, of
+    which Spark keeps both sides.  With ``forget`` an edge leaves the state when it is sent, for
+    streams without end; this costs some round trips to Python for each node and salt.
     """
     with_state(edges.sparkSession)
     rows = edges.select(*[F.col(c).cast("string").alias(c) for c in ("src", "dst", "edge")]).where("src IS NOT NULL AND dst IS NOT NULL AND edge IS NOT NULL")
-    return _resolved(_resolved(rows, nodes.where("id IS NOT NULL"), "src", salts), nodes.where("id IS NOT NULL"), "dst", salts)
+    ids = nodes.select(F.col("id").cast("string").alias("id")).where("id IS NOT NULL")
+    return _resolved(_resolved(rows, ids, "src", salts, forget), ids, "dst", salts, forget)
 
 
 def unresolved(spark: SparkSession, checkpoint: str) -> DataFrame:
     """``src, dst, edge, missing`` of the edges that still wait in a checkpoint of ``waiting_edges``: the ends that never came."""
+    found = {(r["operatorId"], r["operatorName"]) for r in spark.read.format("state-metadata").load(checkpoint).collect()}
+    state = lambda operator, **options: spark.read.format("statestore").options(operatorId=operator, **options).load(checkpoint)
     parts = []
-    for operator in (0, 1):
-        state = spark.read.format("statestore").option("operatorId", operator).option("stateVarName", "edges").option("flattenCollectionTypes", True).load(checkpoint)
-        parts.append(state.select("list_element.*", F.col("key.node").alias("missing")))
-    return parts[0].unionByName(parts[1])
+    for operator, name in found:
+        if name == "symmetricHashJoin":
+            came = state(operator, joinSide="right").select("key")
+            parts.append(state(operator, joinSide="left").join(came, "key", "left_anti").select("value.src", "value.dst", "value.edge", F.col("value.node").alias("missing")))
+        elif name.startswith("transformWithState"):
+            held = state(operator, stateVarName="edges", flattenCollectionTypes=True)
+            parts.append(held.select("list_element.*", F.col("key.node").alias("missing")))
+    return reduce(DataFrame.unionByName, parts)

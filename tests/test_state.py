@@ -72,6 +72,23 @@ def test_edges_wait_for_their_nodes(spark):
     assert rows(K.unresolved(spark, f"{at}/state")) == sorted(open_ends, key=repr)
 
 
+def test_edges_wait_without_python_unless_they_are_forgotten(spark):
+    at, sent = folder(spark), {}
+    edges = [[("a", "b", "1"), ("b", "x", "2"), ("c", "a", "3")], [("a", "b", "1"), ("a", "a", "4"), ("y", "a", "5")]]
+    for k, ids in enumerate((["a", "a"], ["a", "b", "c", "c"])):
+        put(spark, f"{at}/edges", edges[k], "src string, dst string, edge string")
+        put(spark, f"{at}/nodes", [(n,) for n in ids], "id string")
+        for forget in (False, True):
+            streams = (spark.readStream.schema(s).parquet(f"{at}/{n}") for n, s in (("edges", "src string, dst string, edge string"), ("nodes", "id string")))
+            waiting = K.waiting_edges(*streams, salts=2, forget=forget)
+            assert ("TransformWithState" in waiting._jdf.queryExecution().analyzed().toString()) == forget
+            J.run(waiting, f"{at}/state-{forget}", path=f"{at}/out-{forget}")
+            sent[forget] = rows(spark.read.schema("src string, dst string, edge string").parquet(f"{at}/out-{forget}"))
+        assert sent[False] == sent[True] == ([], [("a", "a", "4"), ("a", "b", "1"), ("a", "b", "1"), ("c", "a", "3")])[k]
+    for forget in (False, True):
+        assert rows(K.unresolved(spark, f"{at}/state-{forget}")) == [("b", "x", "2", "x"), ("y", "a", "5", "y")]
+
+
 def test_moves_and_edges_call_their_state_by_batches():
     """Each call of the state is a round trip; there must be a few for a key, not some for each row."""
     calls = Counter()
